@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import cache
+from itertools import groupby
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from quaystone.llm.common import as_bytes, map_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Segments kept with their ids in a worker.
-MOST_KEPT = 200_000
+MOST_KEPT = 250_000
 
 
 def default_model() -> str:
@@ -60,12 +61,16 @@ class Model:
         # pieces that merging doesn't reach are never part of a result
         self.whole = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.whole), None) for p in self.whole}
+        self.characters = {p for p in self.whole if len(p) == 1}
+        self.surface = [None if t == BYTE else "" if t == CONTROL else p.replace(MARK, " ") for p, t in zip(self.pieces, self.types)]
         self.automaton = ahocorasick.Automaton()
         for p in self.whole:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p) - 1))
         self.automaton.make_automaton()
+        self.parts: dict[str, tuple[str, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merged(self, s: str) -> list[str]:
         """The pieces of s by merging, the plain way."""
@@ -78,29 +83,58 @@ class Model:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def fits(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives a and b again."""
+        """Whether merging a + b gives a and b again.
+
+        Merges are undone latest first on the side whose piece ranks later. Each state is then a moment of merging a
+        and b apart: if the two pieces at the border could have merged at a better rank than that of the merge that
+        came next (or at the same rank further left), merging a + b would have joined them.
+        """
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            found = self.pairs[a, b] = self._apart(a, b)
+        return found
+
+    def _apart(self, a: str, b: str) -> bool:
+        rank, never = self.rank, 1 << 30
+        limit = never
+        while True:
+            if rank.get(a + b, never) < limit:
+                return False
+            ra, rb = (rank[a] if len(a) > 1 else -1), (rank[b] if len(b) > 1 else -1)
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, self.halves(a)[1]  # a tie would go to the merge in a, which is further left
+            else:
+                limit, b = rb + 1, self.halves(b)[0]  # a tie would go to the border
+
+    def halves(self, p: str) -> tuple[str, str]:
+        """The two pieces whose merge made p."""
+        found = self.parts.get(p)
+        if found is None:
+            parts = list(p)
+            while len(parts) > 2:
+                _, i = min((self.rank.get(x + y, 1 << 30), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            found = self.parts[p] = tuple(parts)
         return found
 
     def split(self, s: str) -> list[str]:
         """The pieces of a segment of known characters, by backtracking."""
         n = len(s)
         longest: list = [None] * n
-        for end, p in self.automaton.iter(s):
-            at = end + 1 - len(p)
-            if longest[at] is None or len(p) > len(longest[at]):
-                longest[at] = p
+        for end, (p, back) in self.automaton.iter(s):  # by end, so the longest from a place comes last
+            longest[end - back] = p
+        fitting = self.pairs
         out: list[str] = []
-        failed = 0  # bit i: nothing fits from place i
+        failed = bytearray((n >> 3) + 1)  # bit i: nothing fits from place i
         at, piece = 0, longest[0]
         while True:
             while piece is not None:
                 end = at + len(piece)
-                if not failed >> end & 1 and (not out or self.fits(out[-1], piece)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or (fitting.get((out[-1], piece)) if (out[-1], piece) in fitting else self.fits(out[-1], piece))):
                     break
                 piece = self.shorter[piece]
             if piece is not None:
@@ -110,40 +144,34 @@ class Model:
                     return out
                 piece = longest[at]
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 last = out.pop()
                 at -= len(last)
                 piece = self.shorter[last]
 
     def ids(self, segment: str) -> list[int]:
         """Ids of a segment; characters that aren't in the vocabulary stand alone."""
-        out, at = [], 0
-        while at < len(segment):
-            end = at
-            while end < len(segment) and segment[end] in self.id:
-                end += 1
-            if end > at:
-                for i in range(at, end, 4096) if end - at <= 4096 else (at,):
-                    out += [self.id[p] for p in (self.split(segment[i:end]) if end - at <= 4096 else self.long(segment[at:end]))]
+        if self.characters.issuperset(segment):
+            return [self.id[p] for p in self.split(segment)] if segment else []
+        out = []
+        for known, part in groupby(segment, self.characters.__contains__):
+            if known:
+                out += self.ids("".join(part))
             else:
-                end = at + 1
-                out += [self.bytes[b] for b in segment[at].encode()] if self.bytes else [self.unknown]
-            at = end
+                out += [self.bytes[b] for b in "".join(part).encode()] if self.bytes else [self.unknown for _ in part]
         return out
 
-    def long(self, s: str) -> list[str]:
-        """As split(), for very long segments: places are kept in a byte array in place of one large integer."""
-        return self.split(s)
-
     def known(self, segment: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas, and what they decode to, of a segment."""
         found = self.kept.get(segment)
         if found is None:
-            if len(self.kept) >= MOST_KEPT:
-                self.kept.clear()
-            ids = self.ids(segment)
-            found = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            found = self.older.get(segment)
+            if found is None:
+                ids = self.ids(segment)
+                found = len(ids), ",".join(map(str, ids)), self.decode(ids)
             if len(segment) <= 64:
+                if len(self.kept) >= MOST_KEPT:
+                    self.kept, self.older = {}, self.kept
                 self.kept[segment] = found
         return found
 
@@ -154,19 +182,17 @@ class Model:
 
     def decode(self, ids: list[int], first: bool = False) -> str:
         """Pieces joined, byte pieces as UTF-8 (U+FFFD for each byte that isn't); first: of a text's beginning."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.types[i] == BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            if self.types[i] != CONTROL:
-                out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        if None not in (parts := [self.surface[i] for i in ids]):
+            text = "".join(parts)
+        else:
+            out, raw = [], bytearray()
+            for i, part in zip(ids, parts, strict=True):
+                if part is None:
+                    raw.append(int(self.pieces[i][3:5], 16))
+                else:
+                    out += [raw.decode(errors="replace"), part]
+                    raw.clear()
+            text = "".join(out) + raw.decode(errors="replace")
         return text[1:] if first and self.prefix and text.startswith(" ") else text
 
 
