@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaystone.llm import decontaminate, near_dedup, quality_rules, secret_scan, sentence_pieces, url_filter
+from quaystone.llm import chat_format, decontaminate, near_dedup, quality_rules, secret_scan, sentence_pieces, url_filter
 
-MODULES = (decontaminate, secret_scan, url_filter, sentence_pieces, quality_rules, near_dedup)
+MODULES = (decontaminate, chat_format, secret_scan, url_filter, sentence_pieces, quality_rules, near_dedup)
 
 
 def queries() -> dict:
