@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaystone.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, secret_scan, sentence_pieces, url_filter
+from quaystone.llm import chat_format, decontaminate, license_scan, near_dedup, quality_rules, secret_scan, sentence_pieces, suffix_dedup, url_filter
 
-MODULES = (decontaminate, chat_format, secret_scan, url_filter, sentence_pieces, quality_rules, license_scan, near_dedup)
+MODULES = (decontaminate, chat_format, secret_scan, url_filter, sentence_pieces, suffix_dedup, quality_rules, license_scan, near_dedup)
 
 
 def queries() -> dict:
