@@ -4,10 +4,11 @@ Texts with the same lower-cased words are one class, represented by its least do
 hashes of each class give 128 minima under multiply-shift universal hashes; 32 bands of 4 minima put classes into
 buckets. A link at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 < 1e-5.
 
-Within a bucket no pairs of all members are made. The first round links members to the least member; later rounds
-take twice as many further members as leaders each time, and only against members that are still in another component,
-until no bucket holds two components with an untried leader. Candidate pairs pass an estimate from the signatures
-(0.55, over five standard errors below 0.75) and are confirmed on the full sets of shingles.
+Within a bucket no pairs of all members are made. First all members are linked to the least one. Buckets that then
+still hold several components are looked at once more: each member outside the bucket's largest component is compared,
+by signature and inside its task, with all members of other components, and only pairs that agree well enough come out.
+Large buckets are dealt out as pairs of blocks. Candidate pairs pass an estimate from the signatures (0.60, about four
+standard errors below 0.75) and are confirmed on the full sets of shingles.
 
 Cases: a null or empty text, or one of white space, has an empty set, stands for itself and is kept; fewer than five
 words form one shingle; repeated doc_ids each get their row and are one node; a null doc_id is its own (null) component and not kept;
@@ -17,8 +18,9 @@ columns beyond those named are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm.common import as_bytes, cut, map_batches, small, table, without
@@ -28,7 +30,9 @@ from quaystone.llm.shingles import lower_words, mix, shingle_set
 BANDS, ROWS = 32, 4
 SIMILARITY_PCT = 75
 #: Pairs whose signatures agree in fewer positions than this share are not looked at further.
-ESTIMATE = 0.55
+ESTIMATE = 0.60
+#: Members of a bucket that are compared in one task; larger buckets are cut into blocks of as many.
+BLOCK = 4096
 _RNG = np.random.Generator(np.random.PCG64(20240117))
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -74,14 +78,16 @@ def _sets(cols):
     return [cols[0], [shingle_set(lower_words(t)).view(np.int64) for t in cols[1]]]
 
 
-def _confirm(cols):
-    a, b, out_a, out_b = cols[0], cols[1], [], []
-    for x, y, s, t in zip(a, b, cols[2], cols[3], strict=True):
-        both = len(np.intersect1d(np.array(s, np.int64), np.array(t, np.int64), assume_unique=True))
-        if 100 * both >= SIMILARITY_PCT * (len(s) + len(t) - both):
-            out_a.append(x)
-            out_b.append(y)
-    return [out_a, out_b]
+def _confirm(batches):
+    for batch in batches:
+        a, b = (batch.column(i).to_numpy() for i in (0, 1))
+        (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[2:])
+        good = np.zeros(len(a), bool)
+        for k in range(len(a)):
+            s, t = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            good[k] = 100 * both >= SIMILARITY_PCT * (len(s) + len(t) - both)
+        yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -98,7 +104,58 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys"))
     joined = near.join(right, "b").join(left, "a").select("a", "b", "xs", "ys")
-    return cut(map_batches(joined, _confirm, "a long, b long").distinct())
+    return cut(joined.mapInArrow(_confirm, "a long, b long").distinct())
+
+
+def _compare(batches):
+    """Rows come by unit (a bucket, or two of its blocks): pairs of different components whose signatures agree."""
+    names = ["a", "b"]
+    need = int(ESTIMATE * BANDS * ROWS)
+
+    def pairs(rows):
+        ids, comp, side = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+        sigs = np.array([r[4] for r in rows], np.int32)
+        kinds, sizes = np.unique(comp, return_counts=True)
+        minor = comp != kinds[sizes.argmax()]
+        two = bool((side == 1).any())
+        for i in np.flatnonzero(minor):
+            other = comp != comp[i]
+            if two:  # pairs within a block are made where the block meets itself
+                other &= side != side[i]
+            j = np.flatnonzero(other)
+            if len(j):
+                for k in j[(sigs[j] == sigs[i]).sum(axis=1) >= need]:
+                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
+
+    def pack(rows):
+        found = sorted(set(pairs(rows)))
+        return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], names=names)
+
+    held: list = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[-1][0] != row[0]:
+                yield pack(held)
+                held = []
+            held.append(row)
+    if held:
+        yield pack(held)
+
+
+def across(members: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket but of different components that may be similar enough, each once."""
+    rows = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    rows = cut(rows)
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    rows = rows.join(mixed, "bucket", "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    block = F.pmod(F.xxhash64("doc_id"), blocks)
+    with_block = rows.withColumn("block", block).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    unit = F.struct("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
+    dealt = with_block.select(F.xxhash64(unit).alias("unit"), "doc_id", "component", F.when(F.col("block") > F.col("met"), 1).otherwise(0).alias("side"))
+    signed = dealt.join(reps.select("doc_id", "sig"), "doc_id").select("unit", "doc_id", "component", "side", "sig")
+    ordered = signed.repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
+    return cut(ordered.mapInArrow(_compare, "a long, b long").distinct())
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -110,28 +167,11 @@ def link(docs: DataFrame) -> DataFrame:
     buckets = map_batches(reps.select("doc_id", "sig"), _band_keys, "doc_id long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(buckets.join(shared, "bucket").select("bucket", "doc_id", "size"))
-    links, first, width, found = None, 0, 1, None
-    open_rows = members.withColumn("component", F.col("doc_id"))
-    while True:
-        if first == 0:
-            least = members.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-            pairs = members.join(least, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-        else:
-            leaders = open_rows.where((F.col("place") >= first) & (F.col("place") < first + width))
-            leaders = leaders.select("bucket", F.col("doc_id").alias("l"), F.col("place").alias("lp"), F.col("component").alias("lc"))
-            pairs = open_rows.join(leaders, "bucket").where("place > lp and component <> lc")
-            pairs = pairs.select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
-        pairs = cut(pairs)
-        found = confirmed(pairs, reps, docs)
-        links = found if links is None else links.union(found)
-        first, width = first + width, 2 * width
-        comp = cut(components(links))
-        rows = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("size") > first + 1)).select("bucket")
-        open_rows = cut(rows.join(mixed, "bucket", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1))
-        if open_rows.isEmpty():
-            break
+    least = members.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+    pairs = members.join(least, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = confirmed(cut(pairs), reps, docs)
+    rest = confirmed(across(members, components(links), reps), reps, docs)
+    comp = components(links.union(rest))
     top = classes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.join(top, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -149,4 +189,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_near_dedup": op10_near_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_near_dedup": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+}
