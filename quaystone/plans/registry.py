@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from quaystone.plans import indicator_queries, window_queries
+
+MODULES = (indicator_queries, window_queries)
 FLAGSHIP = "ind_bbands"
 
 
