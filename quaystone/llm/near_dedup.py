@@ -7,7 +7,8 @@ buckets. A link at similarity 0.75 shares no band with probability (1 - 0.75^4)^
 Within a bucket no pairs of all members are made. First all members are linked to the least one. Buckets that then
 still hold several components are looked at once more: each member outside the bucket's largest component is compared,
 by signature and inside its task, with all members of other components, and only pairs that agree well enough come out.
-Large buckets are dealt out as pairs of blocks. Candidate pairs pass an estimate from the signatures (0.60, about four
+Large buckets are dealt out as pairs of blocks. Where more pairs than a few per member agree, the bucket's tasks get
+the sets themselves and give only links that join components. Candidate pairs pass an estimate from the signatures (0.60, about four
 standard errors below 0.75) and are confirmed on the full sets of shingles.
 
 Cases: a null or empty text, or one of white space, has an empty set, stands for itself and is kept; fewer than five
@@ -33,6 +34,8 @@ SIMILARITY_PCT = 75
 ESTIMATE = 0.60
 #: Members of a bucket that are compared in one task; larger buckets are cut into blocks of as many.
 BLOCK = 4096
+#: More agreeing pairs per row than this make a bucket dense: it is confirmed in its tasks, in smaller blocks.
+CROWD, DENSE_BLOCK = 4, 512
 _RNG = np.random.Generator(np.random.PCG64(20240117))
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -75,19 +78,23 @@ def _band_keys(cols):
 
 
 def _sets(cols):
-    return [cols[0], [shingle_set(lower_words(t)).view(np.int64) for t in cols[1]]]
+    return [cols[0], [shingle_set(lower_words(t)).tobytes() for t in cols[1]]]
 
 
-def _confirm(batches):
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in (0, 1))
-        (x, i), (y, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[2:])
-        good = np.zeros(len(a), bool)
-        for k in range(len(a)):
-            s, t = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            good[k] = 100 * both >= SIMILARITY_PCT * (len(s) + len(t) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
+def _similar(s: np.ndarray, t: np.ndarray) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= SIMILARITY_PCT * (len(s) + len(t) - both)
+
+
+def _confirm(cols):
+    good = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(cols[2], cols[3], strict=True)]
+    return [[v for v, g in zip(c, good, strict=True) if g] for c in cols[:2]]
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the bytes of the sorted shingle hashes, of the documents in ids (cut)."""
+    src = docs.where(F.col("doc_id").isNotNull()).join(small(ids), "doc_id", "left_semi")
+    return map_batches(as_bytes(src, "doc_id"), _sets, "doc_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -99,63 +106,103 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     near = pairs.join(x, "a").join(y, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY_PCT) & (agree >= int(ESTIMATE * BANDS * ROWS)))
     near = cut(near.select("a", "b"))
     wanted = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    src = docs.where(F.col("doc_id").isNotNull()).join(small(wanted), "doc_id", "left_semi")
-    sets = map_batches(as_bytes(src, "doc_id"), _sets, "doc_id long, shingles array<long>")
+    sets = shingle_sets(docs, wanted)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys"))
     joined = near.join(right, "b").join(left, "a").select("a", "b", "xs", "ys")
-    return cut(joined.mapInArrow(_confirm, "a long, b long").distinct())
-
+    return cut(map_batches(joined, _confirm, "a long, b long").distinct())
 
-def _compare(batches):
-    """Rows come by unit (a bucket, or two of its blocks): pairs of different components whose signatures agree."""
-    names = ["a", "b"]
-    need = int(ESTIMATE * BANDS * ROWS)
-
-    def pairs(rows):
-        ids, comp, side = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-        sigs = np.array([r[4] for r in rows], np.int32)
-        kinds, sizes = np.unique(comp, return_counts=True)
-        minor = comp != kinds[sizes.argmax()]
-        two = bool((side == 1).any())
-        for i in np.flatnonzero(minor):
-            other = comp != comp[i]
-            if two:  # pairs within a block are made where the block meets itself
-                other &= side != side[i]
-            j = np.flatnonzero(other)
-            if len(j):
-                for k in j[(sigs[j] == sigs[i]).sum(axis=1) >= need]:
-                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
-
-    def pack(rows):
-        found = sorted(set(pairs(rows)))
-        return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], names=names)
 
+def _units(batches):
+    """The rows of each unit; they come sorted by it."""
     held: list = []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if held and held[-1][0] != row[0]:
-                yield pack(held)
+                yield held
                 held = []
             held.append(row)
     if held:
-        yield pack(held)
+        yield held
+
 
+def _agreeing(rows, sigs: np.ndarray):
+    """(i, js) of a unit (a bucket, or two of its blocks): pairs of different components whose signatures agree."""
+    comp, side = (np.array([r[i] for r in rows]) for i in (3, 4))
+    kinds, sizes = np.unique(comp, return_counts=True)
+    two = bool((side == 1).any())
+    for i in np.flatnonzero(comp != kinds[sizes.argmax()]):
+        other = comp != comp[i]
+        if two:  # pairs within a block are made where the block meets itself
+            other &= side != side[i]
+        j = np.flatnonzero(other)
+        if len(j):
+            yield i, j[(sigs[j] == sigs[i]).sum(axis=1) >= int(ESTIMATE * BANDS * ROWS)]
 
-def across(members: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but of different components that may be similar enough, each once."""
+
+def _pack(pairs, dense=()) -> pa.RecordBatch:
+    pairs = sorted(set(pairs))
+    columns = [[int(p[i]) for p in pairs] + [None] * len(dense) for i in (0, 1)] + [[None] * len(pairs) + list(dense)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "bucket"])
+
+
+def _compare(batches):
+    """Pairs (a, b) of each unit; of one with more than CROWD pairs per row its bucket only."""
+    for rows in _units(batches):
+        ids, sigs, found = [r[2] for r in rows], np.array([r[5] for r in rows], np.int32), []
+        for i, js in _agreeing(rows, sigs):
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+            if len(found) > CROWD * len(rows):
+                yield _pack([], [rows[0][1]])
+                break
+        else:
+            yield _pack(found)
+
+
+def _compare_sets(batches):
+    """As _compare, but confirmed at once on the sets; links that join what is joined already within the unit are left out."""
+    for rows in _units(batches):
+        ids, sigs = [r[2] for r in rows], np.array([r[5] for r in rows], np.int32)
+        top, links = {r[3]: r[3] for r in rows}, []
+
+        def root(c, top=top):
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        for i, js in _agreeing(rows, sigs):
+            mine = np.frombuffer(rows[i][6], np.uint64)
+            for j in js:
+                a, b = root(rows[i][3]), root(rows[j][3])
+                if a != b and _similar(mine, np.frombuffer(rows[j][6], np.uint64)):
+                    top[max(a, b)] = min(a, b)
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        yield _pack(links)
+
+
+def _deal(rows: DataFrame, block_rows: int) -> DataFrame:
+    """rows: bucket, doc_id, size, component. Each row once per unit of its bucket that it is part of."""
+    blocks = F.ceil(F.col("size") / block_rows)
+    met = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    unit = F.struct("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
+    return met.select(F.xxhash64(unit).alias("unit"), "bucket", "doc_id", "component", (F.col("block") > F.col("met")).cast("int").alias("side"))
+
+
+def links_across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components."""
     rows = members.join(comp, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     rows = cut(rows)
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = rows.join(mixed, "bucket", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    block = F.pmod(F.xxhash64("doc_id"), blocks)
-    with_block = rows.withColumn("block", block).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    unit = F.struct("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
-    dealt = with_block.select(F.xxhash64(unit).alias("unit"), "doc_id", "component", F.when(F.col("block") > F.col("met"), 1).otherwise(0).alias("side"))
-    signed = dealt.join(reps.select("doc_id", "sig"), "doc_id").select("unit", "doc_id", "component", "side", "sig")
-    ordered = signed.repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
-    return cut(ordered.mapInArrow(_compare, "a long, b long").distinct())
+    columns, sigs = ["unit", "bucket", "doc_id", "component", "side", "sig"], reps.select("doc_id", "sig")
+    ordered = _deal(rows, BLOCK).join(sigs, "doc_id").select(*columns).repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
+    found = cut(ordered.mapInArrow(_compare, "a long, b long, bucket long"))
+    usual = confirmed(found.where("bucket IS NULL").select("a", "b").distinct(), reps, docs)
+    dense = rows.join(cut(found.where("bucket IS NOT NULL").select("bucket").distinct()), "bucket", "left_semi")
+    wanted = cut(dense.select("doc_id").distinct())
+    dealt = _deal(dense, DENSE_BLOCK).join(sigs, "doc_id").join(shingle_sets(docs, wanted), "doc_id").select(*columns, "shingles")
+    ordered = dealt.repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
+    return usual.union(cut(ordered.mapInArrow(_compare_sets, "a long, b long, bucket long").select("a", "b").distinct()))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -170,8 +217,7 @@ def link(docs: DataFrame) -> DataFrame:
     least = members.groupBy("bucket").agg(F.min("doc_id").alias("a"))
     pairs = members.join(least, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = confirmed(cut(pairs), reps, docs)
-    rest = confirmed(across(members, components(links), reps), reps, docs)
-    comp = components(links.union(rest))
+    comp = components(links.union(links_across(members, components(links), reps, docs)))
     top = classes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.join(top, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
