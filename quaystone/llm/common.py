@@ -74,4 +74,4 @@ def as_bytes(df: DataFrame, *keys: str) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in the one-column frame ids (read twice, so best from cut())."""
-    return docs.join(small(ids.toDF("dropped_id")), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    return docs.join(small(ids.toDF("__dropped_id")), F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")

@@ -27,7 +27,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and the least node it is connected with, for every node with a link; edges: two columns of integers.
+    """node and the least node it is connected with, for every linked node but those least ones; edges: two columns of integers.
 
     Loops, repeated edges and nulls are ignored; an empty table gives an empty one.
     """
