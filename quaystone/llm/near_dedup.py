@@ -34,8 +34,8 @@ SIMILARITY_PCT = 75
 ESTIMATE = 0.60
 #: Members of a bucket that are compared in one task; larger buckets are cut into blocks of as many.
 BLOCK = 4096
-#: More agreeing pairs per row than this make a bucket dense: it is confirmed in its tasks, in smaller blocks.
-CROWD, DENSE_BLOCK = 4, 512
+#: More agreeing pairs per row than this make a bucket dense: it is confirmed in its tasks, in blocks of so many bytes.
+CROWD, DENSE_BYTES = 4, 16_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240117))
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -180,9 +180,8 @@ def _compare_sets(batches):
         yield _pack(links)
 
 
-def _deal(rows: DataFrame, block_rows: int) -> DataFrame:
-    """rows: bucket, doc_id, size, component. Each row once per unit of its bucket that it is part of."""
-    blocks = F.ceil(F.col("size") / block_rows)
+def _deal(rows: DataFrame, blocks) -> DataFrame:
+    """rows: bucket, doc_id, component and what blocks, a bucket's number of blocks, is made from. Each row once per unit of its bucket that it is part of."""
     met = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
     unit = F.struct("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
     return met.select(F.xxhash64(unit).alias("unit"), "bucket", "doc_id", "component", (F.col("block") > F.col("met")).cast("int").alias("side"))
@@ -195,12 +194,14 @@ def links_across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: Dat
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = rows.join(mixed, "bucket", "left_semi")
     columns, sigs = ["unit", "bucket", "doc_id", "component", "side", "sig"], reps.select("doc_id", "sig")
-    ordered = _deal(rows, BLOCK).join(sigs, "doc_id").select(*columns).repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
+    ordered = _deal(rows, F.ceil(F.col("size") / BLOCK)).join(sigs, "doc_id").select(*columns).repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
     found = cut(ordered.mapInArrow(_compare, "a long, b long, bucket long"))
     usual = confirmed(found.where("bucket IS NULL").select("a", "b").distinct(), reps, docs)
     dense = rows.join(cut(found.where("bucket IS NOT NULL").select("bucket").distinct()), "bucket", "left_semi")
+    dense = cut(dense.join(reps.select("doc_id", (8 * F.col("n_shingles") + 8 * BANDS * ROWS).alias("bytes")), "doc_id"))
     wanted = cut(dense.select("doc_id").distinct())
-    dealt = _deal(dense, DENSE_BLOCK).join(sigs, "doc_id").join(shingle_sets(docs, wanted), "doc_id").select(*columns, "shingles")
+    dense = dense.join(dense.groupBy("bucket").agg(F.sum("bytes").alias("all_bytes")), "bucket")
+    dealt = _deal(dense, F.ceil(F.col("all_bytes") / DENSE_BYTES)).join(sigs, "doc_id").join(shingle_sets(docs, wanted), "doc_id").select(*columns, "shingles")
     ordered = dealt.repartition("unit").sortWithinPartitions("unit", "doc_id", "side")
     return usual.union(cut(ordered.mapInArrow(_compare_sets, "a long, b long, bucket long").select("a", "b").distinct()))
 
