@@ -106,3 +106,34 @@ def kalman(df: DataFrame, delta: float = 1e-4, noise: float = 1e-3) -> DataFrame
         return pdf[["asset", "date"]].assign(slope=out[:, 0], intercept=out[:, 1])
 
     return df.groupBy("asset").applyInPandas(run, "asset string, date date, slope double, intercept double")
+
+
+def johansen(df: DataFrame, lags: int = 1) -> DataFrame:
+    """Trace and largest-eigenvalue statistics per rank for groups of series (g, date, name, x) on their common dates.
+
+    A group is a handful of series: differences and lagged levels are freed of lagged differences and a constant, and
+    the eigenvalues of their squared canonical correlations give the statistics.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="date", columns="name", values="x").dropna().sort_index().to_numpy(float)
+        d = np.diff(wide, axis=0)
+        rows = len(d) - lags
+        if rows <= wide.shape[1] * (lags + 2):
+            return pd.DataFrame(columns=["g", "rank", "trace", "largest", "n"])
+        known = np.column_stack([np.ones(rows), *[d[lags - k : len(d) - k] for k in range(1, lags + 1)]])
+        free = lambda y: y - known @ np.linalg.lstsq(known, y, rcond=None)[0]
+        r0, r1 = free(d[lags:]), free(wide[lags:-1])
+        s00, s01, s11 = r0.T @ r0, r0.T @ r1, r1.T @ r1
+        roots = np.sort(np.linalg.eigvals(np.linalg.solve(s11, s01.T) @ np.linalg.solve(s00, s01)).real)[::-1].clip(0, 1 - 1e-12)
+        gains = -rows * np.log1p(-roots)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "rank": range(len(roots)), "trace": gains[::-1].cumsum()[::-1], "largest": gains, "n": rows})
+
+    return df.groupBy("g").applyInPandas(run, "g string, rank int, trace double, largest double, n long")
+
+
+def traded_pnl(panel: DataFrame) -> DataFrame:
+    """panel: asset, date, pos, trade_px, close. The old position from close to close, its change from the trade price to the close."""
+    w = Window.partitionBy("asset").orderBy("date")
+    p = panel.withColumns({"held": F.coalesce(F.lag("pos").over(w), F.lit(0.0)), "last_close": F.lag("close").over(w)})
+    return p.withColumn("pnl", F.coalesce(F.col("held") * (F.col("close") - F.col("last_close")), F.lit(0.0)) + (F.col("pos") - F.col("held")) * (F.col("close") - F.col("trade_px")))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from quaystone.functions.recipe import Ewm, Recipe, fill, lag, pair, s, span, tidy_sql, whole
 from quaystone.operators import seasonal as se
 from quaystone.operators import selection as sl
-from quaystone.plans.market_queries import CAL_SQL, _r, _rs, cal
+from quaystone.operators import research as rs
+from quaystone.plans.market_queries import CAL_SQL, OHLC, _r, _rs, cal
 from quaystone.plans.research_queries import HOLD_SQL, holdings, rets, z_panel, z_sql
-from quaystone.sources.panels import DAILY_SQL, TICKS_SQL, daily, read, ticks
+from quaystone.sources.panels import DAILY_SQL, PRINTS_SQL, TICKS_SQL, bars, bars_sql, daily, prints, read, ticks
+from quaystone.streaming import bars as st
 
 _NY = ", ".join(f"DATE '{d}'" for d in se.NEW_YEARS)
 HOLIDAYS = [("2024-01-08", 1.0), ("2024-01-15", 0.5), ("2024-01-24", -1.0)]
@@ -200,12 +202,43 @@ def week_recipe(sp, sf):
     return _r(d.select("asset", "date", "done", (F.col("close") - F.col("done")).alias("over")), "done", "over")
 
 
+def johansen(sp, sf):
+    """Log closes of the assets of each leading digit, in groups of a few."""
+    d = daily(sp, sf).where("asset RLIKE '^Brand#[1-5][1-3]?$'").select(F.substring("asset", 7, 1).alias("g"), "date", F.col("asset").alias("name"), F.ln("close").alias("x"))
+    return _r(rs.johansen(d), "trace", "largest")
+
+
+def forward_rolls(sp, sf):
+    """The contract in use when rolls only go forward: the running maximum of each day's most active contract."""
+    b = bars(prints(sp, sf), "asset", "contract", "date").withColumn("place", F.row_number().over(Window.partitionBy("asset", "date").orderBy(F.desc("volume"), "contract"))).where("place = 1")
+    w = Window.partitionBy("asset", F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return b.select("asset", "date", F.col("contract").alias("best"), F.max(F.col("contract").cast("int")).over(w).alias("in_use"))
+
+
+def traded(sp, sf):
+    z = z_panel(sp, sf).select("asset", "date", F.signum("z").alias("pos"), F.col("open").alias("trade_px"), "close")
+    return _r(rs.traded_pnl(z).select("asset", "date", "pnl"), "pnl")
+
+
+def monthly(sp, sf):
+    p = rs.pnl(holdings(sp, sf))
+    return _r(p.groupBy("asset", F.trunc("date", "month").alias("m")).agg(F.sum("pnl").alias("total")), "total")
+
+
+def tenor_mean(sp, sf):
+    """Monthly fixings and curve points put together and averaged by tenor."""
+    fix = read(sp, sf, "orders").groupBy(F.trunc("o_orderdate", "quarter").alias("tenor")).agg(F.avg("o_totalprice").alias("px"))
+    curve = read(sp, sf, "lineitem").groupBy(F.trunc("l_shipdate", "quarter").alias("tenor")).agg(F.avg("l_extendedprice").alias("px"))
+    return _r(fix.unionByName(curve).groupBy("tenor").agg(F.avg("px").alias("px"), F.count("*").alias("n")), "px")
+
+
 QUERIES = {
     "season_labels": labels, "season_table": season_table, "season_look_back": lambda sp, sf: _r(se.look_back(daily(sp, sf), "close"), "score"), "season_group_score": lambda sp, sf: _r(se.group_score(daily(sp, sf), "close"), "score"), "season_yoy": lambda sp, sf: _r(se.yoy(daily(sp, sf), "close"), "v", "yoy"),
     "season_holidays": lambda sp, sf: _r(se.holiday_windows(cal(sp, sf), HOLIDAYS, 3, 2), "weight"), "season_rules": rules, "pnl_signal_bins": bins, "scen_top": top_scenarios, "scen_greedy": greedy, "xs_leaders": leaders, "xs_pairs": pairs, "ts_beta_hedge": recipe(HEDGE), "ind_ribbon": recipe(RIBBON),
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
+    "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
     "stat_bootstrap": lambda sp, sf: _r(sl.bootstrap(rets(sp, sf)), "mean", "sharpe"),
 }
 SQL = {
@@ -229,4 +262,10 @@ SQL = {
     "tick_spread_quote": f"WITH {TICKS_SQL}, q AS (SELECT event_id, last_value(CASE WHEN asset = 1 THEN price END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN asset = 2 THEN price END IGNORE NULLS) OVER w AS b FROM ticks WHERE asset IN (1, 2) AND price IS NOT NULL WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, {tidy_sql('a - b')} AS spread FROM q WHERE a IS NOT NULL AND b IS NOT NULL",
     "fn_scalars": SCALAR_SQL,
     "risk_map": f"SELECT n_regionkey, bucket, {tidy_sql('sum(c_acctbal * w)')} AS risk FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('near', 0.75::DOUBLE), ('far', 0.25::DOUBLE)) m(bucket, w) GROUP BY ALL",
+    "roll_forward": f"WITH {PRINTS_SQL}, b AS ({bars_sql('asset', 'contract', 'date')}), t AS (SELECT asset, date, contract AS best FROM b QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY volume DESC, contract) = 1) SELECT asset, date, best, max(best::INT) OVER (PARTITION BY asset, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING) AS in_use FROM t",
+    "pnl_traded": f"WITH {z_sql()}, p AS (SELECT asset, date, sign(z) AS pos, open, close, coalesce(lag(sign(z)) OVER w, 0) AS held, lag(close) OVER w AS pc1 FROM z0 WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, {tidy_sql('coalesce(held * (close - pc1), 0) + (pos - held) * (close - open)')} AS pnl FROM p",
+    "pnl_monthly": f"WITH {HOLD_SQL} SELECT asset, date_trunc('month', date)::DATE AS m, {tidy_sql('sum(pnl)')} AS total FROM pl GROUP BY asset, date_trunc('month', date)",
+    "agg_tenor": f"WITH u AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS tenor, avg(o_totalprice) AS px FROM orders GROUP BY 1 UNION ALL SELECT date_trunc('quarter', l_shipdate)::DATE, avg(l_extendedprice) FROM lineitem GROUP BY 1) SELECT tenor, {tidy_sql('avg(px)')} AS px, count(*) AS n FROM u GROUP BY tenor",
+    "stream_session_bars": f"WITH {TICKS_SQL}, p AS (SELECT *, (minute >= 540)::INT + (minute >= 690)::INT + (minute >= 900)::INT AS part FROM ticks) SELECT asset, date, part, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM p GROUP BY asset, date, part",
+    "stream_season_stats": f"WITH {TICKS_SQL} SELECT asset, hour(ts)::INT AS hour, count(price) AS n, {tidy_sql('avg(price)')} AS mean, {tidy_sql('stddev_pop(price)')} AS sd FROM ticks WHERE price IS NOT NULL GROUP BY asset, hour(ts)",
 }

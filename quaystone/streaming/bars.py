@@ -78,3 +78,33 @@ def running_means(spark: SparkSession, sf_dir: str, span: int = 10) -> DataFrame
     stream = source(spark, sf_dir).where("value IS NOT NULL").select("event_id", "ts", F.col("user_id").alias("asset"), "value")
     out = stream.groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ema double, mean double", "ema double, total double, n long", "append", GroupStateTimeout.NoTimeout)
     return run_available(out, "append").drop("batch_id")
+
+
+def session_bars(spark: SparkSession, sf_dir: str, cuts: list[int]) -> DataFrame:
+    """Running bars of the parts of a day between cut minutes, in update mode."""
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (minute >= c).cast("int")
+    place = F.struct("ts", "event_id")
+    agg = source(spark, sf_dir).groupBy(F.col("user_id").alias("asset"), F.to_date("ts").alias("date"), part.alias("part")).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n_ticks"))
+    return latest(run_available(agg), "asset", "date", "part")
+
+
+def season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, mean and deviation per instrument and hour, carried on from keyed state (Welford's sums)."""
+
+    def step(key, frames, state):
+        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
+        for pdf in frames:
+            for x in pdf["value"]:
+                n += 1
+                d = x - mean
+                mean += d / n
+                m2 += d * (x - mean)
+        state.update((n, mean, m2))
+        yield pd.DataFrame([(key[0], key[1], n, mean, (m2 / n) ** 0.5)], columns=["asset", "hour", "n", "mean", "sd"])
+
+    stream = source(spark, sf_dir).where("value IS NOT NULL").select(F.col("user_id").alias("asset"), F.hour("ts").alias("hour"), "value")
+    out = stream.groupBy("asset", "hour").applyInPandasWithState(step, "asset long, hour int, n long, mean double, sd double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
+    return latest(run_available(out), "asset", "hour")
