@@ -259,3 +259,61 @@ SQL = {
     "stream_daily_bars": f"WITH {TICKS_SQL} SELECT asset, date, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM ticks GROUP BY asset, date",
     "stream_running_means": f"WITH RECURSIVE {TICKS_SQL}, n AS MATERIALIZED (SELECT asset, event_id, price, row_number() OVER w - 1 AS rn, avg(price) OVER (w ROWS UNBOUNDED PRECEDING) AS mean FROM ticks WHERE price IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY ts, event_id)), r(asset, event_id, rn, ema, mean) AS (SELECT asset, event_id, rn, price, mean FROM n WHERE rn = 0 UNION ALL SELECT n.asset, n.event_id, n.rn, {1 - 2 / 11!r} * r.ema + {2 / 11!r} * n.price, n.mean FROM r JOIN n ON n.asset = r.asset AND n.rn = r.rn + 1) SELECT event_id, asset, {_rs('ema', 'mean')} FROM r",
 }
+
+
+def _sar_sql() -> str:
+    stop = "(r.sar + r.speed * (r.extreme - r.sar))"
+    flip = f"(CASE WHEN r.side > 0 THEN p.low < {stop} ELSE p.high > {stop} END)"
+    return kn.recursion(DAILY_SQL, "s0", {
+        "sar": ("p.low", f"CASE WHEN {flip} THEN r.extreme WHEN r.side > 0 THEN least({stop}, r.l1, r.l2) ELSE greatest({stop}, r.h1, r.h2) END"),
+        "side": ("1e0", f"CASE WHEN {flip} THEN -r.side ELSE r.side END"),
+        "extreme": ("p.high", f"CASE WHEN {flip} AND r.side > 0 THEN p.low WHEN {flip} THEN p.high WHEN r.side > 0 THEN greatest(r.extreme, p.high) ELSE least(r.extreme, p.low) END"),
+        "speed": ("0.02::DOUBLE", f"CASE WHEN {flip} THEN 0.02::DOUBLE WHEN (r.side > 0 AND p.high > r.extreme) OR (r.side < 0 AND p.low < r.extreme) THEN least(r.speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE r.speed END"),
+        "h1": ("p.high", "p.high"), "l1": ("p.low", "p.low"), "h2": ("p.high", "r.h1"), "l2": ("p.low", "r.l1"),
+    }, _rs("sar", "side"))
+
+
+def _band_sql() -> str:
+    base = f"{DAILY_SQL}, m0 AS (SELECT *, CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END AS m, CASE WHEN count(close) OVER w >= 20 THEN stddev_samp(close) OVER w END AS sd FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), b0 AS MATERIALIZED (SELECT asset, date, rn, close, m + 2 * sd AS ub, m - 2 * sd AS lb FROM m0)"
+    fresh, trend = "(p.ub IS NULL OR r.upper IS NULL)", "(CASE WHEN p.close > r.upper THEN 1e0 WHEN p.close < r.lower THEN -1e0 ELSE r.trend END)"
+    return kn.recursion(base, "b0", {
+        "upper": ("p.ub", f"CASE WHEN {fresh} OR {trend} >= 0 THEN p.ub ELSE least(p.ub, r.upper) END"), "lower": ("p.lb", f"CASE WHEN {fresh} OR {trend} <= 0 THEN p.lb ELSE greatest(p.lb, r.lower) END"), "trend": ("0e0", f"CASE WHEN {fresh} THEN r.trend ELSE {trend} END"),
+    }, _rs("upper", "lower", "trend"))
+
+
+def _trail_sql() -> str:
+    base = f"{_Z0}, t0 AS MATERIALIZED (SELECT asset, date, rn, open, high, low, close, CASE WHEN abs(z) > 1 THEN sign(z) ELSE 0 END::DOUBLE AS want FROM z0)"
+    level = "(r.best * (1 - r.pos * 0.1::DOUBLE))"
+    gap = f"(r.pos * (p.open - {level}) <= 0)"
+    out = f"(r.pos <> 0 AND ({gap} OR r.pos * (CASE WHEN r.pos > 0 THEN p.low ELSE p.high END - {level}) <= 0))"
+    turn = "(p.want <> 0 AND p.want <> r.pos)"
+    return kn.recursion(base, "t0", {
+        "pos": ("p.want", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.want ELSE r.pos END"),
+        "best": ("CASE WHEN p.want <> 0 THEN p.close ELSE 0 END", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.close WHEN r.pos > 0 THEN greatest(r.best, p.high) WHEN r.pos < 0 THEN least(r.best, p.low) ELSE r.best END"),
+        "entry": ("CASE WHEN p.want <> 0 THEN p.close ELSE 0 END", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.close ELSE r.entry END"),
+        "pnl": ("0e0", f"r.pnl + CASE WHEN {out} THEN r.pos * (CASE WHEN {gap} THEN p.open ELSE {level} END / nullif(r.entry, 0) - 1) WHEN {turn} AND r.pos <> 0 THEN r.pos * (p.close / nullif(r.entry, 0) - 1) ELSE 0 END"),
+    }, _rs("pos", "pnl"))
+
+
+def _kalman_sql() -> str:
+    base = f"{_Z0}, k0 AS MATERIALIZED (SELECT asset, date, ret AS y, z AS x, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS rn FROM z0 WHERE ret IS NOT NULL)"
+    q = repr(1e-4 / (1 - 1e-4))
+
+    def after(t0: str, t1: str, a: str, b: str, c: str) -> dict[str, str]:
+        """The next slope, intercept and covariances from the former ones."""
+        a, c = f"({a} + {q})", f"({c} + {q})"
+        g0, g1 = f"({a} * p.x + {b})", f"({b} * p.x + {c})"
+        total = f"(p.x * {g0} + {g1} + 1e-3)"
+        e = f"(p.y - {t0} * p.x - {t1})"
+        return {"slope": f"{t0} + {g0} / {total} * {e}", "intercept": f"{t1} + {g1} / {total} * {e}", "pa": f"{a} - {g0} * {g0} / {total}", "pb": f"{b} - {g0} * {g1} / {total}", "pc": f"{c} - {g1} * {g1} / {total}"}
+
+    first, later = after("0e0", "0e0", "0e0", "0e0", "0e0"), after("r.slope", "r.intercept", "r.pa", "r.pb", "r.pc")
+    return kn.recursion(base, "k0", {k: (first[k], later[k]) for k in first}, _rs("slope", "intercept"))
+
+
+SQL |= {"ind_psar": _sar_sql(), "ind_band_stop": _band_sql(), "sim_trailing_stop": _trail_sql(), "stat_kalman": _kalman_sql()}
+SQL["stat_adf"] = f"""WITH {DAILY_SQL}, x AS (SELECT asset, ln(close) AS x, lag(ln(close)) OVER w AS a, lag(ln(close), 2) OVER w AS a2 FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)),
+d AS (SELECT asset, x - a AS y, a, a - a2 AS b FROM x WHERE a2 IS NOT NULL),
+g AS (SELECT asset, count(*) AS n, var_samp(y) AS yy, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(y, a) AS ya, covar_samp(y, b) AS yb, covar_samp(a, b) AS ab FROM d GROUP BY asset),
+f AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS b1, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS b2 FROM g)
+SELECT asset, n, {tidy_sql('b1 / sqrt((yy - b1 * ya - b2 * yb) / (n - 3) * bb / (aa * bb - ab * ab))')} AS adf FROM f"""
