@@ -114,9 +114,17 @@ _MISSING = _Minus()
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """counts: from count_words(), cut. The DICTIONARY most frequent words, the end's count and totals per class come to the driver."""
+    """counts: from count_words(), cut. At most DICTIONARY of the most frequent words, the end's count and totals per class come to the driver."""
     words = counts.where("word <> X''")
-    top = [(bytes(r[0]), r[1]) for r in words.orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()]
+    # the least frequency class (sixteenths of a power of two) that still leaves at most DICTIONARY words
+    level, room, least = F.floor(F.log2("count") * 16), DICTIONARY, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    frequent = words.where(level >= least).collect() if least is not None else []
+    top = sorted(((bytes(r[0]), r[1]) for r in frequent), key=lambda x: (-x[1], x[0]))
     ends = counts.where("word = X''").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     # totals of the classes by last bytes: pre-aggregated by what the class is made from

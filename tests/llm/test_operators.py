@@ -230,3 +230,14 @@ def test_decoding_round_trip(spark):
     out = sentence_pieces.decoded(sentence_pieces.token_ids(docs))
     got = sorted((repr(r["doc_id"]), r["text"]) for r in out.collect())
     assert got == sorted((repr(i), t or "") for i, t in edge.texts())
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_scores_with_a_small_dictionary(spark, monkeypatch, tmp_path, most):
+    """Words outside the dictionary get their counts by the join; nothing exact changes."""
+    docs = spark.createDataFrame([(i, edge.sentence(i % 7, 40) if i else None) for i in range(30)], "doc_id long, text string")
+    folder = edge.as_table(spark, tmp_path, "documents", docs)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6)]
+    want = sorted(map(tuple, lm_score.op1_lm_score(spark, folder).select(*columns).collect()))
+    monkeypatch.setattr(lm_score, "DICTIONARY", most)
+    assert sorted(map(tuple, lm_score.op1_lm_score(spark, folder).select(*columns).collect())) == want
