@@ -136,3 +136,15 @@ def broker_sums(ranks: DataFrame) -> DataFrame:
     """Sums over the first 5, 10 and 20 ranks by date, product and contract, and by date and product."""
     top = [F.sum(F.when(F.col("ranknum") <= k, F.col("vol"))).alias(f"vol_{k}") for k in (5, 10, 20)]
     return ranks.groupingSets([["date", "prod", "inst"], ["date", "prod"]], "date", "prod", "inst").agg(*top)
+
+
+def expiries(cal: DataFrame) -> DataFrame:
+    """Last trading day of each month's contract by kind of rule: the 15th or the next business day, the 10th business day, the third Friday, the last but two."""
+    b = cal.where("is_bday").withColumn("month", F.trunc("date", "month"))
+    w = Window.partitionBy("month").orderBy("date")
+    b = b.withColumns({"nth": F.row_number().over(w), "left": F.row_number().over(Window.partitionBy("month").orderBy(F.desc("date")))})
+    rules = {
+        "fifteenth": F.min(F.when(F.dayofmonth("date") >= 15, F.col("date"))), "tenth_bday": F.max(F.when(F.col("nth") == 10, F.col("date"))),
+        "third_friday": F.max(F.when((F.weekday("date") == 4) & F.dayofmonth("date").between(15, 21), F.col("date"))), "third_last": F.max(F.when(F.col("left") == 3, F.col("date"))),
+    }
+    return b.groupBy("month").agg(*[e.alias(k) for k, e in rules.items()])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaystone.functions.recipe import Ewm, Recipe, fill, lag, pair, s, span, tidy_sql, whole
 from quaystone.operators import seasonal as se
 from quaystone.operators import selection as sl
+from quaystone.operators import market as mk
 from quaystone.operators import research as rs
 from quaystone.plans.market_queries import CAL_SQL, OHLC, _r, _rs, cal
 from quaystone.plans.research_queries import HOLD_SQL, holdings, rets, z_panel, z_sql
@@ -232,13 +233,29 @@ def tenor_mean(sp, sf):
     return _r(fix.unionByName(curve).groupBy("tenor").agg(F.avg("px").alias("px"), F.count("*").alias("n")), "px")
 
 
+def expiry_days(sp, sf):
+    days = read(sp, sf, "lineitem").agg(F.trunc(F.min("l_shipdate"), "month").alias("first"), F.last_day(F.max("l_shipdate")).alias("last"))
+    return mk.expiries(mk.calendar(days))
+
+
+def merged_maps(sp, sf):
+    """Two maps of counts per region merged with weights 2 and -1, missing keys as nothing."""
+    n = read(sp, sf, "nation")
+    def counts(t, key, out):
+        c = read(sp, sf, t).join(n, F.col(key) == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count("*").cast("double").alias("c"))
+        return c.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "c"))).alias(out))  # at most the nations of a region
+    j = counts("customer", "c_nationkey", "a").join(counts("supplier", "s_nationkey", "b"), "n_regionkey")
+    m = F.map_zip_with("a", "b", lambda k, x, y: 2 * F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)))
+    return j.select("n_regionkey", F.explode(m).alias("n_name", "v"))
+
+
 QUERIES = {
     "season_labels": labels, "season_table": season_table, "season_look_back": lambda sp, sf: _r(se.look_back(daily(sp, sf), "close"), "score"), "season_group_score": lambda sp, sf: _r(se.group_score(daily(sp, sf), "close"), "score"), "season_yoy": lambda sp, sf: _r(se.yoy(daily(sp, sf), "close"), "v", "yoy"),
     "season_holidays": lambda sp, sf: _r(se.holiday_windows(cal(sp, sf), HOLIDAYS, 3, 2), "weight"), "season_rules": rules, "pnl_signal_bins": bins, "scen_top": top_scenarios, "scen_greedy": greedy, "xs_leaders": leaders, "xs_pairs": pairs, "ts_beta_hedge": recipe(HEDGE), "ind_ribbon": recipe(RIBBON),
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
-    "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
+    "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
     "stat_bootstrap": lambda sp, sf: _r(sl.bootstrap(rets(sp, sf)), "mean", "sharpe"),
 }
 SQL = {
@@ -268,4 +285,6 @@ SQL = {
     "agg_tenor": f"WITH u AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS tenor, avg(o_totalprice) AS px FROM orders GROUP BY 1 UNION ALL SELECT date_trunc('quarter', l_shipdate)::DATE, avg(l_extendedprice) FROM lineitem GROUP BY 1) SELECT tenor, {tidy_sql('avg(px)')} AS px, count(*) AS n FROM u GROUP BY tenor",
     "stream_session_bars": f"WITH {TICKS_SQL}, p AS (SELECT *, (minute >= 540)::INT + (minute >= 690)::INT + (minute >= 900)::INT AS part FROM ticks) SELECT asset, date, part, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM p GROUP BY asset, date, part",
     "stream_season_stats": f"WITH {TICKS_SQL} SELECT asset, hour(ts)::INT AS hour, count(price) AS n, {tidy_sql('avg(price)')} AS mean, {tidy_sql('stddev_pop(price)')} AS sd FROM ticks WHERE price IS NOT NULL GROUP BY asset, hour(ts)",
+    "cal_expiries": "WITH c AS (SELECT unnest(generate_series(date_trunc('month', min(l_shipdate))::DATE, last_day(max(l_shipdate)::DATE), INTERVAL 1 DAY))::DATE AS date FROM lineitem), b AS (SELECT date, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS nth, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS lft FROM c WHERE isodow(date) <= 5) SELECT month, min(date) FILTER (day(date) >= 15) AS fifteenth, max(date) FILTER (nth = 10) AS tenth_bday, max(date) FILTER (isodow(date) = 5 AND day(date) BETWEEN 15 AND 21) AS third_friday, max(date) FILTER (lft = 3) AS third_last FROM b GROUP BY month",
+    "fn_map_merge": "WITH a AS (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), b AS (SELECT n_regionkey, n_name, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) SELECT n_regionkey, n_name, 2.0::DOUBLE * coalesce(a.c, 0) - coalesce(b.c, 0) AS v FROM a FULL JOIN b USING (n_regionkey, n_name) WHERE n_regionkey IN (SELECT n_regionkey FROM a) AND n_regionkey IN (SELECT n_regionkey FROM b)",
 }
