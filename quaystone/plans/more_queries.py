@@ -255,7 +255,7 @@ QUERIES = {
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
-    "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
+    "stream_indicators": lambda sp, sf: _r(st.running_indicators(sp, sf), "ma", "don_h", "don_l", "rsi"), "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
     "stat_bootstrap": lambda sp, sf: _r(sl.bootstrap(rets(sp, sf)), "mean", "sharpe"),
 }
 SQL = {
@@ -287,4 +287,5 @@ SQL = {
     "stream_season_stats": f"WITH {TICKS_SQL} SELECT asset, hour(ts)::INT AS hour, count(price) AS n, {tidy_sql('avg(price)')} AS mean, {tidy_sql('stddev_pop(price)')} AS sd FROM ticks WHERE price IS NOT NULL GROUP BY asset, hour(ts)",
     "cal_expiries": "WITH c AS (SELECT unnest(generate_series(date_trunc('month', min(l_shipdate))::DATE, last_day(max(l_shipdate)::DATE), INTERVAL 1 DAY))::DATE AS date FROM lineitem), b AS (SELECT date, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS nth, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS lft FROM c WHERE isodow(date) <= 5) SELECT month, min(date) FILTER (day(date) >= 15) AS fifteenth, max(date) FILTER (nth = 10) AS tenth_bday, max(date) FILTER (isodow(date) = 5 AND day(date) BETWEEN 15 AND 21) AS third_friday, max(date) FILTER (lft = 3) AS third_last FROM b GROUP BY month",
     "fn_map_merge": "WITH a AS (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), b AS (SELECT n_regionkey, n_name, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) SELECT n_regionkey, n_name, 2.0::DOUBLE * coalesce(a.c, 0) - coalesce(b.c, 0) AS v FROM a FULL JOIN b USING (n_regionkey, n_name) WHERE n_regionkey IN (SELECT n_regionkey FROM a) AND n_regionkey IN (SELECT n_regionkey FROM b)",
+    "stream_indicators": f"WITH RECURSIVE {TICKS_SQL}, n AS MATERIALIZED (SELECT asset, event_id, price, row_number() OVER w - 1 AS rn, price - lag(price) OVER w AS d, CASE WHEN count(*) OVER x >= 20 THEN avg(price) OVER x END AS ma, CASE WHEN count(*) OVER x >= 20 THEN max(price) OVER x END AS don_h, CASE WHEN count(*) OVER x >= 20 THEN min(price) OVER x END AS don_l FROM ticks WHERE price IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY ts, event_id), x AS (PARTITION BY asset ORDER BY ts, event_id ROWS 19 PRECEDING)), r(asset, rn, up, down) AS (SELECT asset, rn, greatest(d, 0), greatest(-d, 0) FROM n WHERE rn = 1 UNION ALL SELECT n.asset, n.rn, r.up + (greatest(n.d, 0) - r.up) / 14, r.down + (greatest(-n.d, 0) - r.down) / 14 FROM r JOIN n ON n.asset = r.asset AND n.rn = r.rn + 1) SELECT event_id, asset, {_rs('ma', 'don_h', 'don_l')}, {tidy_sql('100 * up / nullif(up + down, 0)')} AS rsi FROM n LEFT JOIN r USING (asset, rn)",
 }

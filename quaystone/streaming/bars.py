@@ -108,3 +108,26 @@ def season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = source(spark, sf_dir).where("value IS NOT NULL").select(F.col("user_id").alias("asset"), F.hour("ts").alias("hour"), "value")
     out = stream.groupBy("asset", "hour").applyInPandasWithState(step, "asset long, hour int, n long, mean double, sd double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
     return latest(run_available(out), "asset", "hour")
+
+
+def running_indicators(spark: SparkSession, sf_dir: str, n: int = 20, m: int = 14) -> DataFrame:
+    """Moving average, channel and relative strength per instrument and tick, from a ring of the last n prices and two running legs."""
+
+    def step(key, frames, state):
+        last, up, down, ring = state.get if state.exists else (None, None, None, [])
+        ring, out = list(ring), []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for event, x in zip(rows["event_id"], rows["value"], strict=True):
+            if last is not None:
+                rise, fall = max(x - last, 0.0), max(last - x, 0.0)
+                up, down = (rise, fall) if up is None else (up + (rise - up) / m, down + (fall - down) / m)
+            last, ring = x, [*ring[-(n - 1) :], x]
+            rsi = 100 * up / (up + down) if up is not None and up + down > 0 else None
+            full = len(ring) == n
+            out.append((event, key[0], sum(ring) / n if full else None, max(ring) if full else None, min(ring) if full else None, rsi))
+        state.update((last, up, down, ring))
+        yield pd.DataFrame(out, columns=["event_id", "asset", "ma", "don_h", "don_l", "rsi"])
+
+    stream = source(spark, sf_dir).where("value IS NOT NULL").select("event_id", "ts", F.col("user_id").alias("asset"), "value")
+    out = stream.groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ma double, don_h double, don_l double, rsi double", "last double, up double, down double, ring array<double>", "append", GroupStateTimeout.NoTimeout)
+    return run_available(out, "append").drop("batch_id")
