@@ -12,7 +12,7 @@ from quaystone.operators import seasonal as se
 from quaystone.operators import selection as sl
 from quaystone.operators import market as mk
 from quaystone.operators import research as rs
-from quaystone.plans.market_queries import CAL_SQL, OHLC, _r, _rs, cal
+from quaystone.plans.market_queries import CAL_SQL, CHAIN_SQL, OHLC, _r, _rs, cal, chained
 from quaystone.plans.research_queries import HOLD_SQL, holdings, rets, z_panel, z_sql
 from quaystone.sources.panels import DAILY_SQL, PRINTS_SQL, TICKS_SQL, bars, bars_sql, daily, prints, read, ticks
 from quaystone.streaming import bars as st
@@ -249,13 +249,31 @@ def merged_maps(sp, sf):
     return j.select("n_regionkey", F.explode(m).alias("n_name", "v"))
 
 
+def season_tilt(sp, sf):
+    """Mean holding of the same day of the former three years, and what is left of the holding: an equality join on the day."""
+    h = holdings(sp, sf).where("holding IS NOT NULL").select("asset", "date", "holding")
+    past = h.select("asset", F.year("date").alias("y"), F.date_format("date", "MM-dd").alias("md"), F.col("holding").alias("v"))
+    now = h.withColumns({"md": F.date_format("date", "MM-dd"), "y": F.explode(F.sequence(F.year("date") - 3, F.year("date") - 1))})
+    out = now.join(past, ["asset", "md", "y"], "left").groupBy("asset", "date").agg(F.max("holding").alias("holding"), F.avg("v").alias("tilt"))
+    return _r(out.select("asset", "date", "tilt", (F.col("holding") - F.col("tilt")).alias("timing")), "tilt", "timing")
+
+
+def cheapest(sp, sf):
+    """The least of several grades' premiums on each segment's last day, by a join on that day and the last known before it."""
+    c = chained(sp, sf).groupBy("asset", "seg_start").agg(F.max("date").alias("date"))
+    o = read(sp, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(*[F.avg(F.when(F.col("o_orderpriority") == k, F.col("o_totalprice"))).alias(n) for k, n in (("1-URGENT", "g1"), ("3-MEDIUM", "g2"), ("5-LOW", "g3"))])
+    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    days = c.select("date").distinct().join(o, "date", "full").withColumns({g: F.last(g, ignorenulls=True).over(w) for g in ("g1", "g2", "g3")})  # a row per day
+    return _r(c.join(days, "date").select("asset", "seg_start", F.col("date").alias("expiry"), F.least("g1", "g2", "g3").alias("premium")), "premium")
+
+
 QUERIES = {
     "season_labels": labels, "season_table": season_table, "season_look_back": lambda sp, sf: _r(se.look_back(daily(sp, sf), "close"), "score"), "season_group_score": lambda sp, sf: _r(se.group_score(daily(sp, sf), "close"), "score"), "season_yoy": lambda sp, sf: _r(se.yoy(daily(sp, sf), "close"), "v", "yoy"),
     "season_holidays": lambda sp, sf: _r(se.holiday_windows(cal(sp, sf), HOLIDAYS, 3, 2), "weight"), "season_rules": rules, "pnl_signal_bins": bins, "scen_top": top_scenarios, "scen_greedy": greedy, "xs_leaders": leaders, "xs_pairs": pairs, "ts_beta_hedge": recipe(HEDGE), "ind_ribbon": recipe(RIBBON),
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
-    "stream_indicators": lambda sp, sf: _r(st.running_indicators(sp, sf), "ma", "don_h", "don_l", "rsi"), "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
+    "stream_indicators": lambda sp, sf: _r(st.running_indicators(sp, sf), "ma", "don_h", "don_l", "rsi"), "pnl_season_tilt": season_tilt, "join_cheapest": cheapest, "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
     "stat_bootstrap": lambda sp, sf: _r(sl.bootstrap(rets(sp, sf)), "mean", "sharpe"),
 }
 SQL = {
@@ -288,4 +306,6 @@ SQL = {
     "cal_expiries": "WITH c AS (SELECT unnest(generate_series(date_trunc('month', min(l_shipdate))::DATE, last_day(max(l_shipdate)::DATE), INTERVAL 1 DAY))::DATE AS date FROM lineitem), b AS (SELECT date, date_trunc('month', date)::DATE AS month, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS nth, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS lft FROM c WHERE isodow(date) <= 5) SELECT month, min(date) FILTER (day(date) >= 15) AS fifteenth, max(date) FILTER (nth = 10) AS tenth_bday, max(date) FILTER (isodow(date) = 5 AND day(date) BETWEEN 15 AND 21) AS third_friday, max(date) FILTER (lft = 3) AS third_last FROM b GROUP BY month",
     "fn_map_merge": "WITH a AS (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), b AS (SELECT n_regionkey, n_name, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) SELECT n_regionkey, n_name, 2.0::DOUBLE * coalesce(a.c, 0) - coalesce(b.c, 0) AS v FROM a FULL JOIN b USING (n_regionkey, n_name) WHERE n_regionkey IN (SELECT n_regionkey FROM a) AND n_regionkey IN (SELECT n_regionkey FROM b)",
     "stream_indicators": f"WITH RECURSIVE {TICKS_SQL}, n AS MATERIALIZED (SELECT asset, event_id, price, row_number() OVER w - 1 AS rn, price - lag(price) OVER w AS d, CASE WHEN count(*) OVER x >= 20 THEN avg(price) OVER x END AS ma, CASE WHEN count(*) OVER x >= 20 THEN max(price) OVER x END AS don_h, CASE WHEN count(*) OVER x >= 20 THEN min(price) OVER x END AS don_l FROM ticks WHERE price IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY ts, event_id), x AS (PARTITION BY asset ORDER BY ts, event_id ROWS 19 PRECEDING)), r(asset, rn, up, down) AS (SELECT asset, rn, greatest(d, 0), greatest(-d, 0) FROM n WHERE rn = 1 UNION ALL SELECT n.asset, n.rn, r.up + (greatest(n.d, 0) - r.up) / 14, r.down + (greatest(-n.d, 0) - r.down) / 14 FROM r JOIN n ON n.asset = r.asset AND n.rn = r.rn + 1) SELECT event_id, asset, {_rs('ma', 'don_h', 'don_l')}, {tidy_sql('100 * up / nullif(up + down, 0)')} AS rsi FROM n LEFT JOIN r USING (asset, rn)",
+    "pnl_season_tilt": f"WITH {HOLD_SQL}, h AS MATERIALIZED (SELECT asset, date, holding, strftime(date, '%m-%d') AS md, year(date) AS y FROM hl WHERE holding IS NOT NULL), g AS (SELECT a.asset, a.date, max(a.holding) AS holding, avg(b.holding) AS tilt FROM h a LEFT JOIN h b ON b.asset = a.asset AND b.md = a.md AND b.y BETWEEN a.y - 3 AND a.y - 1 GROUP BY ALL) SELECT asset, date, {_rs('tilt')}, {tidy_sql('holding - tilt')} AS timing FROM g",
+    "join_cheapest": f"WITH {CHAIN_SQL}, e AS (SELECT asset, seg_start, max(date) AS date FROM ch GROUP BY ALL), o AS (SELECT o_orderdate::DATE AS date, avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS g1, avg(o_totalprice) FILTER (o_orderpriority = '3-MEDIUM') AS g2, avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') AS g3 FROM orders GROUP BY 1), d AS (SELECT coalesce(x.date, o.date) AS date, g1, g2, g3 FROM (SELECT DISTINCT date FROM e) x FULL JOIN o ON x.date = o.date), f AS (SELECT date, last_value(g1 IGNORE NULLS) OVER w AS g1, last_value(g2 IGNORE NULLS) OVER w AS g2, last_value(g3 IGNORE NULLS) OVER w AS g3 FROM d WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT asset, seg_start, date AS expiry, {tidy_sql('least(g1, g2, g3)')} AS premium FROM e JOIN f USING (date)",
 }
