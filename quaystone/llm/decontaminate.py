@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Words are the lower-cased parts of a text between ASCII white space. A fixed mask looks at some words of a window of
-ten and ignores the others, so that a substituted word under an ignored place doesn't hide a copy. The hashes of all
-masked windows of the benchmark and of the documents are joined; a hit places an item on a document (an alignment).
-Around each alignment words are compared in place: an item is found in a document if some window of 20 words (the
+Words are the lower-cased parts of a text between ASCII white space. A fixed mask looks at some words of a short
+window and ignores the others, so that a substituted word under an ignored place doesn't hide a copy. Two masks are
+enough: however the words that may differ lie in a compared window (a quarter of 10 to 20 words), one of the masks
+stands somewhere in it on equal words only. The hashes of all masked windows of the benchmark and of the documents are
+joined; a hit places an item on a document (an alignment). Around each alignment words are compared in place: an item is found in a document if some window of 20 words (the
 whole item if that is shorter) agrees in at least 75 % of its words. Items of fewer than ten words are looked for as
 exact runs of their words.
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.common import cut, small, table, without
 
+#: Lossless for every item of SPAN words or more: together they hit all placements of n // 4 substitutions in n = 10 to 20 words.
+SEED_MASKS = ("11101", "110000101")
+#: The masks of the SQL, which miss some copies with substitutions.
 MASKS = ("1101100111", "1110010111", "1011101101")
 SPAN = 10
 WINDOW, AGREE_PCT = 20, 75
@@ -54,7 +58,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.where(F.col("item_id").isNotNull()).select("item_id", "text")
     item_words = cut(items.select("item_id", words("text").alias("iw")).where(F.size("iw") > 0))
     lengths = [r[0] for r in item_words.where(F.size("iw") < SPAN).select(F.size("iw")).distinct().collect()]  # at most SPAN - 1
-    long_masks = list(enumerate(MASKS))
+    long_masks = list(enumerate(SEED_MASKS))
     short_masks = [(100 + n, "1" * n) for n in sorted(lengths)]
     masks = long_masks + short_masks
     long_items = items.join(item_words.where(F.size("iw") >= SPAN).select("item_id").distinct(), "item_id", "left_semi")

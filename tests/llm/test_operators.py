@@ -158,6 +158,51 @@ def test_substituted_copies_are_found_and_others_left(spark):
     assert got == {1, 3}
 
 
+def test_seed_masks_hit_every_placement_of_substitutions():
+    import itertools
+
+    bits = [[i for i, b in enumerate(m) if b == "1"] for m in decontaminate.SEED_MASKS]
+    assert all(b[0] == 0 and b[-1] == len(m) - 1 for b, m in zip(bits, decontaminate.SEED_MASKS, strict=True))
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        most = n - -(-decontaminate.AGREE_PCT * n // 100)
+        placed = [sum(1 << (at + i) for i in b) for b in bits for at in range(n - b[-1])]
+        for changed in itertools.combinations(range(n), most):
+            bad = sum(1 << i for i in changed)
+            assert any(not bad & p for p in placed), (n, changed)
+
+
+def best_alignments(words, item):
+    """Most agreeing words of each accepted alignment, by trying every shift."""
+    span, out = min(len(item), decontaminate.WINDOW), {}
+    for shift in range(-len(item) + 1, len(words)):
+        same = [0 <= i + shift < len(words) and words[i + shift] == w for i, w in enumerate(item)]
+        agree = max(sum(same[j : j + span]) for j in range(len(item) - span + 1))
+        if 100 * agree >= decontaminate.AGREE_PCT * span if span >= decontaminate.SPAN else agree == span:
+            out[shift] = agree
+    return span, out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in [*range(8, 25), 40]}
+    docs, d = {}, 0
+    for n, item in items.items():
+        for extra in (0, 0, 0, 0, 0, 0, 1):  # as many substitutions as are allowed, and one more
+            copy = item[:20] if n >= 20 else list(item)
+            for i in rng.sample(range(len(copy)), len(copy) // 4 + extra):
+                copy[i] = "zzz"
+            docs[d] = [f"a{d}"] * rng.randint(0, 3) + copy + [f"b{d}"] * rng.randint(0, 3)
+            d += 1
+    want = set()
+    for d, words in docs.items():
+        for n, item in items.items():
+            span, found = best_alignments(words, item)
+            if found:
+                want.add((d, n, span, max(found.values()), len(found)))
+    frame = lambda rows_, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows_.items()], f"{key} long, text string")
+    assert {tuple(r) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5), (200, 100)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
