@@ -66,7 +66,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k, m in short_masks:
         own = item_words.where(F.size("iw") == len(m)).select("item_id").distinct()
         sought = sought.union(seeds(items.join(own, "item_id", "left_semi"), "item_id", [(k, m)]))
-    sought = cut(sought.groupBy("item_id", "seed").agg(F.min("place").alias("item_place")))
+    sought = cut(sought.select("item_id", "seed", F.col("place").alias("item_place")).distinct())
     hits = seeds(docs, "doc_id", masks).join(small(sought), "seed")
     hits = cut(hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
     found = cut(hits.select("doc_id").distinct())

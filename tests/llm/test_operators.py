@@ -203,6 +203,15 @@ def test_decontamination_equals_brute_force(spark):
     assert {tuple(r) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want
 
 
+def test_all_places_of_a_repeated_phrase_are_aligned(spark):
+    phrase, between = [f"p{i}" for i in range(9)], [f"x{i}" for i in range(11)]
+    item = phrase + between + phrase
+    words = ["zzz" if i in (2, 4, 6, 8, 10) else w for i, w in enumerate(between)] + phrase  # only the phrase has whole seeds
+    span, found = best_alignments(words, item)
+    docs, items = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.overlaps(docs, items).collect()] == [(1, 7, span, max(found.values()), len(found))]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5), (200, 100)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
