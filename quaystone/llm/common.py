@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a key table that is sent to every executor; larger ones take part in a shuffled join.
@@ -72,6 +72,11 @@ def as_bytes(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def text_key() -> Column:
+    """The SHA-256 of the text's UTF-8 bytes, a null text as an empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in the one-column frame ids (read twice, so best from cut())."""
     return docs.join(small(ids.toDF("__dropped_id")), F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")

@@ -10,7 +10,7 @@ neighbours don't settle how far its repeats reach is compared with all contexts
 contexts are settled by counting the hashes of all their windows instead.
 
 Cases: null and empty texts have no bytes, and texts under 200 bytes lose none; repeated rows are documents of their
-own; a null doc_id keeps its row; texts are read in parts of 256 KiB, so length doesn't matter; extra columns are
+own, and so are different texts under one doc_id; a null doc_id keeps its row; texts are read in parts of 256 KiB, so length doesn't matter; extra columns are
 ignored.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import BATCH_ROWS, as_bytes, cut, drop_cut, map_batches, small, table
+from quaystone.llm.common import BATCH_ROWS, as_bytes, cut, drop_cut, map_batches, small, table, text_key
 from quaystone.llm.deep_shallow import common, sort
 from quaystone.llm.shingles import mix
 
@@ -93,19 +93,13 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, gram[first], whole[first]
 
 
-def _describe(cols):
-    return [cols[0], [xxhash.xxh3_128_digest(t) for t in cols[1]], [len(t) for t in cols[1]], [hashlib.sha256(t).hexdigest() for t in cols[1]]]
-
-
 def _anchor_batches():
     names, types = ["k", "place", "gram", "whole", "weight"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
         for batch in batches:
             ids, places, grams, wholes, times = [], [], [], [], []
-            for k, text, digest, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if xxhash.xxh3_128_digest(text) != digest:  # another text under the same id
-                    continue
+            for k, text, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 p, g, w = anchors(text)
                 ids.append(np.full(len(p), k, np.int64))
                 places.append(p)
@@ -119,11 +113,9 @@ def _anchor_batches():
 
 
 def _contexts(cols):
-    """From k, text, digest and the places asked for to each place's context."""
+    """From k, text and the places asked for to each place's context."""
     out: list[list] = [[], [], [], [], [], []]
-    for k, text, digest, asked in zip(*cols, strict=True):
-        if xxhash.xxh3_128_digest(text) != digest:
-            continue
+    for k, text, asked in zip(*cols, strict=True):
         for x in asked:
             p = x["place"]
             for c, v in zip(out, (k, p, x["gram"], x["times"], text[max(0, p - LEFT) : p + RIGHT], min(p, LEFT)), strict=True):
@@ -202,9 +194,8 @@ def _window_hashes(cols):
 
 
 def _remove(cols):
-    out: list[list] = [cols[0], [], [], [], [], []]
-    for text, digest, spans in zip(cols[1], cols[2], cols[3], strict=True):
-        good = xxhash.xxh3_128_digest(text) == digest
+    out: list[list] = [*cols[:2], [], [], []]
+    for text, spans in zip(*cols[2:], strict=True):
         merged: list = []
         for low, high in sorted((s["low"], s["high"]) for s in spans):
             if merged and low <= merged[-1][1]:
@@ -216,7 +207,7 @@ def _remove(cols):
             kept.update(text[at:low])
             at = high
         kept.update(text[at:])
-        for c, v in zip(out[1:], (digest, sum(b - a for a, b in merged), len(merged), kept.hexdigest(), good), strict=True):
+        for c, v in zip(out[2:], (sum(b - a for a, b in merged), len(merged), kept.hexdigest()), strict=True):
             c.append(v)
     return out
 
@@ -225,11 +216,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row per document."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    keyed = as_bytes(docs.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID))), "k")
-    described = cut(map_batches(keyed, _describe, "k long, digest binary, n_bytes long, sha string"))
-    classes = cut(described.groupBy("digest").agg(F.min("k").alias("k"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.max("n_bytes").alias("n_bytes")))
-    long_ones = classes.where(F.col("n_bytes") >= SPAN).select("k", "digest", "copies")
-    marked = keyed.join(small(long_ones), "k").select("k", "text", "digest", "copies")
+    keyed = as_bytes(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_key().alias("digest"), "text"), "id", "digest")
+    described = cut(keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
+    # k numbers the distinct texts
+    classes = described.groupBy("digest").agg(F.min("id").alias("id"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    classes = cut(classes.withColumn("k", F.monotonically_increasing_id()))
+    long_ones = classes.where(F.col("n_bytes") >= SPAN).select("id", "digest", "k", "copies")
+    marked = keyed.join(small(long_ones), ["id", "digest"]).select("k", "text", "copies")
     found = cut(marked.mapInArrow(_anchor_batches(), "k long, place long, gram long, whole long, weight int"))
     # contexts, their grams, and what is known of each
     contexts = found.groupBy("gram", "whole").agg(F.sum("weight").alias("times"), F.min(F.struct("k", "place")).alias("at"))
@@ -242,8 +235,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     # the ends of repeats: contexts of grams with several, one of them seen once
     ends = shared.where("variants > 1 and rarest = 1").select("gram", "variants", F.least("times", F.lit(2)).cast("int").alias("times"), "at.*")
     asked = cut(ends.groupBy("k").agg(F.collect_list(F.struct("place", "gram", "times", "variants")).alias("asked")))
-    texts = marked.join(small(asked.select("k")), "k", "left_semi").select("k", "text", "digest")
-    around = texts.join(asked, "k").select("k", "text", "digest", "asked")
+    texts = marked.join(small(asked.select("k")), "k", "left_semi").select("k", "text")
+    around = texts.join(asked, "k").select("k", "text", "asked")
     schema = "k long, place long, gram long, times int, context binary, `left` long"
     crowded = cut(ends.where(F.col("variants") > MOST_SORTED).select("gram").distinct())
     context_rows = cut(map_batches(around, _contexts, schema))
@@ -258,18 +251,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_doc = cut(spans[0].union(spans[1]).union(spans[2]).groupBy("k").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     drop_cut(found)
     drop_cut(context_rows)
-    once = classes.where("copies = 1").select("k", "digest", "n_bytes")
+    once = classes.where("copies = 1").select("id", "k", "n_bytes")
     clipped = F.transform("spans", lambda s: F.struct(s["low"].alias("low"), F.least(s["high"], F.col("n_bytes")).alias("high")))
-    todo = by_doc.join(once, "k").select("k", "digest", clipped.alias("spans"))
-    some = keyed.join(small(by_doc.select("k")), "k", "left_semi").join(todo, "k").select("k", "text", "digest", "spans")
-    done = map_batches(some, _remove, "k long, digest binary, removed long, spans long, kept string, good boolean").where("good").drop("good")
-    out = described.join(small(classes.select("digest", "copies")), "digest").join(done, ["k", "digest"], "left")
+    todo = by_doc.join(once, "k").select("id", "k", clipped.alias("spans"))
+    some = marked.join(small(by_doc.select("k")), "k", "left_semi").join(todo, "k").select("id", "k", "text", "spans")
+    done = map_batches(some, _remove, "id long, k long, removed long, spans long, kept string")
+    out = described.join(small(classes.select("digest", "k", "copies")), "digest").join(done, ["id", "k"], "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
     return out.select(
-        F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "n_bytes",
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, EMPTY_SHA).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(gone, EMPTY_SHA).otherwise(F.coalesce("kept", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
 
 

@@ -25,6 +25,15 @@ def texts() -> list[tuple[int | None, str | None]]:
     ]
 
 
+def shared_ids() -> list[tuple[int | None, str | None]]:
+    """Different texts under one id and under none; parts of some stand in others."""
+    first, second, third, fourth = (sentence(n, 150) for n in (21, 22, 23, 24))
+    return [
+        (1, first + sentence(25, 400) + second), (1, third), (2, second), (2, sentence(26, 30) + first), (None, third[100:] + sentence(27, 200)), (None, fourth), (None, sentence(28, 90) + fourth[:400]),
+        (3, fourth[:350]), (5, first[50:500]), (4, sentence(29, 60)), (4, sentence(30, 700) + third[:300]),
+    ]
+
+
 def documents(spark):
     rows = [(i, t, "en" if (i or 0) % 3 else None, "src", None if t is None else len(t), "b", "k", 1, "s", 5, ["w"], 0.5) for i, t in texts()]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

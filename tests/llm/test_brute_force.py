@@ -92,6 +92,19 @@ def test_repeats_are_removed(spark, corpus):
     same(suffix_dedup.op6_suffix_dedup(spark, folder), want)
 
 
+def test_repeats_in_different_texts_of_one_id(spark, tmp_path):
+    rows = edge.shared_ids()
+    folder = edge.as_table(spark, tmp_path, "documents", spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = collections.Counter(b[p : p + 200] for _, t in rows for b in [t.encode()] for p in range(len(b) - 199))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        gone = {q for p in range(len(b) - 199) if seen[b[p : p + 200]] > 1 for q in range(p, p + 200)}
+        kept = bytes(x for q, x in enumerate(b) if q not in gone)
+        want.append((i, len(b), len(gone), sum(q - 1 not in gone for q in gone), hashlib.sha256(kept).hexdigest()))
+    same(suffix_dedup.op6_suffix_dedup(spark, folder), want)
+
+
 @pytest.mark.parametrize("crowd", [near_dedup.CROWD, -1])
 def test_near_duplicates(spark, corpus, crowd, monkeypatch):
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
