@@ -77,6 +77,40 @@ def text_key() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in the one-column frame ids (read twice, so best from cut())."""
-    return docs.join(small(ids.toDF("__dropped_id")), F.col("doc_id").eqNullSafe(F.col("__dropped_id")), "left_anti")
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows that agree with a row of dropped in all its columns: text_key and others of docs (read twice, so best from cut())."""
+    named = dropped.select(*[F.col(c).alias(f"__{c}") for c in dropped.columns])
+    mine = lambda c: text_key() if c == "text_key" else F.col(c)
+    on = [mine(c).eqNullSafe(F.col(f"__{c}")) for c in dropped.columns]
+    return docs.join(small(named), on, "left_anti")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the former doc_id as __doc_id and a doc_id of its own for each text under an id or without one.
+
+    The first text of an id, by digest, keeps the id; the others get numbers above all ids.
+    """
+    docs = docs.withColumn("__doc_id", F.col("doc_id"))
+    texts = docs.select("doc_id", text_key().alias("text_key"))
+    ids = texts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last"))
+    mixed = cut(ids.where("first <> last").select("doc_id", "first"))
+    others = texts.join(small(mixed), "doc_id").where("text_key <> first").select("doc_id", "text_key")
+    others = cut(others.union(texts.where(F.col("doc_id").isNull())).distinct().withColumn("number", F.monotonically_increasing_id()))
+    most = others.agg(F.max("number")).first()[0]
+    if most is None:
+        return docs
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    start = 0 if high is None else high + 1
+    if start + most >= 2**63:  # no room above: below all ids
+        start = low - 1 - most
+        if start < -(2**63):
+            raise ValueError("the ids leave no room for numbers")
+    found = small(others.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("number") + F.lit(start)).alias("__number")))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & text_key().eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("doc_id", F.coalesce("__number", "doc_id")).drop("__id", "__key", "__number")
+
+
+def without_numbers(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs of numbered() with their former ids, without those of the doc_ids in gone (cut)."""
+    kept = docs.join(small(gone), "doc_id", "left_anti").withColumn("doc_id", F.col("__doc_id"))
+    return kept.select(*[c for c in docs.columns if c != "__doc_id"])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import cut, small, table, without
+from quaystone.llm.common import cut, numbered, small, table, without_numbers
 
 #: Lossless for every item of SPAN words or more: together they hit all placements of n // 4 substitutions in n = 10 to 20 words.
 SEED_MASKS = ("11101", "110000101")
@@ -88,8 +88,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no item is found."""
-    return without(docs, cut(overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
+    """The documents in which no item is found, decided per text."""
+    docs = numbered(docs)
+    return without_numbers(docs, cut(overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
 
 
 def _seed_sql(source: str, key: str) -> str:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import as_bytes, cut, map_batches, small, table, without
+from quaystone.llm.common import as_bytes, cut, map_batches, numbered, small, table, without_numbers
 from quaystone.llm.components import components
 from quaystone.llm.shingles import lower_words, mix, shingle_set
 
@@ -230,9 +230,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id; of its repeated rows all stay."""
+    """One document of each group, decided per text: the least id's; of its repeated rows all stay. Second texts of an id and those without one come after all others."""
+    docs = numbered(docs)
     linked = link(docs)
-    return without(docs, cut(linked.where("doc_id <> component_id").select("doc_id").distinct()))
+    return without_numbers(docs, cut(linked.where("doc_id <> component_id").select("doc_id").distinct()))
 
 
 QUERIES = {"op10_near_dedup": op10_near_dedup}

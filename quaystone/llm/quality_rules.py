@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import as_bytes, cut, map_batches, small, table, without
+from quaystone.llm.common import as_bytes, cut, map_batches, small, table, text_key, without
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -60,14 +60,14 @@ def count_text(text: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def _count_batch(cols):
-    counted = [count_text(t) for t in cols[2]]
-    return [*cols[:2], *zip(*counted, strict=True)] if counted else [[] for _ in range(8)]
+    counted = [count_text(t) for t in cols[3]]
+    return [*cols[:3], *zip(*counted, strict=True)] if counted else [[] for _ in range(9)]
 
 
 def count_documents(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, the counts and the metrics, a row per document."""
-    src = as_bytes(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text"), "doc_id", "stratum")
-    out = map_batches(src, _count_batch, f"doc_id long, stratum string, {COUNTS}")
+    """doc_id, stratum, the text's key, the counts and the metrics, a row per document."""
+    src = as_bytes(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), text_key().alias("text_key"), "text"), "doc_id", "stratum", "text_key")
+    out = map_batches(src, _count_batch, f"doc_id long, stratum string, text_key binary, {COUNTS}")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumns({
         "symbol_ratio": ratio("n_symbols", "word_chars"),
@@ -131,9 +131,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept; of a doc_id on several rows all must pass."""
+    """The documents that are kept, decided per row."""
     judged = judge(docs, table(spark, sf_dir, "labels"))
-    return without(docs, cut(judged.where(~F.col("kept")).select("doc_id").distinct()))
+    return without(docs, cut(judged.where(~F.col("kept")).select("doc_id", "text_key", F.col("stratum").alias("lang")).distinct()))
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

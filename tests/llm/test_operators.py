@@ -57,6 +57,21 @@ def test_stages_on_awkward_documents(spark, tmp_path):
     assert "[assign]" in text[15]["text"] and "AKIA" not in text[15]["text"] and text[15]["n_chars"] == len(text[15]["text"]) and text[0]["text"] is None
 
 
+def test_stages_decide_per_row(spark, tmp_path):
+    """Clean texts stay where another text under their id, or without an id, goes."""
+    clean, other, third, item = (edge.sentence(n, 80) for n in (31, 32, 33, 34))
+    texts = [(1, clean), (2, clean + " end"), (2, other), (None, third), (None, "short"), (None, None), (3, "short"), (3, item), (4, item + " more"), (4, edge.sentence(35, 80)), (None, item + " x")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    edge.as_table(spark, tmp_path, "benchmark", spark.createDataFrame([(1, item)], "item_id long, text string"))
+    folder = edge.as_table(spark, tmp_path, "labels", spark.createDataFrame([], "doc_id long, quality int"))
+    got = lambda stage: sorted(((r[0], r[1]) for r in stage(spark, docs, folder).select("doc_id", "text").collect()), key=repr)
+    assert got(quality_rules.stage) == sorted((x for x in texts if x[1] not in ("short", None)), key=repr)
+    assert got(decontaminate.stage) == sorted((x for x in texts if not x[1] or item not in x[1]), key=repr)
+    near = got(near_dedup.stage)
+    assert {(1, clean), (2, other), (None, third), (None, None), texts[9]} <= set(near) and texts[1] not in near
+    assert sum(item in (t or "") for _, t in near) == 1 and near_dedup.stage(spark, docs, folder).columns == docs.columns
+
+
 def test_pipeline_equals_its_stages_and_plain_forms(spark):
     """Rows of the whole pipeline against one worked out by hand from the operators' own queries."""
     import hashlib
