@@ -8,8 +8,10 @@ it in at least one band (one hash each). A template with 75 % of its shingles in
 0.75 (m/2 + 1) / (2m + m/2 + 1), over 0.15, so 64 bands miss it with a probability below (1 - 0.15)^64 < 4e-5.
 
 A match is verified on the shingles themselves: at least 75 % of the template's distinct shingles in the two windows
-around it, and reported as the span of words from the first to the last of them; of spans of one template that overlap
-the fullest stands.
+around it. From each of them on the shortest stretch that holds so many is taken, and goes on over further shingles of
+the template until one comes back, which belongs to the next copy; so words put into a copy don't hide it. Reported is
+the span of words of a stretch; of spans of one template that overlap the fullest stands, then the one in the
+template's order, then the shortest.
 
 Cases: null and empty texts and those of fewer than five words hold nothing; repeated documents each get their rows;
 templates of fewer than five words are refused; extra columns are ignored.
@@ -56,17 +58,41 @@ def chance(similarity: float, bands: int = BANDS) -> float:
 
 @cache
 def _classes(templates: tuple[tuple[str, str], ...]):
-    """By class size: names, sorted distinct shingles and minima of its templates."""
+    """By class size: names, sorted distinct shingles, places of all shingles by value and minima of its templates."""
     out: dict[int, list] = {}
     for name, text in templates:
         words = license_words(text.encode())
         if len(words) < WIDTH:
             raise ValueError(f"{name} has fewer than {WIDTH} words")
-        s = np.unique(windows(words))
-        out.setdefault(1 << (len(words) - WIDTH).bit_length(), []).append((name, s, (s * _A[:, None]).min(axis=1)))
+        every = windows(words)
+        s, at = np.unique(every), {}
+        for i, x in enumerate(every.tolist()):
+            at.setdefault(x, []).append(i)
+        out.setdefault(1 << (len(words) - WIDTH).bit_length(), []).append((name, s, at, (s * _A[:, None]).min(axis=1)))
     return dict(sorted(out.items()))
 
 
+def stretches(place: list[int], values: list[int], at: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
+    """(distinct shingles, steps back in the template, first place, last place) of the stretch from each place that holds enough."""
+    out = []
+    for s in range(len(place)):
+        seen: dict[int, int] = {}
+        back, last = 0, -1
+        for e in range(s, len(place)):
+            v = values[e]
+            times = seen.get(v, 0)
+            if times >= len(at[v]) and 100 * len(seen) >= CONTAINED_PCT * len(at):
+                e -= 1
+                break
+            seen[v] = times + 1
+            now = at[v][min(times, len(at[v]) - 1)]
+            back, last = back + (now < last), now
+        if 100 * len(seen) < CONTAINED_PCT * len(at):
+            break  # nor from any later place
+        out.append((len(seen), back, place[s], place[e]))
+    return out
+
+
 def find(words: list[bytes], templates=tuple(TEMPLATES.items())) -> list[tuple[str, int, int, int, int]]:
     """(template, first word, end, shingles found, shingles of the template), by place."""
     if len(words) < WIDTH:
@@ -79,23 +105,18 @@ def find(words: list[bytes], templates=tuple(TEMPLATES.items())) -> list[tuple[s
         for m, members in classes.items():
             blocks = np.minimum.reduceat(hashed, np.arange(0, len(part), m), axis=1) if m > 1 else hashed
             mins = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            for name, own, least in members:
+            for name, own, own_at, least in members:
                 for b in np.flatnonzero((mins == least[:, None]).any(axis=0)):
                     low, high = max(0, at + (int(b) - 1) * m), at + (int(b) + 3) * m
                     near = shingles[low:high]
                     place = np.flatnonzero(np.isin(near, own))
-                    if not len(place):
+                    if 100 * len(place) < CONTAINED_PCT * len(own):
                         continue
-                    # the best stretch as long as the template, so that two copies nearby stay apart
-                    first = [int(p) for p in place]
-                    best = max(((len(np.unique(near[s : s + len(own)])[np.isin(np.unique(near[s : s + len(own)]), own)]), -s) for s in first))
-                    if 100 * best[0] >= CONTAINED_PCT * len(own):
-                        s = -best[1]
-                        inside = [p for p in first if s <= p < s + len(own)]
-                        hits.setdefault((name, len(own)), []).append((best[0], low + inside[0], low + inside[-1] + WIDTH))
+                    for n, back, first, last in stretches(place.tolist(), near[place].tolist(), own_at):
+                        hits.setdefault((name, len(own)), []).append((n, back, low + first, low + last + WIDTH))
     for (name, size), spans in hits.items():
         kept: list = []
-        for n, a, b in sorted(set(spans), key=lambda x: (-x[0], x[1])):
+        for n, _, a, b in sorted(set(spans), key=lambda x: (-x[0], x[1], x[3] - x[2], x[2])):
             if all(b <= c or a >= d for _, c, d in kept):
                 kept.append((n, a, b))
         out += [(name, a, b, n, size) for n, a, b in kept]

@@ -294,6 +294,16 @@ def test_license_bands_guarantee():
     assert [x[0] for x in license_scan.find(license_scan.license_words(text.encode()))] == ["MIT-text"]
 
 
+@pytest.mark.parametrize("name, inserted", [("Apache-2.0-header", 12), ("MPL-2.0-header", 4), ("MIT-text", 24)])
+def test_licenses_with_inserted_words_are_found(name, inserted):
+    own = license_scan.license_words(license_scan.TEMPLATES[name].encode())
+    extra = [b"x%d" % i for i in range(inserted)]
+    copy = own[: len(own) // 2] + extra + own[len(own) // 2 :]
+    for copies in (1, 2):  # two copies stay apart
+        got = [x[:3] for x in license_scan.find([b"before"] * 9 + copy * copies + [b"after"] * 9) if x[0] == name]
+        assert got == [(name, 9 + i * len(copy), 9 + (i + 1) * len(copy)) for i in range(copies)]
+
+
 def test_decoding_round_trip(spark):
     docs = edge.documents(spark)
     out = sentence_pieces.decoded(sentence_pieces.token_ids(docs))
