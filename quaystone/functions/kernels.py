@@ -32,14 +32,21 @@ def scan(df: DataFrame, step: Callable, inputs: list[str], states: dict[str, flo
     return kept.groupBy(*keys).applyInPandas(run, schema + "".join(f", `{n}` double" for n in names))
 
 
-def hysteresis(enter: float, gap: float) -> Callable:
-    """Take the signal's side beyond enter; give it up when the signal falls back by gap, or turn if it is beyond enter on the other side."""
+def hysteresis(enter: float, gap: float, side_only: bool = True) -> Callable:
+    """Flat on the first row; take the signal's side (or the signal itself) beyond enter, and give it up when the signal falls back by gap.
+
+    A held position is kept while the signal is null; states: position and whether a row has been seen.
+    """
 
     def step(state, x):
-        side = state[0]
-        if side and x * side > enter - gap:
-            return (side,)
-        return (float(np.sign(x)) if abs(x) > enter else 0.0,)
+        held, seen = state
+        if not seen:
+            return 0.0, 1.0
+        take = (float(np.sign(x)) if side_only else x) if abs(x) > enter else 0.0
+        if held == 0:
+            return take, 1.0
+        side = 1.0 if held > 0 else -1.0
+        return (take if x * side <= enter - gap else held), 1.0
 
     return step
 

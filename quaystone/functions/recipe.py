@@ -58,6 +58,34 @@ def quantile(x: str, p: float, n: int, least: int | None = None, shift: int = 0)
     return Ex(col, f"CASE WHEN count({x}) OVER ({frame}) >= {least} THEN quantile_cont({x}, {p}) OVER ({frame}) END")
 
 
+@dataclass(frozen=True)
+class RollingQuantile:
+    """A quantile of the last n rows with linear interpolation, from a sorted window that moves along an asset's history.
+
+    A window aggregate would sort n values for every row; here one asset's daily history is a group, in Arrow batches.
+    """
+
+    out: str
+    x: str
+    p: float
+    n: int
+    least: int
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        df = df.withColumn(self.out, F.expr(self.x).cast("double"))
+
+        def quantiles(pdf):
+            pdf = pdf.sort_values("date", ignore_index=True)
+            pdf[self.out] = pdf[self.out].rolling(self.n, min_periods=self.least).quantile(self.p)
+            return pdf
+
+        return df.groupBy(*ASSET).applyInPandas(quantiles, df.schema)
+
+    def sql(self, prev: str) -> str:
+        frame = f"{_over(ASSET, DATE)} ROWS BETWEEN {self.n - 1} PRECEDING AND CURRENT ROW"
+        return f"SELECT *, CASE WHEN count({self.x}) OVER ({frame}) >= {self.least} THEN quantile_cont({self.x}, {self.p}) OVER ({frame}) END AS {self.out} FROM {prev}"
+
+
 def pair(fn: str, y: str, x: str, n: int) -> Ex:
     """A two-column aggregate (corr, covar_samp, regr_slope, ...) over n rows in which both aren't null."""
     both = f"CASE WHEN ({y}) IS NOT NULL AND ({x}) IS NOT NULL THEN 1 END"
@@ -222,7 +250,7 @@ class Recipe:
 
     def apply(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
-            if isinstance(step, Ewm):
+            if isinstance(step, (Ewm, RollingQuantile)):
                 df = step.apply(df)
             elif isinstance(step, Where):
                 df = df.where(step.text)
@@ -238,7 +266,7 @@ class Recipe:
         """base: WITH items that end in one called s0."""
         items, prev = [base], "s0"
         for i, step in enumerate(self.steps, 1):
-            if isinstance(step, Ewm):
+            if isinstance(step, (Ewm, RollingQuantile)):
                 body = step.sql(prev)
             elif isinstance(step, Where):
                 body = f"SELECT * FROM {prev} WHERE {step.text}"

@@ -18,10 +18,11 @@ def scores() -> Recipe:
     return Recipe([*SIGNAL, {"xm": whole("avg", "sig", DATE), "xsd": whole("stddev_samp", "sig", DATE), "n": whole("count", "sig", DATE)}, {"demeaned": s("sig - xm"), "score": s("(sig - xm) / nullif(xsd, 0)")}], ("xm", "demeaned", "score", "n"))
 
 
-def ranks(cut: float = 0.0) -> Recipe:
-    """Average-tie ranks around the median, scaled so that weights' absolute sum is 2; ranks within the cut share of the middle drop out."""
+def ranks(tails: float | None = None) -> Recipe:
+    """Average-tie ranks around the median, scaled so that weights' absolute sum is 2; with tails (below 0.5) only that share of ranks at either end has a weight."""
+    kept = "c" if tails is None else f"CASE WHEN c <= -1 + {2 * tails} OR c >= 1 - {2 * tails} THEN c ELSE 0 END"
     return Recipe(
-        [*SIGNAL, {"r": rank_avg("sig"), "n": whole("count", "sig", DATE)}, {"c": s("r - (n + 1) / 2.0")}, {"kept": s(f"CASE WHEN abs(c) >= {cut} * n / 2.0 THEN c ELSE 0 END")}, {"total": whole("sum", "abs(kept)", DATE)}, {"weight": s("2 * kept / nullif(total, 0)")}],
+        [*SIGNAL, {"r": rank_avg("sig"), "n": whole("count", "sig", DATE)}, {"rm": median("r")}, {"c": s("2 * (r - rm) / nullif(n - 1.0, 0)")}, {"kept": s(kept)}, {"total": whole("sum", "abs(kept)", DATE)}, {"weight": s("2 * kept / nullif(total, 0)")}],
         ("r", "weight"),
     )
 

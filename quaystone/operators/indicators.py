@@ -192,9 +192,14 @@ def pct_channel(n: int = 20, pct: float = 50) -> Recipe:
 
 
 def value_chart(n: int = 10, rng: int = 8) -> Recipe:
+    """Prices around the mean bar in units of the range: of five spans of rng bars, or (n of 7 and less) of the last n bars' true range."""
+    mean = {"h_mean": roll("avg", "high", n), "l_mean": roll("avg", "low", n)}
+    if n > 7:
+        steps: list = [{"va": roll("max", "high", rng), "vi": roll("min", "low", rng)}, {"v": s("va - vi")}, {f"v{k}": lag("v", k * rng) for k in range(1, 5)}, {"unit": s("(v + v1 + v2 + v3 + v4) / 25")}]
+    else:
+        steps = [{"pc": lag("close")}, {"tr": s("greatest(high - low, abs(close - pc))")}, {"tr_mean": roll("avg", "tr", n)}, {"unit": s("tr_mean * 0.16")}]
     return Recipe(
-        [{"va": roll("max", "high", rng), "vi": roll("min", "low", rng), "h_mean": roll("avg", "high", n), "l_mean": roll("avg", "low", n)}, {"v": s("va - vi"), "mid": s("(h_mean + l_mean) / 2")},
-         {f"v{k}": lag("v", k * rng) for k in range(1, 5)}, {"unit": s("(v + v1 + v2 + v3 + v4) / 25")}, {f"vci_{x[0]}": s(f"({x} - mid) / nullif(unit, 0)") for x in ("open", "high", "low", "close")}],
+        [mean, {"mid": s("(h_mean + l_mean) / 2")}, *steps, {f"vci_{x[0]}": s(f"({x} - mid) / nullif(unit, 0)") for x in ("open", "high", "low", "close")}],
         ("vci_o", "vci_h", "vci_l", "vci_c"),
     )
 
@@ -212,9 +217,60 @@ def slope(n: int = 10) -> Recipe:
     return Recipe([{"lr_slope": pair("regr_slope", "close", "rn", n)}], ("lr_slope",))
 
 
-def dvo(n: int = 2, m: int = 60) -> Recipe:
-    """The percentile (mean of strict and weak) of the last theta among m of them."""
-    return Recipe([{"ratio": s("close / nullif((high + low) / 2, 0)")}, {"theta": roll("avg", "ratio", n)}, {"dvo": pct_rank("theta", m)}], ("dvo",))
+def dvo(weights: tuple[float, float, float, float] = (0.5, 0.5, 0.0, 0.0), smooth: tuple[float, ...] = (0.5, 0.5), m: int = 60) -> Recipe:
+    """Close over a weighted price (high, low, open, close), smoothed (the newest row's weight first); its percentile (mean of strict and weak) among m."""
+    mix = " + ".join(f"{w} * {x}" for w, x in zip(weights, ("high", "low", "open", "close"), strict=True))
+    theta = " + ".join(f"{w} * r{k}" for k, w in enumerate(smooth))
+    return Recipe([{"r0": s(f"close / nullif({mix}, 0)")}, {f"r{k}": lag("r0", k) for k in range(1, len(smooth))}, {"theta": s(theta)}, {"dvo": pct_rank("theta", m)}], ("dvo",))
+
+
+def tail_mean(n: int = 20, pct: float = 0.5, direction: int = 1, x: str = "close") -> Recipe:
+    """Mean of the former n values at or beyond their quantile (above it, or below it with direction -1), weighted by rank from the top and by recency."""
+    beyond = ">=" if direction > 0 else "<="
+    frame = f"PARTITION BY asset ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"
+
+    def col():
+        w = Window.partitionBy("asset").orderBy("date").rowsBetween(-n, -1)
+        return F.collect_list(F.expr(x)).over(w)
+
+    kept = Ex(lambda: F.expr(f"filter(seen, v -> v {beyond} cut)"), f"list_filter(seen, lambda v: v {beyond} cut)")
+    rank = "CASE WHEN y > v THEN 1.0 WHEN y = v THEN 0.5 ELSE 0.0 END"
+    ranks = Ex(
+        lambda: F.expr(f"transform(kept, (v, i) -> (aggregate(transform(kept, y -> double({rank})), 0D, (a, z) -> a + z) + 0.5D) * (i + 1))"),
+        f"list_transform(kept, lambda v, i: (list_sum(list_transform(kept, lambda y: ({rank})::DOUBLE)) + 0.5) * i)",
+    )
+    total = Ex(lambda: F.expr("aggregate(w, 0D, (a, y) -> a + y)"), "list_sum(w)")
+    value = Ex(lambda: F.expr("aggregate(zip_with(kept, w, (a, b) -> a * b), 0D, (a, y) -> a + y)"), "list_sum(list_transform(list_zip(kept, w), lambda z: z[1] * z[2]))")
+    return Recipe(
+        [{"seen": Ex(col, f"list({x}) OVER ({frame})"), "cut": quantile(x, pct, n, shift=1)}, {"kept": kept}, {"w": ranks}, {"top": value, "bottom": total}, {"tail_mean": s("CASE WHEN cut IS NOT NULL THEN top / nullif(bottom, 0) END")}],
+        ("tail_mean",),
+    )
+
+
+def spearman_p(r: str, n: int) -> str:
+    """The two-sided p-value of a rank correlation of n pairs, from the closed form of the t distribution with n - 2 degrees."""
+    df, size = n - 2, f"abs({r})"
+    cos2, term, total = f"(1 - {r} * {r})", 1.0, "1.0" if df > 1 else "0.0"
+    odd = df % 2
+    for k in range(2 + odd, df - 1, 2):
+        term *= (k - 1) / k
+        total += f" + {term!r} * pow({cos2}, {(k - odd) / 2})"
+    inside = f"2 / pi() * (asin({size}) + {size} * sqrt({cos2}) * ({total}))" if odd else f"{size} * ({total})"
+    return f"1 - ({inside})"
+
+
+def ribbon(spans: tuple[int, ...] = (5, 10, 20, 40)) -> Recipe:
+    """Rank correlation of exponential means with their order (per cent), its p-value (per cent), and their width."""
+    n, last = len(spans), max(spans) - 1
+    ranks = {f"k{m}": s("1 + " + " + ".join(f"CASE WHEN e{o} < e{m} THEN 1 ELSE 0 END" for o in spans if o != m)) for m in spans}
+    apart = " + ".join(f"(k{m} - {n - i}) * (k{m} - {n - i})" for i, m in enumerate(spans))
+    ends = ", ".join(f"e{m}" for m in spans)
+    return Recipe(
+        [Ewm(f"e{m}", "close", span(m)) for m in spans]
+        + [ranks, {"rho": s(f"CASE WHEN rn >= {last} THEN 1 - 6.0 * ({apart}) / {n * (n * n - 1)}.0 END")}]
+        + [{"corr": s("100 * rho"), "p_value": s(f"100 * ({spearman_p('rho', n)})"), "dist": s(f"CASE WHEN rn >= {last} THEN greatest({ends}) - least({ends}) END")}],
+        ("corr", "p_value", "dist"),
+    )
 
 
 def pct_rank(x: str, n: int):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quaystone.functions.recipe import Ewm, Ex, Recipe, Where, fill, fill_back, halflife, lag, pair, quantile, roll, run, s, span, whole
-from quaystone.operators.indicators import pct_rank
+from quaystone.functions.recipe import Ewm, Ex, Recipe, RollingQuantile, Where, com, fill, fill_back, halflife, lag, pair, roll, run, s, span, whole
 
 RET = [{"pc": lag("close")}, {"ret": s("ln(close / pc)"), "pct": s("close / pc - 1")}]
 
@@ -35,25 +34,65 @@ def ewm_stats(n: float = 20) -> Recipe:
     return Recipe([Ewm("em", "close", span(n)), Ewm("esd", "close", span(n), stat="std", least=2), Ewm("half", "close", halflife(10), least=10), {"z_ewm": s("(close - em) / nullif(esd, 0)"), "norm": s("close / nullif(esd, 0)")}], ("em", "esd", "half", "z_ewm", "norm"))
 
 
-def robust_vol(days: int = 35, floor: int = 250, least: int = 50) -> Recipe:
-    return Recipe([*RET, Ewm("vol", "ret", span(days), stat="std", least=10), {"floor_vol": quantile("vol", 0.05, floor, least=least)}, {"held": s("CASE WHEN vol IS NOT NULL THEN greatest(vol, coalesce(floor_vol, 0), 1e-10) END")}, {"robust": fill_back("held")}], ("robust",))
+def robust_steps(out: str, x: str, days: int = 35, least: int = 10, smallest: float = 1e-8, floor_p: float = 0.05, floor_least: int = 100, floor_days: int = 500) -> list:
+    """The exponential deviation of x, at least smallest and at least a low quantile of its own past (none before floor_least values)."""
+    return [
+        Ewm(f"{out}_v", x, span(days), stat="std", least=least),
+        {f"{out}_a": s(f"CASE WHEN {out}_v < {smallest!r} THEN {smallest!r} ELSE {out}_v END")},
+        RollingQuantile(f"{out}_q", f"{out}_a", floor_p, floor_days, floor_least),
+        {f"{out}_f": fill(f"{out}_q")},
+        {out: s(f"CASE WHEN {out}_a IS NOT NULL THEN greatest({out}_a, coalesce({out}_f, 0)) END")},
+    ]
 
 
-def ewmac(fast: int = 8, slow: int = 32, vol: int = 35) -> Recipe:
-    return Recipe([{"pc": lag("close")}, {"d": s("close - pc")}, Ewm("ef", "close", span(fast)), Ewm("es", "close", span(slow)), Ewm("vd", "d", span(vol), stat="std", least=5), {"ewmac": s("(ef - es) / nullif(vd, 0)")}], ("ewmac",))
+def robust_vol(backfill: bool = False, **how) -> Recipe:
+    steps = [*RET, *robust_steps("robust", "ret", **how)]
+    if backfill:
+        steps += [{"held": fill("robust")}, {"robust_all": fill_back("held")}]
+    return Recipe(steps, ("robust_all" if backfill else "robust",))
 
 
-def ewmac_grid() -> Recipe:
-    """The mean of several fast and slow pairs, each scaled by the changes' deviation."""
-    pairs = ((4, 16), (8, 32), (16, 64))
-    steps: list = [{"pc": lag("close")}, {"d": s("close - pc")}, Ewm("vd", "d", span(35), stat="std", least=5)]
-    for n in sorted({x for p in pairs for x in p}):
-        steps.append(Ewm(f"e{n}", "close", span(n)))
-    return Recipe([*steps, {"grid": s("(" + " + ".join(f"(e{a} - e{b})" for a, b in pairs) + f") / {len(pairs)}.0 / nullif(vd, 0)")}], ("grid",))
+def ewmac(fast: int = 8, slow: int = 32, x: str = "close", vol: int = 35) -> Recipe:
+    return Recipe([{"px": lag(x)}, {"d": s(f"({x}) - px")}, Ewm("ef", x, span(fast)), Ewm("es", x, span(slow)), *robust_steps("rv", "d", days=vol), {"ewmac": s("(ef - es) / nullif(rv, 0)")}], ("ewmac",))
 
 
-def pct_scores(n: int = 60) -> Recipe:
-    return Recipe([{"pr": pct_rank("close", n)}, {"unit": s("pr / 100"), "balanced": s("pr / 50 - 1")}], ("unit", "balanced"))
+def ewmac_grid(fast: tuple[int, ...] = (4, 8, 16), slow: tuple[int, ...] = (16, 32, 64), x: str = "close", vol: int | None = None) -> Recipe:
+    """The mean over all pairs of a fast and a slower span, over robust volatility of changes or (vol) over their own deviation."""
+    pairs = [(a, b) for a in fast for b in slow if a < b]
+    steps: list = [{"px": lag(x)}, {"d": s(f"({x}) - px")}]
+    steps += [Ewm(f"e{n}", x, span(n)) for n in sorted({n for p in pairs for n in p})]
+    if vol is None:
+        steps += robust_steps("rv", "d")
+        steps.append({f"g{a}_{b}": s(f"(e{a} - e{b}) / nullif(rv, 0)") for a, b in pairs})
+    else:
+        steps += [Ewm(f"v{a}_{b}", f"e{a} - e{b}", span(vol), stat="std", least=10) for a, b in pairs]
+        steps.append({f"g{a}_{b}": s(f"(e{a} - e{b}) / nullif(v{a}_{b}, 0)") for a, b in pairs})
+    return Recipe([*steps, {"grid": s(mean_of([f"g{a}_{b}" for a, b in pairs]))}], ("grid",))
+
+
+def mean_of(names: list[str]) -> str:
+    """The mean of those of some columns that aren't null."""
+    total = " + ".join(f"coalesce({n}, 0)" for n in names)
+    count = " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE 1 END" for n in names)
+    return f"({total}) / nullif(({count}) * 1.0, 0)"
+
+
+def at_most(x: str, n: int) -> Ex:
+    """How many of the last n rows are at most this one; null until n rows have a value."""
+    frame = f"PARTITION BY asset ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
+
+    def col():
+        w = Window.partitionBy("asset").orderBy("date").rowsBetween(-(n - 1), 0)
+        seen = F.collect_list(F.expr(x)).over(w)
+        return F.when((F.count(F.expr(x)).over(w) >= n) & F.expr(x).isNotNull(), F.size(F.filter(seen, lambda v: v <= F.expr(x))))
+
+    return Ex(col, f"CASE WHEN count({x}) OVER ({frame}) >= {n} AND {x} IS NOT NULL THEN len(list_filter(list({x}) OVER ({frame}), lambda v: v <= {x})) END")
+
+
+def pct_scores(n: int = 60, x: str = "close", lowest: bool = False) -> Recipe:
+    """The place of the last value among n, from 0 (least) to 1, or from 1 down (lowest), and from -1 to 1."""
+    unit = f"(r - 1) / ({n} - 1.0)"
+    return Recipe([{"r": at_most(x, n)}, {"unit": s(f"1 - {unit}" if lowest else unit)}, {"balanced": s("2 * unit - 1")}], ("unit", "balanced"))
 
 
 def past_percentile(n: int = 40) -> Recipe:
@@ -71,41 +110,74 @@ def past_percentile(n: int = 40) -> Recipe:
     return Recipe([{"pc": lag("close")}, {"d": s("close - pc")}, {"past_pct": below("close"), "abs_pct": below("abs(d)")}, {"signed_pct": s("CASE WHEN d IS NOT NULL THEN sign(d) * abs_pct END")}], ("past_pct", "signed_pct"))
 
 
-def hl_kdj(n: int = 14) -> Recipe:
-    return Recipe(
-        [{"hi": roll("max", "close", n), "lo": roll("min", "close", n)}, {"rsv": s("(close - lo) / nullif(hi - lo, 0)")}, {"hl_ratio": s("2 * rsv - 1")}, Ewm("k", "rsv", 1 / 3, adjust=False), Ewm("d", "k", 1 / 3, adjust=False), {"j": s("3 * k - 2 * d")}],
-        ("hl_ratio", "k", "d", "j"),
-    )
+def kdj_steps(out: str, x: str, n: int, smooth: int = 3, lead: int = 3) -> list:
+    """The place in the range of n rows around zero, its mean over smooth rows, and the line that leads by lead."""
+    return [
+        {f"{out}_h": roll("max", x, n), f"{out}_l": roll("min", x, n)},
+        {f"{out}_k": s(f"({x} - {out}_l) / nullif({out}_h - {out}_l, 0) - 0.5")},
+        {f"{out}_d": roll("avg", f"{out}_k", smooth)},
+        {out: s(f"{lead} * {out}_k - {lead - 1} * {out}_d")},
+    ]
+
+
+def hl_kdj(n: int = 14, x: str = "close") -> Recipe:
+    return Recipe([*kdj_steps("j", x, n), {"hl_ratio": s("2 * j_k"), "k": s("j_k"), "d": s("j_d")}], ("hl_ratio", "k", "d", "j"))
 
 
-def conv_signal(kind: str, wins: tuple[int, ...] = (10, 15, 20), cap: float = 2.0, vol: int = 20) -> Recipe:
-    """One of the signal methods averaged over a range of windows, each capped."""
-    steps: list = [{"pc": lag("close")}, {"d": s("close - pc")}, {"dv": roll("stddev_samp", "d", vol)}]
+def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list, dict[int, str]]:
+    """The steps of a signal method and its value per window."""
+    half = vol // 2
+    shared: dict[str, list] = {
+        "ma": [{"scale": roll("avg", f"abs({x})", vol, least=half)}], "mad": [{"scale": roll("stddev_samp", x, vol, least=half)}],
+        "ema": [Ewm("scale", f"abs({x})", com(vol))], "emad": [Ewm("scale", x, com(vol), stat="std", least=2)],
+        "ewmac": [{"px": lag(x)}, {"dx": s(f"({x}) - px")}, *robust_steps("scale", "dx")], "zscore_adj": [{"px": lag(x)}, {"dx": s(f"({x}) - px")}],
+    }
+    steps, value = list(shared.get(kind, [])), {}
     for n in wins:
-        o = f"x{n}"
-        if kind in ("ema", "emad", "ema_sgn", "ema_dff", "ema_dff_sgn"):
-            steps.append(Ewm(f"e{n}", "d" if kind.startswith("ema_dff") else "close", span(n), least=n))
-            value = {"ema": f"e{n}", "emad": f"(close - e{n}) / nullif(dv, 0)", "ema_sgn": f"sign(close - e{n})", "ema_dff": f"e{n} / nullif(dv, 0)", "ema_dff_sgn": f"sign(e{n})"}[kind]
+        m = f"m{n}"
+        if kind in ("ma", "mad"):
+            steps.append({m: roll("avg", x, n, least=n // 2)})
+            value[n] = f"{m} / nullif(scale, 0)"
+        elif kind in ("ema", "emad"):
+            steps.append(Ewm(m, x, com(n)))
+            value[n] = f"{m} / nullif(scale, 0)"
+        elif kind in ("ma_sgn", "ema_sgn"):
+            steps.append({m: roll("avg", x, n)} if kind == "ma_sgn" else Ewm(m, x, com(n)))
+            value[n] = f"sign({m})"
+        elif kind in ("ma_dff", "ma_dff_sgn", "ema_dff", "ema_dff_sgn"):
+            steps += [{m: roll("avg", x, n)} if kind.startswith("ma") else Ewm(m, x, com(n)), {f"d{n}": s(f"({x}) - {m}")}]
+            if kind.endswith("sgn"):
+                value[n] = f"sign(d{n})"
+            else:
+                steps.append(Ewm(f"v{n}", f"d{n}", span(vol), stat="std", least=10))
+                value[n] = f"d{n} / nullif(v{n}, 0)"
         elif kind == "ewmac":
-            steps += [Ewm(f"f{n}", "close", span(n), least=n), Ewm(f"g{n}", "close", span(4 * n), least=n)]
-            value = f"(f{n} - g{n}) / nullif(dv, 0)"
-        elif kind == "kdj":
-            steps += [{f"h{n}": roll("max", "close", n), f"l{n}": roll("min", "close", n)}, Ewm(f"k{n}", f"(close - l{n}) / nullif(h{n} - l{n}, 0)", 1 / 3), Ewm(f"d{n}", f"k{n}", 1 / 3)]
-            value = f"3 * k{n} - 2 * d{n} - 0.5"
+            steps += [Ewm(f"f{n}", x, span(n)), Ewm(f"g{n}", x, span(4 * n))]
+            value[n] = f"(f{n} - g{n}) / nullif(scale, 0)"
+        elif kind in ("kdj", "hlratio"):
+            steps += kdj_steps(f"j{n}", x, n)
+            value[n] = f"j{n}" if kind == "kdj" else f"2 * j{n}_k"
         elif kind == "qtl":
-            steps.append({f"q{n}": pct_rank("close", n)})
-            value = f"q{n} / 50 - 1"
+            steps.append({m: at_most(x, n)})
+            value[n] = f"2 * ({m} - 1) / ({n} - 1.0) - 1"
+        elif kind in ("zscore", "zscore_biased", "zscore_adj"):
+            steps.append({m: roll("avg", x, n), f"s{n}": roll("stddev_samp", "dx" if kind == "zscore_adj" else x, n)})
+            value[n] = {"zscore": f"(({x}) - {m}) / nullif(s{n}, 0)", "zscore_biased": f"({x}) / nullif(s{n}, 0)", "zscore_adj": f"(({x}) - {m}) / nullif(s{n} * sqrt({n}), 0)"}[kind]
         else:
-            steps.append({f"m{n}": roll("avg", "d" if kind.startswith("ma_dff") else "close", n), f"s{n}": roll("stddev_samp", "close", n), f"h{n}": roll("max", "close", n), f"l{n}": roll("min", "close", n), f"r{n}": roll("sum", "close * close", n)})
-            value = {
-                "ma": f"m{n}", "mad": f"(close - m{n}) / nullif(dv, 0)", "ma_sgn": f"sign(close - m{n})", "ma_dff": f"m{n} / nullif(dv, 0)", "ma_dff_sgn": f"sign(m{n})",
-                "zscore": f"(close - m{n}) / nullif(s{n}, 0)", "zscore_biased": f"close / nullif(sqrt(r{n} / {n}), 0)", "zscore_adj": f"(close - m{n}) / nullif(dv * sqrt({n}), 0)",
-                "hlratio": f"(close - l{n}) / nullif(h{n} - l{n}, 0) * 2 - 1",
-            }[kind]
-        steps.append({o: s(f"CASE WHEN ({value}) IS NOT NULL THEN greatest(-{cap}, least({cap}, {value})) END")})
-    both = " + ".join(f"coalesce(x{n}, 0)" for n in wins)
-    count = " + ".join(f"CASE WHEN x{n} IS NULL THEN 0 ELSE 1 END" for n in wins)
-    return Recipe([*steps, {"signal": s(f"({both}) / nullif(({count}) * 1.0, 0)")}], ("signal",))
+            raise ValueError(f"no signal method {kind}")
+    return steps, value
+
+
+def conv_signal(kind: str, wins: tuple[int, ...] = (10, 15, 20), cap: float | tuple[float, float] | None = 2.5, vol: int = 120, x: str = "close") -> Recipe:
+    """One of the signal methods averaged over a range of windows, each capped; windows not shorter than an asset's history are left out.
+
+    x must not be null (filter such rows before); a scale of zero gives null.
+    """
+    steps, value = conv_steps(kind, wins, x, vol)
+    low, high = cap if isinstance(cap, tuple) else (-(cap or 0), cap)
+    capped = lambda v: f"CASE WHEN ({v}) IS NOT NULL AND history > {{n}} THEN {f'greatest({low}, least({high}, {v}))' if cap else v} END"
+    steps = [{"history": whole("count", x)}, *steps, {f"x{n}": s(capped(v).format(n=n)) for n, v in value.items()}]
+    return Recipe([*steps, {"signal": s(mean_of([f"x{n}" for n in wins]))}], ("signal",))
 
 
 CONV = ("ma", "mad", "ma_sgn", "ema", "emad", "ema_sgn", "ema_dff", "ema_dff_sgn", "ma_dff", "ma_dff_sgn", "ewmac", "kdj", "zscore_biased", "zscore", "zscore_adj", "qtl", "hlratio")

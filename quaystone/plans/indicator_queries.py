@@ -14,7 +14,8 @@ RECIPES: dict[str, Recipe] = {
     "ind_on_balance": ind.on_balance(), "ind_force": ind.force(), "ind_ease": ind.ease(), "ind_coppock": ind.coppock(), "ind_keltner": ind.keltner(), "ind_ultimate": ind.ultimate(),
     "ind_donchian": ind.donchian(), "ind_plunger": ind.plunger(), "ind_fisher": ind.fisher(), "ind_pct_channel": ind.pct_channel(), "ind_value_chart": ind.value_chart(),
     "ind_tema": ind.tema(), "ind_slope": ind.slope(), "ind_dvo": ind.dvo(), "ind_dual_thrust": ind.dual_thrust(), "ind_kumo": ind.kumo(), "ind_crosses": ind.crosses(),
-    "ind_heiken_ashi": ind.heiken_ashi(), "ind_svapo": ind.svapo(),
+    "ind_heiken_ashi": ind.heiken_ashi(), "ind_svapo": ind.svapo(), "ind_tail_mean": ind.tail_mean(), "ind_tail_mean_low": ind.tail_mean(pct=0.3, direction=-1), "ind_ribbon": ind.ribbon(),
+    "ind_value_chart_short": ind.value_chart(5), "ind_dvo_weighted": ind.dvo((0.4, 0.3, 0.2, 0.1), (0.5, 0.3, 0.2), 40),
 }
 QUERIES = {k: (lambda spark, sf_dir, r=r: r.result(daily(spark, sf_dir))) for k, r in RECIPES.items()}
 SQL = {k: r.oracle(DAILY_SQL) for k, r in RECIPES.items()}

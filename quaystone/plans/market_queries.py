@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions.recipe import tidy, tidy_sql
 from quaystone.operators import market as mk
+from quaystone.sources import store
 from quaystone.sources.panels import DAILY_SQL, PRINTS_SQL, TICKS_SQL, bars, bars_sql, daily, prints, read, ticks
 
 CUTS = [300, 1500, 1630, 1900]
@@ -218,15 +219,7 @@ def curve(spark, sf):
 
 def csv_round_trip(spark, sf):
     """Ticks written by date as CSV to the shared folder and read back with a schema."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="quaystone-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/csv-{uuid.uuid4().hex}"
+    path = store.folder(spark, "csv")
     ticks(spark, sf).select("event_id", "asset", "price", F.date_format("ts", "HH:mm:ss").alias("clock"), "date").write.partitionBy("date").csv(path, header=True)
     back = spark.read.schema("event_id long, asset long, price double, clock string, date date").csv(path, header=True)
     return _r(back.select("event_id", "asset", "date", "price", F.split("clock", ":")[0].cast("int").alias("hour"), F.split("clock", ":")[1].cast("int").alias("min")), "price")

@@ -109,13 +109,6 @@ HEDGE = Recipe(
     [*[{"pc": lag("close")}, {"ret": s("ln(close / pc)")}, {"idx": whole("avg", "ret", ("date",))}], {"beta_raw": pair("regr_slope", "ret", "idx", 60)}, {"beta": fill("CASE WHEN beta_raw IS NOT NULL THEN least(greatest(beta_raw, 0.0), 3.0) END")}, {"pb": lag("beta")}, {"hedged": s("ret - pb * idx")}],
     ("beta", "hedged"),
 )
-RIBBON_N = (5, 10, 20, 40)
-RIBBON = Recipe(
-    [Ewm(f"e{n}", "close", span(n)) for n in RIBBON_N]
-    + [{f"k{n}": s("1 + " + " + ".join(f"CASE WHEN e{m} < e{n} THEN 1 ELSE 0 END" for m in RIBBON_N if m != n)) for n in RIBBON_N}]
-    + [{"corr": s("CASE WHEN rn >= 39 THEN 100 * (1 - 6 * (" + " + ".join(f"(k{n} - {4 - i}) * (k{n} - {4 - i})" for i, n in enumerate(RIBBON_N)) + ") / 60.0) END"), "dist": s("CASE WHEN rn >= 39 THEN greatest(" + ", ".join(f"e{n}" for n in RIBBON_N) + ") - least(" + ", ".join(f"e{n}" for n in RIBBON_N) + ") END")}],
-    ("corr", "dist"),
-)
 GAPPED = Recipe([{"x": s("CASE WHEN rn % 6 = 2 OR rn % 11 IN (4, 5) THEN NULL ELSE close END")}, {"before": lag("x"), "after": lag("x", -1)}, {"interp": s("coalesce(x, (before + after) / 2)")}], ("interp",))
 FIT2 = """{c} count(*) AS n, covar_samp({y}, {a}) AS ya, covar_samp({y}, {b}) AS yb, covar_samp({a}, {b}) AS ab, var_samp({a}) AS aa, var_samp({b}) AS bb, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb"""
 
@@ -269,7 +262,7 @@ def cheapest(sp, sf):
 
 QUERIES = {
     "season_labels": labels, "season_table": season_table, "season_look_back": lambda sp, sf: _r(se.look_back(daily(sp, sf), "close"), "score"), "season_group_score": lambda sp, sf: _r(se.group_score(daily(sp, sf), "close"), "score"), "season_yoy": lambda sp, sf: _r(se.yoy(daily(sp, sf), "close"), "v", "yoy"),
-    "season_holidays": lambda sp, sf: _r(se.holiday_windows(cal(sp, sf), HOLIDAYS, 3, 2), "weight"), "season_rules": rules, "pnl_signal_bins": bins, "scen_top": top_scenarios, "scen_greedy": greedy, "xs_leaders": leaders, "xs_pairs": pairs, "ts_beta_hedge": recipe(HEDGE), "ind_ribbon": recipe(RIBBON),
+    "season_holidays": lambda sp, sf: _r(se.holiday_windows(cal(sp, sf), HOLIDAYS, 3, 2), "weight"), "season_rules": rules, "pnl_signal_bins": bins, "scen_top": top_scenarios, "scen_greedy": greedy, "xs_leaders": leaders, "xs_pairs": pairs, "ts_beta_hedge": recipe(HEDGE),
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
@@ -287,7 +280,7 @@ SQL = {
     "pnl_signal_bins": f"WITH {z_sql()}, n AS (SELECT *, lead(ret) OVER (PARTITION BY asset ORDER BY date) AS nx FROM z0), b AS (SELECT *, ntile(5) OVER (PARTITION BY asset ORDER BY z, date)::INT AS bin FROM n WHERE nx IS NOT NULL AND vol IS NOT NULL) SELECT asset, bin, {tidy_sql('avg(nx)')} AS mean, {tidy_sql('quantile_cont(nx, 0.25)')} AS q25, {tidy_sql('quantile_cont(nx, 0.75)')} AS q75, {tidy_sql('avg(nx) / nullif(stddev_samp(nx), 0) * sqrt(244)')} AS sharpe, count(*) AS n FROM b GROUP BY asset, bin",
     "scen_top": f"WITH {SCEN_SQL}, c AS (SELECT asset, scen, avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(244) AS sharpe, sum(pnl) AS total FROM sc GROUP BY ALL), w AS (SELECT *, round(0.7 * sharpe + 0.3 * total, 9) AS w FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY w DESC, scen)::INT AS place FROM w) SELECT asset, scen, place, {_rs('sharpe', 'total', 'w')} FROM p WHERE place <= 2",
     "xs_leaders": f"WITH {z_sql()}, l AS (SELECT substr(asset, 7, 1) AS grp, date, avg(z) AS lead FROM z0 WHERE asset LIKE '%1' GROUP BY ALL) SELECT asset, z0.date, {_rs('lead')} FROM z0 JOIN l ON l.grp = substr(asset, 7, 1) AND l.date = z0.date WHERE NOT asset LIKE '%1'",
-    "xs_pairs": PAIR_SQL, "ts_beta_hedge": HEDGE.oracle(DAILY_SQL), "ind_ribbon": RIBBON.oracle(DAILY_SQL), "clean_gaps": GAPPED.oracle(DAILY_SQL),
+    "xs_pairs": PAIR_SQL, "ts_beta_hedge": HEDGE.oracle(DAILY_SQL), "clean_gaps": GAPPED.oracle(DAILY_SQL),
     "join_completed_week": f"WITH {DAILY_SQL}, a AS (SELECT *, avg(close) OVER (PARTITION BY asset, date_trunc('week', date)) AS wmean, row_number() OVER (PARTITION BY asset, date_trunc('week', date) ORDER BY date) AS nr FROM s0), b AS (SELECT *, lag(wmean) OVER (PARTITION BY asset ORDER BY date) AS pm FROM a), c AS (SELECT *, last_value(CASE WHEN nr = 1 THEN pm END IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS done FROM b) SELECT asset, date, {_rs('done')}, {tidy_sql('close - done')} AS over FROM c",
     "stat_two_regressors": f"WITH {z_sql()}, g AS (SELECT asset, {FIT2.format(c='', y='ret', a='z', b='vol')} FROM z0 WHERE ret IS NOT NULL AND vol IS NOT NULL GROUP BY asset), b AS (SELECT *, (ya * bb - yb * ab) / nullif(aa * bb - ab * ab, 0) AS b1, (yb * aa - ya * ab) / nullif(aa * bb - ab * ab, 0) AS b2 FROM g) SELECT asset, n, {tidy_sql('my - b1 * ma - b2 * mb')} AS b0, {_rs('b1', 'b2')} FROM b",
     "stat_folds": f"WITH {z_sql()}, f(fold, lo, hi) AS (VALUES (0, DATE '1995-01-01', DATE '1997-01-01'), (1, DATE '1997-01-01', DATE '1999-01-04'), (2, DATE '1999-01-04', DATE '2002-01-01')) SELECT fold, {tidy_sql('regr_slope(ret, z)')} AS slope, {tidy_sql('regr_r2(ret, z)')} AS r2, count(*) AS n FROM z0 JOIN f ON date BETWEEN lo AND hi WHERE ret IS NOT NULL GROUP BY fold",

@@ -188,7 +188,7 @@ def responses_sql() -> str:
 
 
 def trades(spark, sf):
-    z = kn.scan(z_panel(spark, sf), kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0})
+    z = kn.scan(z_panel(spark, sf), kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0, "seen": 0.0})
     out = kn.lifo_trades(z.join(daily(spark, sf).select("asset", "date", F.col("close").alias("price")), ["asset", "date"]))
     return _r(out, "size", "entry_price", "exit_price", "profit")
 
@@ -226,7 +226,7 @@ def stream_minutes(spark, sf):
 
 _P = _rs
 QUERIES = {
-    "sig_hysteresis": scanned(kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0}, ("pos",)), "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)), "sig_buffer": scanned(kn.buffered, ["z", "gap"], {"pos": 0.0}, ("pos",)),
+    "sig_hysteresis": scanned(kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0, "seen": 0.0}, ("pos",)), "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)), "sig_buffer": scanned(kn.buffered, ["z", "gap"], {"pos": 0.0}, ("pos",)),
     "sig_responses": responses, "ind_psar": lambda s_, d: _r(kn.scan(daily(s_, d), kn.parabolic(), ["high", "low"], _SAR).select("asset", "date", "sar", "side"), "sar", "side"), "ind_band_stop": banded, "ind_passband": filtered, "sim_trailing_stop": trailing, "sim_lifo_trades": trades,
     "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid,
     "risk_correlation": lambda s_, d: _r(rs.correlations(rets(s_, d)), "corr", "cov"), "risk_var": lambda s_, d: _r(rs.risk(rets(s_, d), weights(s_, d)), "part", "var95"), "stat_summary": summary, "stat_variance_ratio": variance_ratio, "stat_hurst": hurst, "stat_half_life": half_life,
@@ -235,7 +235,7 @@ QUERIES = {
 }
 _Z0 = z_sql()
 SQL = {
-    "sig_hysteresis": kn.recursion(_Z0, "z0", {"pos": ("(CASE WHEN abs(p.z) > 1 THEN sign(p.z) ELSE 0 END)::DOUBLE", "(CASE WHEN r.pos <> 0 AND p.z * r.pos > 0.5 THEN r.pos WHEN abs(p.z) > 1 THEN sign(p.z) ELSE 0 END)::DOUBLE")}, _P("pos")),
+    "sig_hysteresis": kn.recursion(_Z0, "z0", {"pos": ("0.0::DOUBLE", "(CASE WHEN r.pos <> 0 AND p.z * r.pos > 0.5 THEN r.pos WHEN abs(p.z) > 1 THEN sign(p.z) ELSE 0 END)::DOUBLE")}, _P("pos")),
     "sig_hump": kn.recursion(_Z0, "z0", {"pos": ("CASE WHEN abs(p.z) >= 0.5 THEN p.z ELSE 0 END", "CASE WHEN abs(p.z - r.pos) >= 0.5 THEN p.z ELSE r.pos END")}, _P("pos")),
     "sig_buffer": kn.recursion(_Z0, "z0", {"pos": ("least(greatest(0, p.z - p.gap), p.z + p.gap)", "least(greatest(r.pos, p.z - p.gap), p.z + p.gap)")}, _P("pos")),
     "sig_responses": responses_sql(),

@@ -170,28 +170,6 @@ STRATEGY = Recipe(
 ACTIVITY = Recipe([{"act": roll("avg", "volume * 0.6 + oi * 0.4", 3)}, {"ind": Ex(lambda: F.first("act", ignorenulls=True).over(Window.partitionBy("asset").orderBy("date").rowsBetween(0, 5)), "first_value(act IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)")}, {"enough": s("CASE WHEN ind >= 20 THEN 1 ELSE 0 END")}], ("ind", "enough"))
 
 
-def tail_mean(n: int = 20, pct: float = 0.5):
-    """Mean of the former n closes at or above their quantile, weighted by rank from the top and by recency."""
-    def run_(sp, sf):
-        w = Window.partitionBy("asset").orderBy("date").rowsBetween(-n, -1)
-        d = daily(sp, sf).withColumns({"seen": F.collect_list("close").over(w), "cut": F.percentile("close", F.lit(pct)).over(w)})
-        kept = F.filter("seen", lambda v: v >= F.col("cut"))
-        d = d.withColumn("kept", kept)
-        weight = lambda v, i: (F.aggregate("kept", F.lit(0.0), lambda a, y: a + F.when(y > v, 1.0).when(y == v, 0.5).otherwise(0.0)) + 0.5) * (i + 1)
-        d = d.withColumn("w", F.transform("kept", weight))
-        total = F.aggregate("w", F.lit(0.0), lambda a, y: a + y)
-        value = F.aggregate(F.zip_with("kept", "w", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y) / F.nullif(total, F.lit(0))
-        return _r(d.select("asset", "date", F.when(F.size("seen") >= n, value).alias("tail_mean")), "tail_mean")
-
-    return run_
-
-
-TAIL_SQL = f"""WITH {DAILY_SQL}, w AS (SELECT asset, date, list(close) OVER x AS seen, quantile_cont(close, 0.5) OVER x AS cut FROM s0 WINDOW x AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-k AS (SELECT asset, date, list_filter(seen, lambda v: v >= cut) AS kept, len(seen) AS n FROM w), u AS (SELECT asset, date, kept, n, unnest(kept) AS v, generate_subscripts(kept, 1) AS i FROM k WHERE n >= 20),
-g AS (SELECT asset, date, sum(v * r * i) / sum(r * i) AS t FROM (SELECT *, list_sum(list_transform(kept, lambda y: CASE WHEN y > v THEN 1.0 WHEN y = v THEN 0.5 ELSE 0.0 END)) + 0.5 AS r FROM u) GROUP BY ALL)
-SELECT k.asset, k.date, {tidy_sql('t')} AS tail_mean FROM k LEFT JOIN g USING (asset, date)"""
-
-
 def recipe(r):
     return lambda sp, sf: r.result(daily(sp, sf))
 
@@ -199,7 +177,7 @@ def recipe(r):
 QUERIES = {
     "store_factors": factors, "store_roll_json": roll_json, "store_scenarios": scen_reload, "store_patch": patched, "store_layout": layout, "store_tick_day": tick_day, "store_trade_file": trade_file, "store_vendor": vendor, "store_deals": deals, "store_curve": curve_on,
     "clean_expiry": after_expiry, "clean_main_months": main_months, "clean_derived": derived, "clean_stocks": stocks, "clean_labels": day_buckets, "bars_wide_session": wide_sessions, "bars_realised": realised, "set_differences": dropped, "stat_lag_corr": lags_corr,
-    "sig_chain": recipe(CHAIN), "sig_strategies": recipe(STRATEGY), "roll_activity": recipe(ACTIVITY), "ind_tail_mean": tail_mean(),
+    "sig_chain": recipe(CHAIN), "sig_strategies": recipe(STRATEGY), "roll_activity": recipe(ACTIVITY),
 }
 SQL = {
     "store_factors": f"WITH {DAILY_SQL}, f AS (SELECT asset, date, close / lag(close, 20) OVER (PARTITION BY asset ORDER BY date) - 1 AS mom20, ln(volume) AS lvol FROM s0), l AS (SELECT asset AS product_code, 'mom20' AS fact_name, date, mom20 AS fact_val FROM f UNION ALL SELECT asset, 'lvol', date, lvol FROM f) SELECT product_code, fact_name, date, {_rs('fact_val')} FROM l WHERE fact_val IS NOT NULL AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
@@ -221,5 +199,5 @@ SQL = {
     "bars_realised": f"WITH {TICKS_SQL}, d AS (SELECT *, price - lag(price) OVER (PARTITION BY asset, date ORDER BY ts, event_id) AS d FROM ticks), g AS (SELECT asset, date, avg(d) AS mean, sum(d * d) AS rv, sum(CASE WHEN d > 0 THEN d * d ELSE 0 END) / nullif(sum(d * d), 0) AS up_share, sum(d) / nullif(sum(abs(d)), 0) AS trend, sum(sign(d) * abs(price)) AS flow, count(d) AS n FROM d GROUP BY ALL) SELECT asset, date, n, {_rs('mean', 'rv', 'up_share', 'trend', 'flow')} FROM g",
     "set_differences": "WITH b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) SELECT k, 'missing' AS kind FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'both' FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT k FROM b)",
     "stat_lag_corr": f"WITH {DAILY_SQL}, d AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY date)) AS ret FROM s0), i AS (SELECT *, avg(ret) OVER (PARTITION BY date) AS idx FROM d), l AS (SELECT asset, ret, {', '.join(f'lag(idx, {k}) OVER w AS l{k + 3}' if k >= 0 else f'lead(idx, {-k}) OVER w AS l{k + 3}' for k in range(-3, 4))} FROM i WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, {', '.join(f'{tidy_sql(f"corr(ret, l{i})")} AS c{i}' for i in range(7))} FROM l GROUP BY asset",
-    "sig_chain": CHAIN.oracle(DAILY_SQL), "sig_strategies": STRATEGY.oracle(DAILY_SQL), "roll_activity": ACTIVITY.oracle(DAILY_SQL), "ind_tail_mean": TAIL_SQL,
+    "sig_chain": CHAIN.oracle(DAILY_SQL), "sig_strategies": STRATEGY.oracle(DAILY_SQL), "roll_activity": ACTIVITY.oracle(DAILY_SQL),
 }

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quaystone-"))
-        root = sc.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+        found = sc.getCheckpointDir()
+    return found
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 FACTOR_KEYS = ["product_code", "roll_label", "freq", "fact_name", "date"]
@@ -33,16 +40,15 @@ def read_factors(spark: SparkSession, path: str, names: list[str], first: str, l
     return f.where(F.col("product_code").isin(products)) if products else f
 
 
-def write_roll_json(rolls: DataFrame, path: str) -> None:
-    """asset, contract, start as one JSON object per exchange: {exch: {asset: [{date, to}]}}."""
+def write_roll_json(rolls: DataFrame, path: str, exch: str = "X") -> None:
+    """asset, contract, start as a line of JSON per asset: {exch: {asset: [{date, to}]}}. No task holds more than an asset's rolls."""
     lists = rolls.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("string").alias("date"), F.col("contract").alias("to")))).alias("rolls"))
-    whole = lists.groupBy(F.lit("X").alias("exch")).agg(F.map_from_entries(F.collect_list(F.struct("asset", "rolls"))).alias("m"))
-    whole.select(F.to_json(F.create_map("exch", "m")).alias("value")).write.text(path)
+    lists.select(F.to_json(F.create_map(F.lit(exch), F.create_map("asset", "rolls"))).alias("value")).write.text(path)
 
 
 def read_roll_json(spark: SparkSession, path: str) -> DataFrame:
     kind = "map<string, map<string, array<struct<date: string, to: string>>>>"
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
+    m = spark.read.text(path).select(F.from_json("value", kind).alias("m"))
     return m.select(F.explode("m").alias("exch", "n")).select("exch", F.explode("n").alias("asset", "rolls")).select("exch", "asset", F.explode("rolls").alias("r")).select("exch", "asset", F.to_date("r.date").alias("start"), F.col("r.to").alias("contract"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,16 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-
+from quaystone.sources.store import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quaystone-"))
-        found = sc.getCheckpointDir()
-    return found
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ def run(step, rows, start):
 
 
 def test_hysteresis_enters_holds_and_leaves():
-    got = [x[0] for x in run(kn.hysteresis(1.0, 0.5), [(v,) for v in (0.5, 1.2, 0.8, 0.4, -1.5, -0.6, 1.4)], (0.0,))]
-    assert got == [0, 1, 1, 0, -1, -1, 1]
+    got = [x[0] for x in run(kn.hysteresis(1.0, 0.5), [(v,) for v in (9.0, 0.5, 1.2, 0.8, float("nan"), 0.4, -1.5, -0.6, 1.4)], (0.0, 0.0))]
+    assert got == [0, 0, 1, 1, 1, 0, -1, -1, 1]  # flat on the first row
+    assert [x[0] for x in run(kn.hysteresis(1.0, 0.5, False), [(0.0,), (1.2,), (1.5,), (-1.4,)], (0.0, 0.0))] == [0, 1.2, 1.2, -1.4]
 
 
 def test_hump_and_buffer():
@@ -59,9 +60,9 @@ def test_queries_without_sql_give_rows(spark, name):
 def test_scan_equals_a_plain_loop(spark):
     rng = np.random.default_rng(1)
     rows = [(k, datetime.date(2024, 1, 1) + datetime.timedelta(i), float(rng.normal())) for k in "ab" for i in range(50)]
-    got = kn.scan(spark.createDataFrame(rows, "asset string, date date, z double"), kn.hysteresis(1, 0.5), ["z"], {"pos": 0.0}).collect()
+    got = kn.scan(spark.createDataFrame(rows, "asset string, date date, z double"), kn.hysteresis(1, 0.5), ["z"], {"pos": 0.0, "seen": 0.0}).collect()
     for k in "ab":
-        want = [x[0] for x in run(kn.hysteresis(1, 0.5), [(z,) for a, _, z in rows if a == k], (0.0,))]
+        want = [x[0] for x in run(kn.hysteresis(1, 0.5), [(z,) for a, _, z in rows if a == k], (0.0, 0.0))]
         assert [r["pos"] for r in sorted((r for r in got if r["asset"] == k), key=lambda r: r["date"])] == want
 
 
