@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import BATCH_ROWS, table
+from quaystone.llm.common import bounded_batches, table
 from quaystone.llm.templates import compile_template
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -116,7 +116,7 @@ def _rows(batches):
 
 
 def _in_order(conversations: DataFrame) -> DataFrame:
-    conversations.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(conversations.sparkSession)
     empty = F.lit("")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

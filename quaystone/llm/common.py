@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Most rows of a key table that is sent to every executor; larger ones take part in a shuffled join.
-BROADCAST_ROWS = 300_000
-#: Rows in an Arrow batch: a batch of the longest texts then stays in tens of MB.
+from quaystone.sources.store import shared_dir
+
+#: Rows of an Arrow batch that goes to Python; Spark ends a batch at 64 MB besides (maxBytesPerBatch), so long texts don't add up.
 BATCH_ROWS = 256
+#: Parts into which the rows of a key are dealt in a join with a table that has few rows per key.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own where the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quaystone-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
@@ -45,72 +37,74 @@ def drop_cut(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger; plans made later in the session go by it too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def arrow_types(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return arrow.names, arrow.types
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: from a list of column lists to a list of column lists, once per Arrow batch."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(df.sparkSession)
+    names, types = arrow_types(schema)
 
     def run(batches):
         for batch in batches:
             out = fn([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    empty = df.sparkSession.createDataFrame([], schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(empty.schema)
-    names, types = arrow.names, arrow.types
     return df.mapInArrow(run, schema)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is. df is narrow and cheap to count."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def add_columns(df: DataFrame, column: Column, fn, schema: str, *kept: str) -> DataFrame:
+    """The kept columns of df (all, if none are named) as they are, and those that fn makes from the list of a column's values."""
+    bounded_batches(df.sparkSession)
+    names, types = arrow_types(schema)
+    before = df.select(*(kept or df.columns))
+    n = len(before.columns)
+
+    def run(batches):
+        for batch in batches:
+            made = [pa.array(v, t) for v, t in zip(fn(batch.column(n).to_pylist()), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
+
+    both = StructType([*before.schema.fields, *StructType.fromDDL(schema).fields])
+    return df.select(*(kept or df.columns), column.alias("__in")).mapInArrow(run, both)
+
+
+def text_bytes() -> Column:
+    """The text's UTF-8 bytes, a null text as an empty one."""
+    return F.coalesce(F.col("text").cast("binary"), F.lit(b""))
 
 
 def as_bytes(df: DataFrame, *keys: str) -> DataFrame:
-    """The key columns and the text as UTF-8 bytes, a null text as an empty one."""
-    return df.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-
-
-def text_key() -> Column:
-    """The SHA-256 of the text's UTF-8 bytes, a null text as an empty one."""
-    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows that agree with a row of dropped in all its columns: text_key and others of docs (read twice, so best from cut())."""
-    named = dropped.select(*[F.col(c).alias(f"__{c}") for c in dropped.columns])
-    mine = lambda c: text_key() if c == "text_key" else F.col(c)
-    on = [mine(c).eqNullSafe(F.col(f"__{c}")) for c in dropped.columns]
-    return docs.join(small(named), on, "left_anti")
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with the former doc_id as __doc_id and a doc_id of its own for each text under an id or without one.
-
-    The first text of an id, by digest, keeps the id; the others get numbers above all ids.
-    """
-    docs = docs.withColumn("__doc_id", F.col("doc_id"))
-    texts = docs.select("doc_id", text_key().alias("text_key"))
-    ids = texts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last"))
-    mixed = cut(ids.where("first <> last").select("doc_id", "first"))
-    others = texts.join(small(mixed), "doc_id").where("text_key <> first").select("doc_id", "text_key")
-    others = cut(others.union(texts.where(F.col("doc_id").isNull())).distinct().withColumn("number", F.monotonically_increasing_id()))
-    most = others.agg(F.max("number")).first()[0]
-    if most is None:
-        return docs
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    start = 0 if high is None else high + 1
-    if start + most >= 2**63:  # no room above: below all ids
-        start = low - 1 - most
-        if start < -(2**63):
-            raise ValueError("the ids leave no room for numbers")
-    found = small(others.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("number") + F.lit(start)).alias("__number")))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & text_key().eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn("doc_id", F.coalesce("__number", "doc_id")).drop("__id", "__key", "__number")
-
-
-def without_numbers(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs of numbered() with their former ids, without those of the doc_ids in gone (cut)."""
-    kept = docs.join(small(gone), "doc_id", "left_anti").withColumn("doc_id", F.col("__doc_id"))
-    return kept.select(*[c for c in docs.columns if c != "__doc_id"])
+    """The key columns and the text as UTF-8 bytes."""
+    return df.select(*keys, text_bytes().alias("text"))
+
+
+def row_key() -> Column:
+    """128 bits of the SHA-256 of doc_id and text: one key for the rows that agree in both."""
+    head = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n")).cast("binary")
+    return F.substring(F.unhex(F.sha2(F.concat(head, text_bytes()), 256)), 1, 16)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key() is in gone (a column row). A hash join by that key at every size: texts are shuffled once and not sorted."""
+    keyed = docs.withColumn("__row", row_key())
+    return keyed.join(gone.select(F.col("row").alias("__row")).hint("shuffle_hash"), "__row", "left_anti").select(*docs.columns)
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner", parts: int = SALTS) -> DataFrame:
+    """many joined with few on keys of which one may hold a large share of many: its rows are dealt by a hash of the column by, and few stands in every part."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")

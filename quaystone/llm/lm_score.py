@@ -1,17 +1,22 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 Tokens are lower-cased words and one end per document. The corpus is counted whole: a table of every training word.
-The model works on classes: each of the most frequent words is one, other words fall into classes by their last bytes,
-and within such a class a word has its add-one share (one share for all unknown words). With r the context vectors, q
-the output vectors and c1, c2 the position weights, the score of class w behind u, v is (c1 r_u + c2 r_v) q_w + b_w.
+The model has two levels. Each of the most frequent words is a class, other words fall into classes by their last
+bytes. With r the context vectors, q the output vectors and c1, c2 the position weights, the score of class w behind
+the classes u, v is (c1 r_u + c2 r_v) q_w + b_w. Within a class the words of the dictionary have vectors of their own:
+the score of a word behind v is g_v p_w + d_w; the class's other words have one output together, which they share by
+their counts, one share for all unknown words. So the word vectors grow with the counted vocabulary up to the
+dictionary's size, and the counts behind the others without bound.
 
 Training is by noise-contrastive estimation over all training documents: in each round every task runs minibatches over
-its own documents from the same start, with noise classes drawn from the unigram counts, and the results are averaged
-by token counts. A task's state is the parameters, whose size doesn't depend on the corpus.
+its own documents from the same start, with noise classes and words drawn from the counts, and the results are averaged:
+by token counts, and a word's vector by how often the word occurred. A task's state is the parameters, whose size is
+bounded by the dictionary. What a task draws depends on its number, so results depend on how the table is partitioned.
 
-As the score is a sum over the two positions, the normalising sum of all contexts is one matrix product,
-Z = exp(A1) diag(exp b) exp(A2)', with A1 = (c1 r) q' and A2 = (c2 r) q'; so each token's log-probability is exactly
-normalised and costs a few look-ups. Counts of words outside the broadcast dictionary come by a join on the word.
+As the score of a class is a sum over the two positions, the normalising sum of all contexts is one matrix product,
+Z = exp(A1) diag(exp b) exp(A2)', with A1 = (c1 r) q' and A2 = (c2 r) q'; and as the score of a word depends on one
+position, its sums are a product per class. So each token's log-probability is exactly normalised and costs a few
+look-ups. Counts of words outside the broadcast dictionary come by a join on the word.
 
 Cases: a null or empty text has its end token only; a null doc_id counts as training; repeated documents each count
 and get a row; texts of any length are whole; an empty table gives an empty result; extra columns are ignored.
@@ -20,32 +25,63 @@ and get a row; texts of any length are whole; an empty table gives an empty resu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import BATCH_ROWS, cut, drop_cut, table
+from quaystone.llm.common import bounded_batches, cut, drop_cut, table, text_bytes
 
-#: Words that are classes of their own, classes of other words, and words whose counts are broadcast.
-TOP, TAILS, DICTIONARY = 768, 254, 200_000
-END, START = TOP + TAILS, TOP + TAILS + 1
-CLASSES = TOP + TAILS + 2
-DIM, NOISE, BATCH, ROUNDS, RATE = 24, 32, 4096, 2, 0.08
+
+@dataclass(frozen=True)
+class Sizes:
+    """top: words that are classes of their own; tails: classes of other words; dictionary: words with counts, and beyond top vectors, that are broadcast."""
+
+    top: int = 768
+    tails: int = 254
+    dictionary: int = 200_000
+    dim: int = 24
+    word_dim: int = 8
+    noise: int = 32
+    word_noise: int = 5
+    batch: int = 4096
+    rounds: int = 2
+    rate: float = 0.08
+
+    @property
+    def end(self) -> int:
+        return self.top + self.tails
+
+    @property
+    def start(self) -> int:
+        return self.top + self.tails + 1
+
+    @property
+    def classes(self) -> int:
+        return self.top + self.tails + 2
+
+
+SIZES = Sizes()
 FLUSH = 200_000
+#: Draws of noise words kept for each class, and rows that are added up in one go.
+POOL, FAN_IN = 64, 128
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
 
-def tail_class(word: bytes) -> int:
+def tail_class(word: bytes, sizes: Sizes = SIZES) -> int:
     """The class of a word that isn't frequent, by its last two bytes that aren't punctuation."""
     end = word.rstrip(b".,;:!?#%$&*\"')(")[-2:] or word[-1:]
-    return TOP + (end[0] * 31 + end[-1] * 7 + len(end)) % TAILS
+    return sizes.top + (end[0] * 31 + end[-1] * 7 + len(end)) % sizes.tails
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), text_bytes().alias("text"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -73,33 +109,46 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """The broadcast dictionary: word to number by frequency, class of each number, count of each number."""
+    """The broadcast dictionary: word to number by frequency, class of each number, count of each number.
+
+    Words that share a class stand one behind the other as tail words, in the order of their classes.
+    """
 
-    def __init__(self, rows: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]], total: int, distinct: int):
+    def __init__(self, rows: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]], total: int, distinct: int, sizes: Sizes = SIZES):
+        """tails: count and number of distinct words of each class by last bytes, without those that are classes of their own."""
         words = [w for w, _ in rows if w]
+        self.sizes, top = sizes, sizes.top
         self.number = {w: i for i, w in enumerate(words)}
         self.counts = np.array([c for w, c in rows if w], np.int64)
-        self.classes = np.array([i if i < TOP else tail_class(w) for i, w in enumerate(words)], np.int16)
+        self.classes = np.array([i if i < top else tail_class(w, sizes) for i, w in enumerate(words)], np.int16)
         self.ends = next((c for w, c in rows if not w), 0)
         self.total, self.distinct = total, distinct
-        weight = np.zeros(CLASSES)
-        weight[: min(TOP, len(words))] = self.counts[:TOP]
-        self.tail_share = np.ones(CLASSES)
-        for k, (n, v) in tails.items():
-            weight[k] = n
-            self.tail_share[k] = n + v + 1
-        weight[END] = self.ends
-        self.weight = weight
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Class and number of each word (number -1: not in the dictionary), and the words that aren't."""
+        # tail words by class
+        rest = self.classes[top:].astype(np.int64)
+        order = np.argsort(rest, kind="stable")
+        self.tail_of = np.full(len(words), -1, np.int32)
+        self.tail_of[top + order] = np.arange(len(order), dtype=np.int32)
+        self.tail_class = rest[order] - top
+        self.tail_counts = self.counts[top:][order]
+        self.first = np.searchsorted(self.tail_class, np.arange(sizes.tails + 1))
+        # shares: each word counts once more than it occurs, and so do all unknown ones together
+        n = np.array([tails.get(top + k, (0, 0)) for k in range(sizes.tails)], np.float64)
+        listed = np.bincount(self.tail_class, self.tail_counts + 1.0, sizes.tails) if len(order) else np.zeros(sizes.tails)
+        self.tail_total = n.sum(axis=1) + 1
+        self.others = self.tail_total - listed
+        self.weight = np.zeros(sizes.classes)
+        self.weight[: min(top, len(words))] = self.counts[:top]
+        self.weight[top : top + sizes.tails] = n[:, 0]
+        self.weight[sizes.end] = self.ends
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Class and number of each word (number -1: not in the dictionary)."""
         numbers = np.fromiter(map(self.number.get, words, _MISSING), np.int64, len(words)) if words else np.empty(0, np.int64)
-        missing = np.flatnonzero(numbers < 0)
-        others = [words[i] for i in missing.tolist()]
         classes = self.classes[numbers] if len(self.classes) else np.zeros(len(words), np.int16)
-        if others:
-            classes[missing] = [tail_class(w) for w in others]
-        return classes, numbers, others
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            classes[missing] = [tail_class(words[i], self.sizes) for i in missing.tolist()]
+        return classes, numbers
 
 
 class _Minus:
@@ -113,11 +162,11 @@ class _Minus:
 _MISSING = _Minus()
 
 
-def lexicon(counts: DataFrame) -> Lexicon:
-    """counts: from count_words(), cut. At most DICTIONARY of the most frequent words, the end's count and totals per class come to the driver."""
+def lexicon(counts: DataFrame, sizes: Sizes = SIZES) -> Lexicon:
+    """counts: from count_words(), cut. At most sizes.dictionary of the most frequent words, the end's count and totals per class come to the driver."""
     words = counts.where("word <> X''")
-    # the least frequency class (sixteenths of a power of two) that still leaves at most DICTIONARY words
-    level, room, least = F.floor(F.log2("count") * 16), DICTIONARY, None
+    # the least frequency class (sixteenths of a power of two) that still leaves at most so many words
+    level, room, least = F.floor(F.log2("count") * 16), sizes.dictionary, None
     for r in sorted(words.groupBy(level.alias("level")).count().collect(), reverse=True):
         room -= r["count"]
         if room < 0:
@@ -132,193 +181,359 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
     def run(batches):
         for batch in batches:
-            k = np.array([tail_class(w) for w in batch.column(0).to_pylist()], np.int64)
-            n = np.bincount(k, batch.column(1).to_numpy(), CLASSES) if len(k) else np.zeros(CLASSES)
-            v = np.bincount(k, minlength=CLASSES)
+            k = np.array([tail_class(w, sizes) for w in batch.column(0).to_pylist()], np.int64)
+            n = np.bincount(k, batch.column(1).to_numpy(), sizes.classes) if len(k) else np.zeros(sizes.classes)
+            v = np.bincount(k, minlength=sizes.classes)
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at].astype(np.int64)), pa.array(v[at].astype(np.int64))], names=["k", "n", "v"])
 
     for r in words.select("word", "count").mapInArrow(run, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
         tails[r[0]] = (r[1], r[2])
-    for w, c in top[:TOP]:  # these are classes of their own
-        n, v = tails[k := tail_class(w)]
+    for w, c in top[: sizes.top]:  # these are classes of their own
+        n, v = tails[k := tail_class(w, sizes)]
         tails[k] = (n - c, v - 1)
-    return Lexicon([(b"", ends), *top], tails, total, distinct)
+    return Lexicon([(b"", ends), *top], tails, total, distinct, sizes)
 
 
 class Model:
-    """Parameters, float32: context vectors r, output vectors q, position weights c (2 rows), biases b."""
+    """Parameters, float32. Of classes: context vectors r, output vectors q, position weights c (2 rows), biases b; of words: context vectors g (by class), word vectors p, biases d."""
+
+    SHARED = ("r", "q", "c", "b", "g")
 
-    def __init__(self, r, q, c, b):
-        self.r, self.q, self.c, self.b = r, q, c, b
+    def __init__(self, **parts: np.ndarray):
+        self.parts = parts
+        self.r, self.q, self.c, self.b, self.g, self.p, self.d = (parts[k] for k in ("r", "q", "c", "b", "g", "p", "d"))
 
     @staticmethod
-    def start(weight: np.ndarray) -> "Model":
-        rng = np.random.default_rng(11)
-        share = (weight + 0.5) / (weight + 0.5).sum()
+    def start(words: Lexicon) -> "Model":
+        sizes, rng = words.sizes, np.random.default_rng(11)
+        share = (words.weight + 0.5) / (words.weight + 0.5).sum()
+        normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         return Model(
-            rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32), rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32),
-            np.ones((2, DIM), np.float32), np.log(share).astype(np.float32),
+            r=normal(0.1, sizes.classes, sizes.dim), q=normal(0.1, sizes.classes, sizes.dim), c=np.ones((2, sizes.dim), np.float32), b=np.log(share).astype(np.float32),
+            g=normal(0.3, sizes.classes, sizes.word_dim), p=np.zeros((len(words.tail_class), sizes.word_dim), np.float32),
+            d=np.log((words.tail_counts + 1.0) / words.tail_total[words.tail_class]).astype(np.float32),
         )
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
-
-    @staticmethod
-    def of(flat: np.ndarray) -> "Model":
-        n = CLASSES * DIM
-        f = flat.astype(np.float32)
-        return Model(f[:n].reshape(CLASSES, DIM).copy(), f[n : 2 * n].reshape(CLASSES, DIM).copy(), f[2 * n : 2 * n + 2 * DIM].reshape(2, DIM).copy(), f[2 * n + 2 * DIM :].copy())
+    def copy(self) -> "Model":
+        return Model(**{k: v.copy() for k, v in self.parts.items()})
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A1 + b, A2 and log Z: the log-probability of w behind u, v is A1[u, w] + A2[v, w] - logZ[u, v]. START is never an output."""
+    def flat(self) -> np.ndarray:
+        """The parameters that aren't a word's."""
+        return np.concatenate([self.parts[k].ravel() for k in self.SHARED])
+
+    def with_shared(self, flat: np.ndarray) -> "Model":
+        at, parts = 0, dict(self.parts)
+        for k in self.SHARED:
+            n = parts[k].size
+            parts[k] = flat[at : at + n].astype(np.float32).reshape(parts[k].shape)
+            at += n
+        return Model(**parts)
+
+    def class_tables(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A1 + b, A2 and log Z: the log-probability of w behind u, v is A1[u, w] + A2[v, w] - logZ[u, v]. The start is never an output."""
         a1, a2 = (self.r * self.c[0]) @ self.q.T + self.b, (self.r * self.c[1]) @ self.q.T
-        a1[:, START] = -np.inf
+        a1[:, start] = -np.inf
         top1, top2 = a1.max(axis=1, keepdims=True), a2.max(axis=1, keepdims=True)
         z = np.exp(a1 - top1) @ np.exp(a2 - top2).T
         return a1, a2, np.log(z) + top1 + top2.T
 
+    def word_sums(self, words: Lexicon) -> np.ndarray:
+        """The log of the sum over a class's words and its others, by the class before (rows) and the tail class."""
+        out = np.empty((len(self.g), words.sizes.tails), np.float32)
+        for k in range(words.sizes.tails):
+            mine = slice(words.first[k], words.first[k + 1])
+            out[:, k] = np.log(np.exp(self.g @ self.p[mine].T + self.d[mine]).sum(axis=1) + words.others[k] / words.tail_total[k])
+        return out
 
-def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray, seen: np.ndarray, rate: float) -> None:
-    """AdaGrad steps for rows that may repeat."""
-    order = np.argsort(at, kind="stable")
+
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers, the sums of their rows, and how often each stands there."""
+    order = np.argsort(at.astype(np.uint16), kind="stable") if at.dtype == np.uint16 else np.argsort(at)
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total = np.add.reduceat(rows[order], first, axis=0)
-    at = at[first]
+    return at[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.r_[first, len(at)])
+
+
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray, seen: np.ndarray, rate: float) -> None:
+    """AdaGrad steps for rows that may repeat."""
+    at, total, _ = _sum_rows(at, rows)
     seen[at] += total * total
     into[at] -= rate * total / np.sqrt(seen[at] + 1e-6)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive steps over streams of classes."""
+    """Noise-contrastive steps over streams of classes and of tail words."""
 
-    def __init__(self, model: Model, weight: np.ndarray, seed: int):
-        self.m, self.rng = model, np.random.default_rng(seed)
-        share = (weight + 0.5) / (weight + 0.5).sum()
-        share[START] = 0
+    def __init__(self, model: Model, words: Lexicon, seed: tuple[int, ...]):
+        self.m, self.words, self.sizes, self.rng = model, words, words.sizes, np.random.default_rng(seed)
+        share = (words.weight + 0.5) / (words.weight + 0.5).sum()
+        share[self.sizes.start] = 0
         self.share = share / share.sum()
-        self.log_noise = np.log(NOISE * np.maximum(self.share, 1e-12)).astype(np.float32)
-        self.seen = [np.ones_like(x) for x in (model.r, model.q, model.c, model.b)]
-        self.pool = np.empty(0, np.int64)
+        self.log_noise = np.log(self.sizes.noise * np.maximum(self.share, 1e-12)).astype(np.float32)
+        self.seen = {k: np.ones_like(x) for k, x in model.parts.items()}
+        self.pool = np.empty(0, np.uint16)
+        # words are drawn within their class by counts
+        self.times = np.zeros(len(words.tail_class))
+        self.cumulative = np.cumsum(words.tail_counts + 1.0)
+        listed = np.bincount(words.tail_class, words.tail_counts + 1.0, self.sizes.tails) if len(self.times) else np.zeros(self.sizes.tails)
+        self.word_noise = np.log(self.sizes.word_noise * (words.tail_counts + 1.0) / listed[words.tail_class]).astype(np.float32) if len(self.times) else np.zeros(0, np.float32)
 
     def noise(self) -> np.ndarray:
-        if len(self.pool) < NOISE:
-            self.pool = self.rng.choice(CLASSES, NOISE * 512, p=self.share)
-        out, self.pool = self.pool[:NOISE], self.pool[NOISE:]
+        n = self.sizes.noise
+        if len(self.pool) < n:
+            self.pool = self.rng.choice(self.sizes.classes, n * 512, p=self.share).astype(np.uint16)
+        out, self.pool = self.pool[:n], self.pool[n:]
         return out
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, self.noise()
+        """One minibatch of classes."""
+        m, n, rate = self.m, self.noise(), self.sizes.rate
         ru, rv, qw, qn = m.r[u], m.r[v], m.q[w], m.q[n]
         h = ru * m.c[0] + rv * m.c[1]
         good = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.log_noise[w]
         bad = h @ qn.T + m.b[n] - self.log_noise[n]
-        dg = -1 / (1 + np.exp(np.clip(good, -30, 30)))  # of -log sigmoid(good)
-        db = 1 / (1 + np.exp(np.clip(-bad, -30, 30)))  # of -log sigmoid(-bad)
+        dg, db = -_sigmoid(-good), _sigmoid(bad)  # of -log sigmoid(good) and of -log sigmoid(-bad)
         dh = dg[:, None] * qw + db @ qn
-        _add_rows(m.q, np.r_[w, n], np.r_[dg[:, None] * h, db.T @ h].astype(np.float32), self.seen[1], RATE)
-        _add_rows(m.b, np.r_[w, n], np.r_[dg, db.sum(axis=0)].astype(np.float32), self.seen[3], RATE)
-        _add_rows(m.r, np.r_[u, v], np.r_[dh * m.c[0], dh * m.c[1]].astype(np.float32), self.seen[0], RATE)
+        both = np.r_[w, n]
+        _add_rows(m.q, both, np.r_[dg[:, None] * h, db.T @ h], self.seen["q"], rate)
+        _add_rows(m.b, both, np.r_[dg, db.sum(axis=0)], self.seen["b"], rate)
+        _add_rows(m.r, np.r_[u, v], np.r_[dh * m.c[0], dh * m.c[1]], self.seen["r"], rate)
         dc = np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)])
-        self.seen[2] += dc * dc
-        m.c -= RATE * dc / np.sqrt(self.seen[2])
-
-
-def _with_contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two back, one back, class) for each word and the end."""
-    padded = np.empty(len(classes) + 3, np.int64)
-    padded[:2], padded[2:-1], padded[-1] = START, classes, END
-    return padded[:-2], padded[1:-1], padded[2:]
-
-
-def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Model:
+        self.seen["c"] += dc * dc
+        m.c -= rate * dc / np.sqrt(self.seen["c"])
+
+    def draw_words(self) -> None:
+        """New noise words for every class that has words."""
+        first, last = self.words.first[:-1], self.words.first[1:]
+        self.drawn = np.zeros((self.sizes.tails, POOL), np.int64)
+        have = np.flatnonzero(last > first)
+        high = self.cumulative[last[have] - 1]
+        low = np.where(first[have] > 0, self.cumulative[first[have] - 1], 0.0)
+        at = np.searchsorted(self.cumulative, low[:, None] + self.rng.random((len(have), POOL)) * (high - low)[:, None], "right")
+        self.drawn[have] = np.clip(at, first[have][:, None], last[have][:, None] - 1)
+
+    def word_step(self, v: np.ndarray, j: np.ndarray) -> None:
+        """One minibatch of tail words behind classes."""
+        m, rate, k = self.m, self.sizes.rate, self.words.tail_class[j]
+        turn = self.rng.integers(0, POOL, len(j))[:, None] + np.arange(self.sizes.word_noise)
+        n = self.drawn[k[:, None], turn % POOL]
+        h, pj, pn = m.g[v], m.p[j], m.p[n]
+        good = np.einsum("ij,ij->i", h, pj) + m.d[j] - self.word_noise[j]
+        bad = np.einsum("id,ind->in", h, pn) + m.d[n] - self.word_noise[n]
+        dg, db = -_sigmoid(-good), _sigmoid(bad)
+        both = np.r_[j, n.ravel()].astype(np.int32)
+        dp = np.r_[dg[:, None] * h, (db[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])]
+        at, total, _ = _sum_rows(both, np.c_[dp, np.r_[dg, db.ravel()]])
+        for name, grad in (("p", total[:, :-1]), ("d", total[:, -1])):
+            seen, into = self.seen[name], m.parts[name]
+            seen[at] += grad * grad
+            into[at] -= rate * grad / np.sqrt(seen[at] + 1e-6)
+        _add_rows(m.g, v, dg[:, None] * pj + np.einsum("in,ind->id", db, pn), self.seen["g"], rate)
+        self.times += np.bincount(j, minlength=len(self.times))
+
+    def drain(self, held: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """Steps over the held documents (classes, tail words with -1 for others) in random order of tokens; they are given up then."""
+        if not held:
+            return 0
+        u, v, w, tails = _with_contexts(held, self.sizes)
+        held.clear()
+        size = self.sizes.batch
+        order = self.rng.permutation(len(w))
+        for i in range(0, len(w), size):
+            at = order[i : i + size]
+            self.step(u[at], v[at], w[at])
+        own = order[tails[order] >= 0]
+        if len(own):
+            self.draw_words()
+        for i in range(0, len(own), size):
+            at = own[i : i + size]
+            self.word_step(v[at], tails[at].astype(np.int64))
+        return len(w)
+
+
+def _with_contexts(documents: list[tuple[np.ndarray, np.ndarray]], sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two back, one back, class, tail word) for each word and the end of some documents."""
+    lengths = np.array([len(c) for c, _ in documents])
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    w, tails = np.full(ends[-1] + 1, sizes.end, np.uint16), np.full(ends[-1] + 1, -1, np.int32)
+    inside = np.ones(len(w), bool)
+    inside[ends] = False
+    w[inside] = np.concatenate([c for c, _ in documents])
+    tails[inside] = np.concatenate([t for _, t in documents])
+    v, u = np.full(len(w), sizes.start, np.uint16), np.full(len(w), sizes.start, np.uint16)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    v[starts] = u[starts] = sizes.start
+    u[starts[lengths > 0] + 1] = sizes.start
+    return u, v, w, tails
+
+
+def train(docs: DataFrame, words: Lexicon) -> Model:
     """A model fitted to all training documents."""
-    spark = docs.sparkSession
+    spark, sizes = docs.sparkSession, words.sizes
     shared = spark.sparkContext.broadcast(words)
 
-    def classes(batches):
+    def encoded(batches):
+        lex = shared.value
         for batch in batches:
-            rows = [shared.value.encode(t.lower().split())[0].tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["classes"])
+            rows = []
+            for text in batch.column(0).to_pylist():
+                classes, numbers = lex.encode(text.lower().split())
+                tails = np.where(numbers >= 0, lex.tail_of[numbers], -1).astype(np.int32) if len(lex.tail_of) else np.full(len(numbers), -1, np.int32)
+                rows.append((classes.tobytes(), tails.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["classes", "tails"])
 
-    streams = cut(_texts(docs).where("not held_out").select("text").mapInArrow(classes, "classes binary"))
-    model = Model.start(words.weight)
-    for turn in range(rounds):
-        begin = spark.sparkContext.broadcast(model.flat())
+    streams = cut(_texts(docs).where("not held_out").select("text").mapInArrow(encoded, "classes binary, tails binary"))
+    model = Model.start(words)
+    for turn in range(sizes.rounds):
+        begin = spark.sparkContext.broadcast(model.parts)
 
         def fit(batches, begin=begin, turn=turn):
-            trainer, tokens, held = Trainer(Model.of(begin.value), shared.value.weight, 100 + turn), 0, []
+            task = TaskContext.get().partitionId()
+            trainer, tokens, held, waiting = Trainer(Model(**begin.value).copy(), shared.value, (100, turn, task)), 0, [], 0
             for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    held.append(_with_contexts(np.frombuffer(raw, np.int16)))
-                if sum(len(x[2]) for x in held) >= 16 * BATCH:
-                    tokens += _drain(trainer, held)
-            tokens += _drain(trainer, held)
+                for c, t in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                    held.append((np.frombuffer(c, np.int16), np.frombuffer(t, np.int32)))
+                    waiting += len(held[-1][0]) + 1
+                    if waiting >= 16 * sizes.batch:
+                        tokens += trainer.drain(held)
+                        waiting = 0
+            tokens += trainer.drain(held)
             if tokens:
-                flat = trainer.m.flat()
-                size = 4096
-                parts = [flat[i : i + size].astype(np.float64) * tokens for i in range(0, len(flat), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([tokens] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "tokens", "sums"])
-
-        def add(key, batch):
-            total = np.sum([np.frombuffer(x) for x in batch.column("sums").to_pylist()], axis=0)
-            return pa.table({"part": [key[0].as_py()], "tokens": [sum(batch.column("tokens").to_pylist())], "sums": [total.tobytes()]}, schema=_SUMS)
-
-        sums = streams.mapInArrow(fit, "part int, tokens long, sums binary").groupBy("part").applyInArrow(add, "part int, tokens long, sums binary")
-        rows = sorted(sums.collect())  # as many as the parameters have parts
-        if rows:
-            model = Model.of(np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in rows]))
+                yield from _sums(trainer, tokens, task)
+
+        sums = streams.mapInArrow(fit, SUMS)
+        for keys in (["kind", "part", "grp"], ["kind", "part"]):  # no task adds up what all tasks have made at once
+            sums = sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added(keys), SUMS)
+        model = _averaged(model, sums.collect())  # as many rows as the parameters have parts
     drop_cut(streams)
     return model
 
 
-_SUMS = pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("sums", pa.binary())])
+#: Sums of parameters in parts: kind s (shared: weighted by tokens) or w (words: a weight each), grp the group of tasks.
+SUMS = "kind string, part int, grp int, weights binary, sums binary"
+SIZE = 4096
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "part", "grp", "weights", "sums"])
 
 
-def _drain(trainer: Trainer, held: list) -> int:
-    """Steps over the held documents in random order of tokens; they are given up then."""
-    if not held:
-        return 0
-    u, v, w = (np.concatenate([x[i] for x in held]) for i in range(3))
-    held.clear()
-    order = trainer.rng.permutation(len(w))
-    for i in range(0, len(w), BATCH):
-        at = order[i : i + BATCH]
-        trainer.step(u[at], v[at], w[at])
-    return len(w)
+def _sums(trainer: Trainer, tokens: int, task: int) -> Iterator[pa.RecordBatch]:
+    """A task's parameters times their weights; parts of words that it hasn't met are left out."""
+    flat = trainer.m.flat()
+    yield _batch([("s", i // SIZE, task // FAN_IN, np.float64(tokens).tobytes(), (flat[i : i + SIZE].astype(np.float64) * tokens).tobytes()) for i in range(0, len(flat), SIZE)])
+    both = np.c_[trainer.m.p, trainer.m.d].astype(np.float64)
+    for i in range(0, len(both), SIZE):
+        times = trainer.times[i : i + SIZE]
+        if times.any():
+            yield _batch([("w", i // SIZE, task // FAN_IN, times.tobytes(), (both[i : i + SIZE] * times[:, None]).astype(np.float32).tobytes())])
+
+
+def _added(keys: list[str]):
+    """Adds up rows that come sorted by some of kind, part and grp, one after the other."""
+
+    def run(batches):
+        key, kept, weights, sums = None, None, None, None
+        for batch in batches:
+            for kind, part, grp, w, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                now = (kind, part, grp)[: len(keys)]
+                w, s = np.frombuffer(w), np.frombuffer(s, np.float64 if kind == "s" else np.float32).astype(np.float64)
+                if now == key:
+                    weights, sums = weights + w, sums + s
+                    continue
+                if key:
+                    yield _batch([(*kept, weights.tobytes(), sums.astype(np.float64 if kept[0] == "s" else np.float32).tobytes())])
+                key, kept, weights, sums = now, (kind, part, grp // FAN_IN), w, s
+        if key:
+            yield _batch([(*kept, weights.tobytes(), sums.astype(np.float64 if kept[0] == "s" else np.float32).tobytes())])
+
+    return run
+
+
+def _averaged(model: Model, rows: list) -> Model:
+    flat, parts = model.flat().astype(np.float64), dict(model.parts)
+    both = np.c_[model.p, model.d]
+    for r in rows:
+        weights = np.frombuffer(r["weights"])
+        if r["kind"] == "s":
+            mine = np.frombuffer(r["sums"])
+            flat[r["part"] * SIZE : r["part"] * SIZE + len(mine)] = mine / weights
+        else:
+            mine = np.frombuffer(r["sums"], np.float32).reshape(len(weights), -1)
+            met = np.flatnonzero(weights)
+            both[r["part"] * SIZE + met] = mine[met] / weights[met, None]
+    parts["p"], parts["d"] = both[:, :-1].astype(np.float32), both[:, -1].astype(np.float32)
+    return Model(**parts).with_shared(flat)
+
+
+class Scorer:
+    """Natural log-probabilities of the tokens of documents."""
+
+    def __init__(self, words: Lexicon, model: Model, sums: np.ndarray):
+        """sums: from word_sums()."""
+        self.words, self.m, self.sums = words, model, sums
+        self.a1, self.a2, self.log_z = model.class_tables(words.sizes.start)
+        self.log_others = np.log(words.others / words.tail_total)
+
+    def tokens(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The class's, and in a tail class the word's, log-probability of each word and end; a word outside the dictionary has that of all such words of its class.
+
+        documents: classes and tail words (-1: none, or a word outside the dictionary).
+        """
+        u, v, w, j = _with_contexts(documents, self.words.sizes)
+        out = (self.a1[u, w] + self.a2[v, w] - self.log_z[u, v]).astype(np.float64)
+        top = self.words.sizes.top
+        i = np.flatnonzero(j >= 0)
+        out[i] += np.einsum("ij,ij->i", self.m.g[v[i]], self.m.p[j[i]]) + self.m.d[j[i]] - self.sums[v[i], w[i] - top]
+        i = np.flatnonzero((j < 0) & (w >= top) & (w < self.words.sizes.end))
+        out[i] += self.log_others[w[i] - top] - self.sums[v[i], w[i] - top]
+        return out
 
 
 def score(docs: DataFrame, counts: DataFrame, words: Lexicon, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), a row per document."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, model.flat()))
+    shared = docs.sparkSession.sparkContext.broadcast((words, model.parts, model.word_sums(words)))
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, others array<binary>, times array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def run(batches):
-        lex, flat = shared.value
-        a1, a2, log_z = Model.of(flat).tables()
+        lex, parts, sums = shared.value
+        scorer = Scorer(lex, Model(**parts), sums)
         logs = np.log10(lex.counts + 1.0)
-        tail_logs = np.log10(lex.tail_share)
-        end_log, to10 = math.log10(lex.ends + 1), 1 / math.log(10)
+        log_shares = np.log10(lex.others)  # a word outside the dictionary has its count and one of these
+        end_log, to10, top = math.log10(lex.ends + 1), 1 / math.log(10), lex.sizes.top
         for batch in batches:
             ids, held, texts = (c.to_pylist() for c in batch.columns)
-            out: list[list] = [ids, held, [], [], [], [], [], []]
-            for text in texts:
-                found = text.lower().split()
-                classes, numbers, others = lex.encode(found)
-                u, v, w = _with_contexts(classes)
-                inside = numbers[numbers >= 0]
-                own = logs[inside]
-                total = float(own.sum()) + end_log
-                by_class = float((a1[u, w] + a2[v, w] - log_z[u, v]).sum(dtype=np.float64)) * to10
-                within = float(own[inside >= TOP].sum()) - float(tail_logs[classes].sum())
-                tally: dict[bytes, int] = {}
-                for x in others:
-                    tally[x] = tally.get(x, 0) + 1
-                for c, x in zip(out[2:], (len(found) + 1, len(inside) + (lex.ends > 0), total, by_class + within, list(tally), list(tally.values())), strict=True):
-                    c.append(x)
+            found = [t.lower().split() for t in texts]
+            if not found:
+                continue
+            lengths = np.array([len(x) for x in found])
+            every = list(chain.from_iterable(found))
+            classes, numbers = lex.encode(every)
+            inside = numbers >= 0
+            tails = np.where(inside, lex.tail_of[numbers], -1) if len(lex.tail_of) else np.full(len(numbers), -1)
+            bounds = np.cumsum(lengths)[:-1]
+            by_token = scorer.tokens(list(zip(np.split(classes, bounds), np.split(tails, bounds), strict=True)))
+            starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+            total = np.add.reduceat(by_token, starts) * to10
+            of = np.repeat(np.arange(len(found)), lengths)
+            missing = np.flatnonzero(~inside)
+            total -= np.bincount(of[missing], log_shares[classes[missing].astype(np.int64) - top], len(found))
+            base = np.bincount(of[inside], logs[numbers[inside]], len(found)) + end_log
+            known = np.bincount(of[inside], minlength=len(found)) + (lex.ends > 0)
+            tallies: list[dict[bytes, int]] = [{} for _ in found]
+            for i in missing.tolist():
+                tally = tallies[of[i]]
+                tally[every[i]] = tally.get(every[i], 0) + 1
+            out = [ids, held, lengths + 1, known, base, total, [list(x) for x in tallies], [list(x.values()) for x in tallies]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     local = cut(_texts(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
@@ -333,12 +548,16 @@ def score(docs: DataFrame, counts: DataFrame, words: Lexicon, model: Model) -> D
     )
 
 
-def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def scored(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
+    """Counts, trains on and scores docs."""
     counts = cut(count_words(docs))
-    words = lexicon(counts)
+    words = lexicon(counts, sizes)
     return score(docs, counts, words, train(docs, words))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_lm_score": op1_lm_score}
 SQL: dict[str, str] = {}

@@ -6,9 +6,12 @@ certified if the exact (Clopper-Pearson) upper bound of its false rejection rate
 strata, metrics and candidate cutoffs (Bonferroni), is at most the metric's share of the allowed rate. The strictest
 certified cutoff holds; with none, the metric rejects nothing.
 
+The guarantee is about documents that pass the base rules, which are fixed: of those at most ALLOWED of the good ones of
+a stratum are rejected, with confidence 1 - LEVEL over all strata.
+
 Cases: a null or empty text has no words and fails the base rule; a stratum without labels (or null) has no cutoffs;
 repeated documents each count and each get a row; a document labelled twice is good if any label says so; columns
-beyond those named are ignored.
+beyond those named are ignored, whatever their names. The pipeline's stage decides per row.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import as_bytes, cut, map_batches, small, table, text_key, without
+from quaystone.llm.common import add_columns, cut, salted_join, table, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -35,7 +38,9 @@ GRID = {
     "repeat_ratio": [round(0.02 * i, 2) for i in range(1, 26)],
     "mean_word": [3 + 0.5 * i for i in range(40)],
 }
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+#: Strata whose cutoffs are sent to every executor at most; more take part in a join that is dealt into parts.
+MOST_STRATA = 10_000
 
 
 def count_text(text: bytes) -> tuple[int, int, int, int, int, int]:
@@ -59,22 +64,22 @@ def count_text(text: bytes) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def _count_batch(cols):
-    counted = [count_text(t) for t in cols[3]]
-    return [*cols[:3], *zip(*counted, strict=True)] if counted else [[] for _ in range(9)]
+def _count_batch(texts: list[bytes]) -> list:
+    return list(zip(*map(count_text, texts), strict=True)) if texts else [[] for _ in COUNTS]
 
 
-def count_documents(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, the text's key, the counts and the metrics, a row per document."""
-    src = as_bytes(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), text_key().alias("text_key"), "text"), "doc_id", "stratum", "text_key")
-    out = map_batches(src, _count_batch, f"doc_id long, stratum string, text_key binary, {COUNTS}")
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+def count_documents(docs: DataFrame, stratum: str = "lang", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and __stratum, the counts and the metrics under names that begin with __, a row per document."""
+    src = docs.withColumn("__stratum", F.col(stratum).cast("string"))
+    out = add_columns(src, text_bytes(), _count_batch, ", ".join(f"__{c} long" for c in COUNTS), *kept, "__stratum")
+    c = lambda name: F.col(f"__{name}")
+    ratio = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)
     return out.withColumns({
-        "symbol_ratio": ratio("n_symbols", "word_chars"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-        "repeat_ratio": ratio("n_repeat_words", "n_words"),
-        "mean_word": ratio("word_chars", "n_words"),
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")),
+        "__symbol_ratio": ratio("n_symbols", "word_chars"),
+        "__dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "__repeat_ratio": ratio("n_repeat_words", "n_words"),
+        "__mean_word": ratio("word_chars", "n_words"),
+        "__base_failed": (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PCT * c("n_words")),
     })
 
 
@@ -96,44 +101,43 @@ def choose(n: int, rejected: list[int], grid: list[float], rate: float, level: f
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, allowed: float = ALLOWED, level: float = LEVEL, grid: dict = GRID) -> DataFrame:
-    """stratum and one cutoff column per metric (null: none certified), from all labelled good documents that pass the base rules."""
+    """__stratum and one cutoff column per metric (null: none certified), from all labelled good documents that pass the base rules."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = counted.where(~F.col("base_failed") & F.col("stratum").isNotNull()).join(good, "doc_id", "left_semi")
-    above = lambda m: [F.sum((F.col(m) > c).cast("long")).alias(f"{m}_{i}") for i, c in enumerate(grid[m])]
-    tallies = cut(held.groupBy("stratum").agg(F.count("*").alias("n"), *[x for m in grid for x in above(m)]))
+    held = counted.where(~F.col("__base_failed") & F.col("__stratum").isNotNull()).select("doc_id", "__stratum", *[f"__{m}" for m in grid]).join(good, "doc_id", "left_semi")
+    above = lambda m: [F.sum((F.col(f"__{m}") > c).cast("long")).alias(f"{m}_{i}") for i, c in enumerate(grid[m])]
+    tallies = cut(held.groupBy("__stratum").agg(F.count("*").alias("n"), *[x for m in grid for x in above(m)]))
     strata = tallies.count()
     each, rate = level / max(1, strata * sum(map(len, grid.values()))), allowed / len(grid)
 
     def pick(frames):
         for pdf in frames:
-            yield pd.DataFrame({"stratum": pdf["stratum"]} | {
-                f"{m}_cutoff": [choose(int(r["n"]), [int(r[f"{m}_{i}"]) for i in range(len(g))], g, rate, each) for _, r in pdf.iterrows()]
+            yield pd.DataFrame({"__stratum": pdf["__stratum"]} | {
+                f"__{m}_cutoff": [choose(int(r["n"]), [int(r[f"{m}_{i}"]) for i in range(len(g))], g, rate, each) for _, r in pdf.iterrows()]
                 for m, g in grid.items()
             })
 
-    return tallies.mapInPandas(pick, "stratum string, " + ", ".join(f"{m}_cutoff double" for m in grid))
+    return tallies.mapInPandas(pick, "__stratum string, " + ", ".join(f"__{m}_cutoff double" for m in grid))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
-    """The counts, base_failed and kept, a row per document."""
-    counted = cut(count_documents(docs, stratum))
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", kept: tuple[str, ...] = ("doc_id",), **risk) -> DataFrame:
+    """The kept columns (doc_id among them), the counts, __base_failed and __kept, a row per document."""
+    counted = cut(count_documents(docs, stratum, kept))
     chosen = cut(cutoffs(counted, labels, **risk))
-    out = counted.join(small(chosen), "stratum", "left")
+    out = counted.join(F.broadcast(chosen), "__stratum", "left") if chosen.count() <= MOST_STRATA else salted_join(counted, chosen, ["__stratum"], "doc_id", "left")
     over = F.lit(False)
     for m in risk.get("grid", GRID):
-        over = over | F.coalesce(F.col(m) > F.col(f"{m}_cutoff"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~over)
+        over = over | F.coalesce(F.col(f"__{m}") > F.col(f"__{m}_cutoff"), F.lit(False))
+    return out.withColumn("__kept", ~F.col("__base_failed") & ~over)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (*COUNTS[:5], "base_failed", "kept")])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept, decided per row."""
-    judged = judge(docs, table(spark, sf_dir, "labels"))
-    return without(docs, cut(judged.where(~F.col("kept")).select("doc_id", "text_key", F.col("stratum").alias("lang")).distinct()))
+    """The documents that are kept: each is written once beside its counts and read again with the verdict, so no join moves texts."""
+    return judge(docs, table(spark, sf_dir, "labels"), kept=tuple(docs.columns)).where("__kept").select(*docs.columns)
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

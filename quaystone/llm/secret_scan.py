@@ -3,9 +3,10 @@
 The rules' expressions become one minimal automaton over bytes that may start anywhere; a text is read once, byte by
 byte, and where rules end is noted. For those few places an automaton of the reversed rule finds the leftmost start
 behind the rule's former match, and the rule's own automaton the longest end. Spans shorter than their rule asks for
-are dropped after matching, as they use up their bytes.
+are dropped after matching, as they use up their bytes. That is leftmost matching as expressions have it for rules like
+these, whose ends don't depend on where they start; a rule of one's own should be of that kind.
 
-Cases: null and empty texts have no spans; repeated documents each get a row; offsets are code points, end exclusive;
+Cases: null and empty texts have no spans; bytes that aren't UTF-8 count as a code point each; repeated documents each get a row; offsets are code points, end exclusive;
 columns beyond those named are ignored.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm.automata import compile_rules, linked, parse, reverse
-from quaystone.llm.common import as_bytes, map_batches, table
+from quaystone.llm.common import add_columns, as_bytes, map_batches, table
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,7 @@ def byte_spans(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int,
 
 
 def _value_length(data: bytes, span: tuple[int, int, int], rule: Rule) -> int:
-    text = data[span[0] : span[1]].decode()
+    text = data[span[0] : span[1]].decode(errors="replace")
     return len(re.match(rule.value, text)[1] if rule.value else text)
 
 
@@ -119,9 +120,9 @@ def text_spans(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[str,
         return [(rules[k].kind, a, b) for a, b, k in spans]
     at, points, out = 0, 0, []
     for a, b, k in spans:
-        points += len(data[at:a].decode())
+        points += len(data[at:a].decode(errors="replace"))
         at = a
-        out.append((rules[k].kind, points, points + len(data[a:b].decode())))
+        out.append((rules[k].kind, points, points + len(data[a:b].decode(errors="replace"))))
     return out
 
 
@@ -152,18 +153,14 @@ def redacted(data: bytes) -> str:
         if a >= at:
             out += [data[at:a], f"[{RULES[k].kind}]".encode()]
         at = max(at, b)
-    return b"".join([*out, data[at:]]).decode()
+    return b"".join([*out, data[at:]]).decode(errors="replace")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets replaced in text and n_chars to match; all else as it was, null texts too."""
 
-    def run(cols):
-        return [[None if t is None else redacted(t) for t in cols[0]], *cols[1:]]
-
     rest = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    out = map_batches(docs.select(F.col("text").cast("binary"), *rest), run, f"text string, {kinds}")
+    out = add_columns(docs, F.col("text").cast("binary"), lambda texts: [[None if t is None else redacted(t) for t in texts]], "text string", *rest)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(*docs.columns)

@@ -214,7 +214,7 @@ def encoder(path: str):
         m = model(path)
         out = [cols[0], [], [], []]
         for raw in cols[1]:
-            parts = [m.known(s) for s in m.segments(raw.decode())]
+            parts = [m.known(s) for s in m.segments(raw.decode(errors="replace"))]
             out[1].append(sum(p[0] for p in parts))
             out[2].append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
             text = "".join([p[2] for p in parts])
@@ -233,7 +233,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the ids as an array, a row per document."""
     path = path or default_model()
-    return map_batches(as_bytes(docs, "doc_id"), lambda cols: [cols[0], [encode(t.decode(), model(path)) for t in cols[1]]], "doc_id long, ids array<int>")
+    return map_batches(as_bytes(docs, "doc_id"), lambda cols: [cols[0], [encode(t.decode(errors="replace"), model(path)) for t in cols[1]]], "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:

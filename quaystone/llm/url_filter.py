@@ -1,9 +1,9 @@
 """URL filters: host and path rules, then a list behind a blocked Bloom filter, in DataFrame functions only.
 
 A canonical URL is the host without a leading www., the path without a final slash, and the query without tracking
-parameters; scheme and fragment go. The filter of the listed ones has blocks of eight 64-bit words, one bit in each
-per URL; it is a table of one row per block, built by bitwise or. URLs that pass it go on to an exact join with the
-list, which removes false positives. Rules come first, the longest that fits; the list decides for URLs without one.
+parameters; scheme and fragment go. The filter of the listed ones is a bounded table of blocks (bloom.py). URLs that
+pass it go on to an exact join with the list, which removes false positives. Rules come first, the longest that fits;
+the list decides for URLs without one.
 
 Cases: a null URL or one without :// has an empty host and path, fits no rule and is never listed; repeated pages each
 get a row; an empty list blocks nothing; extra columns are ignored.
@@ -11,16 +11,14 @@ get a row; an empty list blocks nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import cut, small, table
+from quaystone.llm import bloom
+from quaystone.llm.common import cut, salted_join, table
 
 #: (verdict, host, path), from the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-WORDS, BITS_PER_URL = 8, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
@@ -50,43 +48,20 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _bits(url: str) -> list[Column]:
-    h = F.xxhash64(F.lit(1), F.col(url))
-    return [F.shiftrightunsigned(h, 6 * j).bitwiseAND(F.lit(63)).cast("int") for j in range(WORDS)]
-
-
-def _block(url: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(url)), F.lit(blocks))
-
-
-def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """block and its words w0 to w7; listed: a column canonical."""
-    ones = [F.expr(f"shiftleft(1L, b{j})") for j in range(WORDS)]
-    rows = listed.select(_block("canonical", blocks).alias("block"), *[b.alias(f"b{j}") for j, b in enumerate(_bits("canonical"))])
-    return rows.groupBy("block").agg(*[F.bit_or(one).alias(f"w{j}") for j, one in enumerate(ones)])
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict, a row per page; listed: a column canonical of URLs to block."""
     listed = cut(listed.where(F.col("canonical").isNotNull()).select("canonical").distinct())
-    blocks = 1 << max(0, math.ceil(math.log2(max(1, listed.count() * BITS_PER_URL / (64 * WORDS)))))
-    filters = small(cut(bloom(listed, blocks)))
+    filters, blocks = bloom.build(listed, "canonical")
     host, path = host_and_path("url")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "by_rule": verdict})
     keyed = judged.withColumn("canonical", F.when(F.col("rule").isNull(), canonical("url"))).drop("url")
-    probed = keyed.withColumn("block", _block("canonical", blocks)).withColumns({f"b{j}": b for j, b in enumerate(_bits("canonical"))})
-    sure = F.lit(True)
-    for j in range(WORDS):
-        sure = sure & (F.expr(f"(shiftrightunsigned(w{j}, b{j}) & 1) = 1"))
-    undecided = F.col("canonical").isNotNull()
-    asked = probed.where(undecided).join(filters, "block", "left").withColumn("possible", F.coalesce(sure, F.lit(False)))
+    asked = bloom.probed(keyed, "canonical", filters, blocks, keep_all=True)
     columns = ["page_id", "host", "path", "rule", "by_rule"]
-    known = small(listed.withColumn("hit", F.lit("block")))
-    hits = asked.where("possible").join(known, "canonical", "left").select(*columns, "hit")
+    # pages of one URL are dealt into parts, so a URL with many pages is no task's alone
+    hits = salted_join(asked.where("possible"), listed.withColumn("hit", F.lit("block")), ["canonical"], "page_id", "left").select(*columns, "hit")
     rest = asked.where("not possible").select(*columns, F.lit(None).cast("string").alias("hit"))
-    ruled = probed.where(~undecided).select(*columns, F.lit(None).cast("string").alias("hit"))
-    return hits.union(rest).union(ruled).select("page_id", "host", "path", "rule", F.coalesce("by_rule", "hit", F.lit("allow")).alias("verdict"))
+    return hits.union(rest).select("page_id", "host", "path", "rule", F.coalesce("by_rule", "hit", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """The operators' parts, contracts and edge cases."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quaystone.llm import automata, chat_format, components, decontaminate, deep_shallow, license_scan, lm_score, near_dedup, quality_rules, registry, secret_scan, sentence_pieces, suffix_dedup, templates, url_filter
+from quaystone.llm import automata, bloom, chat_format, components, decontaminate, deep_shallow, license_scan, lm_score, near_dedup, quality_rules, registry, secret_scan, sentence_pieces, suffix_dedup, templates, url_filter
 from tests.conftest import SF, rows
 from tests.llm import edge
 
@@ -157,9 +159,12 @@ def test_urls(spark):
 
 def test_bloom_filter_has_no_false_negatives(spark):
     urls = spark.range(2000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
-    table = {r["block"]: r for r in url_filter.bloom(urls, 64).collect()}
-    for r in urls.select(url_filter._block("canonical", 64).alias("block"), *[b.alias(f"b{j}") for j, b in enumerate(url_filter._bits("canonical"))]).collect():
-        assert all(table[r["block"]][f"w{j}"] >> r[f"b{j}"] & 1 for j in range(8))
+    filters, blocks = bloom.build(urls, "canonical")
+    assert bloom.probed(urls, "canonical", filters, blocks).count() == 2000
+    others = spark.range(20000).select(F.concat(F.lit("other/"), "id").alias("canonical"))
+    both = bloom.probed(others, "canonical", filters, blocks, keep_all=True)
+    assert both.count() == 20000 and both.where("possible").count() < 400
+    assert bloom.probed(others, "canonical", *bloom.build(urls.limit(0), "canonical")).count() == 0
 
 
 def test_substituted_copies_are_found_and_others_left(spark):
@@ -254,24 +259,118 @@ def test_crowded_groups_are_settled_alike(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.dedup(docs).collect())) == want
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    m = lm_score.Model.start(rng.integers(1, 50, lm_score.CLASSES).astype(float))
-    m.r += rng.normal(0, 0.5, m.r.shape).astype(np.float32)
-    a1, a2, z = m.tables()
-    for u, v in rng.integers(0, lm_score.CLASSES, (20, 2)):
-        assert abs(np.exp((a1[u] + a2[v] - z[u, v]).astype(np.float64)).sum() - 1) < 1e-3
+SMALL = lm_score.Sizes(top=6, tails=5, dictionary=40, dim=4, word_dim=3, batch=64, noise=8)
+
+
+def small_lexicon(sizes=SMALL, listed=40):
+    """60 words, of which the more frequent are in the dictionary."""
+    counts = {b"w%d%d" % (i % 7, i): 200 // (i + 1) + 1 for i in range(60)}
+    rows = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    tails = {}
+    for w, c in rows[sizes.top :]:
+        n, v = tails.get(k := lm_score.tail_class(w, sizes), (0, 0))
+        tails[k] = (n + c, v + 1)
+    return lm_score.Lexicon([(b"", 50), *rows[:listed]], tails, sum(counts.values()) + 50, 61, sizes), counts
+
+
+def plain_score(words, counts, lex, m):
+    """log10 of a text's probability, token by token from the definition."""
+    sizes, total = lex.sizes, 0.0
+    kind = lambda w: lex.number[w] if w in lex.number and lex.number[w] < sizes.top else lm_score.tail_class(w, sizes)
+    outputs = [w for w in range(sizes.classes) if w != sizes.start]
+    before = [sizes.start, sizes.start]
+    for w in [*words, None]:
+        k = sizes.end if w is None else kind(w)
+        u, v = before
+        h = m.c[0] * m.r[u] + m.c[1] * m.r[v]
+        s = {x: float(h @ m.q[x] + m.b[x]) for x in outputs}
+        total += s[k] - math.log(sum(math.exp(x) for x in s.values()))
+        if w is not None and k >= sizes.top:
+            t = k - sizes.top
+            inside = {j: math.exp(float(m.g[v] @ m.p[j] + m.d[j])) for j in range(lex.first[t], lex.first[t + 1])}
+            rest = lex.others[t] / lex.tail_total[t]
+            if w in lex.number:
+                total += math.log(inside[lex.tail_of[lex.number[w]]] / (sum(inside.values()) + rest))
+            else:
+                total += math.log(rest / (sum(inside.values()) + rest)) + math.log((counts.get(w, 0) + 1) / lex.others[t])
+        before = [v, k]
+    return total / math.log(10)
+
+
+def random_model(lex):
+    rng, m = np.random.default_rng(0), lm_score.Model.start(lex)
+    return lm_score.Model(**{k: (v + rng.normal(0, 0.4, v.shape)).astype(np.float32) for k, v in m.parts.items()})
 
 
-def test_training_learns_a_bigram():
-    w = np.zeros(lm_score.CLASSES)
-    w[:4] = 100
-    t = lm_score.Trainer(lm_score.Model.start(w), w, 1)
-    u = np.tile([0, 1, 2, 3], 1000)
-    for _ in range(60):
-        t.step(u, (u + 1) % 4, (u + 2) % 4)
-    a1, a2, z = t.m.tables()
-    assert all(np.argmax(a1[k] + a2[(k + 1) % 4]) == (k + 2) % 4 for k in range(4))
+def test_probabilities_sum_to_one():
+    lex, counts = small_lexicon()
+    m = random_model(lex)
+    after = [b"w00", b"w550", b"nowhere"]
+    for a in after:  # over all next tokens: every counted word, all unknown ones of each class together, and the end
+        first = plain_score([a], counts, lex, m)
+        steps = [10 ** (prefix_score([a, w], counts, lex, m) - prefix_score([a], counts, lex, m)) for w in counts]
+        unknown = []
+        for k in range(lex.sizes.tails):
+            word = next(x for x in (b"%c%c" % (97 + i, 97 + j) for i in range(26) for j in range(26)) if lm_score.tail_class(x, lex.sizes) == lex.sizes.top + k)
+            unknown.append(10 ** (prefix_score([a, word], counts, lex, m) - prefix_score([a], counts, lex, m)))
+        end = 10 ** (first - prefix_score([a], counts, lex, m))
+        assert abs(sum(steps) + sum(unknown) + end - 1) < 1e-4
+
+
+def prefix_score(words, counts, lex, m):
+    """As plain_score, but without the end."""
+    with_end = plain_score(words, counts, lex, m)
+    sizes = lex.sizes
+    kind = lambda w: lex.number[w] if w in lex.number and lex.number[w] < sizes.top else lm_score.tail_class(w, sizes)
+    u, v = ([sizes.start, sizes.start] + [kind(w) for w in words])[-2:]
+    h = m.c[0] * m.r[u] + m.c[1] * m.r[v]
+    s = {x: float(h @ m.q[x] + m.b[x]) for x in range(sizes.classes) if x != sizes.start}
+    return with_end - (s[sizes.end] - math.log(sum(math.exp(x) for x in s.values()))) / math.log(10)
+
+
+def test_scores_equal_the_definition(spark):
+    lex, counts = small_lexicon()
+    m = random_model(lex)
+    rng = random.Random(4)
+    texts = ["", "nowhere w00 w11", *(" ".join(rng.choice([*[w.decode() for w in counts], "zz", "q."]) for _ in range(rng.randint(1, 30))) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()] + [(bytearray(b""), 50)], "word binary, count long")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, table, lex, m).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(t.encode().split(), counts, lex, m)) < 1e-3, t
+
+
+def test_training_learns_which_word_follows():
+    """Within a class, and between classes."""
+    lex, counts = small_lexicon()
+    t = lm_score.Trainer(lm_score.Model.start(lex), lex, (1,))
+    k = max(range(SMALL.tails), key=lambda k: lex.first[k + 1] - lex.first[k])
+    one, two = lex.first[k], lex.first[k] + 1
+    documents = []
+    for i in range(400):  # class 0 is followed by one of the class's words, class 1 by another
+        documents.append((np.array([i % 2, SMALL.top + k], np.int16), np.array([-1, (one, two)[i % 2]], np.int32)))
+    for _ in range(40):
+        t.drain(list(documents))
+    scorer = lm_score.Scorer(lex, t.m, t.m.word_sums(lex))
+    for v, good, bad in ((0, one, two), (1, two, one)):
+        p = [scorer.tokens([(np.array([v, SMALL.top + k], np.int16), np.array([-1, j], np.int32))])[1] for j in (good, bad)]
+        assert p[0] > p[1] + 1
+
+
+def test_sums_of_tasks_are_averages():
+    lex, _ = small_lexicon()
+    trainers = [lm_score.Trainer(random_model(lex), lex, (k,)) for k in (1, 2)]
+    trainers[1].m = lm_score.Model(**{k: v + 1 for k, v in trainers[1].m.parts.items()})
+    for t, times in zip(trainers, (1, 3), strict=True):
+        t.times[:] = times
+        t.times[0] = 0
+    batches = [b for n, t in ((10, trainers[0]), (30, trainers[1])) for b in lm_score._sums(t, n, 0)]
+    rows = sorted((tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows)), key=lambda r: r[:3])
+    added = [r for b in lm_score._added(["kind", "part"])([lm_score._batch(rows)]) for r in b.to_pylist()]
+    out = lm_score._averaged(lm_score.Model.start(lex), added)
+    want = trainers[0].m
+    assert np.allclose(out.q, want.q + 0.75, atol=1e-5) and np.allclose(out.p[1:], want.p[1:] + 0.75, atol=1e-5)
+    assert np.allclose(out.p[0], 0)  # a word that no task met keeps its start
 
 
 def test_binomial_bound():
@@ -285,7 +384,7 @@ def test_cutoffs_keep_good_documents(spark):
     labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("quality"))
     counted = quality_rules.count_documents(docs.withColumn("text", F.concat("text", F.lit(" x "), F.col("doc_id").cast("string"))))
     cut = quality_rules.cutoffs(counted, labels).collect()
-    assert cut[0]["symbol_ratio_cutoff"] == 0.01
+    assert cut[0]["__symbol_ratio_cutoff"] == 0.01
 
 
 def test_license_bands_guarantee():
@@ -312,11 +411,134 @@ def test_decoding_round_trip(spark):
 
 
 @pytest.mark.parametrize("most", [0, 40])
-def test_scores_with_a_small_dictionary(spark, monkeypatch, tmp_path, most):
+def test_scores_with_a_small_dictionary(spark, most):
     """Words outside the dictionary get their counts by the join; nothing exact changes."""
     docs = spark.createDataFrame([(i, edge.sentence(i % 7, 40) if i else None) for i in range(30)], "doc_id long, text string")
-    folder = edge.as_table(spark, tmp_path, "documents", docs)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6)]
-    want = sorted(map(tuple, lm_score.op1_lm_score(spark, folder).select(*columns).collect()))
-    monkeypatch.setattr(lm_score, "DICTIONARY", most)
-    assert sorted(map(tuple, lm_score.op1_lm_score(spark, folder).select(*columns).collect())) == want
+    want = sorted(map(tuple, lm_score.scored(docs).select(*columns).collect()))
+    assert sorted(map(tuple, lm_score.scored(docs, lm_score.Sizes(dictionary=most)).select(*columns).collect())) == want
+
+
+def plain_overlap(doc, item):
+    """Whether some window of the item agrees with the document in enough words, tried at every shift."""
+    d, w = doc.lower().split(), item.lower().split()
+    span = min(len(w), decontaminate.WINDOW)
+    for shift in range(-len(w), len(d)):
+        same = [0 <= i + shift < len(d) and d[i + shift] == x for i, x in enumerate(w)]
+        best = max(sum(same[s : s + span]) for s in range(len(w) - span + 1))
+        if best == span if span < decontaminate.SPAN else 100 * best >= decontaminate.AGREE_PCT * span:
+            return True
+    return False
+
+
+def test_every_copy_with_substitutions_is_found(spark):
+    """Random substitutions at the limit of what counts as a copy, against alignment by brute force."""
+    rng, items, docs = random.Random(12), [], []
+    for k in range(40):
+        n = rng.choice([5, 9, 10, 12, 14, 16, 19, 20, 20, 27, 60])
+        items.append((k, " ".join(f"i{k}w{rng.randint(0, 99)}" for _ in range(n))))
+        for copy in range(6):
+            w = items[-1][1].split(" ")
+            if n > 20 and copy % 2:
+                w = w[(at := rng.randint(0, n - 20)) : at + 20]
+            most = len(w) // 4 if n >= 10 else 1
+            for i in rng.sample(range(len(w)), rng.choice([most, most, max(0, most - 1), most + 1])):
+                w[i] = f"new{rng.randint(0, 999)}"
+            docs.append((len(docs), k, " ".join(["a b c d e f g"] * rng.randint(0, 3) + w + ["h i j k"])))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark.createDataFrame([d[::2] for d in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, k) for i, k, text in docs if plain_overlap(text, items[k][1])}
+    assert got == want and len(want) > 150
+
+
+def test_decontamination_without_a_benchmark(spark):
+    docs, items = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string"), spark.createDataFrame([(1, "")], "item_id long, text string")
+    assert decontaminate.overlaps(docs, items).count() == decontaminate.overlaps(docs, items.limit(0)).count() == decontaminate.overlaps(docs.limit(0), items).count() == 0
+
+
+def test_added_secret_rules_match_as_expressions_do():
+    rng = random.Random(3)
+    parts = ["ghp_", "gho_", "xoxb-", "sk_live_", "rk_live_", "eyJ", ".eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "a1B2", "Zz9", "0" * 40, " ", "\n", "é", "AKIA", "_", "-"]
+    added = [r for r in secret_scan.RULES if r.kind not in secret_scan.BASE]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) * rng.choice([1, 1, 1, 6]) for _ in range(rng.randint(1, 25)))
+        want = sorted((m.start(), r.kind, m.end()) for r in added for m in re.finditer(r.pattern, text, re.A) if len(m[0]) >= r.shortest)
+        assert sorted((a, k, b) for k, a, b in secret_scan.text_spans(text.encode()) if k not in secret_scan.BASE) == want, text
+
+
+def test_invalid_bytes_do_no_harm(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('ff746f6b656e3a206162636465666768ff') AS string) AS text")
+    assert secret_scan.scan(docs).first()["n_assign"] == 1 and sentence_pieces.encoded(docs).count() == 1 and secret_scan.redact(docs).count() == 1
+
+
+def plain_cutoffs(rows, good):
+    """Cutoffs of each stratum from the definition; rows: (doc_id, stratum, metrics, base_failed)."""
+    out, strata = {}, sorted({s for i, s, _, failed in rows if i in good and not failed})
+    each = quality_rules.LEVEL / (len(strata) * sum(map(len, quality_rules.GRID.values())))
+    for s in strata:
+        held = [m for i, x, m, failed in rows if x == s and i in good and not failed]
+        for name, grid in quality_rules.GRID.items():
+            for c in grid:
+                k, n, p = sum(m[name] > c for m in held), len(held), quality_rules.ALLOWED / len(quality_rules.GRID)
+                if k / n <= p and sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) <= each:
+                    out[s, name] = c
+                    break
+    return out
+
+
+def test_kept_follows_the_certified_cutoffs(spark):
+    rng, docs, labels = random.Random(8), [], []
+    for i in range(3000):
+        bad = i % 8 == 0
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 400)) for _ in range(60 + i % 50)]
+        if bad:
+            words = [w + "###" for w in words]
+        docs.append((i, " ".join(words), ("en", "de", None)[i % 3]))
+        labels.append((i, 0 if bad else 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = quality_rules.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    names = list(quality_rules.GRID)
+    cut = plain_cutoffs([(r["doc_id"], r["__stratum"], {m: r[f"__{m}"] for m in names}, r["__base_failed"]) for r in out if r["__stratum"]], {i for i, q in labels if q})
+    assert any(k[1] == "symbol_ratio" for k in cut)
+    for r in out:
+        over = any(r[f"__{m}"] > cut.get((r["__stratum"], m), math.inf) for m in names)
+        assert r["__kept"] == (not r["__base_failed"] and not over)
+
+
+def test_contained_licenses_by_brute_force():
+    """Templates with words dropped: found if and only if three quarters of their shingles are left in some stretch."""
+    rng = random.Random(6)
+    for name, text in license_scan.TEMPLATES.items():
+        own = license_scan.license_words(text.encode())
+        size = len(set(license_scan.windows(own).tolist()))
+        for _ in range(12):
+            w = list(own)
+            for i in sorted(rng.sample(range(len(w)), rng.randint(0, max(1, len(w) // 8))), reverse=True):
+                w[i : i + 1] = [] if rng.random() < 0.5 else [b"other"]
+            padded = [b"before%d" % i for i in range(12)] + w + [b"after%d" % i for i in range(12)]
+            left = len(set(license_scan.windows(padded).tolist()) & set(license_scan.windows(own).tolist())) if len(padded) > 4 else 0
+            found = [x for x in license_scan.find(padded) if x[0] == name]
+            assert bool(found) == (100 * left >= license_scan.CONTAINED_PCT * size), (name, left, size)
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    """Blocks of a few members and dense groups give the same components."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, near_dedup.link(docs).collect()), key=repr)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    assert sorted(map(tuple, near_dedup.link(docs).collect()), key=repr) == want
+    monkeypatch.setattr(near_dedup, "CROWD", 0)
+    assert sorted(map(tuple, near_dedup.link(docs).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op5_url_filter", "op6_suffix_dedup", "op8_quality_rules", "op10_near_dedup"])
+def test_plans_of_large_tables_give_the_same_rows(spark, name):
+    """Without automatic broadcasts every join is the shuffled one that large tables get."""
+    query = registry.queries()[name]
+    want = sorted(map(tuple, query(spark, SF).collect()), key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, query(spark, SF).collect()), key=repr) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
