@@ -62,6 +62,25 @@ def buffered(state, x, gap):
     return state if np.isnan(x) else (min(max(held, x - gap), x + gap),)
 
 
+def hump_from_first(gap: float) -> Callable:
+    """As hump, but the first row takes its signal; states: position and whether a row has been seen."""
+    return lambda state, x: ((state[0] if np.isnan(x) or (state[1] and abs(x - state[0]) < gap) else x), 1.0)
+
+
+def buffer_from_first(gap: float) -> Callable:
+    """Trade to the near edge of the band; the first row takes the signal itself if it is at least gap."""
+
+    def step(state, x):
+        held, seen = state
+        if np.isnan(x):
+            return held, 1.0
+        if not seen:
+            return (x if abs(x) >= gap else 0.0), 1.0
+        return (x - gap if x - gap >= held else x + gap if x + gap < held else held), 1.0
+
+    return step
+
+
 def parabolic(start: float = 0.02, most: float = 0.2) -> Callable:
     """Parabolic stop: (stop, side, extreme, acceleration, last two highs and lows)."""
 

@@ -164,6 +164,7 @@ class Ewm:
     adjust: bool = True
     least: int = 0
     stat: str = "mean"
+    skip: bool = False  # weights decay over rows with a value only
 
     @property
     def width(self) -> int:
@@ -172,14 +173,16 @@ class Ewm:
     def apply(self, df: DataFrame) -> DataFrame:
         d, n, o = 1 - self.alpha, self.width, f"_{self.out}"
         by = Window.partitionBy("asset").orderBy("date")
-        df = df.withColumns({f"{o}_x": F.expr(self.x).cast("double"), f"{o}_i": (F.col("rn") % n).cast("double")})
+        df = df.withColumn(f"{o}_x", F.expr(self.x).cast("double"))
+        at = F.count(f"{o}_x").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1 if self.skip else F.col("rn")
+        df = df.withColumn(f"{o}_at", at).withColumn(f"{o}_i", F.pmod(f"{o}_at", F.lit(n)).cast("double"))
         df = df.withColumn(f"{o}_x0", F.first(f"{o}_x", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
         ok, up = F.col(f"{o}_x").isNotNull(), F.pow(F.lit(1 / d if d else 1.0), F.col(f"{o}_i"))
         c = F.col(f"{o}_x") - F.col(f"{o}_x0")  # centred, so that squares keep their digits
         sums = {"n": c * up, "d": F.when(ok, up), "q": c * c * up, "w": F.when(ok, up * up)}
         used = ["n", "d"] if self.stat == "mean" else list(sums)
         inside = Window.partitionBy("asset", f"{o}_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(f"{o}_b", F.floor(F.col("rn") / n))
+        df = df.withColumn(f"{o}_b", F.floor(F.col(f"{o}_at") / n))
         df = df.withColumns({f"{o}_{k}": F.sum(sums[k]).over(inside) for k in used})
         before = by.rowsBetween(Window.unboundedPreceding, -1)
         last = F.col(f"{o}_i") == n - 1
@@ -206,7 +209,8 @@ class Ewm:
 
     def sql(self, prev: str) -> str:
         d, n = 1 - self.alpha, 2 * self.width
-        p = f"pow({d!r}, p.rn - q.rn)"
+        at = "c_" if self.skip else "rn"
+        p = f"pow({d!r}, p.{at} - q.{at})"
         ok = f"FILTER (q.x_ IS NOT NULL)"
         if self.stat == "std":
             value = f"sqrt(greatest(sum(q.x_ * q.x_ * {p}) / sum({p}) {ok} - pow(sum(q.x_ * {p}) / sum({p}) {ok}, 2), 0) * pow(sum({p}) {ok}, 2) / nullif(pow(sum({p}) {ok}, 2) - sum({p} * {p}) {ok}, 0))"
@@ -221,7 +225,7 @@ class Ewm:
             value = f"{self.alpha!r} * sum(q.x_ * {p}) + CASE WHEN p.rn - any_value(p.r0_) < {n} THEN {d!r} * any_value(p.x0_) * pow({d!r}, p.rn - any_value(p.r0_)) ELSE 0 END"
             src_p = f"(SELECT *, min(CASE WHEN x_ IS NOT NULL THEN rn END) OVER (PARTITION BY asset) AS r0_, first_value(x_ IGNORE NULLS) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x0_ FROM {src})"
         else:
-            near, src_p = f"q.rn <= p.rn AND q.rn > p.rn - {n}", src
+            near, src_p = f"q.rn <= p.rn AND q.{at} > p.{at} - {n}", src
         inner = f"SELECT p.asset, p.rn, CASE WHEN any_value(p.c_) >= {max(1, self.least)} THEN {value} END AS {self.out} FROM {src_p} p JOIN {src} q ON p.asset = q.asset AND {near} GROUP BY p.asset, p.rn"
         return f"SELECT t.*, e.{self.out} FROM {prev} t JOIN ({inner}) e USING (asset, rn)"
 
@@ -242,20 +246,87 @@ def halflife(h: float) -> float:
 class Where:
     text: str
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.where(self.text)
+
+    def sql(self, prev: str) -> str:
+        return f"SELECT * FROM {prev} WHERE {self.text}"
+
+
+@dataclass(frozen=True)
+class Renumber:
+    """rn anew, after rows have been left out."""
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("rn", F.row_number().over(Window.partitionBy(*ASSET).orderBy(*DATE)) - 1)
+
+    def sql(self, prev: str) -> str:
+        return f"SELECT * REPLACE (row_number() OVER ({_over(ASSET, DATE)}) - 1 AS rn) FROM {prev}"
+
+
+@dataclass(frozen=True)
+class Grid:
+    """x on every day of some weekdays (0: Monday) from an asset's first to its last date: the last row on or before the day. Each row is repeated up to the next one's day, so nothing is joined."""
+
+    x: str
+    weekdays: tuple[int, ...] = (0, 1, 2, 3, 4)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        after = F.date_sub(F.lead("date").over(Window.partitionBy(*ASSET).orderBy(*DATE)), 1)
+        held = df.select("asset", F.col(self.x), F.col("date").alias("from_"), F.coalesce(after, "date").alias("to_"))
+        out = held.select("asset", self.x, F.explode(F.sequence("from_", "to_")).alias("date")).where(F.weekday("date").isin(*self.weekdays))
+        return Renumber().apply(out.withColumn("rn", F.lit(0)))
+
+    def sql(self, prev: str) -> str:
+        days = ", ".join(str(d + 1) for d in self.weekdays)
+        inner = f"SELECT asset, {self.x}, unnest(generate_series(date, coalesce(lead(date) OVER ({_over(ASSET, DATE)}) - 1, date), INTERVAL 1 DAY))::DATE AS date FROM {prev}"
+        return f"SELECT asset, {self.x}, date, row_number() OVER ({_over(ASSET, DATE)}) - 1 AS rn FROM ({inner}) WHERE isodow(date) IN ({days})"
+
+
+@dataclass(frozen=True)
+class Machine:
+    """out: a state machine's first state. step goes over an asset's rows in order; first and after are its states as SQL (over p, and over p and the row before r)."""
+
+    out: str
+    step: Callable
+    inputs: tuple[str, ...]
+    states: dict[str, tuple[float, str, str]]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        names = list(self.states)
+
+        def run(pdf):
+            pdf = pdf.sort_values("date", ignore_index=True)
+            state, out = tuple(v[0] for v in self.states.values()), []
+            for row in zip(*[pdf[c].to_numpy(float) for c in self.inputs], strict=True):
+                state = self.step(state, *row)
+                out.append(state[0])
+            pdf[self.out] = out
+            return pdf
+
+        assert names
+        return df.groupBy(*ASSET).applyInPandas(run, df.withColumn(self.out, F.lit(0.0)).schema)
+
+    def sql(self, prev: str) -> str:
+        names = ", ".join(self.states)
+        first, after = (", ".join(v[i] for v in self.states.values()) for i in (1, 2))
+        loop = f"WITH RECURSIVE r(asset, rn, {names}) AS (SELECT asset, rn, {first} FROM {prev} p WHERE rn = 0 UNION ALL SELECT p.asset, p.rn, {after} FROM r JOIN {prev} p ON p.asset = r.asset AND p.rn = r.rn + 1) SELECT asset, rn, {next(iter(self.states))} AS {self.out} FROM r"
+        return f"SELECT t.*, m.{self.out} FROM {prev} t JOIN ({loop}) m USING (asset, rn)"
+
 
 @dataclass(frozen=True)
 class Recipe:
+    """Steps over a panel; a step is a dictionary of new columns, or has apply() and sql()."""
+
     steps: list = field(default_factory=list)
     keep: tuple[str, ...] = ()  # columns that come out, after the keys
 
     def apply(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
-            if isinstance(step, (Ewm, RollingQuantile)):
-                df = step.apply(df)
-            elif isinstance(step, Where):
-                df = df.where(step.text)
-            else:
+            if isinstance(step, dict):
                 df = df.withColumns({k: (v.col() if isinstance(v, Ex) else F.expr(v)) for k, v in step.items()})
+            else:
+                df = step.apply(df)
         return df
 
     def result(self, df: DataFrame, keys=("asset", "date")) -> DataFrame:
@@ -266,12 +337,10 @@ class Recipe:
         """base: WITH items that end in one called s0."""
         items, prev = [base], "s0"
         for i, step in enumerate(self.steps, 1):
-            if isinstance(step, (Ewm, RollingQuantile)):
-                body = step.sql(prev)
-            elif isinstance(step, Where):
-                body = f"SELECT * FROM {prev} WHERE {step.text}"
-            else:
+            if isinstance(step, dict):
                 body = f"SELECT *, {', '.join(f'{v.sql if isinstance(v, Ex) else v} AS {k}' for k, v in step.items())} FROM {prev}"
+            else:
+                body = step.sql(prev)
             prev = f"s{i}"
             items.append(f"{prev} AS MATERIALIZED ({body})")
         picks = ", ".join(f"{tidy_sql(c)} AS {c}" for c in self.keep)

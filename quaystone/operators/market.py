@@ -42,12 +42,13 @@ def twaps(ticks: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
 def trading_date(ticks: DataFrame, calendar: DataFrame) -> DataFrame:
     """Rows from 18:00 on belong to the next business day; others on no business day to the next one too. calendar: date, next_bday, is_bday."""
     day = F.when((F.col("minute") >= 18 * 60) | ~F.col("is_bday"), F.col("next_bday")).otherwise(F.col("date"))
-    return ticks.join(F.broadcast(calendar.select("date", "next_bday", "is_bday")), "date").withColumn("trade_date", day)
+    return ticks.join(calendar.select("date", "next_bday", "is_bday"), "date").withColumn("trade_date", day)
 
 
-def calendar(days: DataFrame) -> DataFrame:
-    """date, is_bday, bday_no, prev_bday and next_bday of a frame with first and last day; a row per day, so it stays small."""
-    d = days.select(F.explode(F.sequence("first", "last")).alias("date")).withColumn("is_bday", F.dayofweek("date").between(2, 6))
+def calendar(days: DataFrame, holidays: tuple[str, ...] = ()) -> DataFrame:
+    """Weekdays that aren't in a list of holidays (yyyy-mm-dd) are business days: date, is_bday, bday_no, prev_bday and next_bday of a frame with first and last day; a row per day, so it stays small."""
+    d = days.select(F.explode(F.sequence("first", "last")).alias("date"))
+    d = d.withColumn("is_bday", F.dayofweek("date").between(2, 6) & ~F.col("date").cast("string").isin(list(holidays)))
     b = F.when(F.col("is_bday"), F.col("date"))
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     return d.withColumns({
@@ -61,18 +62,25 @@ def shift_bdays(rows: DataFrame, cal: DataFrame, date: str, n: int, out: str) ->
     """out: the business day n after that of date, by number."""
     own = cal.select(F.col("date").alias(date), "bday_no")
     ahead = cal.where("is_bday").select((F.col("bday_no") - n).alias("bday_no"), F.col("date").alias(out))
-    return rows.join(F.broadcast(own), date).join(F.broadcast(ahead), "bday_no", "left").drop("bday_no")
+    return rows.join(own, date).join(ahead, "bday_no", "left").drop("bday_no")
 
 
 def in_sessions(ticks: DataFrame, sessions: DataFrame) -> DataFrame:
     """Ticks within one of their group's sessions (kind, from_date, to_date, start_minute, end_minute)."""
-    t, x = ticks.alias("t"), F.broadcast(sessions).alias("x")
+    t, x = ticks.alias("t"), sessions.alias("x")
     return t.join(x, (F.col("t.event_type") == F.col("x.kind")) & F.col("t.date").between(F.col("x.from_date"), F.col("x.to_date")) & F.col("t.minute").between(F.col("x.start_minute"), F.col("x.end_minute")), "left_semi")
 
 
-def vat(price: str, date: str) -> Column:
-    """Price without value added tax at the rate of its date."""
-    return F.col(price) / F.when(F.col(date) < F.lit("1998-05-01").cast("date"), 1.17).when(F.col(date) < F.lit("1999-04-01").cast("date"), 1.16).otherwise(1.13)
+#: Rates of value added tax and the first days of the later ones.
+VAT = ((None, 1.17), ("2018-05-01", 1.16), ("2019-04-01", 1.13))
+
+
+def vat(price: str, date: str, add: bool = False, rates=VAT) -> Column:
+    """Price without value added tax at the rate of its date, or with it."""
+    rate = F.lit(rates[0][1])
+    for day, r in rates[1:]:
+        rate = F.when(F.col(date) >= F.lit(day).cast("date"), r).otherwise(rate)
+    return F.col(price) * rate if add else F.col(price) / rate
 
 
 def halve_before(x: str, date: str, day: str) -> Column:
@@ -100,22 +108,26 @@ def roll_map(bars: DataFrame) -> DataFrame:
     return moved.select("asset", "contract", F.add_months("month", 1).alias("start"))
 
 
-def back_adjusted(chained: DataFrame) -> DataFrame:
-    """Ratio-adjusted closes of a chain: each segment is scaled by the gaps of all later rolls; a roll without a positive price is skipped."""
+def back_adjusted(chained: DataFrame, ratio: bool = True) -> DataFrame:
+    """Adjusted closes of a chain and the shift: each segment is moved by the gaps of all later rolls, as logs of ratios or as differences; a roll without a positive price is skipped."""
     seg = chained.groupBy("asset", "seg_start").agg(F.min_by("close", "date").alias("first_close"), F.max_by("close", "date").alias("last_close"))
     w = Window.partitionBy("asset").orderBy("seg_start")
-    gaps = seg.withColumn("gap", F.lead("first_close").over(w) / F.col("last_close"))
-    gaps = gaps.withColumn("gap", F.when(F.col("gap") > 0, F.ln("gap")).otherwise(0.0))
+    seg = seg.withColumn("next", F.lead("first_close").over(w))
+    gap = F.ln(F.col("next") / F.col("last_close")) if ratio else F.col("next") - F.col("last_close")
+    gaps = seg.withColumn("gap", F.when((F.col("next") > 0) & (F.col("last_close") > 0), gap).otherwise(0.0))
     later = F.sum("gap").over(Window.partitionBy("asset").orderBy(F.desc("seg_start")).rowsBetween(Window.unboundedPreceding, 0))
-    shifts = gaps.select("asset", "seg_start", later.alias("shift"))
-    return chained.join(shifts, ["asset", "seg_start"]).withColumn("adj_close", F.col("close") * F.exp("shift"))
+    adjusted = chained.join(gaps.select("asset", "seg_start", later.alias("shift")), ["asset", "seg_start"])
+    return adjusted.withColumn("adj_close", F.col("close") * F.exp("shift") if ratio else F.col("close") + F.col("shift"))
 
 
 def as_of(grid: DataFrame, series: DataFrame, value: str, limit: int | None = None) -> DataFrame:
-    """The last value of series (key, date, value) on or before each grid row (key, date), at most limit grid rows old."""
-    both = grid.join(series, ["key", "date"], "left")
-    w = Window.partitionBy("key").orderBy("date").rowsBetween(-limit if limit is not None else Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """The last value of series (key, date, value) on or before each grid row (key, date), for at most limit grid rows behind the value's date."""
+    both = grid.select("key", "date", F.lit(None).cast(series.schema[value].dataType).alias(value), F.lit(1).alias("g")).unionByName(series.select("key", "date", value, F.lit(0).alias("g")))
+    w = Window.partitionBy("key").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("seq", F.sum("g").over(w))
+    held = both.withColumns({"at": F.last(F.when(F.col(value).isNotNull(), F.col("seq")), ignorenulls=True).over(w), value: F.last(value, ignorenulls=True).over(w)})
+    kept = F.col(value) if limit is None else F.when(F.col("seq") - F.col("at") <= limit, F.col(value))
+    return held.where("g = 1").select("key", "date", kept.alias(value))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = True) -> DataFrame:

@@ -40,13 +40,13 @@ def pnl(panel: DataFrame, cost: float = 0.0005) -> DataFrame:
 
 
 def stats(series: DataFrame, *keys: str) -> DataFrame:
-    """Sharpe, Sortino, total, success rate, worst drawdown and Calmar of daily pnl by keys (date ordered)."""
+    """Sharpe (of the sample's and of the population's deviation), Sortino, total, success rate, worst drawdown and Calmar of daily pnl by keys (date ordered)."""
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     s = series.withColumn("cum", F.sum("pnl").over(w))
     s = s.withColumn("dd", F.col("cum") - F.greatest(F.max("cum").over(w), F.lit(0.0)))
-    out = s.groupBy(*keys).agg(F.count("*").alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("sd"), F.sqrt(F.avg(F.pow(F.least("pnl", F.lit(0.0)), F.lit(2)))).alias("down"), F.sum("pnl").alias("total"), F.avg(F.when(F.col("pnl") != 0, (F.col("pnl") > 0).cast("double"))).alias("success"), F.min("dd").alias("max_dd"))
+    out = s.groupBy(*keys).agg(F.count("*").alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("sd"), F.stddev_pop("pnl").alias("sdp"), F.sqrt(F.avg(F.pow(F.least("pnl", F.lit(0.0)), F.lit(2)))).alias("down"), F.sum("pnl").alias("total"), F.avg(F.when(F.col("pnl") != 0, (F.col("pnl") > 0).cast("double"))).alias("success"), F.min("dd").alias("max_dd"))
     zero = F.lit(0)
-    return out.withColumns({"sharpe": F.col("m") / F.nullif("sd", zero) * math.sqrt(YEAR), "sortino": F.col("m") / F.nullif("down", zero) * math.sqrt(YEAR), "calmar": F.col("m") * YEAR / F.nullif(-F.col("max_dd"), zero)}).drop("m", "sd", "down")
+    return out.withColumns({"sharpe": F.col("m") / F.nullif("sd", zero) * math.sqrt(YEAR), "sharpe_pop": F.col("m") / F.nullif("sdp", zero) * math.sqrt(YEAR), "sortino": F.col("m") / F.nullif("down", zero) * math.sqrt(YEAR), "calmar": F.col("m") * YEAR / F.nullif(-F.col("max_dd"), zero)}).drop("m", "sd", "sdp", "down")
 
 
 def tenors(series: DataFrame, years: list[int]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lunar new year days.
@@ -51,3 +53,82 @@ def holiday_windows(cal: DataFrame, holidays: list[tuple[str, float]], before: i
     h = cal.select(F.col("date").alias("h"), F.col("bday_no").alias("hb")).withColumn("weight", F.element_at(F.create_map(*[x for d, w in holidays for x in (F.lit(d), F.lit(w))]), F.date_format("h", "yyyy-MM-dd"))).where("weight IS NOT NULL")
     hit = h.withColumn("bday_no", F.explode(F.sequence(F.col("hb") - before, F.col("hb") + after))).groupBy("bday_no").agg(F.sum("weight").alias("weight"))
     return cal.join(hit, "bday_no", "left").select("date", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+NEW_YEAR_SQL = "list_sort(list_transform([" + ", ".join(f"DATE '{d}'" for d in NEW_YEARS) + "], lambda d: {'far': abs(date - d), 'day': d}))[1].day"
+
+
+def blend(date: Column) -> Column:
+    """The weight of the calendar form: one from 14 April to 1 December, none from 31 December to 15 March, in a line between."""
+    part = lambda m, d: F.datediff(date, F.make_date(F.year(date), F.lit(m), F.lit(d))) / 30
+    return F.when(F.month(date) == 12, F.greatest(1 - part(12, 1), F.lit(0.0))).otherwise(F.least(F.greatest(part(3, 15), F.lit(0.0)), F.lit(1.0)))
+
+
+BLEND_SQL = "CASE WHEN month(date) = 12 THEN greatest(1 - (date - make_date(year(date), 12, 1)) / 30.0, 0) ELSE least(greatest((date - make_date(year(date), 3, 15)) / 30.0, 0), 1) END"
+
+
+@dataclass(frozen=True)
+class Yoy:
+    """A step of a recipe: x against the same label of the year before.
+
+    kind: cal (day or ISO week of the year), lunar (days or weeks from the nearest lunar new year), or stitched (both,
+    blended by date). Of a year's label the last value counts; labels without one take the label's before in that year,
+    else the one behind. Rows before the second year's same label have no value and drop out.
+    """
+
+    out: str
+    x: str
+    kind: str = "cal"
+    group: str = "day"
+    change: str = "diff"
+
+    def _one(self, df: DataFrame, kind: str) -> DataFrame:
+        if kind == "cal":
+            t = df.withColumns({"yr": F.year("date"), "lab": F.dayofyear("date") if self.group == "day" else F.weekofyear("date")})
+        else:
+            t = lunar_labels(df).withColumns({"yr": F.col("lunar_year"), "lab": (F.col("lunar_day") if self.group == "day" else F.col("lunar_week")).cast("int")})
+        t = t.select("asset", "date", F.expr(self.x).alias("v"), "yr", "lab")
+        cells = t.groupBy("asset", "yr", "lab").agg(F.max_by("v", "date").alias("v"))
+        grid = cells.select("asset", "yr").distinct().join(cells.select("asset", "lab").distinct(), "asset").join(cells, ["asset", "yr", "lab"], "left")
+        w = Window.partitionBy("asset", "yr").orderBy("lab")
+        grid = grid.withColumn("v", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        grid = grid.withColumn("v", F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        before = F.lag("v").over(Window.partitionBy("asset", "lab").orderBy("yr"))
+        value = F.col("v") - before if self.change == "diff" else F.col("v") / F.nullif(before, F.lit(0)) - 1
+        start = t.groupBy("asset").agg(F.min_by(F.struct("yr", "lab"), "date").alias("first"))
+        rows = t.select("asset", "date", "yr", "lab").join(grid.select("asset", "yr", "lab", value.alias(kind)), ["asset", "yr", "lab"]).join(start, "asset")
+        late = (F.col("yr") > F.col("first.yr") + 1) | ((F.col("yr") == F.col("first.yr") + 1) & (F.col("lab") >= F.col("first.lab") + 1))
+        return rows.where(late).select("asset", "date", kind)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.kind != "stitched":
+            out = self._one(df, self.kind).withColumnRenamed(self.kind, self.out)
+        else:
+            w = Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+            both = self._one(df, "lunar").join(self._one(df, "cal"), ["asset", "date"], "full")
+            both = both.withColumns({k: F.last(k, ignorenulls=True).over(w) for k in ("lunar", "cal")})
+            part = blend(F.col("date"))
+            out = both.select("asset", "date", (F.col("cal") * part + F.col("lunar") * (1 - part)).alias(self.out))
+        return out.withColumn("rn", F.row_number().over(Window.partitionBy("asset").orderBy("date")) - 1)
+
+    def _one_sql(self, prev: str, kind: str) -> str:
+        labels = {
+            "cal": "year(date) AS yr, " + ("dayofyear(date)" if self.group == "day" else "weekofyear(date)") + "::INT AS lab",
+            "lunar": "year(ny) AS yr, " + ("(date - ny)" if self.group == "day" else "floor((date - ny) / 7.0)") + "::INT AS lab",
+        }[kind]
+        source = f"(SELECT asset, date, {self.x} AS v, {NEW_YEAR_SQL} AS ny FROM {prev})"
+        value = "g.v - lag(g.v) OVER (PARTITION BY asset, lab ORDER BY yr)" if self.change == "diff" else "g.v / nullif(lag(g.v) OVER (PARTITION BY asset, lab ORDER BY yr), 0) - 1"
+        return f"""WITH t AS (SELECT asset, date, v, {labels} FROM {source}), c AS (SELECT asset, yr, lab, arg_max(v, date) AS v FROM t GROUP BY ALL),
+g0 AS (SELECT y.asset, y.yr, l.lab, c.v FROM (SELECT DISTINCT asset, yr FROM c) y JOIN (SELECT DISTINCT asset, lab FROM c) l ON y.asset = l.asset LEFT JOIN c ON c.asset = y.asset AND c.yr = y.yr AND c.lab = l.lab),
+g1 AS (SELECT asset, yr, lab, last_value(v IGNORE NULLS) OVER (PARTITION BY asset, yr ORDER BY lab ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM g0),
+g2 AS (SELECT asset, yr, lab, first_value(v IGNORE NULLS) OVER (PARTITION BY asset, yr ORDER BY lab ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM g1),
+g AS (SELECT asset, yr, lab, {value} AS o FROM g2 g), f AS (SELECT asset, arg_min(yr, date) AS y0, arg_min(lab, date) AS l0 FROM t GROUP BY asset)
+SELECT t.asset, t.date, g.o AS {kind} FROM t JOIN g USING (asset, yr, lab) JOIN f USING (asset) WHERE t.yr > y0 + 1 OR (t.yr = y0 + 1 AND t.lab >= l0 + 1)"""
+
+    def sql(self, prev: str) -> str:
+        rn = "row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS rn"
+        if self.kind != "stitched":
+            return f"SELECT asset, date, {self.kind} AS {self.out}, {rn} FROM ({self._one_sql(prev, self.kind)})"
+        held = ", ".join(f"last_value({k} IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {k}" for k in ("lunar", "cal"))
+        both = f"SELECT asset, date, {held} FROM ({self._one_sql(prev, 'lunar')}) a FULL JOIN ({self._one_sql(prev, 'cal')}) b USING (asset, date)"
+        return f"SELECT asset, date, cal * ({BLEND_SQL}) + lunar * (1 - ({BLEND_SQL})) AS {self.out}, {rn} FROM ({both})"

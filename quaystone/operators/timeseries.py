@@ -124,6 +124,11 @@ def hl_kdj(n: int = 14, x: str = "close") -> Recipe:
     return Recipe([*kdj_steps("j", x, n), {"hl_ratio": s("2 * j_k"), "k": s("j_k"), "d": s("j_d")}], ("hl_ratio", "k", "d", "j"))
 
 
+def over(value: str, scale: str, size: str) -> str:
+    """value over scale; null where the scale is nothing but rounding against size."""
+    return f"({value}) / CASE WHEN {scale} > 1e-9 * abs({size}) THEN {scale} END"
+
+
 def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list, dict[int, str]]:
     """The steps of a signal method and its value per window."""
     half = vol // 2
@@ -137,10 +142,10 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
         m = f"m{n}"
         if kind in ("ma", "mad"):
             steps.append({m: roll("avg", x, n, least=n // 2)})
-            value[n] = f"{m} / nullif(scale, 0)"
+            value[n] = over(m, "scale", m)
         elif kind in ("ema", "emad"):
             steps.append(Ewm(m, x, com(n)))
-            value[n] = f"{m} / nullif(scale, 0)"
+            value[n] = over(m, "scale", m)
         elif kind in ("ma_sgn", "ema_sgn"):
             steps.append({m: roll("avg", x, n)} if kind == "ma_sgn" else Ewm(m, x, com(n)))
             value[n] = f"sign({m})"
@@ -150,7 +155,7 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
                 value[n] = f"sign(d{n})"
             else:
                 steps.append(Ewm(f"v{n}", f"d{n}", span(vol), stat="std", least=10))
-                value[n] = f"d{n} / nullif(v{n}, 0)"
+                value[n] = over(f"d{n}", f"v{n}", x)
         elif kind == "ewmac":
             steps += [Ewm(f"f{n}", x, span(n)), Ewm(f"g{n}", x, span(4 * n))]
             value[n] = f"(f{n} - g{n}) / nullif(scale, 0)"
@@ -162,7 +167,7 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
             value[n] = f"2 * ({m} - 1) / ({n} - 1.0) - 1"
         elif kind in ("zscore", "zscore_biased", "zscore_adj"):
             steps.append({m: roll("avg", x, n), f"s{n}": roll("stddev_samp", "dx" if kind == "zscore_adj" else x, n)})
-            value[n] = {"zscore": f"(({x}) - {m}) / nullif(s{n}, 0)", "zscore_biased": f"({x}) / nullif(s{n}, 0)", "zscore_adj": f"(({x}) - {m}) / nullif(s{n} * sqrt({n}), 0)"}[kind]
+            value[n] = {"zscore": over(f"({x}) - {m}", f"s{n}", m), "zscore_biased": over(x, f"s{n}", m), "zscore_adj": over(f"({x}) - {m}", f"s{n} * sqrt({n})", m)}[kind]
         else:
             raise ValueError(f"no signal method {kind}")
     return steps, value
@@ -171,7 +176,7 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
 def conv_signal(kind: str, wins: tuple[int, ...] = (10, 15, 20), cap: float | tuple[float, float] | None = 2.5, vol: int = 120, x: str = "close") -> Recipe:
     """One of the signal methods averaged over a range of windows, each capped; windows not shorter than an asset's history are left out.
 
-    x must not be null (filter such rows before); a scale of zero gives null.
+    x must not be null (filter such rows before); a scale that is zero but for rounding gives null.
     """
     steps, value = conv_steps(kind, wins, x, vol)
     low, high = cap if isinstance(cap, tuple) else (-(cap or 0), cap)
@@ -180,6 +185,8 @@ def conv_signal(kind: str, wins: tuple[int, ...] = (10, 15, 20), cap: float | tu
     return Recipe([*steps, {"signal": s(mean_of([f"x{n}" for n in wins]))}], ("signal",))
 
 
+#: Methods that take the level of a mean, which says little of a series that doesn't change its sign.
+OF_CHANGES = ("ma", "mad", "ma_sgn", "ema", "emad", "ema_sgn", "zscore_biased")
 CONV = ("ma", "mad", "ma_sgn", "ema", "emad", "ema_sgn", "ema_dff", "ema_dff_sgn", "ma_dff", "ma_dff_sgn", "ewmac", "kdj", "zscore_biased", "zscore", "zscore_adj", "qtl", "hlratio")
 
 

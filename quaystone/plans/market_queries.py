@@ -60,13 +60,17 @@ _MINID = "(((minute // 60) + 6) % 24) * 100 + minute % 60"
 _PART = " + ".join(f"(min_id >= {c})::INT" for c in CUTS)
 
 
+#: Days without trading in the ticks' weeks.
+CLOSED = ("2024-01-01", "2024-01-15")
+
+
 def cal(spark, sf):
     days = ticks(spark, sf).agg(F.date_sub(F.min("date"), 10).alias("first"), F.date_add(F.max("date"), 10).alias("last"))
-    return mk.calendar(days)
+    return mk.calendar(days, CLOSED)
 
 
 CAL_SQL = f"""{TICKS_SQL}, cd AS (SELECT unnest(generate_series(min(date) - 10, max(date) + 10, INTERVAL 1 DAY))::DATE AS date FROM ticks),
-cb AS (SELECT date, isodow(date) <= 5 AS is_bday FROM cd),
+cb AS (SELECT date, isodow(date) <= 5 AND date NOT IN ({", ".join(f"DATE '{d}'" for d in CLOSED)}) AS is_bday FROM cd),
 cal AS MATERIALIZED (SELECT date, is_bday, sum(is_bday::INT) OVER (ORDER BY date)::BIGINT AS bday_no,
   last_value(CASE WHEN is_bday THEN date END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_bday,
   first_value(CASE WHEN is_bday THEN date END IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_bday FROM cb)"""
@@ -81,8 +85,13 @@ SESS_SQL = "sess(kind, start_minute, end_minute) AS (VALUES ('click', 540, 690),
 
 
 def clean_daily(spark, sf):
-    d = daily(spark, sf)
-    return _r(d.select("asset", "date", mk.vat("close", "date").alias("net_close"), mk.halve_before("volume", "date", "1998-01-01").alias("vol"), F.least(F.greatest("close", F.lit(1000.0)), F.lit(2000.0)).alias("capped")), "net_close", "vol", "capped")
+    """Prices of twenty years later without and with tax, halved early volumes, and clipped prices."""
+    d = daily(spark, sf).withColumn("day", F.add_months("date", 240))
+    out = d.select("asset", "date", mk.vat("close", "day").alias("net_close"), mk.vat("close", "day", add=True).alias("gross_close"), mk.halve_before("volume", "date", "1998-01-01").alias("vol"), F.least(F.greatest("close", F.lit(1000.0)), F.lit(2000.0)).alias("capped"))
+    return _r(out, "net_close", "gross_close", "vol", "capped")
+
+
+_RATE = "CASE WHEN date + INTERVAL 240 MONTH < DATE '2018-05-01' THEN 1.17 WHEN date + INTERVAL 240 MONTH < DATE '2019-04-01' THEN 1.16 ELSE 1.13 END"
 
 
 def chained(spark, sf):
@@ -102,27 +111,29 @@ sh AS (SELECT asset, seg_start, sum(gap) OVER (PARTITION BY asset ORDER BY seg_s
 
 
 def low_series(spark, sf):
-    return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("v"))
+    """The highest order of each month and priority, known on the month's last day."""
+    return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.last_day("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("v"))
 
 
 def as_of(limit):
     def run(spark, sf):
-        lows = low_series(spark, sf).where(F.dayofmonth("date") % 9 == 1)
-        keys = low_series(spark, sf).select("key").distinct()
+        lows = low_series(spark, sf)
+        # every trading day from a key's first value to its last
+        spans = lows.groupBy("key").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         days = daily(spark, sf).select("date").distinct()
-        # at most one row per day and key: the grid is the feature
-        grid = days.withColumn("key", F.explode(F.lit(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]))).join(keys, "key", "left_semi")
-        return _r(mk.as_of(grid, lows, "v", limit), "v").select("key", "date", "v")
+        grid = spans.select("key", F.explode(F.sequence("lo", "hi")).alias("date")).join(days, "date", "left_semi")
+        return _r(mk.as_of(grid, lows, "v", limit), "v")
 
     return run
 
 
 def as_of_sql(limit) -> str:
-    lo = f"{limit} PRECEDING" if limit is not None else "UNBOUNDED PRECEDING"
-    return f"""WITH lows AS (SELECT o_orderpriority AS key, o_orderdate::DATE AS date, max(o_totalprice) AS v FROM orders GROUP BY ALL),
-g AS (SELECT DISTINCT k.key, l_shipdate::DATE AS date FROM lineitem, (SELECT DISTINCT key FROM lows WHERE key IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) k),
-j AS (SELECT g.key, g.date, last_value(l.v IGNORE NULLS) OVER (PARTITION BY g.key ORDER BY g.date ROWS BETWEEN {lo} AND CURRENT ROW) AS v FROM g LEFT JOIN lows l ON g.key = l.key AND g.date = l.date AND day(l.date) % 9 = 1)
-SELECT key, date, {_rs('v')} FROM j"""
+    held = "v" if limit is None else f"CASE WHEN seq - since <= {limit} THEN v END"
+    return f"""WITH lows AS (SELECT o_orderpriority AS key, last_day(o_orderdate::DATE) AS date, max(o_totalprice) AS v FROM orders GROUP BY ALL), sp AS (SELECT key, min(date) AS lo, max(date) AS hi FROM lows GROUP BY key),
+g AS (SELECT key, date FROM sp JOIN (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem) d ON date BETWEEN lo AND hi),
+u AS (SELECT key, date, NULL::DOUBLE AS v, 1 AS g FROM g UNION ALL SELECT key, date, v, 0 FROM lows), n AS (SELECT *, sum(g) OVER (PARTITION BY key ORDER BY date) AS seq FROM u),
+h AS (SELECT key, date, g, seq, last_value(CASE WHEN v IS NOT NULL THEN seq END IGNORE NULLS) OVER w AS since, last_value(v IGNORE NULLS) OVER w AS v FROM n WINDOW w AS (PARTITION BY key ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT key, date, {tidy_sql(held)} AS v FROM h WHERE g = 1"""
 
 
 def upserts(replace: bool):
@@ -268,7 +279,7 @@ SQL = {
     "bars_session": f"WITH {TICKS_SQL}, m AS (SELECT *, {_MINID} AS min_id FROM ticks), p AS (SELECT *, {_PART} AS part FROM m) SELECT asset, date, part, {tidy_sql('first(price ORDER BY min_id, ts)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY min_id, ts)')} AS close, count(*) AS n_ticks FROM p GROUP BY asset, date, part",
     "bars_twap": f"WITH {TICKS_SQL}, m AS (SELECT *, {_MINID} AS min_id FROM ticks) SELECT asset, date, {', '.join(f'{tidy_sql(f"avg(price) FILTER (min_id BETWEEN {a} AND {b})")} AS {k}' for k, (a, b) in RANGES.items())} FROM m GROUP BY asset, date",
     "clean_sessions": f"WITH {TICKS_SQL}, {SESS_SQL} SELECT event_id, asset, date, minute FROM ticks t WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' AND EXISTS (SELECT 1 FROM sess WHERE kind = event_type AND minute BETWEEN start_minute AND end_minute)",
-    "clean_daily": f"WITH {DAILY_SQL}, c AS (SELECT asset, date, close / CASE WHEN date < DATE '1998-05-01' THEN 1.17 WHEN date < DATE '1999-04-01' THEN 1.16 ELSE 1.13 END AS net_close, CASE WHEN date < DATE '1998-01-01' THEN volume / 2 ELSE volume END AS vol, least(greatest(close, 1000), 2000) AS capped FROM s0) SELECT asset, date, {_rs('net_close', 'vol', 'capped')} FROM c",
+    "clean_daily": f"WITH {DAILY_SQL}, c AS (SELECT asset, date, close / {_RATE} AS net_close, close * {_RATE} AS gross_close, CASE WHEN date < DATE '1998-01-01' THEN volume / 2 ELSE volume END AS vol, least(greatest(close, 1000), 2000) AS capped FROM s0) SELECT asset, date, {_rs('net_close', 'gross_close', 'vol', 'capped')} FROM c",
     "cal_business": f"WITH {CAL_SQL} SELECT * FROM cal",
     "cal_shift": f"WITH {CAL_SQL}, n AS (SELECT * FROM cal WHERE is_bday) SELECT t.date, p.date AS plus3, m.date AS minus2 FROM (SELECT DISTINCT date FROM ticks) t JOIN cal c USING (date) LEFT JOIN n p ON p.bday_no = c.bday_no + 3 LEFT JOIN n m ON m.bday_no = c.bday_no - 2",
     "cal_trading_date": f"WITH {CAL_SQL} SELECT event_id, asset, CASE WHEN minute >= 1080 OR NOT is_bday THEN next_bday ELSE date END AS trade_date FROM ticks JOIN cal USING (date)",

@@ -28,10 +28,11 @@ def labels(sp, sf):
 
 
 def season_table(sp, sf):
-    d = daily(sp, sf).where("asset = 'Brand#1'")
-    years = [1996, 1997, 1998, 1999, 2000]
-    out = d.withColumn("yr", F.year("date")).groupBy(F.date_format("date", "MM-dd").alias("md")).pivot("yr", years).agg(F.sum("close"))
-    return _r(out.select("md", *[F.col(f"`{y}`").alias(f"y{y}") for y in years]), *[f"y{y}" for y in years])
+    """Closes by asset, day of the year and year, and with gaps of one day filled from the day before in that year."""
+    d = daily(sp, sf).groupBy("asset", F.date_format("date", "MM-dd").alias("md"), F.year("date").alias("yr")).agg(F.sum("close").alias("v"))
+    full = d.select("asset", "md").distinct().join(d.select("asset", "yr").distinct(), "asset").join(d, ["asset", "md", "yr"], "left")
+    before = F.lag("v").over(Window.partitionBy("asset", "yr").orderBy("md"))
+    return _r(full.select("asset", "md", "yr", "v", F.coalesce("v", before).alias("filled")), "v", "filled")
 
 
 def rules(sp, sf):
@@ -153,12 +154,16 @@ def hold_period(sp, sf):
     return _r(h.groupBy("asset").agg((2 * F.sum(F.abs("holding")) / F.nullif(F.sum("d"), F.lit(0))).alias("days")), "days")
 
 
+HALF_SPREAD = 0.25
+
+
 def quotes(sp, sf):
-    """Spread of the last prices of instruments 1 and 2 at every tick of either, once both have one."""
-    t = ticks(sp, sf).where("asset IN (1, 2) AND price IS NOT NULL")
-    w = Window.partitionBy(F.lit(0)).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    a, b = (F.last(F.when(F.col("asset") == k, F.col("price")), ignorenulls=True).over(w) for k in (1, 2))
-    return _r(t.withColumns({"a": a, "b": b}).where("a IS NOT NULL AND b IS NOT NULL").select("event_id", (F.col("a") - F.col("b")).alias("spread")), "spread")
+    """Bid and ask of the spread of each instrument and the next: the bid takes the other leg's ask. At every tick of either leg, once both have a price."""
+    t = ticks(sp, sf).where("price IS NOT NULL").withColumn("pair", F.explode(F.array(F.col("asset"), F.col("asset") - 1)))
+    w = Window.partitionBy("pair").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    leg = lambda k: F.last(F.when(F.col("asset") == F.col("pair") + k, F.col("price")), ignorenulls=True).over(w)
+    both = t.withColumns({"a": leg(0), "b": leg(1)}).where("a IS NOT NULL AND b IS NOT NULL")
+    return _r(both.select("pair", "event_id", (F.col("a") - F.col("b") - 2 * HALF_SPREAD).alias("bid"), (F.col("a") - F.col("b") + 2 * HALF_SPREAD).alias("ask")), "bid", "ask")
 
 
 def scalars(sp, sf):
@@ -197,8 +202,9 @@ def week_recipe(sp, sf):
 
 
 def johansen(sp, sf):
-    """Log closes of the assets of each leading digit, in groups of a few."""
-    d = daily(sp, sf).where("asset RLIKE '^Brand#[1-5][1-3]?$'").select(F.substring("asset", 7, 1).alias("g"), "date", F.col("asset").alias("name"), F.ln("close").alias("x"))
+    """Log closes of all assets, in groups of five by number."""
+    number = F.regexp_extract("asset", "([0-9]+)$", 1).cast("int")
+    d = daily(sp, sf).select(F.floor((number - 1) / 5).cast("string").alias("g"), "date", F.col("asset").alias("name"), F.ln("close").alias("x"))
     return _r(rs.johansen(d), "trace", "largest")
 
 
@@ -271,7 +277,9 @@ QUERIES = {
 }
 SQL = {
     "season_labels": f"WITH {DAILY_SQL}, d AS (SELECT DISTINCT date FROM s0), n AS (SELECT date, (SELECT y FROM (SELECT unnest([{_NY}]) AS y) ORDER BY abs(date - y), y LIMIT 1) AS ny FROM d) SELECT date, year(ny)::INT AS lunar_year, (date - ny)::INT AS lunar_day, floor((date - ny) / 7.0)::BIGINT AS lunar_week, year(date)::INT AS yr, week(date)::INT AS iso_week, dayofyear(date)::INT AS doy FROM n",
-    "season_table": f"WITH {DAILY_SQL} SELECT strftime(date, '%m-%d') AS md, {', '.join(f'{tidy_sql(f"sum(close) FILTER (year(date) = {y})")} AS y{y}' for y in (1996, 1997, 1998, 1999, 2000))} FROM s0 WHERE asset = 'Brand#1' GROUP BY md",
+    "season_table": f"""WITH {DAILY_SQL}, d AS (SELECT asset, strftime(date, '%m-%d') AS md, year(date)::INT AS yr, sum(close) AS v FROM s0 GROUP BY ALL),
+f AS (SELECT m.asset, m.md, y.yr, d.v FROM (SELECT DISTINCT asset, md FROM d) m JOIN (SELECT DISTINCT asset, yr FROM d) y ON m.asset = y.asset LEFT JOIN d ON d.asset = m.asset AND d.md = m.md AND d.yr = y.yr),
+g AS (SELECT *, coalesce(v, lag(v) OVER (PARTITION BY asset, yr ORDER BY md)) AS filled FROM f) SELECT asset, md, yr, {_rs('v', 'filled')} FROM g""",
     "season_look_back": f"WITH {DAILY_SQL}, t AS (SELECT asset, date, close, back, (date - to_years(back))::DATE AS mid FROM s0, (SELECT unnest(range(0, 4))::INT AS back)), w AS (SELECT *, mid - 15 AS lo, CASE WHEN back = 0 THEN date ELSE mid + 15 END AS hi FROM t), g AS (SELECT DISTINCT t.asset, t.date, t.close, q.date AS d, q.close AS v FROM w t JOIN s0 q ON q.asset = t.asset AND q.date BETWEEN t.lo AND t.hi) SELECT asset, date, {tidy_sql('(max(close) - avg(v)) / nullif(stddev_samp(v), 0)')} AS score, count(*) AS n FROM g GROUP BY asset, date",
     "season_group_score": f"WITH {DAILY_SQL}, t AS MATERIALIZED (SELECT asset, date, close, week(date) AS wk FROM s0), g AS (SELECT t.asset, t.date, t.close, q.close AS v FROM t JOIN t q ON q.asset = t.asset AND q.date <= t.date AND (abs(q.wk - t.wk) <= 1 OR abs(q.wk - t.wk) = 52)) SELECT asset, date, {tidy_sql('(max(close) - avg(v)) / nullif(stddev_samp(v), 0)')} AS score, count(*) AS n FROM g GROUP BY asset, date",
     "season_yoy": f"WITH {DAILY_SQL}, w AS (SELECT asset, isoyear(date)::INT AS yr, week(date)::INT AS wk, avg(close) AS v FROM s0 GROUP BY ALL), f AS (SELECT y.asset, y.yr, k.wk, last_value(w.v IGNORE NULLS) OVER (PARTITION BY y.asset ORDER BY y.yr, k.wk ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT DISTINCT asset, yr FROM w) y CROSS JOIN (SELECT unnest(range(1, 54))::INT AS wk) k LEFT JOIN w ON w.asset = y.asset AND w.yr = y.yr AND w.wk = k.wk), o AS (SELECT *, v / lag(v) OVER (PARTITION BY asset, wk ORDER BY yr) - 1 AS yoy FROM f) SELECT asset, yr, wk, {_rs('v', 'yoy')} FROM o",
@@ -287,7 +295,9 @@ SQL = {
     "pos_targets": f"WITH {z_sql()}, a AS (SELECT *, 0.6 * (z - avg(z) OVER (PARTITION BY date)) + 0.4 * (sign(ret) - avg(sign(ret)) OVER (PARTITION BY date)) AS raw FROM z0 WHERE vol IS NOT NULL), b AS (SELECT *, raw / nullif(vol, 0) AS pos FROM a), c AS (SELECT *, sign(pos) * floor(abs(round(pos, 9)) / 4 + 0.5) * 4 AS lots FROM b) SELECT asset, date, {_rs('lots')}, {tidy_sql('lots - coalesce(lag(lots) OVER (PARTITION BY asset ORDER BY date), 0)')} AS change FROM c",
     "risk_portfolio": f"WITH {HOLD_SQL}, r AS MATERIALIZED (SELECT asset, date, ret FROM z0 WHERE ret IS NOT NULL), c AS MATERIALIZED (SELECT x.asset AS a, y.asset AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y USING (date) GROUP BY ALL), h AS MATERIALIZED (SELECT asset, date, holding FROM hl WHERE holding IS NOT NULL) SELECT x.date, {tidy_sql('sqrt(sum(x.holding * cov * y.holding))')} AS risk FROM h x JOIN h y USING (date) JOIN c ON c.a = x.asset AND c.b = y.asset GROUP BY x.date",
     "pnl_hold_period": f"WITH {HOLD_SQL}, h AS (SELECT asset, holding, abs(holding - lag(holding) OVER (PARTITION BY asset ORDER BY date)) AS d FROM hl WHERE holding IS NOT NULL) SELECT asset, {tidy_sql('2 * sum(abs(holding)) / nullif(sum(d), 0)')} AS days FROM h GROUP BY asset",
-    "tick_spread_quote": f"WITH {TICKS_SQL}, q AS (SELECT event_id, last_value(CASE WHEN asset = 1 THEN price END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN asset = 2 THEN price END IGNORE NULLS) OVER w AS b FROM ticks WHERE asset IN (1, 2) AND price IS NOT NULL WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, {tidy_sql('a - b')} AS spread FROM q WHERE a IS NOT NULL AND b IS NOT NULL",
+    "tick_spread_quote": f"""WITH {TICKS_SQL}, l AS (SELECT *, unnest([asset, asset - 1]) AS pair FROM ticks WHERE price IS NOT NULL),
+q AS (SELECT pair, event_id, last_value(CASE WHEN asset = pair THEN price END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN asset = pair + 1 THEN price END IGNORE NULLS) OVER w AS b FROM l WINDOW w AS (PARTITION BY pair ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT pair, event_id, {tidy_sql(f'a - b - {2 * HALF_SPREAD}')} AS bid, {tidy_sql(f'a - b + {2 * HALF_SPREAD}')} AS ask FROM q WHERE a IS NOT NULL AND b IS NOT NULL""",
     "fn_scalars": SCALAR_SQL,
     "risk_map": f"SELECT n_regionkey, bucket, {tidy_sql('sum(c_acctbal * w)')} AS risk FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('near', 0.75::DOUBLE), ('far', 0.25::DOUBLE)) m(bucket, w) GROUP BY ALL",
     "roll_forward": f"WITH {PRINTS_SQL}, b AS ({bars_sql('asset', 'contract', 'date')}), t AS (SELECT asset, date, contract AS best FROM b QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY volume DESC, contract) = 1) SELECT asset, date, best, max(best::INT) OVER (PARTITION BY asset, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING) AS in_use FROM t",

@@ -55,6 +55,17 @@ def bars_sql(*keys: str, source: str = "prints") -> str:
 DAILY_SQL = f"{PRINTS_SQL}, s0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS rn FROM ({bars_sql('asset', 'date')}))"
 
 
+def futures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of contracts: a print belongs to the contract that expires at the end of its quarter or of one of the next three."""
+    expiry = F.last_day(F.add_months(F.trunc("date", "quarter"), 3 * F.col("contract").cast("int") + 2))
+    named = prints(spark, sf_dir).withColumn("expiry", expiry).withColumn("contract", F.date_format("expiry", "yyyyMM"))
+    return bars(named, "asset", "contract", "expiry", "date")
+
+
+FUTURES_SQL = f"""{PRINTS_SQL}, fp AS (SELECT * REPLACE (strftime(expiry, '%Y%m') AS contract) FROM (SELECT *, last_day((date_trunc('quarter', date) + to_months((3 * contract::INT + 2)::INT))::DATE) AS expiry FROM prints)),
+fb AS MATERIALIZED ({bars_sql('asset', 'contract', 'expiry', 'date', source='fp')})"""
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset, ts, date, price and size of each event."""
     return read(spark, sf_dir, "events").select(
