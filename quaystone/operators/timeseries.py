@@ -91,7 +91,7 @@ def at_most(x: str, n: int) -> Ex:
 
 def pct_scores(n: int = 60, x: str = "close", lowest: bool = False) -> Recipe:
     """The place of the last value among n, from 0 (least) to 1, or from 1 down (lowest), and from -1 to 1."""
-    unit = f"(r - 1) / ({n} - 1.0)"
+    unit = f"(r - 1) / ({n} - 1e0)"
     return Recipe([{"r": at_most(x, n)}, {"unit": s(f"1 - {unit}" if lowest else unit)}, {"balanced": s("2 * unit - 1")}], ("unit", "balanced"))
 
 
@@ -164,7 +164,7 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
             value[n] = f"j{n}" if kind == "kdj" else f"2 * j{n}_k"
         elif kind == "qtl":
             steps.append({m: at_most(x, n)})
-            value[n] = f"2 * ({m} - 1) / ({n} - 1.0) - 1"
+            value[n] = f"2 * ({m} - 1) / ({n} - 1e0) - 1"
         elif kind in ("zscore", "zscore_biased", "zscore_adj"):
             steps.append({m: roll("avg", x, n), f"s{n}": roll("stddev_samp", "dx" if kind == "zscore_adj" else x, n)})
             value[n] = {"zscore": over(f"({x}) - {m}", f"s{n}", m), "zscore_biased": over(x, f"s{n}", m), "zscore_adj": over(f"({x}) - {m}", f"s{n} * sqrt({n})", m)}[kind]

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaystone.functions import kernels as kn
-from quaystone.functions.recipe import Recipe, lag, roll, s, tidy, tidy_sql
+from quaystone.functions.recipe import Ewm, Recipe, lag, quantile, roll, s, span, tidy, tidy_sql
 from quaystone.operators import research as rs
 from quaystone.plans.market_queries import OHLC, _r, _rs
 from quaystone.sources.panels import DAILY_SQL, TICKS_SQL, daily, read
@@ -224,6 +224,23 @@ def stream_minutes(spark, sf):
     return _r(st.minute_bars(spark, sf), *OHLC)
 
 
+_A = span(5)
+#: The batch form of the indicators that the stream of bars carries on.
+STREAMED = Recipe(
+    [{"pc": lag("close"), "c5": lag("close", 5)}, {"tr": s("greatest(high - low, abs(high - pc), abs(low - pc))")}, Ewm("atr", "tr", _A, adjust=False),
+     {"ma": roll("avg", "close", 5), "stdev": roll("stddev_pop", "close", 5), "sq": roll("avg", "close * close", 5), "don_h": roll("max", "high", 5), "don_l": roll("min", "low", 5), "pct_ch": quantile("close", 0.5, 5, shift=1)},
+     {f"{f}{x[0]}{n}": roll(f, x, n) for n in (2, 4, 10) for f, x in (("max", "high"), ("min", "low"), ("max", "close"), ("min", "close"))},
+     Ewm("ema", "close", _A, adjust=False), {"pe": lag("ema")}, Ewm("emavar", f"{1 - _A!r} * pow(close - pe, 2)", _A, adjust=False),
+     {"rise": s("greatest(close - pc, 0 * pc)"), "fall": s("greatest(pc - close, 0 * pc)")}, Ewm("up", "rise", 0.2, adjust=False), Ewm("down", "fall", 0.2, adjust=False),
+     {"svar": s("sq - ma * ma"), "rsi": s("100 * up / nullif(up + down, 0)"), "roc": s("close / c5 - 1"), "cmi": s("100 * abs(close - c5) / nullif(don_h - don_l, 0)"), "stoch": s("100 * (close - don_l) / nullif(don_h - don_l, 0)")},
+     {"dt_rng": s("greatest(maxh2 - minc2, maxc2 - minl2)"), "tk": s("(maxh4 + minl4) / 2"), "kj": s("(maxh10 + minl10) / 2"), "ha_c": s("(open + high + low + close) / 4")},
+     {"lag_c": lag("ha_c")}, Ewm("ha_o", "CASE WHEN rn = 0 THEN open ELSE lag_c END", 0.5, adjust=False), Ewm("fisher", "CASE WHEN don_h > don_l THEN 2 * (close - don_l) / (don_h - don_l) - 1 WHEN don_h IS NOT NULL THEN 0.0 END", 0.7, adjust=False)],
+    tuple(c for c in st.BAR_COLUMNS if c != "spb"),
+)
+TICK_BARS_SQL = f"""{TICKS_SQL}, tb AS (SELECT asset, date, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close FROM ticks WHERE price IS NOT NULL GROUP BY ALL),
+s0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS rn FROM tb QUALIFY lead(date) OVER (PARTITION BY asset ORDER BY date) IS NOT NULL)"""
+
+
 _P = _rs
 QUERIES = {
     "sig_hysteresis": scanned(kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0, "seen": 0.0}, ("pos",)), "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)), "sig_buffer": scanned(kn.buffered, ["z", "gap"], {"pos": 0.0}, ("pos",)),
@@ -231,7 +248,7 @@ QUERIES = {
     "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid,
     "risk_correlation": lambda s_, d: _r(rs.correlations(rets(s_, d)), "corr", "cov"), "risk_var": lambda s_, d: _r(rs.risk(rets(s_, d), weights(s_, d)), "part", "var95"), "stat_summary": summary, "stat_variance_ratio": variance_ratio, "stat_hurst": hurst, "stat_half_life": half_life,
     "stat_adf": lambda s_, d: _r(rs.adf(daily(s_, d).select("asset", "date", F.ln("close").alias("x"))), "adf"), "stat_kalman": expanded,
-    "agg_cube": rollup, "pos_update": positions, "fn_json": json_props, "stream_minute_bars": stream_minutes, "stream_daily_bars": lambda s_, d: _r(st.daily_bars(s_, d), *OHLC), "stream_running_means": lambda s_, d: _r(st.running_means(s_, d), "ema", "mean"),
+    "agg_cube": rollup, "pos_update": positions, "fn_json": json_props, "stream_minute_bars": stream_minutes, "stream_daily_bars": lambda s_, d: _r(st.daily_bars(s_, d), *OHLC), "stream_bars": lambda s_, d: _r(st.running_bars(s_, d).drop("spb"), *STREAMED.keep), "stream_running_means": lambda s_, d: _r(st.running_means(s_, d), "ema", "mean"),
 }
 _Z0 = z_sql()
 SQL = {
@@ -253,6 +270,7 @@ SQL = {
     "stat_hurst": f"WITH {DAILY_SQL}, d AS (SELECT asset, {', '.join(f'ln(close) - lag(ln(close), {k}) OVER w AS d{k}' for k in range(2, 21))} FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), l AS ({' UNION ALL '.join(f'SELECT asset, ln({k}) AS x, ln(stddev_pop(d{k})) AS y FROM d GROUP BY asset' for k in range(2, 21))}) SELECT asset, {tidy_sql('regr_slope(y, x)')} AS hurst FROM l GROUP BY asset",
     "stat_half_life": f"WITH {DAILY_SQL}, d AS (SELECT asset, close - lag(close) OVER w AS d, lag(close) OVER w AS l FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), g AS (SELECT asset, regr_slope(d, l) AS slope FROM d GROUP BY asset) SELECT asset, {_rs('slope')}, {tidy_sql('CASE WHEN slope < 0 THEN -ln(2) / slope END')} AS half_life FROM g",
     "agg_cube": f"SELECT r_name, c_mktsegment, {tidy_sql('sum(c_acctbal)')} AS bal, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, c_mktsegment)",
+    "stream_bars": STREAMED.oracle(TICK_BARS_SQL),
     "pos_update": f"WITH o AS (SELECT s_nationkey AS k, sum(s_acctbal) AS v FROM supplier GROUP BY 1), t AS (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1), j AS (SELECT coalesce(o.k, t.k) AS k, coalesce(o.v, 0) + coalesce(t.v, 0) AS pos FROM o FULL JOIN t ON o.k = t.k), l AS (SELECT k, pos, sign(pos) * floor(abs(pos) / 40 + 0.5) * 40 AS lots FROM j) SELECT k, {_rs('pos', 'lots')}, {tidy_sql('abs(lots) * 0.1')} AS margin FROM l",
     "fn_json": "SELECT event_id, length(props) AS n, json_extract_string(props, '$.k') AS k FROM events",
     "stream_minute_bars": f"WITH {TICKS_SQL} SELECT asset, time_bucket(INTERVAL 5 MINUTE, ts) AS start, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM ticks GROUP BY asset, time_bucket(INTERVAL 5 MINUTE, ts)",

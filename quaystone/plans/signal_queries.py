@@ -112,7 +112,7 @@ def factor(field: str, suffix: str, win: int = 20, ma: int = 10, mode: str = "",
         "nma": [{"fs": roll("stddev_samp", "f", ma)}, {"g": s("f / nullif(fs, 0)")}], "nmb": [{"fs": roll("avg", "f * f", ma)}, {"g": s("f / nullif(sqrt(fs), 0)")}],
         "elv": [Ewm("fm", "f", span(ma), least=half, skip=True), Ewm("fs", "f", span(ma), stat="std", least=max(2, half), skip=True), {"g": s("(f - fm) / nullif(fs, 0)")}],
         "zlv": [{"fm": roll("avg", "f", ma), "fs": roll("stddev_samp", "f", ma)}, {"g": s("(f - fm) / nullif(fs, 0)")}],
-        "qtl": [Where("f IS NOT NULL"), {"fr": at_most("f", ma)}, {"g": s(f"2.0 * ((fr - 1) / ({ma} - 1.0) - 0.5)")}],
+        "qtl": [Where("f IS NOT NULL"), {"fr": at_most("f", ma)}, {"g": s(f"2.0 * ((fr - 1) / ({ma} - 1e0) - 0.5)")}],
     }[suffix]
     counted = {"n": whole("count", "g", DATE)}
     xs = {

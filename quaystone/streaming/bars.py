@@ -15,7 +15,30 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/[e]vents.parquet")
+    """The events as a stream, a file a batch at most: what a batch brings for one instrument is bounded by a file."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[e]vents.parquet")
+
+
+def newer(frames, last_ts, last_id) -> pd.DataFrame:
+    """An instrument's rows of a batch in order, once each, without those that aren't behind the last row taken (ts as microseconds, event_id)."""
+    rows = pd.concat(list(frames)).drop_duplicates("event_id").sort_values(["ts", "event_id"], ignore_index=True)
+    if last_ts is not None:
+        rows = rows[(rows["ts"] > last_ts) | ((rows["ts"] == last_ts) & (rows["event_id"] > last_id))]
+    return rows.reset_index(drop=True)
+
+
+def carried_mean(x: pd.Series, before: float | None, alpha: float) -> pd.Series:
+    """The exponential mean that goes on from before (none: it starts with the first value)."""
+    seeded = x if before is None else pd.concat([pd.Series([before]), x], ignore_index=True)
+    out = seeded.ewm(alpha=alpha, adjust=False).mean()
+    return out if before is None else out.iloc[1:].reset_index(drop=True)
+
+
+TICKS = "value IS NOT NULL"
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source(spark, sf_dir).where(TICKS).select("event_id", F.unix_micros("ts").alias("ts"), F.col("user_id").alias("asset"), "value")
 
 
 def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
@@ -53,22 +76,18 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_means(spark: SparkSession, sf_dir: str, span: int = 10) -> DataFrame:
-    """Exponential mean (first value as start) and running mean per instrument, from keyed state; a row per tick."""
+    """Exponential mean (first value as start) and running mean per instrument, from keyed state; a row per tick, late and repeated ticks dropped."""
     a = 2 / (span + 1)
 
     def step(key, frames, state):
-        ema, total, n = state.get if state.exists else (None, 0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, x in zip(rows["event_id"], rows["value"], strict=True):
-            ema = x if ema is None else (1 - a) * ema + a * x
-            total, n = total + x, n + 1
-            out.append((event, key[0], ema, total / n))
-        state.update((ema, total, n))
-        yield pd.DataFrame(out, columns=["event_id", "asset", "ema", "mean"])
-
-    stream = source(spark, sf_dir).where("value IS NOT NULL").select("event_id", "ts", F.col("user_id").alias("asset"), "value")
-    out = stream.groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ema double, mean double", "ema double, total double, n long", "append", GroupStateTimeout.NoTimeout)
+        ema, total, n, ts, event = state.get if state.exists else (None, 0.0, 0, None, None)
+        rows = newer(frames, ts, event)
+        if len(rows):
+            means, sums = carried_mean(rows["value"], ema, a), total + rows["value"].cumsum()
+            yield pd.DataFrame({"event_id": rows["event_id"], "asset": key[0], "ema": means, "mean": sums / (n + 1 + pd.RangeIndex(len(rows)))})
+            state.update((float(means.iloc[-1]), float(sums.iloc[-1]), n + len(rows), int(rows["ts"].iloc[-1]), int(rows["event_id"].iloc[-1])))
+
+    out = _ticks(spark, sf_dir).groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ema double, mean double", "ema double, total double, n long, ts long, event long", "append", GroupStateTimeout.NoTimeout)
     return run_available(out, "append").drop("batch_id")
 
 
@@ -84,42 +103,143 @@ def session_bars(spark: SparkSession, sf_dir: str, cuts: list[int]) -> DataFrame
 
 
 def season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, mean and deviation per instrument and hour, carried on from keyed state (Welford's sums)."""
+    """Count, mean and deviation per instrument and hour, carried on from keyed state (sums of two samples put together)."""
 
     def step(key, frames, state):
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         for pdf in frames:
-            for x in pdf["value"]:
-                n += 1
-                d = x - mean
-                mean += d / n
-                m2 += d * (x - mean)
+            x = pdf["value"]
+            k, own = len(x), float(x.mean())
+            gap = own - mean
+            m2 += float(((x - own) ** 2).sum()) + gap * gap * n * k / (n + k)
+            mean += gap * k / (n + k)
+            n += k
         state.update((n, mean, m2))
         yield pd.DataFrame([(key[0], key[1], n, mean, (m2 / n) ** 0.5)], columns=["asset", "hour", "n", "mean", "sd"])
 
-    stream = source(spark, sf_dir).where("value IS NOT NULL").select(F.col("user_id").alias("asset"), F.hour("ts").alias("hour"), "value")
+    stream = source(spark, sf_dir).where(TICKS).select(F.col("user_id").alias("asset"), F.hour("ts").alias("hour"), "value")
     out = stream.groupBy("asset", "hour").applyInPandasWithState(step, "asset long, hour int, n long, mean double, sd double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
     return latest(run_available(out), "asset", "hour")
 
 
 def running_indicators(spark: SparkSession, sf_dir: str, n: int = 20, m: int = 14) -> DataFrame:
-    """Moving average, channel and relative strength per instrument and tick, from a ring of the last n prices and two running legs."""
+    """Moving average, channel and relative strength per instrument and tick, from the last n prices and two running legs; late and repeated ticks dropped."""
+
+    def step(key, frames, state):
+        up, down, ring, ts, event = state.get if state.exists else (None, None, [], None, None)
+        rows = newer(frames, ts, event)
+        if not len(rows):
+            return
+        ring = list(ring)
+        prices = pd.concat([pd.Series(ring, dtype=float), rows["value"]], ignore_index=True)
+        change, window = prices.diff(), prices.rolling(n)
+        moves = change.iloc[len(ring) :].reset_index(drop=True)
+        first = not ring  # the first price of all has no change
+        legs = []
+        for part, before in ((moves.clip(lower=0), up), ((-moves).clip(lower=0), down)):
+            part = part.iloc[1:].reset_index(drop=True) if first else part
+            leg = carried_mean(part, before, 1 / m) if len(part) else part
+            legs.append(pd.concat([pd.Series([float("nan")]), leg], ignore_index=True) if first else leg)
+        total = legs[0] + legs[1]
+        rsi = (100 * legs[0] / total).where(total > 0)
+        tail = lambda s: s.iloc[len(ring) :].reset_index(drop=True)
+        yield pd.DataFrame({"event_id": rows["event_id"], "asset": key[0], "ma": tail(window.mean()), "don_h": tail(window.max()), "don_l": tail(window.min()), "rsi": rsi})
+        last = [None if pd.isna(x.iloc[-1]) else float(x.iloc[-1]) for x in legs]
+        state.update((*last, prices.iloc[-n:].tolist(), int(rows["ts"].iloc[-1]), int(rows["event_id"].iloc[-1])))
+
+    out = _ticks(spark, sf_dir).groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ma double, don_h double, don_l double, rsi double", "up double, down double, ring array<double>, ts long, event long", "append", GroupStateTimeout.NoTimeout)
+    return run_available(out, "append").drop("batch_id")
+
+
+#: Indicators of a closed bar, and how many bars back they look at most.
+BAR_COLUMNS = "tr atr ma stdev svar ema emavar rsi don_h don_l roc cmi stoch pct_ch dt_rng tk kj ha_o ha_c fisher spb".split()
+LOOK_BACK = 12
+CARRIED = "atr ema emavar up down ha_o ha_c fisher spb spb1 last".split()
+
+
+def bar_indicators(ring: pd.DataFrame, new: pd.DataFrame, carry: dict[str, float | None], n: int = 5) -> pd.DataFrame:
+    """Indicators of new closed bars behind the former ones in ring, whole columns at once; carry has the running ones' last values and gets the new."""
+    both = pd.concat([ring, new], ignore_index=True)
+    k = len(ring)
+    tail = lambda s: s.iloc[k:].reset_index(drop=True)
+    o, h, low, c = (both[x] for x in ("open", "high", "low", "close"))
+    pc, out = c.shift(), pd.DataFrame(index=range(len(new)))
+    a = 2 / (n + 1)
+
+    def run(name: str, x: pd.Series, alpha: float) -> pd.Series:
+        got = carried_mean(x.dropna().reset_index(drop=True), carry.get(name), alpha)
+        got = pd.concat([pd.Series([float("nan")] * (len(x) - len(got))), got], ignore_index=True)
+        if len(got.dropna()):
+            carry[name] = float(got.iloc[-1])
+        return got
+
+    tr = tail(pd.concat([h - low, (h - pc).abs(), (low - pc).abs()], axis=1).max(axis=1))
+    out["tr"], out["atr"] = tr, run("atr", tr, a)
+    roll = c.rolling(n)
+    out["ma"], out["stdev"] = tail(roll.mean()), tail(roll.std(ddof=0))
+    out["svar"] = tail((c * c).rolling(n).mean() - roll.mean() ** 2)
+    before = carry.get("ema")
+    out["ema"] = run("ema", tail(c), a)
+    prior = out["ema"].shift().fillna(before if before is not None else float("nan"))
+    out["emavar"] = run("emavar", ((1 - a) * (tail(c) - prior) ** 2), a)
+    move = tail(c.diff())
+    up, down = run("up", move.clip(lower=0), 1 / n), run("down", (-move).clip(lower=0), 1 / n)
+    out["rsi"] = (100 * up / (up + down)).where(up + down > 0)
+    top, bottom = h.rolling(n).max(), low.rolling(n).min()
+    out["don_h"], out["don_l"], out["roc"] = tail(top), tail(bottom), tail(c / c.shift(n) - 1)
+    out["cmi"] = tail((100 * (c - c.shift(n)).abs() / (top - bottom)).where(top > bottom))
+    place = (c - bottom) / (top - bottom)
+    out["stoch"] = tail((100 * place).where(top > bottom))
+    out["pct_ch"] = tail(roll.quantile(0.5).shift())
+    h2, l2 = h.rolling(2).max(), low.rolling(2).min()
+    out["dt_rng"] = tail(pd.concat([h2 - c.rolling(2).min(), c.rolling(2).max() - l2], axis=1).max(axis=1).where(h2.notna()))
+    out["tk"], out["kj"] = tail((h.rolling(4).max() + low.rolling(4).min()) / 2), tail((h.rolling(10).max() + low.rolling(10).min()) / 2)
+    # opens of smoothed candles are means of the last open and close: an exponential mean of the former closes
+    ha_c = tail((o + h + low + c) / 4)
+    lagged = ha_c.shift().fillna(carry["ha_c"] if carry.get("ha_c") is not None else float("nan"))
+    if carry.get("ha_o") is None:
+        lagged.iloc[0] = o.iloc[k]
+    out["ha_o"], out["ha_c"] = run("ha_o", lagged, 0.5), ha_c
+    carry["ha_c"] = float(ha_c.iloc[-1])
+    out["fisher"] = run("fisher", tail((2 * place - 1).where(top > bottom, 0.0).where(top.notna())), 0.7)
+    y, y1, x1, values = carry.get("spb") or 0.0, carry.get("spb1") or 0.0, carry.get("last") or 0.0, []
+    a1, a2 = 5 / 10, 5 / 20
+    for x in tail(c):  # a two-pole filter has no closed form
+        y, y1, x1 = (a1 - a2) * x + (a2 - a1) * x1 + (2 - a1 - a2) * y - (1 - a1) * (1 - a2) * y1, y, x
+        values.append(y)
+    out["spb"] = values
+    carry |= {"spb": y, "spb1": y1, "last": x1}
+    return out
+
+
+def running_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators on bar close: an instrument's ticks make a running daily bar; when a later day's tick comes the bar closes and a row comes out. Late and repeated ticks are dropped."""
 
     def step(key, frames, state):
-        last, up, down, ring = state.get if state.exists else (None, None, None, [])
-        ring, out = list(ring), []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for event, x in zip(rows["event_id"], rows["value"], strict=True):
-            if last is not None:
-                rise, fall = max(x - last, 0.0), max(last - x, 0.0)
-                up, down = (rise, fall) if up is None else (up + (rise - up) / m, down + (fall - down) / m)
-            last, ring = x, [*ring[-(n - 1) :], x]
-            rsi = 100 * up / (up + down) if up is not None and up + down > 0 else None
-            full = len(ring) == n
-            out.append((event, key[0], sum(ring) / n if full else None, max(ring) if full else None, min(ring) if full else None, rsi))
-        state.update((last, up, down, ring))
-        yield pd.DataFrame(out, columns=["event_id", "asset", "ma", "don_h", "don_l", "rsi"])
-
-    stream = source(spark, sf_dir).where("value IS NOT NULL").select("event_id", "ts", F.col("user_id").alias("asset"), "value")
-    out = stream.groupBy("asset").applyInPandasWithState(step, "event_id long, asset long, ma double, don_h double, don_l double, rsi double", "last double, up double, down double, ring array<double>", "append", GroupStateTimeout.NoTimeout)
+        got = state.get if state.exists else None
+        ts, event = (got[0], got[1]) if got else (None, None)
+        rows = newer(frames, ts, event)
+        if not len(rows):
+            return
+        carry = dict(zip(CARRIED, got[2 : 2 + len(CARRIED)], strict=True)) if got else {}
+        ring = pd.DataFrame({c: list(v) for c, v in zip(("day", "open", "high", "low", "close"), got[2 + len(CARRIED) :], strict=True)}) if got else pd.DataFrame(columns=["day", "open", "high", "low", "close"], dtype=float)
+        rows["day"] = rows["ts"] // 86_400_000_000
+        bars = rows.groupby("day")["value"].agg(["first", "max", "min", "last"]).reset_index().set_axis(["day", "open", "high", "low", "close"], axis=1)
+        if len(ring) and len(bars) and ring["day"].iloc[-1] == bars["day"].iloc[0]:  # the open bar goes on
+            was, b = ring.iloc[-1], bars.iloc[0]
+            bars.iloc[0] = [b["day"], was["open"], max(was["high"], b["high"]), min(was["low"], b["low"]), b["close"]]
+            ring = ring.iloc[:-1]
+        elif len(ring):
+            bars = pd.concat([ring.iloc[-1:], bars], ignore_index=True)
+            ring = ring.iloc[:-1]
+        closed = bars.iloc[:-1].reset_index(drop=True)
+        if len(closed):
+            out = bar_indicators(ring.reset_index(drop=True), closed, carry)
+            yield pd.DataFrame({"asset": key[0], "date": pd.to_datetime(closed["day"] * 86_400, unit="s").dt.date}).join(out[BAR_COLUMNS])
+        kept = pd.concat([ring, bars], ignore_index=True).iloc[-(LOOK_BACK + 1) :]
+        state.update((int(rows["ts"].iloc[-1]), int(rows["event_id"].iloc[-1]), *[carry.get(c) for c in CARRIED], [int(x) for x in kept["day"]], *[kept[c].astype(float).tolist() for c in ("open", "high", "low", "close")]))
+
+    kinds = "ts long, event long, " + ", ".join(f"{c} double" for c in CARRIED) + ", day array<long>, open array<double>, high array<double>, low array<double>, close array<double>"
+    made = "asset long, date date, " + ", ".join(f"{c} double" for c in BAR_COLUMNS)
+    out = _ticks(spark, sf_dir).groupBy("asset").applyInPandasWithState(step, made, kinds, "append", GroupStateTimeout.NoTimeout)
     return run_available(out, "append").drop("batch_id")
