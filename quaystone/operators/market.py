@@ -14,6 +14,16 @@ def resample(ticks: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+#: What a column's name says about how it is put together; others keep their last value.
+BY_NAME = {"open": "first", "high": "max", "low": "min", "volume": "sum", "money": "sum", "count": "sum"}
+
+
+def by_name(rows: DataFrame, keys: list[str], order: str, how: dict[str, str] = BY_NAME) -> DataFrame:
+    """Rows of each key put together, every other column by its name: first and last in an order, highest, lowest or sum."""
+    made = {"first": lambda c: F.min_by(c, order), "last": lambda c: F.max_by(c, order), "max": F.max, "min": F.min, "sum": F.sum}
+    return rows.groupBy(*keys).agg(*[made[how.get(c, "last")](c).alias(c) for c in rows.columns if c not in (*keys, order)])
+
+
 def minute_id() -> Column:
     """hhmm counted from 18:00, so that a night session comes before its day."""
     return ((F.floor(F.col("minute") / 60) + 6) % 24) * 100 + F.col("minute") % 60
