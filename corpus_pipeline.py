@@ -1,4 +1,17 @@
-"""Cleans the documents in five stages; each reads what the one before wrote."""
+"""Cleans the documents in five stages; each reads what the one before wrote, and all but the last return its columns.
+
+1. quality_rules keeps documents with 50 words and more, few repeats, and metrics within the certified cutoffs.
+2. near_dedup keeps one document of each group of near copies, that of the least id.
+3. decontaminate drops documents in which a benchmark item is found.
+4. secret_scan puts [kind] in place of each secret and sets n_chars to match.
+5. sentence_pieces gives doc_id, n_tokens and digests of the ids and of the decoded text.
+
+Cases: decisions are made per row, or per id and text where a row has copies. Null and empty texts fail the first
+stage; documents without an id, and several texts under one id, each count as documents of their own; rows that agree
+in id and text stay or go together in stage 2; columns beyond those of documents go through, whatever their names;
+an empty table, an empty benchmark or no labels give what is left of the rules, and an empty table in the end if
+nothing is.
+"""
 
 from __future__ import annotations
 
