@@ -111,13 +111,17 @@ sh AS (SELECT asset, seg_start, sum(gap) OVER (PARTITION BY asset ORDER BY seg_s
 
 
 def low_series(spark, sf):
+    return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("v"))
+
+
+def month_series(spark, sf):
     """The highest order of each month and priority, known on the month's last day."""
-    return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.last_day("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("v"))
+    return low_series(spark, sf).groupBy("key", F.last_day("date").alias("date")).agg(F.max("v").alias("v"))
 
 
 def as_of(limit):
     def run(spark, sf):
-        lows = low_series(spark, sf)
+        lows = month_series(spark, sf)
         # every trading day from a key's first value to its last
         spans = lows.groupBy("key").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         days = daily(spark, sf).select("date").distinct()
