@@ -126,7 +126,7 @@ def hl_kdj(n: int = 14, x: str = "close") -> Recipe:
 
 def over(value: str, scale: str, size: str) -> str:
     """value over scale; null where the scale is nothing but rounding against size."""
-    return f"({value}) / CASE WHEN {scale} > 1e-9 * abs({size}) THEN {scale} END"
+    return f"({value}) / CASE WHEN {scale} > 1e-7 * abs({size}) THEN {scale} END"
 
 
 def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list, dict[int, str]]:
@@ -152,7 +152,7 @@ def conv_steps(kind: str, wins: tuple[int, ...], x: str, vol: int) -> tuple[list
         elif kind in ("ma_dff", "ma_dff_sgn", "ema_dff", "ema_dff_sgn"):
             steps += [{m: roll("avg", x, n)} if kind.startswith("ma") else Ewm(m, x, com(n)), {f"d{n}": s(f"({x}) - {m}")}]
             if kind.endswith("sgn"):
-                value[n] = f"sign(d{n})"
+                value[n] = f"CASE WHEN abs(d{n}) > 1e-9 * abs({x}) THEN sign(d{n}) WHEN d{n} IS NOT NULL THEN 0.0 END"
             else:
                 steps.append(Ewm(f"v{n}", f"d{n}", span(vol), stat="std", least=10))
                 value[n] = over(f"d{n}", f"v{n}", x)
