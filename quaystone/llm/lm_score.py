@@ -40,17 +40,18 @@ from quaystone.llm.common import bounded_batches, cut, drop_cut, table, text_byt
 
 @dataclass(frozen=True)
 class Sizes:
-    """top: words that are classes of their own; tails: classes of other words; dictionary: words with counts, and beyond top vectors, that are broadcast."""
+    """top: words that are classes of their own; tails: classes of other words; dictionary: words with counts, and beyond top vectors, that are broadcast; word_rounds: of the last rounds, in which words are trained too."""
 
     top: int = 768
     tails: int = 254
     dictionary: int = 200_000
     dim: int = 24
     word_dim: int = 8
-    noise: int = 32
-    word_noise: int = 5
+    noise: int = 24
+    word_noise: int = 2
     batch: int = 4096
     rounds: int = 2
+    word_rounds: int = 1
     rate: float = 0.08
 
     @property
@@ -255,15 +256,9 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.r_[first, len(at)])
 
 
-def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray, seen: np.ndarray, rate: float) -> None:
-    """AdaGrad steps for rows that may repeat."""
-    at, total, _ = _sum_rows(at, rows)
-    seen[at] += total * total
-    into[at] -= rate * total / np.sqrt(seen[at] + 1e-6)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    with np.errstate(over="ignore"):  # an infinite exponential gives zero
+        return 1 / (1 + np.exp(-x))
 
 
 class Trainer:
@@ -299,14 +294,23 @@ class Trainer:
         bad = h @ qn.T + m.b[n] - self.log_noise[n]
         dg, db = -_sigmoid(-good), _sigmoid(bad)  # of -log sigmoid(good) and of -log sigmoid(-bad)
         dh = dg[:, None] * qw + db @ qn
-        both = np.r_[w, n]
-        _add_rows(m.q, both, np.r_[dg[:, None] * h, db.T @ h], self.seen["q"], rate)
-        _add_rows(m.b, both, np.r_[dg, db.sum(axis=0)], self.seen["b"], rate)
-        _add_rows(m.r, np.r_[u, v], np.r_[dh * m.c[0], dh * m.c[1]], self.seen["r"], rate)
+        both, cat = np.concatenate([w, n]), np.concatenate
+        at, total, _ = _sum_rows(both, np.column_stack([cat([dg[:, None] * h, db.T @ h]), cat([dg, db.sum(axis=0)])]))
+        self._move("q", at, total[:, :-1])
+        self._move("b", at, total[:, -1])
+        at, total, _ = _sum_rows(cat([u, v]), cat([dh * m.c[0], dh * m.c[1]]))
+        self._move("r", at, total)
         dc = np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)])
         self.seen["c"] += dc * dc
         m.c -= rate * dc / np.sqrt(self.seen["c"])
 
+    def _move(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
+        """An AdaGrad step of some rows of a parameter."""
+        seen = self.seen[name]
+        now = seen[at] + grad * grad
+        seen[at] = now
+        self.m.parts[name][at] -= self.sizes.rate * grad / np.sqrt(now + 1e-6)
+
     def draw_words(self) -> None:
         """New noise words for every class that has words."""
         first, last = self.words.first[:-1], self.words.first[1:]
@@ -319,24 +323,24 @@ class Trainer:
 
     def word_step(self, v: np.ndarray, j: np.ndarray) -> None:
         """One minibatch of tail words behind classes."""
-        m, rate, k = self.m, self.sizes.rate, self.words.tail_class[j]
+        m, k = self.m, self.words.tail_class[j]
         turn = self.rng.integers(0, POOL, len(j))[:, None] + np.arange(self.sizes.word_noise)
         n = self.drawn[k[:, None], turn % POOL]
         h, pj, pn = m.g[v], m.p[j], m.p[n]
         good = np.einsum("ij,ij->i", h, pj) + m.d[j] - self.word_noise[j]
         bad = np.einsum("id,ind->in", h, pn) + m.d[n] - self.word_noise[n]
         dg, db = -_sigmoid(-good), _sigmoid(bad)
-        both = np.r_[j, n.ravel()].astype(np.int32)
-        dp = np.r_[dg[:, None] * h, (db[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])]
-        at, total, _ = _sum_rows(both, np.c_[dp, np.r_[dg, db.ravel()]])
-        for name, grad in (("p", total[:, :-1]), ("d", total[:, -1])):
-            seen, into = self.seen[name], m.parts[name]
-            seen[at] += grad * grad
-            into[at] -= rate * grad / np.sqrt(seen[at] + 1e-6)
-        _add_rows(m.g, v, dg[:, None] * pj + np.einsum("in,ind->id", db, pn), self.seen["g"], rate)
+        cat = np.concatenate
+        every = cat([j, n.ravel()]).astype(np.int32)
+        dp = cat([dg[:, None] * h, (db[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])])
+        at, total, _ = _sum_rows(every, np.column_stack([dp, cat([dg, db.ravel()])]))
+        self._move("p", at, total[:, :-1])
+        self._move("d", at, total[:, -1])
+        at, total, _ = _sum_rows(v, dg[:, None] * pj + np.einsum("in,ind->id", db, pn))
+        self._move("g", at, total)
         self.times += np.bincount(j, minlength=len(self.times))
 
-    def drain(self, held: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    def drain(self, held: list[tuple[np.ndarray, np.ndarray]], with_words: bool = True) -> int:
         """Steps over the held documents (classes, tail words with -1 for others) in random order of tokens; they are given up then."""
         if not held:
             return 0
@@ -347,7 +351,7 @@ class Trainer:
         for i in range(0, len(w), size):
             at = order[i : i + size]
             self.step(u[at], v[at], w[at])
-        own = order[tails[order] >= 0]
+        own = order[tails[order] >= 0] if with_words else order[:0]
         if len(own):
             self.draw_words()
         for i in range(0, len(own), size):
@@ -394,16 +398,16 @@ def train(docs: DataFrame, words: Lexicon) -> Model:
         begin = spark.sparkContext.broadcast(model.parts)
 
         def fit(batches, begin=begin, turn=turn):
-            task = TaskContext.get().partitionId()
+            task, with_words = TaskContext.get().partitionId(), turn >= sizes.rounds - sizes.word_rounds
             trainer, tokens, held, waiting = Trainer(Model(**begin.value).copy(), shared.value, (100, turn, task)), 0, [], 0
             for batch in batches:
                 for c, t in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                     held.append((np.frombuffer(c, np.int16), np.frombuffer(t, np.int32)))
                     waiting += len(held[-1][0]) + 1
                     if waiting >= 16 * sizes.batch:
-                        tokens += trainer.drain(held)
+                        tokens += trainer.drain(held, with_words)
                         waiting = 0
-            tokens += trainer.drain(held)
+            tokens += trainer.drain(held, with_words)
             if tokens:
                 yield from _sums(trainer, tokens, task)
 
