@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaystone.llm import chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_rules, secret_scan, sentence_pieces, suffix_dedup, url_filter
+from quaystone.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, near_dedup, periodic_runs, phrases, quality_rules, secret_scan, sentence_pieces, suffix_dedup, url_filter
 
-MODULES = (lm_score, decontaminate, chat_format, secret_scan, url_filter, sentence_pieces, suffix_dedup, quality_rules, license_scan, near_dedup)
+MODULES = (lm_score, decontaminate, chat_format, secret_scan, url_filter, sentence_pieces, suffix_dedup, quality_rules, license_scan, near_dedup, periodic_runs, line_dedup, phrases)
 
 
 def queries() -> dict:
