@@ -8,7 +8,8 @@ Few phrases reach the least count, and most others stand in one shard or two; th
 shard sends the hashes (at most 64 bits) and counts of its phrases of two and three words, packed by ranges of the hash; a range that adds
 them up returns the hashes that may reach the least count to the shards that have them. In a second pass a shard indexes
 only the stretches of words whose pairs came back, extends a phrase only by words whose triple came back, and sends what
-it finds as text with exact counts. Hashes that meet by chance only send a phrase for nothing: sums are taken by text.
+it finds as text with exact counts, again packed by ranges. Hashes that meet by chance only send a phrase for nothing:
+sums are taken by text.
 
 The (k+1)-word phrases are the left and right extensions of the k-word ones: a phrase all of whose occurrences have one
 extension in common is dropped for it. As counts can't grow with length, the next longer phrases settle that for all.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import bounded_batches, cut, drop_cut, salted_join, table, text_bytes
+from quaystone.llm.common import SALTS, bounded_batches, cut, drop_cut, salted_join, table, text_bytes
 from quaystone.llm.fm_index import Index
 from quaystone.llm.shingles import mix
 
@@ -200,8 +201,16 @@ def frequent_hashes(short: DataFrame, least: int) -> DataFrame:
 
 
 def long_phrases(found: DataFrame, ranges: int, most_words: int) -> DataFrame:
-    """lang, phrase, size (words) and n of each shard, for phrases whose pairs and triples came back; found: shard, lang, words, codes and kept (part, keys)."""
-    names = ["lang", "phrase", "size", "n"]
+    """lang, part (of the hashes), phrases, sizes (words) and counts of each shard, for phrases whose pairs and triples came back; found: shard, lang, words, codes and kept (part, keys)."""
+    names = ["lang", "part", "phrases", "sizes", "counts"]
+
+    def packed(lang: str, part: np.ndarray, phrases: pa.Array, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = pa.array(np.append(edges, len(part)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (phrases.take(pa.array(order)), pa.array(sizes[order], pa.int32()), pa.array(counts[order], pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(edges), pa.string()), pa.array(part[edges].astype(np.int32)), *lists], names=names)
 
     def run(batches):
         for batch in batches:
@@ -221,7 +230,7 @@ def long_phrases(found: DataFrame, ranges: int, most_words: int) -> DataFrame:
                 text = both[np.column_stack([used, used & ~linked]).ravel()]  # an end after each word that isn't linked to the next
                 if not len(text):
                     continue
-                index = Index(text, len(words), most_words)
+                index, found = Index(text, len(words), most_words), []
                 grown = index.single()
                 for size in range(2, most_words + 1):
                     right = size % 2 == 0
@@ -233,10 +242,23 @@ def long_phrases(found: DataFrame, ranges: int, most_words: int) -> DataFrame:
                     if not len(phrases):
                         break
                     text_of = pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in phrases.T], b" ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), text_of, pa.array(np.full(len(counts), size, np.int32)), pa.array(counts.astype(np.int64))], names=names)
+                    found.append((hashes(*phrases.T) >> np.uint64(32), text_of, np.full(len(counts), size), counts))
+                yield packed(lang, np.concatenate([f[0] for f in found]), pa.concat_arrays([f[1] for f in found]), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]))
+
+    return found.select("lang", "words", "codes", "kept").mapInArrow(run, "lang string, part int, phrases array<binary>, sizes array<int>, counts array<long>")
+
+
+def summed_phrases(longer: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, size and n of the phrases whose sum over all shards reaches least, by text. A range of hashes is a group, a shard's part of it a row."""
+
+    def add(group: pa.Table) -> pa.Table:
+        lists = group.column("phrases").combine_chunks()
+        lang = group.column("lang").combine_chunks().take(pc.list_parent_indices(lists))
+        flat = pa.table({"lang": lang, "phrase": pc.list_flatten(lists), "size": pc.list_flatten(group.column("sizes").combine_chunks()), "n": pc.list_flatten(group.column("counts").combine_chunks())})
+        sums = flat.group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return sums.filter(pc.greater_equal(sums.column("n"), least)).select(["lang", "phrase", "size", "n"])
 
-    made = found.select("lang", "words", "codes", "kept").mapInArrow(run, "lang string, phrase binary, size int, n long")
-    return made.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "n")
+    return longer.groupBy("part").applyInArrow(add, "lang string, phrase binary, size int, n long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def counted(packed: DataFrame, least: int = LEAST_COUNT, most_words: int = MOST_WORDS) -> DataFrame:
@@ -245,7 +267,8 @@ def counted(packed: DataFrame, least: int = LEAST_COUNT, most_words: int = MOST_
     ranges = max(1, math.ceil((packed.agg(F.sum("n_words")).first()[0] or 0) / RANGE))
     back = frequent_hashes(short_phrases(packed, ranges, least), least).groupBy("shard").agg(F.collect_list(F.struct("part", "keys")).alias("kept"))
     longer = long_phrases(packed.drop("counts").join(back.hint("shuffle_hash"), "shard"), ranges, most_words)
-    return words.union(longer).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = words.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return often.union(summed_phrases(longer, least))
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -270,8 +293,10 @@ def mine(docs: DataFrame, least: int = LEAST_COUNT, most_words: int = MOST_WORDS
     counts = cut(counted(packed, least, most_words))
     totals = cut(packed.groupBy("lang").agg(F.sum("n_words").alias("n")))
     drop_cut(packed)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(counts, totals).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = scored(counts, totals).withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    for keys in (["lang", "dealt"], ["lang"]):  # no language's phrases meet in one task but the first of each part
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
