@@ -35,7 +35,7 @@ from quaystone.llm.shingles import mix
 
 MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2_000
 #: Words of a shard; a task with many languages packs them all once it holds twice as many.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Hashes in a range that one task adds up at a time.
 RANGE = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
