@@ -66,17 +66,6 @@ def kept(sp, df, name):
     return sp.read.schema(df.schema).parquet(path)
 
 
-def definitions(which, panel):
-    def run(sp, sf):
-        rows, out = kept(sp, panel(sp, sf), "panel"), None
-        for name, d in which.items():
-            one = definition(d).result(rows).select(F.lit(name).alias("signal"), "asset", "date", F.col("final_").alias("value"))
-            out = one if out is None else out.union(one)
-        return out
-
-    return run
-
-
 def definitions_sql(which, base: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS signal, asset, date, final_ AS value FROM ({definition(d).oracle(base)})" for n, d in which.items())
 
@@ -243,10 +232,9 @@ def yoys(kind, group, change):
 YOYS = {f"season_yoy_{k}_{g}": yoys(k, g, c) for k, g, c in (("cal", "day", "diff"), ("lunar", "day", "pct_change"), ("lunar", "week", "diff"), ("stitched", "day", "diff"))}
 _H = "WITH " + z_sql() + ", h AS (SELECT asset, date, ret, z / vol * 0.01 AS holding, lag(z / vol * 0.01) OVER (PARTITION BY asset ORDER BY date) AS before FROM z0 WHERE z / vol * 0.01 IS NOT NULL)"
 QUERIES = {
-    "sig_pair_definitions": definitions(PAIRED, pair_panel), "sig_factors": factors, "pnl_price_changes": price_changes, "pnl_evaluation": evaluation, "pnl_benchmark": benchmark, "pnl_turnover": turnover, "pnl_trade_stats": trade_stats, "ts_spread_scores": spread_scores, "season_lunar_table": lunar_table,
-} | {f"sig_definitions_{p}": definitions(d, indexed) for p, d in BY_PART.items()} | {f"sig_{k}": (lambda sp, sf, k=k: across(k).result(daily(sp, sf))) for k in ("xdemean", "xscore", "xrank")} | {k: q for k, (q, _) in YOYS.items()}
+    "sig_factors": factors, "pnl_price_changes": price_changes, "pnl_evaluation": evaluation, "pnl_benchmark": benchmark, "pnl_turnover": turnover, "pnl_trade_stats": trade_stats, "ts_spread_scores": spread_scores, "season_lunar_table": lunar_table,
+} | {f"sig_{k}": (lambda sp, sf, k=k: across(k).result(daily(sp, sf))) for k in ("xdemean", "xscore", "xrank")} | {k: q for k, (q, _) in YOYS.items()}
 SQL = {
-    "sig_pair_definitions": definitions_sql(PAIRED, PAIR_SQL),
     "sig_factors": " UNION ALL ".join(f"SELECT '{n}' AS factor, * FROM ({factor(f, x, mode=m).oracle(PAIR_SQL)})" for n, (f, x, m) in FACTORS.items()),
     "pnl_price_changes": f"""WITH {DAILY_SQL}, d AS (SELECT asset, date, close, coalesce(lead(open) OVER (PARTITION BY asset ORDER BY date), close) AS o FROM s0),
 e AS (SELECT asset, date, close - lag(close) OVER w AS close_px, o - lag(o) OVER w AS open_px, close / lag(close) OVER w - 1 AS close_pct, o / lag(o) OVER w - 1 AS open_pct FROM d WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, {_rs('close_px', 'open_px', 'close_pct', 'open_pct')} FROM e""",
@@ -263,4 +251,4 @@ SELECT asset, kind, count(*) AS n, {tidy_sql('avg(profit)')} AS mean, {tidy_sql(
     "season_lunar_table": f"""WITH {DAILY_SQL}, l AS (SELECT asset, date, close, {se.NEW_YEAR_SQL} AS ny FROM s0), t AS (SELECT asset, year(ny)::INT AS yr, (date - ny)::INT AS lab, arg_max(close, date) AS v FROM l GROUP BY ALL),
 g AS (SELECT y.asset, y.yr, l.lab, t.v FROM (SELECT DISTINCT asset, yr FROM t) y JOIN (SELECT DISTINCT asset, lab FROM t) l ON y.asset = l.asset LEFT JOIN t ON t.asset = y.asset AND t.yr = y.yr AND t.lab = l.lab),
 f AS (SELECT asset, yr, lab, v, coalesce(v, lag(v) OVER (PARTITION BY asset, yr ORDER BY lab)) AS filled FROM g) SELECT asset, yr, lab, {_rs('v', 'filled')} FROM f""",
-} | {f"sig_definitions_{p}": definitions_sql(d, INDEXED_SQL) for p, d in BY_PART.items()} | {f"sig_{k}": across(k).oracle(DAILY_SQL) for k in ("xdemean", "xscore", "xrank")} | {k: q for k, (_, q) in YOYS.items()}
+} | {f"sig_{k}": across(k).oracle(DAILY_SQL) for k in ("xdemean", "xscore", "xrank")} | {k: q for k, (_, q) in YOYS.items()}
