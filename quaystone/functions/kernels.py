@@ -113,8 +113,8 @@ def passband(a1: float, a2: float) -> Callable:
     return lambda state, x: ((a1 - a2) * x + (a2 - a1) * state[2] + (2 - a1 - a2) * state[0] - (1 - a1) * (1 - a2) * state[1], state[0], x)
 
 
-def trail(stop: float) -> Callable:
-    """Follow a side at the close; leave at the open if it gaps through the trailing stop, else at the stop: (pos, best, entry, pnl)."""
+def trail(stop: float, cost: float = 0.0, close_out: float = 0.0) -> Callable:
+    """Follow a side at the close; leave at the open if it gaps through the trailing stop, else at the stop: (pos, best, entry, pnl). Each side traded costs cost, leaving at a stop close_out besides."""
 
     def step(state, open_, high, low, close, side):
         pos, best, entry, pnl = state
@@ -122,10 +122,10 @@ def trail(stop: float) -> Callable:
             level = best * (1 - pos * stop)
             if pos * (open_ - level) <= 0 or pos * ((low if pos > 0 else high) - level) <= 0:
                 leave = open_ if pos * (open_ - level) <= 0 else level
-                return 0.0, 0.0, 0.0, pnl + pos * (leave / entry - 1)
+                return 0.0, 0.0, 0.0, pnl + pos * (leave / entry - 1) - cost - close_out
             best = max(best, high) if pos > 0 else min(best, low)
         if side and side != pos:
-            return side, close, close, pnl + (pos * (close / entry - 1) if pos else 0.0)
+            return side, close, close, pnl + (pos * (close / entry - 1) - cost if pos else 0.0) - cost
         return pos, best, entry, pnl
 
     return step

@@ -215,8 +215,11 @@ def filtered(spark, sf):
     return _r(out.select("asset", "date", "spb", F.when(F.count("spb").over(w) >= 50, F.sqrt(F.avg(F.col("spb") * F.col("spb")).over(w))).alias("rms")), "spb", "rms")
 
 
-def trailing(spark, sf):
-    out = kn.scan(z_panel(spark, sf).withColumn("want", F.signum(F.when(F.abs("z") > 1, F.col("z")).otherwise(0.0))), kn.trail(0.1), ["open", "high", "low", "close", "want"], _TRAIL)
+STOP_COSTS = {"cost": 0.0003, "close_out": 0.001}
+
+
+def trailing(spark, sf, **costs):
+    out = kn.scan(z_panel(spark, sf).withColumn("want", F.signum(F.when(F.abs("z") > 1, F.col("z")).otherwise(0.0))), kn.trail(0.1, **costs), ["open", "high", "low", "close", "want"], _TRAIL)
     return _r(out.select("asset", "date", "pos", "pnl"), "pos", "pnl")
 
 
@@ -243,8 +246,8 @@ s0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY dat
 
 _P = _rs
 QUERIES = {
-    "sig_hysteresis": scanned(kn.hysteresis(1.0, 0.5), ["z"], {"pos": 0.0, "seen": 0.0}, ("pos",)), "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)), "sig_buffer": scanned(kn.buffered, ["z", "gap"], {"pos": 0.0}, ("pos",)),
-    "sig_responses": responses, "ind_psar": lambda s_, d: _r(kn.scan(daily(s_, d), kn.parabolic(), ["high", "low"], _SAR).select("asset", "date", "sar", "side"), "sar", "side"), "ind_band_stop": banded, "ind_passband": filtered, "sim_trailing_stop": trailing, "sim_lifo_trades": trades,
+    "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)),
+    "sig_responses": responses, "ind_psar": lambda s_, d: _r(kn.scan(daily(s_, d), kn.parabolic(), ["high", "low"], _SAR).select("asset", "date", "sar", "side"), "sar", "side"), "ind_band_stop": banded, "ind_passband": filtered, "sim_trailing_stop": trailing, "sim_stop_costs": lambda s_, d: trailing(s_, d, **STOP_COSTS), "sim_lifo_trades": trades,
     "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid,
     "risk_correlation": lambda s_, d: _r(rs.correlations(rets(s_, d)), "corr", "cov"), "risk_var": lambda s_, d: _r(rs.risk(rets(s_, d), weights(s_, d)), "part", "var95"), "stat_summary": summary, "stat_variance_ratio": variance_ratio, "stat_hurst": hurst, "stat_half_life": half_life,
     "stat_adf": lambda s_, d: _r(rs.adf(daily(s_, d).select("asset", "date", F.ln("close").alias("x"))), "adf"), "stat_kalman": expanded,
@@ -299,7 +302,7 @@ def _band_sql() -> str:
     }, _rs("upper", "lower", "trend"))
 
 
-def _trail_sql() -> str:
+def _trail_sql(cost: float = 0.0, close_out: float = 0.0) -> str:
     base = f"{_Z0}, t0 AS MATERIALIZED (SELECT asset, date, rn, open, high, low, close, CASE WHEN abs(z) > 1 THEN sign(z) ELSE 0 END::DOUBLE AS want FROM z0)"
     level = "(r.best * (1 - r.pos * 0.1::DOUBLE))"
     gap = f"(r.pos * (p.open - {level}) <= 0)"
@@ -309,7 +312,7 @@ def _trail_sql() -> str:
         "pos": ("p.want", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.want ELSE r.pos END"),
         "best": ("CASE WHEN p.want <> 0 THEN p.close ELSE 0 END", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.close WHEN r.pos > 0 THEN greatest(r.best, p.high) WHEN r.pos < 0 THEN least(r.best, p.low) ELSE r.best END"),
         "entry": ("CASE WHEN p.want <> 0 THEN p.close ELSE 0 END", f"CASE WHEN {out} THEN 0 WHEN {turn} THEN p.close ELSE r.entry END"),
-        "pnl": ("0e0", f"r.pnl + CASE WHEN {out} THEN r.pos * (CASE WHEN {gap} THEN p.open ELSE {level} END / nullif(r.entry, 0) - 1) WHEN {turn} AND r.pos <> 0 THEN r.pos * (p.close / nullif(r.entry, 0) - 1) ELSE 0 END"),
+        "pnl": (f"CASE WHEN p.want <> 0 THEN -{cost!r}::DOUBLE ELSE 0e0 END", f"r.pnl - CASE WHEN {out} THEN {cost + close_out!r}::DOUBLE WHEN {turn} THEN {cost!r}::DOUBLE * (1 + abs(r.pos)) ELSE 0 END + CASE WHEN {out} THEN r.pos * (CASE WHEN {gap} THEN p.open ELSE {level} END / nullif(r.entry, 0) - 1) WHEN {turn} AND r.pos <> 0 THEN r.pos * (p.close / nullif(r.entry, 0) - 1) ELSE 0 END"),
     }, _rs("pos", "pnl"))
 
 
@@ -329,7 +332,7 @@ def _kalman_sql() -> str:
     return kn.recursion(base, "k0", {k: (first[k], later[k]) for k in first}, _rs("slope", "intercept"))
 
 
-SQL |= {"ind_psar": _sar_sql(), "ind_band_stop": _band_sql(), "sim_trailing_stop": _trail_sql(), "stat_kalman": _kalman_sql()}
+SQL |= {"ind_psar": _sar_sql(), "ind_band_stop": _band_sql(), "sim_trailing_stop": _trail_sql(), "sim_stop_costs": _trail_sql(**STOP_COSTS), "stat_kalman": _kalman_sql()}
 SQL["stat_adf"] = f"""WITH {DAILY_SQL}, x AS (SELECT asset, ln(close) AS x, lag(ln(close)) OVER w AS a, lag(ln(close), 2) OVER w AS a2 FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)),
 d AS (SELECT asset, x - a AS y, a, a - a2 AS b FROM x WHERE a2 IS NOT NULL),
 g AS (SELECT asset, count(*) AS n, var_samp(y) AS yy, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(y, a) AS ya, covar_samp(y, b) AS yb, covar_samp(a, b) AS ab FROM d GROUP BY asset),
