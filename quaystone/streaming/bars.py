@@ -68,11 +68,18 @@ def minute_bars(spark: SparkSession, sf_dir: str, width: str = "5 minutes", late
     return latest(rows, "asset", "start")
 
 
+def _day_bars(spark: SparkSession, sf_dir: str, part=None, late: str = "1 day") -> DataFrame:
+    """Bars of a day or of its parts; a day's state goes once the watermark has passed it, repeated events count once."""
+    t = source(spark, sf_dir).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    place, by = F.struct("ts", "event_id"), [F.col("user_id").alias("asset"), F.window("ts", "1 day").alias("w"), *([part.alias("part")] if part is not None else [])]
+    agg = t.groupBy(*by).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n_ticks"))
+    keys = ["asset", "date", *(["part"] if part is not None else [])]
+    return latest(run_available(agg.select("*", F.to_date("w.start").alias("date")).select(*keys, "open", "high", "low", "close", "n_ticks")), *keys)
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running daily bar, in update mode."""
-    place = F.struct("ts", "event_id")
-    agg = source(spark, sf_dir).groupBy(F.col("user_id").alias("asset"), F.to_date("ts").alias("date")).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n_ticks"))
-    return latest(run_available(agg), "asset", "date")
+    return _day_bars(spark, sf_dir)
 
 
 def running_means(spark: SparkSession, sf_dir: str, span: int = 10) -> DataFrame:
@@ -97,9 +104,7 @@ def session_bars(spark: SparkSession, sf_dir: str, cuts: list[int]) -> DataFrame
     part = F.lit(0)
     for c in cuts:
         part = part + (minute >= c).cast("int")
-    place = F.struct("ts", "event_id")
-    agg = source(spark, sf_dir).groupBy(F.col("user_id").alias("asset"), F.to_date("ts").alias("date"), part.alias("part")).agg(F.min_by("value", place).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", place).alias("close"), F.count("*").alias("n_ticks"))
-    return latest(run_available(agg), "asset", "date", "part")
+    return _day_bars(spark, sf_dir, part)
 
 
 def season_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from quaystone.streaming import bars as st
+from quaystone.streaming import quotes as qt
 
 START = datetime.datetime(2024, 1, 1, 9)
 
@@ -74,3 +77,61 @@ def test_season_stats_of_batches(spark, folders):
     rows = pd.DataFrame(ticks(), columns=["event_id", "ts", "asset", "kind", "value", "props"])
     want = rows.groupby(["asset", rows["ts"].dt.hour])["value"].agg(["count", "mean"]).reset_index()
     assert np.allclose(got["mean"], want["mean"]) and list(got["n"]) == list(want["count"])
+
+
+def closed(spark, folder, width=86_400):
+    def stream():
+        t = st.source(spark, folder)
+        return qt.closed_bars(t.select(F.col("user_id").alias("asset"), "event_id", "ts", F.col("value").alias("price"), (F.hour("ts") * 60 + F.col("event_id") % 60).alias("cumulative"), F.col("event_id").alias("oi")), width, "1 hour")
+
+    return as_frame(qt.run_with_timers(stream, spark), "asset", "start")
+
+
+def test_timers_close_bars(spark, folders):
+    one, many = (closed(spark, f) for f in folders)
+    pd.testing.assert_frame_equal(one, many)
+    rows = pd.DataFrame(ticks(), columns=["event_id", "ts", "asset", "kind", "value", "props"])
+    rows["start"], rows["cumulative"] = rows["ts"].dt.floor("1D"), rows["ts"].dt.hour * 60 + rows["event_id"] % 60
+    want = rows.groupby(["asset", "start"]).agg(open=("value", "first"), high=("value", "max"), low=("value", "min"), close=("value", "last"), volume=("cumulative", "last"), oi=("event_id", "last"), n_ticks=("value", "size")).reset_index()
+    want = want[want["start"] + pd.Timedelta(days=1) <= rows["ts"].max() - pd.Timedelta(hours=1)].reset_index(drop=True)
+    assert list(one["start"]) == list(want["start"]) and np.allclose(one.drop(columns="start").astype(float), want.drop(columns="start").astype(float))
+    last = want[want["asset"] == 2]["start"].max()  # closed though the instrument itself may have no later tick
+    assert last in set(one[one["asset"] == 2]["start"])
+
+
+def test_volume_is_the_change_within_a_day(spark, folders):
+    got = closed(spark, folders[1], 3600)
+    rows = pd.DataFrame(ticks(), columns=["event_id", "ts", "asset", "kind", "value", "props"])
+    rows["start"], rows["day"] = rows["ts"].dt.floor("1h"), rows["ts"].dt.date
+    rows["cumulative"] = rows["ts"].dt.hour * 60 + rows["event_id"] % 60
+    bars = rows.groupby(["asset", "day", "start"])["cumulative"].last()
+    want = bars - bars.groupby(["asset", "day"]).shift().fillna(0)
+    want = want.reset_index().drop(columns="day").sort_values(["asset", "start"])
+    want = want[want["start"] + pd.Timedelta(hours=1) <= rows["ts"].max() - pd.Timedelta(hours=1)]
+    assert list(got["volume"]) == list(want["cumulative"].astype(int))
+
+
+def test_spread_quotes_of_batches(spark, folders):
+    legs = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 1, -2), (0, 2, 2, 1), (7, 0, 1, -1), (7, 1, 2, 3), (8, 0, 0, 1), (8, 1, 99, 1)], "spread long, leg int, asset long, weight int")
+
+    def quotes(folder):
+        def stream():
+            t = st.source(spark, folder)
+            return qt.spread_quotes(t.select(F.col("user_id").alias("asset"), "event_id", "ts", (F.col("value") - 0.1).alias("bid"), (F.col("value") + 0.2).alias("ask"), (5 + F.col("event_id") % 4).alias("bid_size"), (7 + F.col("event_id") % 5).alias("ask_size")), legs)
+
+        return as_frame(qt.run_with_timers(stream, spark), "spread", "event_id")
+
+    one, many = (quotes(f) for f in folders)
+    many = many[many["event_id"] != 9999].reset_index(drop=True)
+    pd.testing.assert_frame_equal(one, many)
+    held, want = {}, []
+    for event, _, asset, _, value, _ in ticks():
+        held[asset] = (value - 0.1, value + 0.2, 5 + event % 4, 7 + event % 5)
+        for spread, parts in ((0, {0: 1, 1: -2, 2: 1}), (7, {1: -1, 2: 3})):
+            if asset in parts and all(a in held for a in parts):
+                side = lambda i: sum(w * held[a][i if w > 0 else 1 - i] for a, w in parts.items())  # noqa: E731, B023
+                fill = lambda i: min(held[a][2 + (i if w > 0 else 1 - i)] // abs(w) for a, w in parts.items())  # noqa: E731, B023
+                want.append((spread, event, side(0), side(1), fill(0), fill(1)))
+    want = sorted(want)
+    assert list(zip(one["spread"], one["event_id"])) == [r[:2] for r in want]
+    assert np.allclose(one[["bid", "ask", "bid_volume", "ask_volume"]], [r[2:] for r in want])
