@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.operators.sessions import with_session
+
 
 def resample(ticks: DataFrame, minutes: int) -> DataFrame:
     """n-minute bars of ticks (asset, date, minute, ts, price); empty buckets make no bar."""
@@ -76,9 +78,9 @@ def shift_bdays(rows: DataFrame, cal: DataFrame, date: str, n: int, out: str) ->
 
 
 def in_sessions(ticks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Ticks within one of their group's sessions (kind, from_date, to_date, start_minute, end_minute)."""
-    t, x = ticks.alias("t"), sessions.alias("x")
-    return t.join(x, (F.col("t.event_type") == F.col("x.kind")) & F.col("t.date").between(F.col("x.from_date"), F.col("x.to_date")) & F.col("t.minute").between(F.col("x.start_minute"), F.col("x.end_minute")), "left_semi")
+    """Ticks within one of their group's sessions (kind, from_date, to_date, start_minute, end_minute, the last two inclusive), by bit masks."""
+    open_ones = sessions.withColumns({"end_minute": F.col("end_minute") + 1, "open": F.lit(True)})
+    return with_session(ticks, open_ones, "event_type").where("in_session").drop("in_session")
 
 
 #: Rates of value added tax and the first days of the later ones.

@@ -85,13 +85,3 @@ def greedy(most: float = 0.8, count: int = 3):
         return pd.DataFrame({"g": pdf["g"].iloc[:1].repeat(len(taken)).to_numpy(), "a": taken, "place": range(1, len(taken) + 1)})
 
     return run
-
-
-def bootstrap(rets: DataFrame, draws: int = 20) -> DataFrame:
-    """Mean and Sharpe of resampled returns: each draw's row numbers are a hash of asset, draw and place, and join the rows."""
-    n = rets.groupBy("asset").agg(F.count("*").alias("n"))
-    r = rets.withColumn("place", F.row_number().over(Window.partitionBy("asset").orderBy("date")) - 1)
-    picks = r.select("asset", "place").join(n, "asset").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = picks.select("asset", "draw", F.pmod(F.xxhash64("asset", "draw", "place"), F.col("n")).cast("int").alias("place"))
-    got = picks.join(r.select("asset", "place", "ret"), ["asset", "place"])
-    return got.groupBy("asset", "draw").agg(F.avg("ret").alias("mean"), (F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0))).alias("sharpe"), F.count("*").alias("n"))

@@ -54,11 +54,6 @@ def test_greedy_takes_no_two_that_move_together(rets, spark):
     assert got == ["a", "c"]
 
 
-def test_bootstrap_draws_are_complete_and_repeatable(rets):
-    one, two = (sl.bootstrap(rets, 5).orderBy("asset", "draw").toPandas() for _ in range(2))
-    assert (one["n"] == 200).all() and len(one) == 20 and np.allclose(one["mean"], two["mean"])
-
-
 def test_johansen_finds_the_common_trend(spark):
     rng = np.random.default_rng(4)
     trend = rng.normal(0, 1, 500).cumsum()
