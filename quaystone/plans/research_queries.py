@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import kernels as kn
 from quaystone.functions.recipe import Ewm, Recipe, lag, quantile, roll, s, span, tidy, tidy_sql
+from quaystone.operators import profiles as pf
 from quaystone.operators import research as rs
 from quaystone.plans.market_queries import OHLC, _r, _rs
 from quaystone.sources.panels import DAILY_SQL, TICKS_SQL, daily, read
@@ -98,17 +99,38 @@ q AS (SELECT win, cut, date, sum(pnl) AS pnl FROM p GROUP BY ALL), g AS (SELECT
 SELECT win, {', '.join(f'{tidy_sql(f"max(v) FILTER (cut = {c})")} AS cut{i}' for i, c in enumerate((0.0, 0.05, 0.1)))} FROM g GROUP BY win"""
 
 
+SHIFTS, SAMPLES = range(-20, 61), 5
+
+
 def lead_lag(spark, sf):
-    """Sharpe of the portfolio with its holdings shifted from 5 days early to 10 days late, in one pass over exploded shifts."""
-    h = holdings(spark, sf).where("holding IS NOT NULL")
-    shifted = h.withColumn("shift", F.explode(F.sequence(F.lit(-5), F.lit(10)))).select("asset", "shift", (F.col("rn") + F.col("shift")).alias("rn"), "holding")
-    j = shifted.join(h.select("asset", "rn", "date", "ret"), ["asset", "rn"])
-    by_date = j.groupBy("shift", "date").agg(F.sum(F.col("holding") * F.col("ret")).alias("pnl"))
-    return _r(by_date.groupBy("shift").agg((F.avg("pnl") / F.stddev_samp("pnl") * math.sqrt(rs.YEAR)).alias("sharpe"), F.count("*").alias("days")), "sharpe")
+    """Sharpe of the portfolio with its holdings moved from 20 days early to 60 days late, over all days and five parts of them."""
+    return _r(pf.lead_lag(holdings(spark, sf).where("holding IS NOT NULL"), SHIFTS, SAMPLES), "sharpe")
+
+
+LEAD_SQL = f"""WITH {z_sql()}, h AS MATERIALIZED (SELECT asset, rn, date, ret, z / vol * 0.01 AS holding FROM z0 WHERE z / vol * 0.01 IS NOT NULL), x AS (SELECT asset, shift, rn + shift AS rn, holding FROM h, (SELECT unnest(range({SHIFTS.start}, {SHIFTS.stop})) AS shift)),
+n AS (SELECT date, ntile({SAMPLES}) OVER (ORDER BY date) AS part FROM (SELECT DISTINCT date FROM h)), d AS (SELECT shift, h.date, sum(x.holding * h.ret) AS pnl FROM x JOIN h USING (asset, rn) GROUP BY ALL),
+e AS (SELECT shift, unnest([0, part]) AS sample, pnl FROM d JOIN n USING (date)), k AS (SELECT shift, sample FROM (SELECT unnest(range({SHIFTS.start}, {SHIFTS.stop})) AS shift), (SELECT unnest(range(0, {SAMPLES + 1})) AS sample))
+SELECT shift::INT AS shift, sample::INT AS sample, {tidy_sql(f'avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt({pf.YEAR})')} AS sharpe, count(pnl) AS days FROM k LEFT JOIN e USING (shift, sample) GROUP BY ALL"""
+
+WINS, CUTS, TENORS = (5, 10, 20, 40, 60, 120, 240), (0.0, 0.02, 0.05, 0.1, 0.2), {"all": None, "1y": 1, "2y": 2, "3y": 3}
+GRID_STATS = ("mean", "sd", "total", "worst", "sharpe")
+
+
+def scenarios(spark, sf):
+    """Momentum over seven windows and five thresholds: statistics by scenario and tenor."""
+    w = Window.partitionBy("asset").orderBy("date")
+    moms = F.array(*[F.struct(F.lit(n).alias("win"), F.ln(F.col("close") / F.lag("close", n).over(w)).alias("signal")) for n in WINS])
+    d = daily(spark, sf).select("asset", "date", F.ln(F.col("close") / F.lag("close").over(w)).alias("ret"), moms.alias("m"))
+    return _r(pf.grid(d.select("asset", "date", "ret", F.explode("m").alias("m")).select("asset", "date", "ret", "m.*"), list(CUTS), TENORS), *GRID_STATS)
 
 
-LEAD_SQL = f"""WITH {z_sql()}, h AS (SELECT asset, rn, date, ret, z / vol * 0.01 AS holding FROM z0 WHERE z / vol * 0.01 IS NOT NULL), x AS (SELECT asset, shift, rn + shift AS rn, holding FROM h, (SELECT unnest(range(-5, 11)) AS shift)),
-d AS (SELECT shift, h.date, sum(x.holding * h.ret) AS pnl FROM x JOIN h USING (asset, rn) GROUP BY ALL) SELECT shift::INT AS shift, {tidy_sql(f'avg(pnl) / stddev_samp(pnl) * sqrt({rs.YEAR})')} AS sharpe, count(*) AS days FROM d GROUP BY shift"""
+_MOMS = ", ".join(f"{{'win': {n}, 'signal': ln(close / lag(close, {n}) OVER w)}}" for n in WINS)
+_STATS = {"mean": "avg(pnl)", "sd": "stddev_samp(pnl)", "total": "sum(pnl)", "worst": "min(pnl)", "sharpe": f"avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt({pf.YEAR})"}
+SCENARIOS_SQL = f"""WITH {DAILY_SQL}, d AS (SELECT asset, date, ln(close / lag(close) OVER w) AS ret, [{_MOMS}] AS m FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)),
+e AS (SELECT asset, date, ret, x.win, x.signal, cut FROM (SELECT asset, date, ret, unnest(m) AS x FROM d), (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in CUTS)}]) AS cut)),
+p AS (SELECT win, cut, date, coalesce(lag(CASE WHEN signal > cut THEN 1.0 WHEN signal < -cut THEN -1.0 ELSE 0 END) OVER (PARTITION BY win, cut, asset ORDER BY date) * ret, 0) AS pnl FROM e), g AS (SELECT win, cut, date, sum(pnl) AS pnl FROM p GROUP BY ALL),
+t(tenor, years) AS (VALUES ('all', NULL), ('1y', 1), ('2y', 2), ('3y', 3)), l AS (SELECT max(date) AS last FROM g)
+SELECT win, cut, tenor, count(pnl) AS days, {', '.join(f'{tidy_sql(v)} AS {k}' for k, v in _STATS.items())} FROM g, t, l WHERE years IS NULL OR date > (last - to_months(12 * years))::DATE GROUP BY win, cut, tenor"""
 
 
 def rets(spark, sf):
@@ -248,7 +270,7 @@ _P = _rs
 QUERIES = {
     "sig_hump": scanned(kn.hump(0.5), ["z"], {"pos": 0.0}, ("pos",)),
     "sig_responses": responses, "ind_psar": lambda s_, d: _r(kn.scan(daily(s_, d), kn.parabolic(), ["high", "low"], _SAR).select("asset", "date", "sar", "side"), "sar", "side"), "ind_band_stop": banded, "ind_passband": filtered, "sim_trailing_stop": trailing, "sim_stop_costs": lambda s_, d: trailing(s_, d, **STOP_COSTS), "sim_lifo_trades": trades,
-    "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid,
+    "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid, "grid_scenarios": scenarios,
     "risk_correlation": lambda s_, d: _r(rs.correlations(rets(s_, d)), "corr", "cov"), "risk_var": lambda s_, d: _r(rs.risk(rets(s_, d), weights(s_, d)), "part", "var95"), "stat_summary": summary, "stat_variance_ratio": variance_ratio, "stat_hurst": hurst, "stat_half_life": half_life,
     "stat_adf": lambda s_, d: _r(rs.adf(daily(s_, d).select("asset", "date", F.ln("close").alias("x"))), "adf"), "stat_kalman": expanded,
     "agg_cube": rollup, "pos_update": positions, "fn_json": json_props, "stream_minute_bars": stream_minutes, "stream_daily_bars": lambda s_, d: _r(st.daily_bars(s_, d), *OHLC), "stream_bars": lambda s_, d: _r(st.running_bars(s_, d).drop("spb"), *STREAMED.keep), "stream_running_means": lambda s_, d: _r(st.running_means(s_, d), "ema", "mean"),
@@ -265,7 +287,7 @@ SQL = {
     "pnl_stats_tenor": f"WITH {HOLD_SQL}, po AS (SELECT date, sum(pnl) AS pnl FROM pl GROUP BY date), tn AS (SELECT date, pnl, tenor FROM po, (VALUES (0), (1), (3)) t(tenor) WHERE tenor = 0 OR date > (SELECT max(date) FROM po) - to_years(tenor)), {stats_sql('tn', 'tenor')} SELECT tenor, days, {_rs(*STATS)} FROM sa",
     "pnl_stats_asset": f"WITH {HOLD_SQL}, {stats_sql('pl', 'asset')} SELECT asset, days, {_rs(*STATS)} FROM sa",
     "pnl_calendar": f"WITH {HOLD_SQL}, po AS (SELECT date, sum(pnl) AS pnl FROM pl GROUP BY date), u AS (SELECT 'year' AS kind, year(date) AS label, pnl FROM po UNION ALL SELECT 'month', month(date), pnl FROM po UNION ALL SELECT 'weekday', isodow(date) - 1, pnl FROM po) SELECT kind, label::BIGINT AS label, {tidy_sql('sum(pnl)')} AS total, {tidy_sql(f'avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt({rs.YEAR})')} AS sharpe FROM u GROUP BY kind, label",
-    "pnl_lead_lag": LEAD_SQL, "grid_backtest": GRID_SQL,
+    "pnl_lead_lag": LEAD_SQL, "grid_backtest": GRID_SQL, "grid_scenarios": SCENARIOS_SQL,
     "risk_correlation": f"WITH {_Z0}, r AS (SELECT asset, date, ret FROM z0 WHERE ret IS NOT NULL), c AS (SELECT x.asset AS a, y.asset AS b, corr(x.ret, y.ret) AS corr, covar_samp(x.ret, y.ret) AS cov, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.asset < y.asset GROUP BY ALL) SELECT a, b, n, {_rs('corr', 'cov')} FROM c",
     "risk_var": f"WITH {_Z0}, r AS MATERIALIZED (SELECT asset, date, ret FROM z0 WHERE ret IS NOT NULL), w AS (SELECT asset, count(*) / 1000 - 1.5 AS w FROM r GROUP BY asset), c AS (SELECT x.asset AS a, y.asset AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y USING (date) GROUP BY ALL), j AS (SELECT a, sum(cov * w.w) AS cw FROM c JOIN w ON w.asset = b GROUP BY a), v AS (SELECT j.a, w.w, cw, sum(cw * w.w) OVER () AS v FROM j JOIN w ON w.asset = a) SELECT a AS asset, {tidy_sql('w * cw / sqrt(v)')} AS part, {tidy_sql('1.6448536269514722 * sqrt(v)')} AS var95 FROM v",
     "stat_summary": f"WITH {_Z0} SELECT asset, {tidy_sql('avg(ret)')} AS mean, {tidy_sql('quantile_cont(ret, 0.5)')} AS median, {tidy_sql('stddev_samp(ret)')} AS sd, {tidy_sql('skewness(ret)')} AS skew, {tidy_sql('kurtosis(ret)')} AS kurt FROM z0 WHERE ret IS NOT NULL GROUP BY asset",
