@@ -66,15 +66,10 @@ def parts(which, panel):
 
 
 def store(sp, sf):
-    """All definitions of library()."""
-    return result(run_stored(kept(sp, indexed(sp, sf), "panel"), table_of(sp, library())))
-
-
-def counts(sp, sf):
-    """Of each definition the assets, days and values, and the mean of its sign, over all assets."""
+    """All definitions of library() over all assets: of each the assets, days and values, and the mean of its sign."""
     out = run_stored(kept(sp, indexed(sp, sf), "panel"), table_of(sp, library()))
     return out.groupBy("signal").agg(F.count_distinct("asset").alias("assets"), F.count("*").alias("days"), F.count("value").alias("n_values"), F.round(F.avg(F.signum("value")), 6).alias("tilt"))
 
 
-QUERIES = {"sig_store": store, "sig_store_counts": counts, "sig_pair_definitions": parts(PAIRED, pair_panel)} | {f"sig_definitions_{p}": parts(d, indexed) for p, d in BY_PART.items()}
+QUERIES = {"sig_store": store, "sig_pair_definitions": parts(PAIRED, pair_panel)} | {f"sig_definitions_{p}": parts(d, indexed) for p, d in BY_PART.items()}
 SQL = {"sig_pair_definitions": definitions_sql(PAIRED, PAIR_SQL)} | {f"sig_definitions_{p}": definitions_sql(d, INDEXED_SQL) for p, d in BY_PART.items()}

@@ -125,12 +125,12 @@ def scenarios(spark, sf):
 
 
 _MOMS = ", ".join(f"{{'win': {n}, 'signal': ln(close / lag(close, {n}) OVER w)}}" for n in WINS)
-_STATS = {"mean": "avg(pnl)", "sd": "stddev_samp(pnl)", "total": "sum(pnl)", "worst": "min(pnl)", "sharpe": f"avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt({pf.YEAR})"}
+_GRID_STATS = {"mean": "avg(pnl)", "sd": "stddev_samp(pnl)", "total": "sum(pnl)", "worst": "min(pnl)", "sharpe": f"avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt({pf.YEAR})"}
 SCENARIOS_SQL = f"""WITH {DAILY_SQL}, d AS (SELECT asset, date, ln(close / lag(close) OVER w) AS ret, [{_MOMS}] AS m FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)),
 e AS (SELECT asset, date, ret, x.win, x.signal, cut FROM (SELECT asset, date, ret, unnest(m) AS x FROM d), (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in CUTS)}]) AS cut)),
 p AS (SELECT win, cut, date, coalesce(lag(CASE WHEN signal > cut THEN 1.0 WHEN signal < -cut THEN -1.0 ELSE 0 END) OVER (PARTITION BY win, cut, asset ORDER BY date) * ret, 0) AS pnl FROM e), g AS (SELECT win, cut, date, sum(pnl) AS pnl FROM p GROUP BY ALL),
 t(tenor, years) AS (VALUES ('all', NULL), ('1y', 1), ('2y', 2), ('3y', 3)), l AS (SELECT max(date) AS last FROM g)
-SELECT win, cut, tenor, count(pnl) AS days, {', '.join(f'{tidy_sql(v)} AS {k}' for k, v in _STATS.items())} FROM g, t, l WHERE years IS NULL OR date > (last - to_months(12 * years))::DATE GROUP BY win, cut, tenor"""
+SELECT win, cut, tenor, count(pnl) AS days, {', '.join(f'{tidy_sql(v)} AS {k}' for k, v in _GRID_STATS.items())} FROM g, t, l WHERE years IS NULL OR date > (last - to_months(12 * years))::DATE GROUP BY win, cut, tenor"""
 
 
 def rets(spark, sf):
