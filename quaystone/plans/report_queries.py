@@ -152,16 +152,19 @@ def lagged(sp, sf):
 
 
 def ratio_test(sp, sf, k: int = 5):
-    """Variance ratio of k-day to one-day changes of log closes with its z-value for equal variances."""
+    """Variance ratio of k-day to one-day changes of log closes, with its z-values for equal variances and for variances that change."""
     w = Window.partitionBy("asset").orderBy("date")
     d = daily(sp, sf).withColumn("x", F.ln("close")).withColumns({"d1": F.col("x") - F.lag("x").over(w), "dk": F.col("x") - F.lag("x", k).over(w)})
-    n = d.groupBy("asset").agg(F.count("*").cast("double").alias("n"), F.sum("d1").alias("s1"))
-    j = d.join(n.withColumn("mu", F.col("s1") / F.col("n")), "asset")
-    g = j.groupBy("asset").agg(F.max("n").alias("n"), F.sum(F.pow(F.col("d1") - F.col("mu"), F.lit(2))).alias("b"), F.sum(F.pow(F.col("dk") - k * F.col("mu"), F.lit(2))).alias("t"))
+    whole = Window.partitionBy("asset")
+    d = d.withColumns({"n": F.count("*").over(whole).cast("double"), "s1": F.sum("d1").over(whole)}).withColumn("mu", F.col("s1") / F.col("n"))
+    d = d.withColumn("e", F.pow(F.col("d1") - F.col("mu"), F.lit(2))).withColumns({f"e{j}": F.col("e") * F.lag("e", j).over(w) for j in range(1, k)})
+    g = d.groupBy("asset").agg(F.max("n").alias("n"), F.sum("e").alias("b"), F.sum(F.pow(F.col("dk") - k * F.col("mu"), F.lit(2))).alias("t"), *[F.sum(f"e{j}").alias(f"e{j}") for j in range(1, k)])
     m = (F.col("n") - k + 1) * (1 - k / F.col("n"))
     ratio = F.col("t") / F.nullif(m, F.lit(0)) / F.nullif(k * F.col("b") / (F.col("n") - 1), F.lit(0))
+    theta = sum((F.lit((2 * (k - j) / k) ** 2) * F.col(f"e{j}") for j in range(2, k)), F.lit((2 * (k - 1) / k) ** 2) * F.col("e1")) / (F.col("b") * F.col("b"))
     g = g.where(F.col("n") > k + 1).withColumn("ratio", ratio)
-    return _r(g.select("asset", "ratio", ((F.col("ratio") - 1) / F.sqrt(2 * (2 * k - 1) * (k - 1) / (3 * k * F.col("n")))).alias("z")), "ratio", "z")
+    away = F.col("ratio") - 1
+    return _r(g.select("asset", "ratio", (away / F.sqrt(2 * (2 * k - 1) * (k - 1) / (3 * k * F.col("n")))).alias("z"), (away / F.nullif(F.sqrt(theta), F.lit(0.0))).alias("z_changing")), "ratio", "z", "z_changing")
 
 
 def sector_weights(sp, sf):
@@ -236,9 +239,10 @@ SELECT 'day' AS kind, CASE WHEN nth <= 4 THEN '1-4' WHEN nth <= 9 THEN '5-9' WHE
 UNION ALL SELECT 'quarter', strftime(date_trunc('quarter', date), '%Y-%m'), {tidy_sql('sum(pnl)')}, {tidy_sql(_sharpe_sql('pnl'))} FROM x GROUP BY ALL""",
     "pnl_lagged": f"""WITH {z_sql()}, l AS ({' UNION ALL '.join(f'SELECT {k} AS days, date, lag(z / vol * 0.01, {k}) OVER (PARTITION BY asset ORDER BY date) * ret AS pnl FROM z0' for k in LAGS)}), p AS (SELECT days, date, sum(pnl) AS pnl FROM l WHERE pnl IS NOT NULL GROUP BY ALL)
 SELECT days, part, {tidy_sql(_sharpe_sql('pnl'))} AS sharpe, count(*) AS n FROM p JOIN (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in WINDOWS)}) w(part, lo, hi) ON date BETWEEN lo AND hi GROUP BY ALL""",
-    "stat_ratio_test": f"""WITH {DAILY_SQL}, d AS (SELECT asset, ln(close) - lag(ln(close)) OVER w AS d1, ln(close) - lag(ln(close), 5) OVER w AS dk FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), m AS (SELECT asset, count(*)::DOUBLE AS n, sum(d1) / count(*) AS mu FROM d GROUP BY asset),
-g AS (SELECT asset, any_value(n) AS n, sum(pow(d1 - mu, 2)) AS b, sum(pow(dk - 5 * mu, 2)) AS t FROM d JOIN m USING (asset) GROUP BY asset HAVING any_value(n) > 6), r AS (SELECT asset, n, t / ((n - 4) * (1 - 5 / n)) / (5 * b / (n - 1)) AS ratio FROM g)
-SELECT asset, {_rs('ratio')}, {tidy_sql('(ratio - 1) / sqrt(2 * 9 * 4 / (15 * n))')} AS z FROM r""",
+    "stat_ratio_test": f"""WITH {DAILY_SQL}, d AS (SELECT asset, date, ln(close) - lag(ln(close)) OVER w AS d1, ln(close) - lag(ln(close), 5) OVER w AS dk FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), m AS (SELECT asset, count(*)::DOUBLE AS n, sum(d1) / count(*) AS mu FROM d GROUP BY asset),
+e AS (SELECT asset, date, n, dk - 5 * mu AS far, pow(d1 - mu, 2) AS e FROM d JOIN m USING (asset)), l AS (SELECT *, 2.56 * e * lag(e) OVER w AS p1, 1.44 * e * lag(e, 2) OVER w AS p2, 0.64 * e * lag(e, 3) OVER w AS p3, 0.16 * e * lag(e, 4) OVER w AS p4 FROM e WINDOW w AS (PARTITION BY asset ORDER BY date)),
+g AS (SELECT asset, any_value(n) AS n, sum(e) AS b, sum(far * far) AS t, (sum(p1) + sum(p2) + sum(p3) + sum(p4)) / pow(sum(e), 2) AS theta FROM l GROUP BY asset HAVING any_value(n) > 6), r AS (SELECT asset, n, theta, t / ((n - 4) * (1 - 5 / n)) / (5 * b / (n - 1)) AS ratio FROM g)
+SELECT asset, {_rs('ratio')}, {tidy_sql('(ratio - 1) / sqrt(2 * 9 * 4 / (15 * n))')} AS z, {tidy_sql('(ratio - 1) / nullif(sqrt(theta), 0)')} AS z_changing FROM r""",
     "xs_sector_weights": f"WITH {z_sql()}, p AS (SELECT p_brand AS asset, p_type AS sector, count(*) AS n FROM part GROUP BY ALL), w AS (SELECT asset, sector, n / sum(n) OVER (PARTITION BY asset) AS w FROM p) SELECT sector, date, {tidy_sql('sum(z * w)')} AS signal FROM z0 JOIN w USING (asset) GROUP BY ALL",
     "risk_portfolio_asof": f"""WITH {z_sql()}, r AS (SELECT asset, date, ret, date_trunc('quarter', date)::DATE AS q FROM z0 WHERE ret IS NOT NULL), c AS (SELECT (a.q + INTERVAL 3 MONTH)::DATE AS q, a.asset AS a, b.asset AS b, covar_samp(a.ret, b.ret) AS cov FROM r a JOIN r b USING (date) GROUP BY a.q, a.asset, b.asset),
 h AS (SELECT asset, date, z / vol * 0.01 AS h, date_trunc('quarter', date)::DATE AS q FROM z0 WHERE z / vol * 0.01 IS NOT NULL) SELECT x.date, {tidy_sql('sqrt(greatest(sum(x.h * cov * y.h), 0))')} AS risk FROM h x JOIN h y ON x.date = y.date JOIN c ON c.q = x.q AND c.a = x.asset AND c.b = y.asset GROUP BY x.date""",

@@ -154,10 +154,13 @@ def variance_ratio(spark, sf):
     return _r(d.groupBy("asset").agg(*[(F.var_samp(f"r{k}") / (k * F.var_samp("r1"))).alias(f"vr{k}") for k in (2, 5, 10)]), "vr2", "vr5", "vr10")
 
 
+HURST_LAGS = range(2, 100)
+
+
 def hurst(spark, sf):
-    """Slope of the log deviation of k-day log-price changes on log k, k = 2 to 20."""
+    """Slope of the log deviation of k-day log-price changes on log k, k = 2 to 99."""
     d, w = daily(spark, sf), Window.partitionBy("asset").orderBy("date")
-    ks = range(2, 21)
+    ks = HURST_LAGS
     d = d.withColumns({f"d{k}": F.ln("close") - F.lag(F.ln("close"), k).over(w) for k in ks})
     sds = d.groupBy("asset").agg(*[F.stddev_pop(f"d{k}").alias(f"s{k}") for k in ks])
     long = sds.select("asset", F.explode(F.array(*[F.struct(F.lit(math.log(k)).alias("x"), F.ln(f"s{k}").alias("y")) for k in ks])).alias("p")).select("asset", "p.*")
@@ -292,7 +295,7 @@ SQL = {
     "risk_var": f"WITH {_Z0}, r AS MATERIALIZED (SELECT asset, date, ret FROM z0 WHERE ret IS NOT NULL), w AS (SELECT asset, count(*) / 1000 - 1.5 AS w FROM r GROUP BY asset), c AS (SELECT x.asset AS a, y.asset AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y USING (date) GROUP BY ALL), j AS (SELECT a, sum(cov * w.w) AS cw FROM c JOIN w ON w.asset = b GROUP BY a), v AS (SELECT j.a, w.w, cw, sum(cw * w.w) OVER () AS v FROM j JOIN w ON w.asset = a) SELECT a AS asset, {tidy_sql('w * cw / sqrt(v)')} AS part, {tidy_sql('1.6448536269514722 * sqrt(v)')} AS var95 FROM v",
     "stat_summary": f"WITH {_Z0} SELECT asset, {tidy_sql('avg(ret)')} AS mean, {tidy_sql('quantile_cont(ret, 0.5)')} AS median, {tidy_sql('stddev_samp(ret)')} AS sd, {tidy_sql('skewness(ret)')} AS skew, {tidy_sql('kurtosis(ret)')} AS kurt FROM z0 WHERE ret IS NOT NULL GROUP BY asset",
     "stat_variance_ratio": f"WITH {DAILY_SQL}, d AS (SELECT asset, {', '.join(f'ln(close / lag(close, {k}) OVER w) AS r{k}' for k in (1, 2, 5, 10))} FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, {', '.join(f'{tidy_sql(f"var_samp(r{k}) / ({k} * var_samp(r1))")} AS vr{k}' for k in (2, 5, 10))} FROM d GROUP BY asset",
-    "stat_hurst": f"WITH {DAILY_SQL}, d AS (SELECT asset, {', '.join(f'ln(close) - lag(ln(close), {k}) OVER w AS d{k}' for k in range(2, 21))} FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), l AS ({' UNION ALL '.join(f'SELECT asset, ln({k}) AS x, ln(stddev_pop(d{k})) AS y FROM d GROUP BY asset' for k in range(2, 21))}) SELECT asset, {tidy_sql('regr_slope(y, x)')} AS hurst FROM l GROUP BY asset",
+    "stat_hurst": f"WITH {DAILY_SQL}, d AS (SELECT asset, {', '.join(f'ln(close) - lag(ln(close), {k}) OVER w AS d{k}' for k in HURST_LAGS)} FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), l AS ({' UNION ALL '.join(f'SELECT asset, ln({k}) AS x, ln(stddev_pop(d{k})) AS y FROM d GROUP BY asset' for k in HURST_LAGS)}) SELECT asset, {tidy_sql('regr_slope(y, x)')} AS hurst FROM l GROUP BY asset",
     "stat_half_life": f"WITH {DAILY_SQL}, d AS (SELECT asset, close - lag(close) OVER w AS d, lag(close) OVER w AS l FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), g AS (SELECT asset, regr_slope(d, l) AS slope FROM d GROUP BY asset) SELECT asset, {_rs('slope')}, {tidy_sql('CASE WHEN slope < 0 THEN -ln(2) / slope END')} AS half_life FROM g",
     "agg_cube": f"SELECT r_name, c_mktsegment, {tidy_sql('sum(c_acctbal)')} AS bal, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, c_mktsegment)",
     "stream_bars": STREAMED.oracle(TICK_BARS_SQL),
