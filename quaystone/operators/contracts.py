@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -60,8 +61,22 @@ def premium() -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+#: Knots of the normal distribution function, a thousandth of sqrt(2) apart, and its slopes there times that step.
+_STEP = 1e-3
+_KNOTS = np.arange(0, 6 + 2 * _STEP, _STEP)
+_HEIGHTS = np.array([0.5 * (1 + math.erf(k)) for k in _KNOTS])
+_SLOPES = np.exp(-(_KNOTS**2)) / math.sqrt(math.pi) * _STEP
+
+
 def _normal(x):
-    return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(x, float) / math.sqrt(2)))
+    """Normal distribution function of an array by cubics between knots, to within 1e-13."""
+    z = np.asarray(x, float) / math.sqrt(2)
+    far = np.minimum(np.nan_to_num(np.abs(z)), 6.0) / _STEP
+    at = far.astype(np.int64)
+    u = far - at
+    v = 1 - u
+    y = _HEIGHTS[at] * v * v * (1 + 2 * u) + _HEIGHTS[at + 1] * u * u * (1 + 2 * v) + u * v * (_SLOPES[at] * v - _SLOPES[at + 1] * u)
+    return np.where(np.isnan(z), np.nan, np.where(z < 0, 1 - y, y))
 
 
 def hedged_value(prices: np.ndarray, days: np.ndarray, vol: float, year: float = 365.25) -> float:
@@ -91,3 +106,66 @@ def breakeven(df: DataFrame, least: int = 10) -> DataFrame:
         return out
 
     return df.groupBy("asset", "contract").applyInPandas(run, "asset string, contract string, n long, vol double")
+
+
+#: Names of the surface's strikes and the call deltas that set them; the first is at the money.
+DELTAS = {"atm": 0.5, "d25": 0.25, "d75": 0.75}
+
+
+def _roots(value, rows: int, low: float = 1e-3, high: float = 20.0, steps: int = 60) -> np.ndarray:
+    """Where value (a vector of vols in, one of values out) changes sign, for all rows at once by halving; nan where its ends have the same sign."""
+    lows, highs = np.full(rows, low), np.full(rows, high)
+    down, up = value(lows), value(highs)
+    for _ in range(steps):
+        mid = (lows + highs) / 2
+        above = np.sign(value(mid)) == np.sign(up)
+        lows, highs = np.where(above, lows, mid), np.where(above, mid, highs)
+    return np.where(down * up < 0, (lows + highs) / 2, np.nan)
+
+
+def surface(prices: np.ndarray, left: np.ndarray, tenors: list[int], deltas: dict[str, float] = DELTAS, year: float = 365.25):
+    """Strikes, volatilities (tenors by strikes) and price counts (tenors) of one contract: prices in order of date and days left to expiry.
+
+    A tenor's call starts with the first price so many days or fewer before expiry, is hedged from price to price at its
+    delta and ends with the last price. The strike of a delta is that at the root of the money.
+    """
+    live = left[None, :] <= np.array(tenors)[:, None]
+    first = np.where(live.any(axis=1), live.argmax(axis=1), len(prices) - 1)
+    start, tau = prices[first], np.maximum(left, 1) / year
+    moves = np.where(live[:, :-1], np.diff(prices)[None, :], 0.0)
+
+    def value(strikes, vols, at):
+        sd = vols[:, None] * np.sqrt(tau)[None, :]
+        d1 = np.log(prices[None, :] / strikes[:, None]) / sd + sd / 2
+        deltas_, rows = _normal(d1), np.arange(len(at))
+        begin = start[at] * deltas_[rows, first[at]] - strikes * _normal((d1 - sd)[rows, first[at]])
+        return begin + (deltas_[:, :-1] * moves[at]).sum(axis=1) - np.maximum(prices[-1] - strikes, 0.0)
+
+    all_, shape = np.arange(len(tenors)), (len(tenors), len(deltas))
+    middle = _roots(lambda v: value(start, v, all_), len(tenors))
+    quantile = np.array([NormalDist().inv_cdf(d) for d in deltas.values()])
+    sd = (middle * np.sqrt(tau[first]))[:, None]
+    strikes = np.where(quantile[None, :] == 0, start[:, None], start[:, None] / np.exp((quantile[None, :] - sd / 2) * sd))
+    at, flat = np.repeat(all_, len(deltas)), strikes.ravel()
+    vols = np.where(np.isnan(flat), np.nan, _roots(lambda v: value(np.where(np.isnan(flat), 1.0, flat), v, at), len(flat)))
+    return strikes, vols.reshape(shape), live.sum(axis=1)
+
+
+def breakeven_surface(df: DataFrame, tenors: list[int], deltas: dict[str, float] = DELTAS, least: int = 10) -> DataFrame:
+    """Break-even volatility of a delta-hedged call per contract, tenor (days before expiry) and strike; df: asset, contract, expiry, date, close.
+
+    A group is one contract's daily history, and all its roots are halved together. vol is null without a root, with
+    fewer than least prices, or where a price isn't positive; prices after the expiry or null don't count.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        prices = pdf["close"].to_numpy(float)
+        left = np.array([(e - d).days for e, d in zip(pdf["expiry"], pdf["date"], strict=True)], float)
+        strikes, vols, n = surface(prices, left, tenors, deltas) if (prices > 0).all() else (*[np.full((len(tenors), len(deltas)), np.nan)] * 2, (left[None, :] <= np.array(tenors)[:, None]).sum(axis=1))
+        vols = np.where((n >= least)[:, None], vols, np.nan)
+        out = [(t, k, int(n[i]), strikes[i, j], vols[i, j]) for i, t in enumerate(tenors) for j, k in enumerate(deltas)]
+        made = pd.DataFrame(out, columns=["tenor", "strike_name", "n", "strike", "vol"])
+        return made.assign(asset=pdf["asset"].iloc[0], contract=pdf["contract"].iloc[0])[["asset", "contract", *made.columns]]
+
+    return df.where("close IS NOT NULL AND date <= expiry").groupBy("asset", "contract").applyInPandas(run, "asset string, contract string, tenor int, strike_name string, n long, strike double, vol double")

@@ -209,10 +209,17 @@ STRATEGIES = Recipe(
     ("pos_band", "pos_burst"),
 )
 _NUM = lambda c: f"(floor(({c} - DATE '1900-01-01') / 7.0) * 5 + least(isodow({c}) - 1, 5))"
+def breakeven_surface(sp, sf):
+    """Tenors of one to four quarters for every contract, at the money and at two deltas."""
+    out = ct.breakeven_surface(futures(sp, sf).select("asset", "contract", "expiry", "date", "close"), [91, 182, 273, 365])
+    # halving ends within a rounding of the last bit; strikes follow their roots
+    return out.withColumns({c: F.round(F.nanvl(c, F.lit(None).cast("double")), 6).alias(c) for c in ("strike", "vol")})
+
+
 QUERIES = {
     "fn_brand_premium": grades, "fn_contract_codes": codes, "clean_publish": published, "check_days": quality, "agg_broker_sides": brokers, "risk_weekly_correlation": weekly_corr, "pnl_hold_days": hold_days, "pnl_conditional": conditional,
     "pnl_month_days": month_days, "pnl_lagged": lagged, "stat_ratio_test": ratio_test, "xs_sector_weights": sector_weights, "risk_portfolio_asof": risk_as_of, "fn_maps": maps, "bars_named": named_bars,
-    "sig_strategies_more": lambda sp, sf: STRATEGIES.result(daily(sp, sf)), "stat_breakeven": lambda sp, sf: _r(ct.breakeven(futures(sp, sf).select("asset", "contract", "date", "close")), "vol"),
+    "sig_strategies_more": lambda sp, sf: STRATEGIES.result(daily(sp, sf)), "stat_breakeven_surface": breakeven_surface, "stat_breakeven": lambda sp, sf: _r(ct.breakeven(futures(sp, sf).select("asset", "contract", "date", "close")), "vol"),
 }
 _GRADES = ", ".join(f"('{b}', {', '.join(f'{x}::DOUBLE' for x in v)})" for b, v in ct.GRADES.items())
 SQL = {

@@ -95,3 +95,51 @@ def test_correlations_equal_pandas(rets):
     want = wide(rets).corr()
     assert len(got) == 6 and all(np.isclose(v, want.loc[a, b]) for (a, b), v in got.items())
     assert isinstance(want, pd.DataFrame)
+
+
+def test_surface_of_break_even_vols_is_that_of_a_plain_solver(spark):
+    import math
+
+    from quaystone.operators import contracts as ct
+
+    rng = np.random.default_rng(11)
+    expiry = datetime.date(2024, 12, 31)
+    days = [expiry - datetime.timedelta(int(d)) for d in sorted(rng.choice(370, 120, replace=False), reverse=True)]
+    rows = [("a", f"c{k}", expiry, d, float(p)) for k in range(3) for d, p in zip(days, 100 * np.exp(rng.normal(0, 0.02, 120).cumsum()), strict=True)]
+    rows += [("a", "bad", expiry, d, -1.0 if i == 3 else 5.0) for i, d in enumerate(days)] + [("a", "few", expiry, d, 5.0 + i) for i, d in enumerate(days[-3:])] + [("a", "c0", expiry, expiry + datetime.timedelta(1), 9.0), ("a", "few", expiry, days[0], None)]
+    df = spark.createDataFrame(rows, "asset string, contract string, expiry date, date date, close double")
+    got = ct.breakeven_surface(df, [30, 91, 365]).toPandas().set_index(["contract", "tenor", "strike_name"])
+    assert len(got) == 5 * 9 and got.loc[["bad", "few"], "vol"].isna().all()
+    cdf = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+
+    def value(path, strike, vol):
+        d1 = lambda p, left: math.log(p / strike) / (vol * math.sqrt(max(left, 1) / 365.25)) + vol * math.sqrt(max(left, 1) / 365.25) / 2
+        out = path[0][0] * cdf(d1(*path[0])) - strike * cdf(d1(*path[0]) - vol * math.sqrt(max(path[0][1], 1) / 365.25))
+        return out + sum(cdf(d1(*a)) * (b[0] - a[0]) for a, b in zip(path, path[1:], strict=False)) - max(path[-1][0] - strike, 0)
+
+    found = 0
+    for k in range(3):
+        for tenor in (30, 91, 365):
+            path = [(p, (expiry - d).days) for a, c, e, d, p in rows if c == f"c{k}" and d <= expiry and (expiry - d).days <= tenor]
+            for name, delta in ct.DELTAS.items():
+                r = got.loc[(f"c{k}", tenor, name)]
+                assert r["n"] == len(path)
+                if np.isnan(r["vol"]):
+                    continue
+                found += 1
+                assert abs(value(path, r["strike"], r["vol"])) < 1e-6
+                middle = got.loc[(f"c{k}", tenor, "atm"), "vol"] * math.sqrt(path[0][1] / 365.25)
+                z = {0.5: 0.0, 0.25: -0.6744897501960817, 0.75: 0.6744897501960817}[delta]
+                assert np.isclose(r["strike"], path[0][0] if delta == 0.5 else path[0][0] / math.exp((z - middle / 2) * middle))
+    assert found >= 15
+
+
+def test_break_even_vol_is_found_where_prices_move_as_it_says(spark):
+    from quaystone.operators import contracts as ct
+
+    expiry, rng = datetime.date(2024, 12, 31), np.random.default_rng(4)
+    n = 3000
+    steps = np.exp(rng.normal(-0.5 * 0.3**2 / 365.25, 0.3 / np.sqrt(365.25), n).cumsum())
+    left = np.arange(n)[::-1].astype(float)
+    _, vols, _ = ct.surface(100 * steps, left, [n])
+    assert abs(vols[0, 0] - 0.3) < 0.05
