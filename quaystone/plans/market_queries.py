@@ -174,11 +174,11 @@ SELECT date, prod, inst, {_rs('vol_5', 'vol_10', 'vol_20')} FROM g"""
 
 
 def spread(spark, sf):
-    """Leg-wise spread of contracts 0 and 1 of an asset on days that have both."""
-    b = bars(prints(spark, sf), "asset", "contract", "date").where("contract IN ('0', '1')")
-    sign = F.when(F.col("contract") == "0", 1.0).otherwise(-1.0)
-    out = b.groupBy("asset", "date").agg(F.sum(sign * F.col("open")).alias("open"), F.sum(sign * F.col("close")).alias("close"), F.count("*").alias("legs")).where("legs = 2")
-    return _r(out.select("asset", "date", "open", "close", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low")), *OHLC)
+    """Leg-wise spreads of an asset's contracts 0 and 1 and of 2 and 3 on days that have both legs."""
+    b = bars(prints(spark, sf), "asset", "contract", "date").withColumn("leg", F.col("contract").cast("int"))
+    sign = F.when(F.col("leg") % 2 == 0, 1.0).otherwise(-1.0)
+    out = b.groupBy("asset", "date", F.floor(F.col("leg") / 2).alias("pair")).agg(F.sum(sign * F.col("open")).alias("open"), F.sum(sign * F.col("close")).alias("close"), F.count("*").alias("legs")).where("legs = 2")
+    return _r(out.select("asset", "date", "pair", "open", "close", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low")), *OHLC)
 
 
 def tick_turnover(spark, sf):
@@ -203,27 +203,29 @@ def roll_gaps(spark, sf):
     return spans.join(c.select("asset", "date"), ["asset", "date"], "left_anti").groupBy("asset", "seg_start").agg(F.count("*").alias("missing"))
 
 
+#: Series of the orders, and the names of their columns.
+KEYS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
 def fx(spark, sf):
-    """Closes divided or multiplied by a pair's rate of the day, as it is quoted."""
-    d = daily(spark, sf).select("asset", "date", "close")
-    rate = low_series(spark, sf).where("key = '5-LOW'").select("date", (F.col("v") / 100000 + 1).alias("rate"))
-    return _r(d.join(rate, "date").select("asset", "date", F.when(F.substring("asset", 7, 1) == "1", F.col("close") / F.col("rate")).otherwise(F.col("close") * F.col("rate")).alias("conv")), "conv")
+    """Closes divided or multiplied by their pair's rate of the day, as the pair is quoted; every series is the rate of some assets."""
+    number = F.regexp_extract("asset", "([0-9]+)$", 1).cast("int")
+    d = daily(spark, sf).select("asset", "date", "close", F.element_at(F.lit(list(KEYS)), number % 5 + 1).alias("key"), (number % 2).alias("direct"))
+    rate = low_series(spark, sf).select("key", "date", (F.col("v") / 100000 + 1).alias("rate"))
+    return _r(d.join(rate, ["key", "date"]).select("asset", "date", F.when(F.col("direct") == 1, F.col("close") / F.col("rate")).otherwise(F.col("close") * F.col("rate")).alias("conv")), "conv")
 
 
 def wide(spark, sf):
-    """Two series side by side on all their dates, and long again."""
-    l = low_series(spark, sf)  # noqa: E741
-    a = l.where("key = '1-URGENT'").select("date", F.col("v").alias("urgent"))
-    b = l.where("key = '5-LOW'").select("date", F.col("v").alias("low"))
-    return _r(a.join(b, "date", "full").unpivot(["date"], ["urgent", "low"], "series", "v").where("v IS NOT NULL AND v <> 0"), "v")
+    """All series side by side on all their dates, and long again."""
+    sheet = low_series(spark, sf).groupBy("date").pivot("key", list(KEYS)).agg(F.max("v"))
+    sheet = sheet.select("date", *[F.col(f"`{k}`").alias(c) for k, c in KEYS.items()])
+    return _r(sheet.unpivot(["date"], list(KEYS.values()), "series", "v").where("v IS NOT NULL AND v <> 0"), "v")
 
 
 def pivoted(spark, sf):
-    l = low_series(spark, sf)  # noqa: E741
-    keys = ["1-URGENT", "2-HIGH", "5-LOW"]
-    out = l.withColumn("m", F.trunc("date", "month")).groupBy("m").pivot("key", keys).agg(F.max_by("v", "date"))
-    out = out.select("m", *[F.col(f"`{k}`").alias(c) for k, c in zip(keys, ("urgent", "high", "low"), strict=True)])
-    return _r(out, "urgent", "high", "low")
+    """The last value of each month, a column per series."""
+    out = low_series(spark, sf).withColumn("m", F.trunc("date", "month")).groupBy("m").pivot("key", list(KEYS)).agg(F.max_by("v", "date"))
+    return _r(out.select("m", *[F.col(f"`{k}`").alias(c) for k, c in KEYS.items()]), *KEYS.values())
 
 
 def curve(spark, sf):
@@ -291,16 +293,16 @@ SQL = {
     "roll_back_adjust": f"WITH {CHAIN_SQL} SELECT asset, date, seg_start, {_rs('shift')}, {tidy_sql('close * exp(shift)')} AS adj_close FROM ch JOIN sh USING (asset, seg_start)",
     "roll_gaps": f"WITH {CHAIN_SQL}, sp AS (SELECT asset, seg_start, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM ch GROUP BY asset, seg_start) SELECT asset, seg_start, count(*) AS missing FROM sp WHERE isodow(date) <= 5 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.asset = sp.asset AND ch.date = sp.date) GROUP BY ALL",
     "join_as_of": as_of_sql(None), "join_as_of_limit": as_of_sql(5),
-    "join_fx": f"WITH {DAILY_SQL}, r AS (SELECT o_orderdate::DATE AS date, max(o_totalprice) / 100000 + 1 AS rate FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY ALL), c AS (SELECT asset, date, CASE WHEN substr(asset, 7, 1) = '1' THEN close / rate ELSE close * rate END AS conv FROM s0 JOIN r USING (date)) SELECT asset, date, {_rs('conv')} FROM c",
-    "join_wide": f"WITH l AS (SELECT o_orderdate::DATE AS date, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' ELSE 'low' END AS series, max(o_totalprice) AS v FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL) SELECT date, series, {_rs('v')} FROM l WHERE v <> 0",
-    "join_spread": f"WITH {PRINTS_SQL}, cbar AS ({bars_sql('asset', 'contract', 'date')}), x AS (SELECT a.asset, a.date, a.open - b.open AS open, a.close - b.close AS close FROM cbar a JOIN cbar b USING (asset, date) WHERE a.contract = '0' AND b.contract = '1') SELECT asset, date, {_rs('open', 'close')}, {tidy_sql('greatest(open, close)')} AS high, {tidy_sql('least(open, close)')} AS low FROM x",
+    "join_fx": f"WITH {DAILY_SQL}, r AS (SELECT o_orderpriority AS key, o_orderdate::DATE AS date, max(o_totalprice) / 100000 + 1 AS rate FROM orders GROUP BY ALL), n AS (SELECT *, replace(asset, 'Brand#', '')::INT AS k FROM s0), c AS (SELECT asset, n.date, CASE WHEN k % 2 = 1 THEN close / rate ELSE close * rate END AS conv FROM n JOIN r ON r.date = n.date AND substr(r.key, 1, 1)::INT = k % 5 + 1) SELECT asset, date, {_rs('conv')} FROM c",
+    "join_wide": f"WITH l AS (SELECT o_orderdate::DATE AS date, CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{c}'" for k, c in KEYS.items())} END AS series, max(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT date, series, {_rs('v')} FROM l WHERE v <> 0 AND series IS NOT NULL",
+    "join_spread": f"WITH {PRINTS_SQL}, cbar AS ({bars_sql('asset', 'contract', 'date')}), x AS (SELECT a.asset, a.date, a.contract::INT // 2 AS pair, a.open - b.open AS open, a.close - b.close AS close FROM cbar a JOIN cbar b USING (asset, date) WHERE (a.contract = '0' AND b.contract = '1') OR (a.contract = '2' AND b.contract = '3')) SELECT asset, date, pair::BIGINT AS pair, {_rs('open', 'close')}, {tidy_sql('greatest(open, close)')} AS high, {tidy_sql('least(open, close)')} AS low FROM x",
     "upsert_replace": upsert_sql(True), "upsert_ignore": upsert_sql(False),
     "store_splice": f"WITH {DAILY_SQL} SELECT asset, date, {tidy_sql('CASE WHEN date <= DATE $$1998-01-01$$ THEN close ELSE close * 2 END')} AS close, {_rs('volume')} FROM s0 WHERE volume > 0",
     "store_csv": f"WITH {TICKS_SQL} SELECT event_id, asset, date, {_rs('price')}, hour(ts)::INT AS hour, minute(ts)::INT AS min FROM ticks",
     "store_snapshot": f"WITH {DAILY_SQL}, w AS (SELECT asset, date, close, lag(close) OVER x AS pre_close, lag(oi) OVER x AS pre_oi, close * volume * 10 AS turnover, oi - lag(oi) OVER x AS d_oi FROM s0 WINDOW x AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, {_rs('close', 'pre_close', 'pre_oi', 'turnover', 'd_oi')} FROM w",
     "store_contracts": f"WITH {PRINTS_SQL} SELECT asset, contract, min(date) AS first_day, max(date) AS expiry, count(DISTINCT date) AS days FROM prints GROUP BY ALL",
     "agg_brokers": BROKER_SQL,
-    "agg_pivot": f"WITH l AS (SELECT o_orderpriority AS key, o_orderdate::DATE AS date, max(o_totalprice) AS v FROM orders GROUP BY ALL), p AS (SELECT date_trunc('month', date)::DATE AS m, arg_max(v, date) FILTER (key = '1-URGENT') AS urgent, arg_max(v, date) FILTER (key = '2-HIGH') AS high, arg_max(v, date) FILTER (key = '5-LOW') AS low FROM l GROUP BY ALL) SELECT m, {_rs('urgent', 'high', 'low')} FROM p",
+    "agg_pivot": f"WITH l AS (SELECT o_orderpriority AS key, o_orderdate::DATE AS date, max(o_totalprice) AS v FROM orders GROUP BY ALL), p AS (SELECT date_trunc('month', date)::DATE AS m, {', '.join(f"arg_max(v, date) FILTER (key = '{k}') AS {c}" for k, c in KEYS.items())} FROM l GROUP BY m) SELECT m, {_rs(*KEYS.values())} FROM p",
     "agg_curve": f"WITH p AS (SELECT date_trunc('month', l_shipdate)::DATE AS tenor, avg(l_discount) FILTER (l_returnflag = 'N') AS mid, avg(l_discount) FILTER (l_returnflag = 'A') - avg(l_discount) FILTER (l_returnflag = 'N') AS put, avg(l_discount) FILTER (l_returnflag = 'R') - avg(l_discount) FILTER (l_returnflag = 'N') AS call FROM lineitem GROUP BY ALL) SELECT tenor, {_rs('mid', 'put', 'call')} FROM p",
     "tick_turnover": f"WITH {TICKS_SQL}, c AS (SELECT *, sum(abs(price)) OVER (PARTITION BY asset, date ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM ticks), v AS (SELECT event_id, asset, cum, cum - coalesce(lag(cum) OVER w, 0) AS vol, lead(event_id) OVER w IS NULL AS last_tick FROM c WINDOW w AS (PARTITION BY asset, date ORDER BY ts, event_id)) SELECT event_id, asset, {_rs('cum', 'vol')}, last_tick FROM v",
     "check_missing_days": f"WITH {TICKS_SQL}, sp AS (SELECT asset, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM ticks GROUP BY asset) SELECT asset, date FROM sp WHERE isodow(date) <= 5 EXCEPT SELECT asset, date FROM ticks",

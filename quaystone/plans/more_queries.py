@@ -14,7 +14,7 @@ from quaystone.operators import market as mk
 from quaystone.operators import research as rs
 from quaystone.plans.market_queries import CAL_SQL, CHAIN_SQL, OHLC, _r, _rs, cal, chained
 from quaystone.plans.research_queries import HOLD_SQL, holdings, rets, z_panel, z_sql
-from quaystone.sources.panels import DAILY_SQL, PRINTS_SQL, TICKS_SQL, bars, bars_sql, daily, prints, read, ticks
+from quaystone.sources.panels import DAILY_SQL, FUTURES_SQL, TICKS_SQL, bars, daily, futures, read, ticks
 from quaystone.streaming import bars as st
 
 _NY = ", ".join(f"DATE '{d}'" for d in se.NEW_YEARS)
@@ -209,10 +209,10 @@ def johansen(sp, sf):
 
 
 def forward_rolls(sp, sf):
-    """The contract in use when rolls only go forward: the running maximum of each day's most active contract."""
-    b = bars(prints(sp, sf), "asset", "contract", "date").withColumn("place", F.row_number().over(Window.partitionBy("asset", "date").orderBy(F.desc("volume"), "contract"))).where("place = 1")
-    w = Window.partitionBy("asset", F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("asset", "date", F.col("contract").alias("best"), F.max(F.col("contract").cast("int")).over(w).alias("in_use"))
+    """The contract in use when rolls only go forward: the latest expiry among each day's most active contracts up to now."""
+    b = futures(sp, sf).withColumn("place", F.row_number().over(Window.partitionBy("asset", "date").orderBy(F.desc("volume"), "contract"))).where("place = 1")
+    w = Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return b.select("asset", "date", F.col("contract").alias("best"), F.max("contract").over(w).alias("in_use"))
 
 
 def traded(sp, sf):
@@ -299,7 +299,7 @@ q AS (SELECT pair, event_id, last_value(CASE WHEN asset = pair THEN price END IG
 SELECT pair, event_id, {tidy_sql(f'a - b - {2 * HALF_SPREAD}')} AS bid, {tidy_sql(f'a - b + {2 * HALF_SPREAD}')} AS ask FROM q WHERE a IS NOT NULL AND b IS NOT NULL""",
     "fn_scalars": SCALAR_SQL,
     "risk_map": f"SELECT n_regionkey, bucket, {tidy_sql('sum(c_acctbal * w)')} AS risk FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('near', 0.75::DOUBLE), ('far', 0.25::DOUBLE)) m(bucket, w) GROUP BY ALL",
-    "roll_forward": f"WITH {PRINTS_SQL}, b AS ({bars_sql('asset', 'contract', 'date')}), t AS (SELECT asset, date, contract AS best FROM b QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY volume DESC, contract) = 1) SELECT asset, date, best, max(best::INT) OVER (PARTITION BY asset, year(date) ORDER BY date ROWS UNBOUNDED PRECEDING) AS in_use FROM t",
+    "roll_forward": f"WITH {FUTURES_SQL}, t AS (SELECT asset, date, contract AS best FROM fb QUALIFY row_number() OVER (PARTITION BY asset, date ORDER BY volume DESC, contract) = 1) SELECT asset, date, best, max(best) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS in_use FROM t",
     "pnl_traded": f"WITH {z_sql()}, p AS (SELECT asset, date, sign(z) AS pos, open, close, coalesce(lag(sign(z)) OVER w, 0) AS held, lag(close) OVER w AS pc1 FROM z0 WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, {tidy_sql('coalesce(held * (close - pc1), 0) + (pos - held) * (close - open)')} AS pnl FROM p",
     "pnl_monthly": f"WITH {HOLD_SQL} SELECT asset, date_trunc('month', date)::DATE AS m, {tidy_sql('sum(pnl)')} AS total FROM pl GROUP BY asset, date_trunc('month', date)",
     "agg_tenor": f"WITH u AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS tenor, avg(o_totalprice) AS px FROM orders GROUP BY 1 UNION ALL SELECT date_trunc('quarter', l_shipdate)::DATE, avg(l_extendedprice) FROM lineitem GROUP BY 1) SELECT tenor, {tidy_sql('avg(px)')} AS px, count(*) AS n FROM u GROUP BY tenor",

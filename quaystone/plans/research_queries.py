@@ -180,9 +180,9 @@ def rollup(spark, sf):
 
 
 def positions(spark, sf):
-    """Old positions and trades (of accounts in credit) by full join: new position, rounded to lots half away from zero, and margin."""
+    """Old positions and trades by full join: new position, rounded to lots half away from zero, and margin."""
     old = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("old"))
-    trade = read(spark, sf, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("trade"))
+    trade = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("trade"))
     j = old.join(trade, "k", "full").select("k", F.coalesce("old", F.lit(0.0)).alias("old"), F.coalesce("trade", F.lit(0.0)).alias("trade"))
     new = F.col("old") + F.col("trade")
     lots = F.signum(new) * F.floor(F.abs(new) / 40 + 0.5) * 40
@@ -299,7 +299,7 @@ SQL = {
     "stat_half_life": f"WITH {DAILY_SQL}, d AS (SELECT asset, close - lag(close) OVER w AS d, lag(close) OVER w AS l FROM s0 WINDOW w AS (PARTITION BY asset ORDER BY date)), g AS (SELECT asset, regr_slope(d, l) AS slope FROM d GROUP BY asset) SELECT asset, {_rs('slope')}, {tidy_sql('CASE WHEN slope < 0 THEN -ln(2) / slope END')} AS half_life FROM g",
     "agg_cube": f"SELECT r_name, c_mktsegment, {tidy_sql('sum(c_acctbal)')} AS bal, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, c_mktsegment)",
     "stream_bars": STREAMED.oracle(TICK_BARS_SQL),
-    "pos_update": f"WITH o AS (SELECT s_nationkey AS k, sum(s_acctbal) AS v FROM supplier GROUP BY 1), t AS (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1), j AS (SELECT coalesce(o.k, t.k) AS k, coalesce(o.v, 0) + coalesce(t.v, 0) AS pos FROM o FULL JOIN t ON o.k = t.k), l AS (SELECT k, pos, sign(pos) * floor(abs(pos) / 40 + 0.5) * 40 AS lots FROM j) SELECT k, {_rs('pos', 'lots')}, {tidy_sql('abs(lots) * 0.1')} AS margin FROM l",
+    "pos_update": f"WITH o AS (SELECT s_nationkey AS k, sum(s_acctbal) AS v FROM supplier GROUP BY 1), t AS (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1), j AS (SELECT coalesce(o.k, t.k) AS k, coalesce(o.v, 0) + coalesce(t.v, 0) AS pos FROM o FULL JOIN t ON o.k = t.k), l AS (SELECT k, pos, sign(pos) * floor(abs(pos) / 40 + 0.5) * 40 AS lots FROM j) SELECT k, {_rs('pos', 'lots')}, {tidy_sql('abs(lots) * 0.1')} AS margin FROM l",
     "fn_json": "SELECT event_id, length(props) AS n, json_extract_string(props, '$.k') AS k FROM events",
     "stream_minute_bars": f"WITH {TICKS_SQL} SELECT asset, time_bucket(INTERVAL 5 MINUTE, ts) AS start, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM ticks GROUP BY asset, time_bucket(INTERVAL 5 MINUTE, ts)",
     "stream_daily_bars": f"WITH {TICKS_SQL} SELECT asset, date, {tidy_sql('first(price ORDER BY ts, event_id)')} AS open, {tidy_sql('max(price)')} AS high, {tidy_sql('min(price)')} AS low, {tidy_sql('last(price ORDER BY ts, event_id)')} AS close, count(*) AS n_ticks FROM ticks GROUP BY asset, date",
