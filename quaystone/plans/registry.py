@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaystone.plans import book_queries, definition_queries, desk_queries, indicator_queries, label_queries, market_queries, more_queries, pair_queries, product_queries, report_queries, research_queries, roll_queries, segment_queries, signal_queries, store_queries, stream_queries, target_queries, window_queries
+from quaystone.plans import book_queries, crowd_queries, definition_queries, desk_queries, indicator_queries, label_queries, market_queries, more_queries, pair_queries, product_queries, report_queries, research_queries, roll_queries, segment_queries, signal_queries, store_queries, stream_queries, target_queries, window_queries
 
-MODULES = (market_queries, store_queries, indicator_queries, window_queries, research_queries, more_queries, roll_queries, signal_queries, segment_queries, definition_queries, stream_queries, desk_queries, target_queries, pair_queries, label_queries, product_queries, book_queries, report_queries)
+MODULES = (market_queries, store_queries, indicator_queries, window_queries, research_queries, more_queries, roll_queries, signal_queries, segment_queries, definition_queries, stream_queries, desk_queries, target_queries, pair_queries, label_queries, product_queries, book_queries, crowd_queries, report_queries)
 FLAGSHIP = "ind_bbands"
 
 
