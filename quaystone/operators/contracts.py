@@ -168,4 +168,7 @@ def breakeven_surface(df: DataFrame, tenors: list[int], deltas: dict[str, float]
         made = pd.DataFrame(out, columns=["tenor", "strike_name", "n", "strike", "vol"])
         return made.assign(asset=pdf["asset"].iloc[0], contract=pdf["contract"].iloc[0])[["asset", "contract", *made.columns]]
 
-    return df.where("close IS NOT NULL AND date <= expiry").groupBy("asset", "contract").applyInPandas(run, "asset string, contract string, tenor int, strike_name string, n long, strike double, vol double")
+    # a stated number of partitions isn't merged by size: rows are few beside the work on them
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where("close IS NOT NULL AND date <= expiry").repartition(parts, "asset", "contract")
+    return rows.groupBy("asset", "contract").applyInPandas(run, "asset string, contract string, tenor int, strike_name string, n long, strike double, vol double")
