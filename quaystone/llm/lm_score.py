@@ -8,6 +8,8 @@ the score of a word behind v is g_v p_w + d_w; the class's other words have one
 their counts, one share for all unknown words. So the word vectors grow with the counted vocabulary up to the
 dictionary's size, and the counts behind the others without bound.
 
+Each text is encoded once: a number per word, which training and scoring read, and the words outside the dictionary.
+
 Training is by noise-contrastive estimation over all training documents: in each round every task runs minibatches over
 its own documents from the same start, with noise classes and words drawn from the counts, and the results are averaged:
 by token counts, and a word's vector by how often the word occurred. A task's state is the parameters, whose size is
@@ -27,15 +29,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import bounded_batches, cut, drop_cut, table, text_bytes
+from quaystone.llm.common import bounded_batches, cut, table, text_bytes
 
 
 @dataclass(frozen=True)
@@ -71,64 +74,109 @@ SIZES = Sizes()
 FLUSH = 200_000
 #: Draws of noise words kept for each class, and rows that are added up in one go.
 POOL, FAN_IN = 64, 128
+#: Bytes of batches that are looked up in the dictionary in one go, as each look-up costs a pass over the dictionary.
+GATHER = 8 << 20
+MARKS = b".,;:!?#%$&*\"')("
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
 
 def tail_class(word: bytes, sizes: Sizes = SIZES) -> int:
     """The class of a word that isn't frequent, by its last two bytes that aren't punctuation."""
-    end = word.rstrip(b".,;:!?#%$&*\"')(")[-2:] or word[-1:]
+    end = word.rstrip(MARKS)[-2:] or word[-1:]
     return sizes.top + (end[0] * 31 + end[-1] * 7 + len(end)) % sizes.tails
 
 
+def tail_classes(words: pa.Array, sizes: Sizes = SIZES) -> np.ndarray:
+    """tail_class() of each word of an array."""
+    if not len(words):
+        return np.empty(0, np.int16)
+    bare = pc.ascii_rtrim(words.view(pa.string()), characters=MARKS.decode()).view(pa.binary())
+    used = pc.binary_length(bare).to_numpy()
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size = np.where(used > 0, np.minimum(used, 2), 1)
+    last = np.where(used > 0, starts[:-1] + used, starts[1:]) - 1
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    return (sizes.top + (data[last - size + 1].astype(np.int32) * 31 + data[last].astype(np.int32) * 7 + size) % sizes.tails).astype(np.int16)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.expr(HELD_OUT).alias("held_out"), text_bytes().alias("text"))
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and the lower-cased words of all texts, one text behind the other."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words = lists.flatten().view(pa.binary())
+    keep = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word
+    before = np.r_[0, np.cumsum(keep)]
+    return np.diff(before[lists.offsets.to_numpy()]), words if keep.all() else words.filter(pa.array(keep))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Several batches as one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= GATHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word and count over the training documents; the empty word is the end."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "count"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in text.lower().split():
-                    counts[w] = counts.get(w, 0) + 1
-                counts[b""] = counts.get(b"", 0) + 1
-                if len(counts) >= FLUSH:
-                    yield flush()
-        yield flush()
+        held, rows = [], 0
+        for batch in _gathered(batches):
+            counts = split_words(batch.column(0))[1].value_counts()
+            held.append(pa.table({"word": counts.field(0), "count": counts.field(1)}))
+            held.append(pa.table({"word": pa.array([b""], pa.binary()), "count": pa.array([batch.num_rows], pa.int64())}))
+            rows += len(counts) + 1
+            if rows >= 2 * FLUSH:
+                merged = _merged(held)
+                rows = merged.num_rows
+                if rows >= FLUSH:
+                    yield from merged.to_batches()
+                    held, rows = [], 0
+                else:
+                    held = [merged]
+        if held:
+            yield from _merged(held).to_batches()
 
     counted = _texts(docs).where("not held_out").select("text").mapInArrow(run, "word binary, count long")
     return counted.groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """One row per word."""
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("count", "sum")]).rename_columns({"count_sum": "count"}).select(["word", "count"])
+
+
 class Lexicon:
     """The broadcast dictionary: word to number by frequency, class of each number, count of each number.
 
-    Words that share a class stand one behind the other as tail words, in the order of their classes.
+    Words that share a class stand one behind the other as tail words, in the order of their classes. A word outside the
+    dictionary has the code -1 - class; classes and tail_of go on behind the last number, so that codes are places from the end.
     """
 
     def __init__(self, rows: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]], total: int, distinct: int, sizes: Sizes = SIZES):
         """tails: count and number of distinct words of each class by last bytes, without those that are classes of their own."""
         words = [w for w, _ in rows if w]
         self.sizes, top = sizes, sizes.top
-        self.number = {w: i for i, w in enumerate(words)}
+        self.listed = pa.array(words, pa.binary())
         self.counts = np.array([c for w, c in rows if w], np.int64)
-        self.classes = np.array([i if i < top else tail_class(w, sizes) for i, w in enumerate(words)], np.int16)
+        self.classes = np.concatenate([np.arange(min(top, len(words)), dtype=np.int16), tail_classes(self.listed[top:], sizes)])
         self.ends = next((c for w, c in rows if not w), 0)
         self.total, self.distinct = total, distinct
         # tail words by class
         rest = self.classes[top:].astype(np.int64)
         order = np.argsort(rest, kind="stable")
-        self.tail_of = np.full(len(words), -1, np.int32)
+        self.tail_of = np.full(len(words) + sizes.classes, -1, np.int32)
         self.tail_of[top + order] = np.arange(len(order), dtype=np.int32)
+        self.classes = np.concatenate([self.classes, np.arange(sizes.classes, dtype=np.int16)[::-1]])
         self.tail_class = rest[order] - top
         self.tail_counts = self.counts[top:][order]
         self.first = np.searchsorted(self.tail_class, np.arange(sizes.tails + 1))
@@ -142,25 +190,16 @@ class Lexicon:
         self.weight[top : top + sizes.tails] = n[:, 0]
         self.weight[sizes.end] = self.ends
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Class and number of each word (number -1: not in the dictionary)."""
-        numbers = np.fromiter(map(self.number.get, words, _MISSING), np.int64, len(words)) if words else np.empty(0, np.int64)
-        classes = self.classes[numbers] if len(self.classes) else np.zeros(len(words), np.int16)
-        missing = np.flatnonzero(numbers < 0)
-        if len(missing):
-            classes[missing] = [tail_class(words[i], self.sizes) for i in missing.tolist()]
-        return classes, numbers
-
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.listed.to_pylist())}
 
-class _Minus:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MISSING = _Minus()
+    def encode(self, words: pa.Array) -> np.ndarray:
+        """The code of each word: its number, or -1 - class outside the dictionary."""
+        codes = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        missing = np.flatnonzero(codes < 0)
+        codes[missing] = -1 - tail_classes(words.take(pa.array(missing)), self.sizes)
+        return codes
 
 
 def lexicon(counts: DataFrame, sizes: Sizes = SIZES) -> Lexicon:
@@ -182,7 +221,7 @@ def lexicon(counts: DataFrame, sizes: Sizes = SIZES) -> Lexicon:
 
     def run(batches):
         for batch in batches:
-            k = np.array([tail_class(w, sizes) for w in batch.column(0).to_pylist()], np.int64)
+            k = tail_classes(batch.column(0), sizes).astype(np.int64)
             n = np.bincount(k, batch.column(1).to_numpy(), sizes.classes) if len(k) else np.zeros(sizes.classes)
             v = np.bincount(k, minlength=sizes.classes)
             at = np.flatnonzero(v)
@@ -216,9 +255,6 @@ class Model:
             d=np.log((words.tail_counts + 1.0) / words.tail_total[words.tail_class]).astype(np.float32),
         )
 
-    def copy(self) -> "Model":
-        return Model(**{k: v.copy() for k, v in self.parts.items()})
-
     def flat(self) -> np.ndarray:
         """The parameters that aren't a word's."""
         return np.concatenate([self.parts[k].ravel() for k in self.SHARED])
@@ -248,29 +284,36 @@ class Model:
         return out
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct numbers, the sums of their rows, and how often each stands there."""
-    order = np.argsort(at.astype(np.uint16), kind="stable") if at.dtype == np.uint16 else np.argsort(at)
+def _groups(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts numbers, where each distinct one begins in it, and the distinct numbers."""
+    order = np.argsort(at, kind="stable")
     at = at[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.r_[first, len(at)])
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return order, first, at[first]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place of x."""
+    np.negative(x, out=x)
     with np.errstate(over="ignore"):  # an infinite exponential gives zero
-        return 1 / (1 + np.exp(-x))
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 class Trainer:
     """Noise-contrastive steps over streams of classes and of tail words."""
 
     def __init__(self, model: Model, words: Lexicon, seed: tuple[int, ...]):
-        self.m, self.words, self.sizes, self.rng = model, words, words.sizes, np.random.default_rng(seed)
+        self.words, self.sizes, self.rng = words, words.sizes, np.random.default_rng(seed)
+        # output vectors stand beside their biases, and the model's parts are views of them
+        self.outputs, self.tails = np.column_stack([model.q, model.b]), np.column_stack([model.p, model.d])
+        self.m = Model(r=model.r.copy(), c=model.c.copy(), g=model.g.copy(), q=self.outputs[:, :-1], b=self.outputs[:, -1], p=self.tails[:, :-1], d=self.tails[:, -1])
         share = (words.weight + 0.5) / (words.weight + 0.5).sum()
         share[self.sizes.start] = 0
         self.share = share / share.sum()
         self.log_noise = np.log(self.sizes.noise * np.maximum(self.share, 1e-12)).astype(np.float32)
-        self.seen = {k: np.ones_like(x) for k, x in model.parts.items()}
+        self.seen = {k: np.ones_like(x) for k, x in (("r", model.r), ("c", model.c), ("g", model.g), ("outputs", self.outputs), ("tails", self.tails))}
         self.pool = np.empty(0, np.uint16)
         # words are drawn within their class by counts
         self.times = np.zeros(len(words.tail_class))
@@ -286,58 +329,77 @@ class Trainer:
         return out
 
     def step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        """One minibatch of classes."""
-        m, n, rate = self.m, self.noise(), self.sizes.rate
-        ru, rv, qw, qn = m.r[u], m.r[v], m.q[w], m.q[n]
-        h = ru * m.c[0] + rv * m.c[1]
-        good = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.log_noise[w]
-        bad = h @ qn.T + m.b[n] - self.log_noise[n]
-        dg, db = -_sigmoid(-good), _sigmoid(bad)  # of -log sigmoid(good) and of -log sigmoid(-bad)
-        dh = dg[:, None] * qw + db @ qn
-        both, cat = np.concatenate([w, n]), np.concatenate
-        at, total, _ = _sum_rows(both, np.column_stack([cat([dg[:, None] * h, db.T @ h]), cat([dg, db.sum(axis=0)])]))
-        self._move("q", at, total[:, :-1])
-        self._move("b", at, total[:, -1])
-        at, total, _ = _sum_rows(cat([u, v]), cat([dh * m.c[0], dh * m.c[1]]))
-        self._move("r", at, total)
-        dc = np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)])
-        self.seen["c"] += dc * dc
-        m.c -= rate * dc / np.sqrt(self.seen["c"])
-
-    def _move(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
-        """An AdaGrad step of some rows of a parameter."""
-        seen = self.seen[name]
-        now = seen[at] + grad * grad
-        seen[at] = now
-        self.m.parts[name][at] -= self.sizes.rate * grad / np.sqrt(now + 1e-6)
-
-    def draw_words(self) -> None:
+        """One minibatch of classes, in the order of w."""
+        m, n = self.m, self.noise()
+        ones = np.ones((len(m.r), 1), np.float32)  # the bias's input
+        h = np.hstack([m.r * m.c[0], ones]).take(u, axis=0)
+        h += np.hstack([m.r * m.c[1], 0 * ones]).take(v, axis=0)
+        qw, qn = self.outputs.take(w, axis=0), self.outputs[n]
+        good = self.log_noise[w] - np.einsum("ij,ij->i", h, qw)
+        qn[:, -1] -= self.log_noise[n]
+        bad = h @ qn.T
+        dg, db = -_sigmoid(good), _sigmoid(bad)  # of -log sigmoid(good) and of -log sigmoid(-bad)
+        qw *= dg[:, None]
+        qw += db @ qn
+        dh = qw[:, :-1]  # of the sum of the two context vectors
+        grad, dc, moves = np.zeros_like(m.r), np.empty_like(m.c), np.zeros_like(self.outputs)
+        for i, at in enumerate((u, v)):
+            order, first, which = _groups(at)
+            total = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
+            dc[i] = np.einsum("ij,ij->j", total, m.r[which])
+            grad[which] += total * m.c[i]
+        noise_moves = db.T @ h
+        h *= dg[:, None]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        moves[w[first]] = np.add.reduceat(h, first, axis=0)
+        np.add.at(moves, n, noise_moves)
+        for values, k, x in ((self.outputs, "outputs", moves), (m.r, "r", grad), (m.c, "c", dc)):
+            self._move(values, self.seen[k], x)
+
+    def _move(self, values: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+        """An AdaGrad step of a parameter; rows without a gradient stay."""
+        seen += grad * grad
+        values -= self.sizes.rate * grad / np.sqrt(seen + 1e-6)
+
+    def draw_words(self) -> np.ndarray:
         """New noise words for every class that has words."""
         first, last = self.words.first[:-1], self.words.first[1:]
-        self.drawn = np.zeros((self.sizes.tails, POOL), np.int64)
+        drawn = np.zeros((self.sizes.tails, POOL), np.int32)
         have = np.flatnonzero(last > first)
         high = self.cumulative[last[have] - 1]
         low = np.where(first[have] > 0, self.cumulative[first[have] - 1], 0.0)
         at = np.searchsorted(self.cumulative, low[:, None] + self.rng.random((len(have), POOL)) * (high - low)[:, None], "right")
-        self.drawn[have] = np.clip(at, first[have][:, None], last[have][:, None] - 1)
-
-    def word_step(self, v: np.ndarray, j: np.ndarray) -> None:
-        """One minibatch of tail words behind classes."""
-        m, k = self.m, self.words.tail_class[j]
-        turn = self.rng.integers(0, POOL, len(j))[:, None] + np.arange(self.sizes.word_noise)
-        n = self.drawn[k[:, None], turn % POOL]
-        h, pj, pn = m.g[v], m.p[j], m.p[n]
-        good = np.einsum("ij,ij->i", h, pj) + m.d[j] - self.word_noise[j]
-        bad = np.einsum("id,ind->in", h, pn) + m.d[n] - self.word_noise[n]
-        dg, db = -_sigmoid(-good), _sigmoid(bad)
-        cat = np.concatenate
-        every = cat([j, n.ravel()]).astype(np.int32)
-        dp = cat([dg[:, None] * h, (db[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])])
-        at, total, _ = _sum_rows(every, np.column_stack([dp, cat([dg, db.ravel()])]))
-        self._move("p", at, total[:, :-1])
-        self._move("d", at, total[:, -1])
-        at, total, _ = _sum_rows(v, dg[:, None] * pj + np.einsum("in,ind->id", db, pn))
-        self._move("g", at, total)
+        drawn[have] = np.clip(at, first[have][:, None], last[have][:, None] - 1)
+        return drawn
+
+    def word_steps(self, v: np.ndarray, j: np.ndarray) -> None:
+        """Minibatches of tail words behind classes, on the rows of those that occur here or are drawn."""
+        m, drawn = self.m, self.draw_words()
+        mine, at = np.unique(np.concatenate([drawn.ravel(), j]), return_inverse=True)
+        slots, own, pools = at[: drawn.size], at[drawn.size :], self.words.tail_class[j] * POOL
+        values, seen, log_noise = self.tails[mine], self.seen["tails"][mine], self.word_noise[mine]
+        ones = np.ones((len(m.g), 1), np.float32)  # the bias's input
+        for i in range(0, len(j), self.sizes.batch):
+            part = slice(i, i + self.sizes.batch)
+            turn = self.rng.integers(0, POOL, len(j[part])) + np.arange(self.sizes.word_noise)[:, None]
+            which = np.concatenate([own[None, part], slots[pools[part] + turn % POOL]])  # the words, then their noise
+            h = np.hstack([m.g, ones]).take(v[part], axis=0)
+            out = values.take(which, axis=0)
+            s = np.einsum("nij,ij->ni", out, h)
+            s -= log_noise[which]
+            np.negative(s[0], out=s[0])
+            _sigmoid(s)
+            np.negative(s[0], out=s[0])  # the derivatives
+            dh = np.einsum("ni,nij->ij", s, out)
+            grad, which = np.empty_like(values), which.ravel()
+            for k, x in enumerate(np.ascontiguousarray(h.T)):
+                grad[:, k] = np.bincount(which, (s * x).ravel(), len(mine))
+            self._move(values, seen, grad)
+            order, first, which = _groups(v[part])
+            grad = np.zeros_like(m.g)
+            grad[which] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)[:, :-1]
+            self._move(m.g, self.seen["g"], grad)
+        self.tails[mine], self.seen["tails"][mine] = values, seen
         self.times += np.bincount(j, minlength=len(self.times))
 
     def drain(self, held: list[tuple[np.ndarray, np.ndarray]], with_words: bool = True) -> int:
@@ -350,13 +412,11 @@ class Trainer:
         order = self.rng.permutation(len(w))
         for i in range(0, len(w), size):
             at = order[i : i + size]
+            at = at[np.argsort(w[at], kind="stable")]
             self.step(u[at], v[at], w[at])
         own = order[tails[order] >= 0] if with_words else order[:0]
         if len(own):
-            self.draw_words()
-        for i in range(0, len(own), size):
-            at = own[i : i + size]
-            self.word_step(v[at], tails[at].astype(np.int64))
+            self.word_steps(v[own], tails[own])
         return len(w)
 
 
@@ -377,33 +437,52 @@ def _with_contexts(documents: list[tuple[np.ndarray, np.ndarray]], sizes: Sizes)
     return u, v, w, tails
 
 
-def train(docs: DataFrame, words: Lexicon) -> Model:
-    """A model fitted to all training documents."""
-    spark, sizes = docs.sparkSession, words.sizes
-    shared = spark.sparkContext.broadcast(words)
+def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """doc_id, held_out, the words' codes, and those outside the dictionary with how often they stand in the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def encoded(batches):
+    def run(batches):
         lex = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                classes, numbers = lex.encode(text.lower().split())
-                tails = np.where(numbers >= 0, lex.tail_of[numbers], -1).astype(np.int32) if len(lex.tail_of) else np.full(len(numbers), -1, np.int32)
-                rows.append((classes.tobytes(), tails.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["classes", "tails"])
-
-    streams = cut(_texts(docs).where("not held_out").select("text").mapInArrow(encoded, "classes binary, tails binary"))
+        for batch in _gathered(batches):
+            lengths, every = split_words(batch.column(2))
+            every = every.dictionary_encode()
+            at, codes = every.indices.to_numpy(), lex.encode(every.dictionary)
+            missing = np.flatnonzero(codes[at] < 0)
+            pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[missing] * max(len(codes), 1) + at[missing], return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(lengths) + 1) * max(len(codes), 1)), pa.int32())
+            others = pa.ListArray.from_arrays(ends, every.dictionary.take(pa.array(pairs % max(len(codes), 1), pa.int64())))
+            bounds = pa.array(np.r_[0, np.cumsum(lengths)] * codes.itemsize, pa.int32())
+            packed = pa.Array.from_buffers(pa.binary(), len(lengths), [None, bounds.buffers()[1], pa.py_buffer(codes[at])])
+            columns = [batch.column(0), batch.column(1), packed, others, pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "codes", "others", "times"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, held_out boolean, codes binary, others array<binary>, times array<int>")
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and all codes."""
+    texts = column.to_pylist()
+    return np.array([len(x) // 4 for x in texts], np.int64), np.frombuffer(b"".join(texts), np.int32)
+
+
+def train(streams: DataFrame, words: Lexicon) -> Model:
+    """A model fitted to all training documents. streams: from coded(), cut."""
+    spark, sizes = streams.sparkSession, words.sizes
+    shared = spark.sparkContext.broadcast(words)
+    streams = streams.where("not held_out").select("codes")
     model = Model.start(words)
     for turn in range(sizes.rounds):
         begin = spark.sparkContext.broadcast(model.parts)
 
         def fit(batches, begin=begin, turn=turn):
             task, with_words = TaskContext.get().partitionId(), turn >= sizes.rounds - sizes.word_rounds
-            trainer, tokens, held, waiting = Trainer(Model(**begin.value).copy(), shared.value, (100, turn, task)), 0, [], 0
+            trainer, tokens, held, waiting = Trainer(Model(**begin.value), shared.value, (100, turn, task)), 0, [], 0
             for batch in batches:
-                for c, t in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                    held.append((np.frombuffer(c, np.int16), np.frombuffer(t, np.int32)))
-                    waiting += len(held[-1][0]) + 1
+                lengths, codes = _codes(batch.column(0))
+                bounds = np.cumsum(lengths)[:-1]
+                for c, t in zip(np.split(shared.value.classes[codes], bounds), np.split(shared.value.tail_of[codes], bounds), strict=True):
+                    held.append((c, t))
+                    waiting += len(c) + 1
                     if waiting >= 16 * sizes.batch:
                         tokens += trainer.drain(held, with_words)
                         waiting = 0
@@ -415,7 +494,6 @@ def train(docs: DataFrame, words: Lexicon) -> Model:
         for keys in (["kind", "part", "grp"], ["kind", "part"]):  # no task adds up what all tasks have made at once
             sums = sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added(keys), SUMS)
         model = _averaged(model, sums.collect())  # as many rows as the parameters have parts
-    drop_cut(streams)
     return model
 
 
@@ -503,50 +581,50 @@ class Scorer:
 
 def score(docs: DataFrame, counts: DataFrame, words: Lexicon, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), a row per document."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, model.parts, model.word_sums(words)))
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, others array<binary>, times array<int>"
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+    return score_coded(_numbered(docs, words), counts, words, model)
+
+
+def _numbered(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """coded(), cut, with a number per row."""
+    return cut(coded(docs, words).withColumn("row", F.monotonically_increasing_id()))
+
+
+def score_coded(texts: DataFrame, counts: DataFrame, words: Lexicon, model: Model) -> DataFrame:
+    """score() of what _numbered() gives."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, model.parts, model.word_sums(words)))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double"
+    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
         lex, parts, sums = shared.value
         scorer = Scorer(lex, Model(**parts), sums)
-        logs = np.log10(lex.counts + 1.0)
-        log_shares = np.log10(lex.others)  # a word outside the dictionary has its count and one of these
-        end_log, to10, top = math.log10(lex.ends + 1), 1 / math.log(10), lex.sizes.top
+        none = np.zeros(lex.sizes.classes)
+        logs = np.r_[np.log10(lex.counts + 1.0), none]  # by code, as the next
+        log_shares = np.r_[np.zeros(len(lex.counts)), none]  # a word outside the dictionary has its count and one of these
+        log_shares[-1 - np.arange(lex.sizes.top, lex.sizes.end)] = np.log10(lex.others)
+        end_log, to10 = math.log10(lex.ends + 1), 1 / math.log(10)
         for batch in batches:
-            ids, held, texts = (c.to_pylist() for c in batch.columns)
-            found = [t.lower().split() for t in texts]
-            if not found:
+            lengths, codes = _codes(batch.column(3))
+            if not len(lengths):
                 continue
-            lengths = np.array([len(x) for x in found])
-            every = list(chain.from_iterable(found))
-            classes, numbers = lex.encode(every)
-            inside = numbers >= 0
-            tails = np.where(inside, lex.tail_of[numbers], -1) if len(lex.tail_of) else np.full(len(numbers), -1)
             bounds = np.cumsum(lengths)[:-1]
-            by_token = scorer.tokens(list(zip(np.split(classes, bounds), np.split(tails, bounds), strict=True)))
-            starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-            total = np.add.reduceat(by_token, starts) * to10
-            of = np.repeat(np.arange(len(found)), lengths)
-            missing = np.flatnonzero(~inside)
-            total -= np.bincount(of[missing], log_shares[classes[missing].astype(np.int64) - top], len(found))
-            base = np.bincount(of[inside], logs[numbers[inside]], len(found)) + end_log
-            known = np.bincount(of[inside], minlength=len(found)) + (lex.ends > 0)
-            tallies: list[dict[bytes, int]] = [{} for _ in found]
-            for i in missing.tolist():
-                tally = tallies[of[i]]
-                tally[every[i]] = tally.get(every[i], 0) + 1
-            out = [ids, held, lengths + 1, known, base, total, [list(x) for x in tallies], [list(x.values()) for x in tallies]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-
-    local = cut(_texts(docs).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    asked = local.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("times"))).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
+            by_token = scorer.tokens(list(zip(np.split(lex.classes[codes], bounds), np.split(lex.tail_of[codes], bounds), strict=True)))
+            total = np.add.reduceat(by_token, np.r_[0, np.cumsum(lengths + 1)[:-1]]) * to10
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            total -= np.bincount(of, log_shares[codes], len(lengths))
+            base = np.bincount(of, logs[codes], len(lengths)) + end_log
+            known = np.bincount(of, codes >= 0, len(lengths)).astype(np.int64) + (lex.ends > 0)
+            out = [*batch.columns[:3], lengths + 1, known, base, total]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+
+    bounded_batches(texts.sparkSession)
+    local = texts.select("row", "doc_id", "held_out", "codes").mapInArrow(run, schema)
+    asked = texts.select("row", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("times"))).alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
     joined = asked.join(counts, "word")  # unknown words add nothing
     rare = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known"))
     none = math.log10(words.total + words.distinct + 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return local.drop("others", "times").join(rare, "row", "left").select(
+    return local.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("rare_logs") - none * F.col("n_tokens")).alias("base_score"), (F.col("model") + zero("rare_logs")).alias("score"),
     )
@@ -556,7 +634,8 @@ def scored(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """Counts, trains on and scores docs."""
     counts = cut(count_words(docs))
     words = lexicon(counts, sizes)
-    return score(docs, counts, words, train(docs, words))
+    texts = _numbered(docs, words)
+    return score_coded(texts, counts, words, train(texts, words))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

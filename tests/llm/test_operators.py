@@ -1,10 +1,12 @@
 """The operators' parts, contracts and edge cases."""
 
+import collections
 import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +359,97 @@ def test_training_learns_which_word_follows():
         assert p[0] > p[1] + 1
 
 
+AWKWARD = [b"", b" ", b" a  B.\t\x0b\x0c\r\n c ", b"\x1c x\x00y \xff\xfeZ. .. \xff", b"\xc3\x89 \xc2\xa0 q\xe2\x80\x83r"]
+
+
+def test_words_of_arrays_equal_those_of_single_texts():
+    texts = pa.array([b"before", *AWKWARD, b"w00 w11, zz W00 (zz) zz"], pa.binary())[1:]
+    n, words = lm_score.split_words(texts)
+    want = [t.lower().split() for t in texts.to_pylist()]
+    assert n.tolist() == [len(x) for x in want] and words.to_pylist() == [w for x in want for w in x]
+    assert lm_score.tail_classes(words[1:]).tolist() == [lm_score.tail_class(w) for w in words[1:].to_pylist()]
+
+
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """Training and scoring read the same codes; words outside the dictionary stand beside them."""
+    calls, own = [], lm_score.coded
+    monkeypatch.setattr(lm_score, "coded", lambda *x: calls.append(x) or own(*x))
+    texts = [x.decode("utf-8", "ignore") for x in AWKWARD] + ["w00 w11 zz w00 zz", "w00 w22", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm_score.scored(docs, SMALL).count() == len(texts) and len(calls) == 1
+    lex, _ = small_lexicon()
+    for r in own(docs, lex).collect():
+        words = (texts[r["doc_id"]] or "").encode().lower().split()
+        codes = np.frombuffer(r["codes"], np.int32).tolist()
+        assert codes == [lex.number.get(w, -1 - lm_score.tail_class(w, SMALL)) for w in words]
+        missing = collections.Counter(w for w in words if w not in lex.number)
+        assert dict(zip(map(bytes, r["others"]), r["times"], strict=True)) == missing
+
+
+def plain_steps(m, words, batches, draws):
+    """Noise-contrastive AdaGrad steps token by token, from the definition, in double precision. batches: (u, v, w, noise classes); draws: (v, word, noise words)."""
+    sizes = words.sizes
+    at = {k: np.array(x, np.float64) for k, x in m.parts.items()}
+    seen = {k: np.ones_like(x) for k, x in at.items()}
+    share = words.weight + 0.5
+    share[sizes.start] = 0
+    share = np.maximum(share / share.sum(), 1e-12)
+    listed = np.bincount(words.tail_class, words.tail_counts + 1.0, sizes.tails)
+    word_share = (words.tail_counts + 1.0) / listed[words.tail_class]
+
+    def move(grads):
+        for k, g in grads.items():
+            seen[k] += g * g
+            at[k] -= sizes.rate * g / np.sqrt(seen[k] + 1e-6)
+
+    for batch in batches:
+        grads = {k: np.zeros_like(at[k]) for k in "rqcb"}
+        for u, v, w in zip(*batch[:3], strict=True):
+            h = at["c"][0] * at["r"][u] + at["c"][1] * at["r"][v]
+            for k, good in [(w, True), *((n, False) for n in batch[3])]:
+                odds = h @ at["q"][k] + at["b"][k] - math.log(sizes.noise * share[k])
+                d = 1 / (1 + math.exp(-odds)) - good
+                grads["q"][k] += d * h
+                grads["b"][k] += d
+                for i, x in enumerate((u, v)):
+                    grads["r"][x] += d * at["q"][k] * at["c"][i]
+                    grads["c"][i] += d * at["q"][k] * at["r"][x]
+        move(grads)
+    for batch in draws:
+        grads = {k: np.zeros_like(at[k]) for k in "gpd"}
+        for v, j, noise in zip(*batch, strict=True):
+            for k, good in [(j, True), *((n, False) for n in noise)]:
+                d = 1 / (1 + math.exp(-(at["g"][v] @ at["p"][k] + at["d"][k] - math.log(sizes.word_noise * word_share[k])))) - good
+                grads["p"][k] += d * at["g"][v]
+                grads["d"][k] += d
+                grads["g"][v] += d * at["p"][k]
+        move(grads)
+    return at
+
+
+def test_steps_equal_the_definition():
+    lex, _ = small_lexicon()
+    m, rng = random_model(lex), np.random.default_rng(5)
+    batches = [[rng.integers(0, SMALL.classes - 1, 64).astype(np.uint16) for _ in range(3)] for _ in range(3)]
+    for b in batches:
+        b[2].sort()
+    v, j = rng.integers(0, SMALL.classes, 150).astype(np.uint16), rng.integers(0, len(lex.tail_class), 150).astype(np.int32)
+    t, same = lm_score.Trainer(m, lex, (3,)), lm_score.Trainer(m, lex, (3,))
+    for b in batches:
+        t.step(*b)
+        b.append(same.noise())
+    t.word_steps(v, j)
+    drawn, draws = same.draw_words(), []
+    for i in range(0, len(j), SMALL.batch):
+        part = slice(i, i + SMALL.batch)
+        turn = same.rng.integers(0, lm_score.POOL, len(j[part]))[:, None] + np.arange(SMALL.word_noise)
+        draws.append((v[part], j[part], drawn[lex.tail_class[j[part]][:, None], turn % lm_score.POOL]))
+    want = plain_steps(m, lex, batches, draws)
+    for k, x in t.m.parts.items():
+        assert np.allclose(x, want[k], atol=1e-4), k
+    assert t.times.tolist() == np.bincount(j, minlength=len(lex.tail_class)).tolist()
+
+
 def test_sums_of_tasks_are_averages():
     lex, _ = small_lexicon()
     trainers = [lm_score.Trainer(random_model(lex), lex, (k,)) for k in (1, 2)]
