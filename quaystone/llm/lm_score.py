@@ -50,11 +50,11 @@ class Sizes:
     dictionary: int = 200_000
     dim: int = 24
     word_dim: int = 8
-    noise: int = 24
-    word_noise: int = 2
+    noise: int = 32
+    word_noise: int = 5
     batch: int = 4096
     rounds: int = 2
-    word_rounds: int = 1
+    word_rounds: int = 2
     rate: float = 0.08
 
     @property
