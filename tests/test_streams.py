@@ -1,6 +1,7 @@
 """Streams over several batches: state is carried on, late and repeated rows are dropped."""
 
 import datetime
+import time
 
 import numpy as np
 import pandas as pd
@@ -135,3 +136,13 @@ def test_spread_quotes_of_batches(spark, folders):
     want = sorted(want)
     assert list(zip(one["spread"], one["event_id"])) == [r[:2] for r in want]
     assert np.allclose(one[["bid", "ask", "bid_volume", "ask_volume"]], [r[2:] for r in want])
+
+
+def test_an_instrument_with_many_open_bars_takes_little_time(spark, tmp_path):
+    """All bars of a file are open until its end; each must not look through the others when it closes."""
+    rows = [(i, START + datetime.timedelta(minutes=i), 0, "click", float(i % 97), "{}") for i in range(3000)]
+    spark.createDataFrame(rows, st.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = time.monotonic()
+    got = closed(spark, tmp_path, 60)
+    assert time.monotonic() - before < 40
+    assert len(got) == 2939 and list(got["oi"]) == list(range(2939)) and list(got["close"]) == [float(i % 97) for i in range(2939)]
