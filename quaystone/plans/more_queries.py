@@ -272,7 +272,7 @@ QUERIES = {
     "join_completed_week": week_recipe, "clean_gaps": recipe(GAPPED), "stat_two_regressors": two_regressors, "stat_folds": folds, "pos_targets": targets, "risk_portfolio": portfolio_risk, "pnl_hold_period": hold_period, "tick_spread_quote": quotes, "fn_scalars": scalars, "risk_map": risk_map,
     "stat_components": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.components, "asset string, component int, loading double, eigenvalue double"), "loading", "eigenvalue"),
     "stat_clusters": lambda sp, sf: sl.per_matrix(sl.moments(rets(sp, sf)), sl.clusters(), "asset string, cluster int"), "stat_least_variance": lambda sp, sf: _r(sl.per_matrix(sl.moments(rets(sp, sf)), sl.least_variance(), "asset string, weight double"), "weight"),
-    "stream_indicators": lambda sp, sf: _r(st.running_indicators(sp, sf), "ma", "don_h", "don_l", "rsi"), "pnl_season_tilt": season_tilt, "join_cheapest": cheapest, "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, sf, [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
+    "stream_indicators": lambda sp, sf: _r(st.running_indicators(sp, st.replayed(sp, sf)), "ma", "don_h", "don_l", "rsi"), "pnl_season_tilt": season_tilt, "join_cheapest": cheapest, "cal_expiries": expiry_days, "fn_map_merge": merged_maps, "stat_johansen": johansen, "roll_forward": forward_rolls, "pnl_traded": traded, "pnl_monthly": monthly, "agg_tenor": tenor_mean, "stream_session_bars": lambda sp, sf: _r(st.session_bars(sp, st.replayed(sp, sf), [540, 690, 900]), *OHLC), "stream_season_stats": lambda sp, sf: _r(st.season_stats(sp, sf), "mean", "sd"),
 }
 SQL = {
     "season_labels": f"WITH {DAILY_SQL}, d AS (SELECT DISTINCT date FROM s0), n AS (SELECT date, (SELECT y FROM (SELECT unnest([{_NY}]) AS y) ORDER BY abs(date - y), y LIMIT 1) AS ny FROM d) SELECT date, year(ny)::INT AS lunar_year, (date - ny)::INT AS lunar_day, floor((date - ny) / 7.0)::BIGINT AS lunar_week, year(date)::INT AS yr, week(date)::INT AS iso_week, dayofyear(date)::INT AS doy FROM n",

@@ -249,7 +249,7 @@ def trailing(spark, sf, **costs):
 
 
 def stream_minutes(spark, sf):
-    return _r(st.minute_bars(spark, sf), *OHLC)
+    return _r(st.minute_bars(spark, st.replayed(spark, sf)), *OHLC)
 
 
 _A = span(5)
@@ -276,7 +276,7 @@ QUERIES = {
     "pnl_daily": pnl_daily, "pnl_stats_tenor": stats_by_tenor, "pnl_stats_asset": stats_by_asset, "pnl_calendar": calendar_pnl, "pnl_lead_lag": lead_lag, "grid_backtest": grid, "grid_scenarios": scenarios,
     "risk_correlation": lambda s_, d: _r(rs.correlations(rets(s_, d)), "corr", "cov"), "risk_var": lambda s_, d: _r(rs.risk(rets(s_, d), weights(s_, d)), "part", "var95"), "stat_summary": summary, "stat_variance_ratio": variance_ratio, "stat_hurst": hurst, "stat_half_life": half_life,
     "stat_adf": lambda s_, d: _r(rs.adf(daily(s_, d).select("asset", "date", F.ln("close").alias("x"))), "adf"), "stat_kalman": expanded,
-    "agg_cube": rollup, "pos_update": positions, "fn_json": json_props, "stream_minute_bars": stream_minutes, "stream_daily_bars": lambda s_, d: _r(st.daily_bars(s_, d), *OHLC), "stream_bars": lambda s_, d: _r(st.running_bars(s_, d).drop("spb"), *STREAMED.keep), "stream_running_means": lambda s_, d: _r(st.running_means(s_, d), "ema", "mean"),
+    "agg_cube": rollup, "pos_update": positions, "fn_json": json_props, "stream_minute_bars": stream_minutes, "stream_daily_bars": lambda s_, d: _r(st.daily_bars(s_, st.replayed(s_, d)), *OHLC), "stream_bars": lambda s_, d: _r(st.running_bars(s_, st.replayed(s_, d)).drop("spb"), *STREAMED.keep), "stream_running_means": lambda s_, d: _r(st.running_means(s_, st.replayed(s_, d)), "ema", "mean"),
 }
 _Z0 = z_sql()
 SQL = {

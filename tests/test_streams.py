@@ -3,14 +3,17 @@
 import datetime
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
+from quaystone.plans import registry
 from quaystone.streaming import bars as st
 from quaystone.streaming import quotes as qt
+from tests.conftest import rows
 
 START = datetime.datetime(2024, 1, 1, 9)
 
@@ -146,3 +149,31 @@ def test_an_instrument_with_many_open_bars_takes_little_time(spark, tmp_path):
     got = closed(spark, tmp_path, 60)
     assert time.monotonic() - before < 40
     assert len(got) == 2939 and list(got["oi"]) == list(range(2939)) and list(got["close"]) == [float(i % 97) for i in range(2939)]
+
+
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """The ticks in four files that weren't written in order of time."""
+    folder, data = tmp_path_factory.mktemp("scattered"), ticks()
+    for i in (2, 0, 3, 1):
+        spark.createDataFrame(data[i * 60 : i * 60 + 60], st.EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_queries_over_files_in_any_order_lose_no_row(spark, scattered):
+    got = rows(registry.queries()["stream_bars"](spark, scattered))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{scattered}/events.parquet/*.parquet'")
+    cursor = con.execute(registry.oracle_sql()["stream_bars"])
+    want = rows(cursor.fetchall(), [d[0] for d in cursor.description])
+    assert got == want and len(want[0]) > 30
+
+
+def test_replayed_files_follow_time(spark, folders, scattered):
+    again = st.replayed(spark, scattered, 70)
+    assert spark.read.parquet(f"{again}/events.parquet").count() == 240 and again != scattered
+    one, many = (as_frame(st.running_bars(spark, f), "asset", "date") for f in (folders[0], again))
+    pd.testing.assert_frame_equal(one, many, check_exact=False, rtol=1e-9, check_dtype=False)
+    ends = [(r.lo, r.hi) for r in spark.read.parquet(f"{again}/events.parquet").groupBy(F.input_file_name()).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("lo").collect()]
+    assert len(ends) == 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert st.replayed(spark, folders[0]) == folders[0]  # one small file stays where it is
