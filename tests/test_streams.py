@@ -177,3 +177,21 @@ def test_replayed_files_follow_time(spark, folders, scattered):
     ends = [(r.lo, r.hi) for r in spark.read.parquet(f"{again}/events.parquet").groupBy(F.input_file_name()).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("lo").collect()]
     assert len(ends) == 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
     assert st.replayed(spark, folders[0]) == folders[0]  # one small file stays where it is
+
+
+def test_season_stats_go_on_over_batches(spark, folders):
+    got = as_frame(st.season_stats(spark, folders[1], 1), "asset", "hour")
+    every = spark.read.parquet(f"{folders[1]}/events.parquet").toPandas()
+    want = every.groupby(["user_id", every["ts"].dt.hour])["value"].agg(["count", "mean", lambda x: x.std(ddof=0)]).reset_index()
+    assert list(got["n"]) == list(want["count"]) and np.allclose(got[["mean", "sd"]], want.iloc[:, 3:])
+
+
+def test_many_seasons_take_little_time(spark, tmp_path):
+    """A row each of 60,000 instruments and hours."""
+    ids = spark.range(60_000)
+    events = ids.select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 24 * 3600).alias("ts"), (F.col("id") / 24).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = time.monotonic()
+    got = st.season_stats(spark, str(tmp_path)).agg(F.count("*"), F.sum("n"), F.sum("mean")).first()
+    assert time.monotonic() - before < 20
+    assert tuple(got) == (60_000, 60_000, 60_000 * 59_999 / 2)
